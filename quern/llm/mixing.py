@@ -169,3 +169,16 @@ def mix_sources(
         out = out.unionByName(more)
     times = (F.col("whole") + F.col("p").cast("long")).alias("times")
     return out.select("doc_id", "source", "size", "source_size", "target", "whole", times).withColumn("taken", F.col("times") * F.col("size"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """docs, all columns, each row as often as the mixture takes it.
+
+    Rows with the same doc_id, source and text are emitted as copies of one of
+    them, as often as all of them are taken together.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    keyed = docs.select(key.alias("doc_id"), "source", "text")
+    times = mix_sources(keyed, **options).groupBy(F.col("doc_id").alias("__key")).agg(F.sum("times").alias("__times")).where("__times > 0")
+    taken = docs.withColumn("__key", key).join(times, "__key").dropDuplicates(["__key", "doc_id"])
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).select(*[F.col(f"`{c}`") for c in docs.columns])

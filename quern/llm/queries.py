@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_id, mixing, packing, quality_rules, simhash_dedup, substring_dedup, toxicity, url_filters
+from . import fingerprints, language_id, mixing, packing, quality_rules, secret_scan, simhash_dedup, substring_dedup, toxicity, url_filters
 from .common import in_share
 
 
@@ -57,6 +57,12 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_findings(_table(spark, sf_dir, "documents"), secret_scan.train(spark))
+    masked = F.concat(F.substring("value", 1, 4), F.lit("..."), F.length("value").cast("string"))
+    return found.select("doc_id", "start", "end", masked.alias("masked"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = in_share(F.col("doc_id"), 4) == 2
@@ -74,6 +80,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_url_filters": op7_url_filters,
     "op8_simhash_dedup": op8_simhash_dedup,
+    "op9_secret_scan": op9_secret_scan,
     "op10_language_id": op10_language_id,
 }
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
 ORACLE: dict[str, str] = {}

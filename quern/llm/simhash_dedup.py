@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_words, windows, word_hashes, written
+from .common import windows, word_hashes, word_spans, written
 from .components import link_cells
 
 #: Similarity of near-duplicate documents, words in a shingle, and differing bits that candidates may have.
@@ -124,54 +124,61 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = (text or "").encode("utf-8", "replace").lower().split()
             digests.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
             fps.append(_majority([xxhash.xxh64_intdigest(w, 42) for w in set(words)]))
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": digests, "fp": fps})
+        yield batch.drop(columns="text").assign(digest=digests, fp=fps)
 
 
 def _shingle_sets(shingle: int):
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = {"doc_id": batch["doc_id"], "digest": [], "shingles": []}
+            found = []
             for text in batch["text"]:
-                words = (text or "").encode("utf-8", "replace").lower().split()
-                line = b" ".join(words)
-                out["digest"].append(xxhash.xxh3_128_hexdigest(line))
-                h = np.unique(windows(word_hashes(*text_words(line.decode())), shingle))
-                out["shingles"].append(h.view(np.int64))
-            yield pd.DataFrame(out)
+                data = np.frombuffer((text or "").encode("utf-8", "replace").lower(), dtype=np.uint8)
+                found.append(np.unique(windows(word_hashes(data, *word_spans(data)), shingle)).view(np.int64))
+            yield pd.DataFrame({"id": batch["id"], "shingles": found})
 
     return sets
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, reach: int = REACH) -> DataFrame:
-    """doc_id, digest and kept: whether the row's text stays; one row for each distinct doc_id and digest.
+    """doc_id, text_hash (xxhash64 of the text) and kept of each row of docs; repeated rows are told once.
 
     Texts with the same words (A-Z lower-cased) are copies. Candidates among
     distinct texts come from fingerprints over their distinct words, which edits
     move little; pairs within `reach` bits that share a cell of 14 drawn
     segments, in one of 24 draws, are held against each other exactly, and link
     if the Jaccard similarity of their word shingles is at least `similarity`.
-    Of each component the text with the smallest doc_id stays. Texts without
-    words (null, empty) are copies of one another. A null doc_id sorts last.
+    Of each component one row stays: that with the smallest doc_id, a null one
+    last. Texts without words (null, empty) are copies of one another.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = written(plain.mapInPandas(_sketch, "doc_id long, digest string, fp long"), "sketches")
-    nodes = marked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"))
+    text = F.col("text").cast("string")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    marked = written(plain.mapInPandas(_sketch, "doc_id long, text_hash long, digest string, fp long"), "sketches")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    nodes = marked.groupBy("digest").agg(F.min(row).alias("row"), F.first("fp").alias("fp"))
     nodes = written(nodes.withColumn("counts", segment_counts("fp")).withColumn("id", F.monotonically_increasing_id()), "nodes")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
         needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        needed = written(nodes.join(needed, "id").select("id", "digest", F.col("first_id").alias("doc_id")).where("doc_id is not null"), "needed")
-        texts = plain.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
-        sets = texts.mapInPandas(_shingle_sets(shingle), "doc_id long, digest string, shingles array<long>")
-        sets = written(sets.join(needed, ["doc_id", "digest"]).select("id", "shingles").dropDuplicates(["id"]), "shingles")
+        needed = written(nodes.join(needed, "id").select("id", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash")), "needed")
+        same = F.col("p.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("p.text_hash") == F.col("n.text_hash"))
+        texts = plain.alias("p").join(needed.alias("n"), same).select("n.id", "p.text")
+        sets = written(texts.mapInPandas(_shingle_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
     found = link_cells(nodes.select("id", "fp", "counts"), _grid(drawn_masks(24, 14)), _within(reach), verify, room=12)
     classed = nodes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    winners = classed.groupBy("component").agg(F.min_by("id", F.struct(F.coalesce("first_id", F.lit((1 << 63) - 1)), "id")).alias("winner"))
-    judged = classed.join(winners, "component").select("digest", "first_id", (F.col("id") == F.col("winner")).alias("wins"))
-    rows = marked.select("doc_id", "digest").distinct()
-    return rows.join(judged, "digest").select("doc_id", "digest", (F.col("wins") & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("kept"))
+    winners = classed.groupBy("component").agg(F.min("row").alias("row")).select("row.doc_id", "row.text_hash", F.lit(True).alias("kept"))
+    rows = marked.select("doc_id", "text_hash").distinct()
+    same = F.col("m.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("m.text_hash") == F.col("w.text_hash"))
+    return rows.alias("m").join(winners.alias("w"), same, "left").select("m.doc_id", "m.text_hash", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that near_duplicates keeps; of rows with the same doc_id and text one stays."""
+    kept = judged.where("kept").select(F.col("doc_id").alias("__id"), "text_hash")
+    hashed = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
+    stays = hashed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("text_hash")), "left_semi")
+    return stays.dropDuplicates(["doc_id", "__hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mixed
@@ -159,21 +159,31 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", each: int = SA
     return train([t or "" for t in seen["text"]], seen["label"].to_numpy(dtype=np.int64), totals.get(1, 0) / max(1, totals.get(0, 0)) or 1.0)
 
 
-def toxicity_scores(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` of docs, and score (0 to 1) and predicted (1 from 0.5 up) of each whole text.
+def score_of(model: Model, text: Column, spark: SparkSession) -> Column:
+    """The score of a text column (0 to 1); null counts as empty."""
+    held = spark.sparkContext.broadcast((model.keys, model.weights, model.bias))
+
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Model(*held.value)
+        for part in texts:
+            yield pd.Series(own.scores(part.tolist()))
+
+    return score(text.cast("string"))
+
+
+def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score (0 to 1) and predicted (1 from 0.5 up) of each whole text, one row per row of docs.
 
     Null and empty texts hold no n-gram and get the score of the bias alone.
     With labels of a single class the score is that class's for every text.
-    Repeated rows score alike; only `text` is an input of the score.
+    Repeated rows score alike; only `text` is an input of the score; other
+    columns are not read.
     """
-    held = docs.sparkSession.sparkContext.broadcast((model.keys, model.weights, model.bias))
+    scored = docs.select(F.col("doc_id").alias("doc_id"), score_of(model, F.col("text"), docs.sparkSession).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Model(*held.value)
-        for batch in batches:
-            score = own.scores(batch["__text"].tolist())
-            yield batch.drop(columns="__text").assign(score=score, predicted=(score >= 0.5).astype(np.int32))
 
-    kept = docs.select(*keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "score double, predicted int"])
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInPandas(scored, schema)
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns, whose text scores under 0.5."""
+    return docs.where(score_of(model, F.col("text"), docs.sparkSession) < 0.5)
