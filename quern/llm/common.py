@@ -15,7 +15,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
+
+
+class Cache(dict):
+    """What a process has worked out; it stays there when a function that uses it is sent elsewhere."""
+
+    def __reduce__(self):
+        return (type(self), ())
+
+
+_powers = Cache()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,14 +75,13 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def _tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, n at least."""
+    if len(_powers.get(_BASE, ())) < n:
         size = max(n, 1 << 16)
-        _powers[:] = [
-            np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, b, dtype=np.uint64))))
-            for b in (_BASE, pow(_BASE, -1, 1 << 64))
-        ]
-    return _powers
+        for key, b in ((_BASE, _BASE), (-_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[key] = np.cumprod(np.concatenate(([np.uint64(1)], np.full(size - 1, b, dtype=np.uint64))))
+    return _powers[_BASE], _powers[-_BASE]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

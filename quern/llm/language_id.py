@@ -17,18 +17,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_hashes
+from .common import Cache, word_hashes
 from .toxicity import _chunks, mixed
 
 #: Expected number of sampled documents of each language; n-gram lengths, longest first.
 SAMPLE, LENGTHS = 600, (5, 4, 3, 2, 1)
-_letters: list[np.ndarray] = []
+_letters = Cache()
 
 
 def _is_letter() -> np.ndarray:
     if not _letters:
-        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000))
-    return _letters[0]
+        _letters["all"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
+    return _letters["all"]
 
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -179,11 +179,12 @@ def predicted_languages(docs: DataFrame, model: Model, keep: Sequence[str] = ("d
     text if no language was learned. Repeated rows get the same answer; ties go
     to the language that comes first by name; only `text` is read for it.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Model(*held.value)
         for batch in batches:
-            lang, score = held.value.predict(batch["__text"].tolist())
+            lang, score = own.predict(batch["__text"].tolist())
             yield batch.drop(columns="__text").assign(lang_pred=lang, score=score)
 
     kept = docs.select(*keep)
