@@ -1 +1,11 @@
-"""A PySpark engine that links funded projects to published procurement evidence."""
+"""A PySpark engine that links funded projects to published procurement evidence.
+
+Its functions travel to the executors by value, so that a cluster needs no copy
+of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

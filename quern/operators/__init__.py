@@ -1,0 +1 @@
+"""Operators over arbitrary tables: rules, thresholds and column names are parameters."""

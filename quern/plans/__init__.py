@@ -1,0 +1 @@
+"""Queries over the driver tables, each with the SQL that it is checked against."""
