@@ -48,7 +48,8 @@ def tiered_quantiles(df: DataFrame, value: str, cohort: str) -> DataFrame:
 def comparables(df: DataFrame, key: str, value: str, cohort: str, targets: DataFrame, k: int) -> DataFrame:
     """The k rows of its cohort nearest to each target (cohort, target): by distance of ECDF positions, then of values, then key."""
     positions = ecdf(df, value, cohort)
-    at = targets.join(positions.select(F.col(cohort).alias("c"), F.col(value).alias("v"), "at_most", "n"), (F.col("c") == F.col(cohort)) & (F.col("v") <= F.col("target")), "left")
+    below = (F.col(f"p.{cohort}") == F.col(f"t.{cohort}")) & (F.col(f"p.{value}") <= F.col("t.target"))
+    at = targets.alias("t").join(positions.alias("p"), below, "left").select(f"t.{cohort}", "t.target", "p.at_most", "p.n")
     target_bps = at.groupBy(cohort, "target").agg(F.coalesce(F.max(F.expr("at_most * 10000 div n")), F.lit(0)).alias("target_bps"))
     rows = df.select(key, cohort, value).join(positions.select(cohort, value, "bps"), [cohort, value]).join(F.broadcast(target_bps), cohort)
     order = [F.abs(F.col("bps") - F.col("target_bps")), F.abs(F.col(value) - F.col("target")), F.col(key)]

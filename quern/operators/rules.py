@@ -59,10 +59,10 @@ def extraction_summary(found: DataFrame, key: str) -> DataFrame:
 
     That is so if any segment matches no rule, or nothing matches at all.
     """
-    per = found.select(key, F.size("matches").alias("k"), F.transform("matches", lambda m: m["category"]).alias("categories"))
+    per = found.select(F.col(key).alias(key), F.size("matches").alias("__hits"), F.transform("matches", lambda m: m["category"]).alias("categories"))
     out = per.groupBy(key).agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("categories")))).cast("long").alias("components"),
-        F.count_if(F.col("k") == 0).alias("unmatched_segments"),
+        F.count_if(F.col("__hits") == 0).alias("unmatched_segments"),
     )
     return out.withColumn("needs_model", (F.col("unmatched_segments") > 0) | (F.col("components") == 0))
 
