@@ -29,7 +29,7 @@ def first_language(texts: Column, languages: tuple[str, ...] = LANGUAGES) -> Col
 
 def clean_list(values: Column) -> Column:
     """Trimmed values, blanks left out; null counts as none."""
-    return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def canonical_notices(pages: DataFrame) -> DataFrame:
