@@ -70,3 +70,33 @@ def boundary_check(value: Column, least: Column, most: Column) -> Column:
         .when(most.isNotNull() & (value > most), "ABOVE_MAXIMUM")
         .otherwise("WITHIN")
     )
+
+
+def joint_comparables(df: DataFrame, key: str, first: str, second: str, cohort: str, targets: DataFrame, k: int, weights: tuple[int, int] = (7, 3), least: int = 15) -> DataFrame:
+    """The k rows nearest to each target (cohort, first_target, second_target) by the weighted distance of both ECDF positions.
+
+    The second value counts only in cohorts where at least `least` rows know
+    it, and only rows that know both are compared there; elsewhere the first
+    decides alone. Ties go to the nearer first value, then to the key.
+    """
+    place = lambda c: ecdf(df, c, cohort)
+
+    def target_bps(column: str, target: str) -> DataFrame:
+        below = (F.col(f"p.{cohort}") == F.col(f"t.{cohort}")) & (F.col(f"p.{column}") <= F.col(f"t.{target}"))
+        at = targets.alias("t").join(place(column).alias("p"), below, "left").select(f"t.{cohort}", f"t.{target}", "p.at_most", "p.n")
+        return at.groupBy(cohort, target).agg(F.coalesce(F.max(F.expr("at_most * 10000 div n")), F.lit(0)).alias(f"{target}_bps"))
+
+    known = df.groupBy(cohort).agg(F.count(second).alias("known"))
+    rows = df.select(key, cohort, first, second).where(F.col(first).isNotNull()).join(place(first).select(cohort, first, F.col("bps").alias("a")), [cohort, first])
+    rows = rows.join(place(second).select(cohort, second, F.col("bps").alias("b")), [cohort, second], "left").join(F.broadcast(known), cohort)
+    aims = targets.join(target_bps(first, "first_target"), [cohort, "first_target"]).join(target_bps(second, "second_target"), [cohort, "second_target"])
+    both = F.col("known") >= least
+    pairs = rows.join(F.broadcast(aims), cohort).where(~both | F.col("b").isNotNull())
+    gap = F.abs(F.col("a") - F.col("first_target_bps"))
+    distance = F.when(both, weights[0] * gap + weights[1] * F.abs(F.col("b") - F.col("second_target_bps"))).otherwise(gap)
+    near = pairs.withColumn("near", F.struct(distance.alias("d"), F.abs(F.col(first) - F.col("first_target")).alias("v"), F.col(key).alias("k")))
+    group = [cohort, "first_target", "second_target"]
+    part = Window.partitionBy(*group, F.pmod(F.xxhash64(key), F.lit(64))).orderBy("near")
+    best = near.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k)
+    ranked = best.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy("near")).cast("long")).where(F.col("position") <= k)
+    return ranked.select(*group, "position", key, F.col("near.d").alias("distance"))

@@ -98,3 +98,19 @@ def run_manifest(counts: DataFrame, run_id: str, input_digest: str, output_diges
     one = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.col("n").cast("long"))))).alias("counts"))
     text = F.concat_ws("|", F.lit(run_id), F.lit(input_digest), F.lit(output_digest), F.to_json("counts"))
     return one.select(F.lit(run_id).alias("run_id"), "counts", F.lit(input_digest).alias("input_digest"), F.lit(output_digest).alias("output_digest"), F.sha2(text, 256).alias("digest"))
+
+
+def snapshot(memberships: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Rows of each snapshot (snapshot_id, keys: an array), with status: member, repeated (from its second mention on) or unknown."""
+    listed = memberships.select("snapshot_id", F.posexplode("keys").alias("place", key))
+    mention = F.row_number().over(Window.partitionBy("snapshot_id", key).orderBy("place"))
+    known = rows.select(key, F.lit(True).alias("known"))
+    joined = listed.withColumn("mention", mention).join(known, key, "left")
+    status = F.when(F.col("known").isNull(), "unknown").when(F.col("mention") > 1, "repeated").otherwise("member")
+    return joined.select("snapshot_id", key, F.col("place").cast("long").alias("place"), status.alias("status"))
+
+
+def source_gate(contracts: DataFrame, as_of: Column) -> DataFrame:
+    """Contracts (source_id, status, gates: an array of booleans, review_due) with open: live, all gates passed, and not past review."""
+    passed = F.forall("gates", lambda g: F.coalesce(g, F.lit(False)))
+    return contracts.withColumn("open", F.coalesce((F.col("status") == "LIVE") & passed & (F.col("review_due") >= as_of), F.lit(False)))

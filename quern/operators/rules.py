@@ -88,3 +88,22 @@ def supporting_segment(found: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key, "category").agg(
         F.min_by(F.struct("start", "end", "segment"), "start").alias("first"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("phrases")))).alias("phrases"), F.count(F.lit(1)).alias("segments")
     ).select(key, "category", "first.start", "first.end", "first.segment", "phrases", "segments")
+
+
+def boundary_unclear(text: Column, identifiers: str, counts: str) -> Column:
+    """Whether a text speaks of more than one thing: several identifiers (group 1 of a pattern, case ignored), or a count above 1."""
+    names = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(identifiers), F.lit(1)), lambda x: F.lower(x)))
+    many = F.exists(F.regexp_extract_all(text, F.lit(counts), F.lit(1)), lambda x: x.try_cast("int") > 1)
+    return F.coalesce((F.size(names) > 1) | many, F.lit(False))
+
+
+def normalised_hits(words: Column, phrases: Sequence[str]) -> Column:
+    """How many runs of normalised words equal one of the phrases, whose words are normalised likewise; words: an array column."""
+    choice = "|".join(rf"\Q{p}\E" for p in phrases)
+    return F.regexp_count(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f"(?<= )(?:{choice})(?= )")).cast("long")
+
+
+def gated_occurrences(df: DataFrame, text: str, gate: Column, rules: Sequence[Rule]) -> DataFrame:
+    """Rows of df with rule and hits: occurrences of the phrases of the rules whose domain the row's gate names."""
+    counts = F.array(*[F.struct(F.lit(r.key).alias("rule"), F.when(gate == r.domain, F.regexp_count(text, F.lit(phrase_pattern(*r.phrases)))).alias("hits")) for r in rules])
+    return df.withColumn("found", F.explode(F.filter(counts, lambda c: c["hits"] > 0))).select(*df.columns, "found.rule", F.col("found.hits").cast("long").alias("hits"))

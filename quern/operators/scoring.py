@@ -56,3 +56,28 @@ def gate(metrics: DataFrame, checks: dict[str, Column], soft: Sequence[str] = ()
 def repeated_in_rounds(df: DataFrame, rule: str, round_: str, least: int = 2) -> DataFrame:
     """Rules that failed in at least so many different rounds."""
     return df.groupBy(rule).agg(F.count_distinct(round_).alias("rounds")).where(F.col("rounds") >= least)
+
+
+def overlap_report(gold: DataFrame, predicted: DataFrame, case: str) -> DataFrame:
+    """One row on intervals (case, start, end): predictions and gold spans, those that overlap one another, cases with gold, with a hit, and false alarms without gold."""
+    pairs = overlaps(predicted, gold, case)
+    hit_p, hit_g = pairs.select(case, F.col("a_start").alias("start"), F.col("a_end").alias("end")).distinct(), pairs.select(case, F.col("b_start").alias("start"), F.col("b_end").alias("end")).distinct()
+    per = [
+        (predicted.select(case, "start", "end").distinct(), "predicted"), (gold.select(case, "start", "end").distinct(), "gold"), (hit_p, "predicted_hit"), (hit_g, "gold_hit"),
+    ]
+    rows = None
+    for df, name in per:
+        part = df.groupBy(case).agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit(name))
+        rows = part if rows is None else rows.unionByName(part)
+    names = [n for _, n in per]
+    cases = rows.groupBy(case).agg(*[F.coalesce(F.sum(F.when(F.col("what") == n, F.col("n"))), F.lit(0)).alias(n) for n in names])
+    sums = cases.agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names], F.count_if(F.col("gold") > 0).alias("cases"), F.count_if(F.col("gold_hit") > 0).alias("cases_hit"),
+        F.count_if((F.col("gold") == 0) & (F.col("predicted") > 0)).alias("false_alarms"),
+    )
+    return sums.withColumns({"precision_bps": basis_points(F.col("predicted_hit"), F.col("predicted")), "recall_bps": basis_points(F.col("gold_hit"), F.col("gold")), "case_recall_bps": basis_points(F.col("cases_hit"), F.col("cases"))})
+
+
+def spread(df: DataFrame, by: str, value: str) -> DataFrame:
+    """Per group: measured rows, twice the median (exact for whole numbers), and the largest value; nulls are not measured."""
+    return df.groupBy(by).agg(F.count(value).alias("measured"), (2 * F.median(value)).cast("long").alias("median_x2"), F.max(value).alias("largest"))

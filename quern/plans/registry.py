@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import evidence, records, texts
+from . import evidence, records, reviews, texts
 
-_ALL = evidence.QUERIES | texts.QUERIES | records.QUERIES
+_ALL = evidence.QUERIES | texts.QUERIES | records.QUERIES | reviews.QUERIES
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLE = {name: sql for name, (_, sql) in _ALL.items() if sql is not None}

@@ -202,3 +202,38 @@ def test_column_allowlist_is_recursive(spark):
     with pytest.raises(checks.CheckFailed, match="b.c"):
         checks.require_columns(df, ["a", "b"])
     assert checks.forbidden_columns(df, ["C"]) == ["b.c"]
+
+
+def test_boundary_and_gated_phrases(spark):
+    df = spark.createDataFrame([(1, "PK 12 and pk 12", "water"), (2, "PK 12, PN 13", "road"), (3, "8 crossings", "road"), (4, None, "road")], "k int, t string, d string")
+    got = {r.k: r.u for r in df.select("k", rules.boundary_unclear(F.col("t"), r"(?i)\b(p[kn] \d+)", r"(\d+) crossings").alias("u")).collect()}
+    assert got == {1: False, 2: True, 3: True, 4: False}
+    found = rules.gated_occurrences(df, "t", F.col("d"), [rules.Rule("road", "x", ("pk", "crossings"))]).collect()
+    assert {(r.k, r.hits) for r in found} == {(2, 1), (3, 1)}
+
+
+def test_snapshots_gates_and_manifests(spark):
+    members = spark.createDataFrame([("s", ["a", "x", "a"])], "snapshot_id string, keys array<string>")
+    got = sorted((r.place, r.status) for r in ledger.snapshot(members, spark.createDataFrame([("a",)], "key string"), "key").collect())
+    assert got == [(0, "member"), (1, "unknown"), (2, "repeated")]
+    day = date(2026, 3, 1)
+    contracts = spark.createDataFrame([("a", "LIVE", [True], day), ("b", "LIVE", [True, None], day), ("c", "PAUSED", [True], day), ("d", "LIVE", [], date(2026, 2, 1))], "source_id string, status string, gates array<boolean>, review_due date")
+    assert {r.source_id for r in ledger.source_gate(contracts, F.lit(day)).where("open").collect()} == {"a"}
+    counts = spark.createDataFrame([("rows", 3), ("files", 1)], "name string, n long")
+    one, again = (ledger.run_manifest(c, "r", "x", "y").first() for c in (counts, counts.orderBy("n")))
+    assert one.digest == again.digest and one.counts == {"rows": 3, "files": 1}
+    with pytest.raises(checks.CheckFailed):
+        ledger.run_manifest(counts.withColumn("n", -F.col("n")), "r", "x", "y")
+
+
+def test_new_observations_are_told_once(spark):
+    seen = spark.createDataFrame([("v", "r1"), ("v", "r2"), ("v", "r2")], "version_id string, run_id string")
+    assert [r.run_id for r in ledger.new_observations(seen, seen.limit(0)).orderBy("run_id").collect()] == ["r1", "r2"]
+    assert ledger.new_observations(seen, seen.where("run_id = 'r1'")).count() == 1
+
+
+def test_joint_comparables_fall_back_to_one_value(spark):
+    df = spark.createDataFrame([(i, "few", 10 * i, i if i < 5 else None) for i in range(20)] + [(100 + i, "many", 10 * i, 20 - i) for i in range(20)], "k long, c string, a long, b long")
+    targets = spark.createDataFrame([("few", 50, 1), ("many", 50, 1)], "c string, first_target long, second_target long")
+    got = {(r.c, r.position): r.k for r in cohort.joint_comparables(df, "k", "a", "b", "c", targets, 2).collect()}
+    assert got[("few", 1)] == 5 and got[("many", 1)] in range(105, 113)
