@@ -86,14 +86,14 @@ def joint_comparables(df: DataFrame, key: str, first: str, second: str, cohort:
         at = targets.alias("t").join(place(column).alias("p"), below, "left").select(f"t.{cohort}", f"t.{target}", "p.at_most", "p.n")
         return at.groupBy(cohort, target).agg(F.coalesce(F.max(F.expr("at_most * 10000 div n")), F.lit(0)).alias(f"{target}_bps"))
 
-    known = df.groupBy(cohort).agg(F.count(second).alias("known"))
-    rows = df.select(key, cohort, first, second).where(F.col(first).isNotNull()).join(place(first).select(cohort, first, F.col("bps").alias("a")), [cohort, first])
-    rows = rows.join(place(second).select(cohort, second, F.col("bps").alias("b")), [cohort, second], "left").join(F.broadcast(known), cohort)
+    known = df.groupBy(cohort).agg(F.count(second).alias("__known"))
+    rows = df.select(key, cohort, first, second).where(F.col(first).isNotNull()).join(place(first).select(cohort, first, F.col("bps").alias("__bps_1")), [cohort, first])
+    rows = rows.join(place(second).select(cohort, second, F.col("bps").alias("__bps_2")), [cohort, second], "left").join(F.broadcast(known), cohort)
     aims = targets.join(target_bps(first, "first_target"), [cohort, "first_target"]).join(target_bps(second, "second_target"), [cohort, "second_target"])
-    both = F.col("known") >= least
-    pairs = rows.join(F.broadcast(aims), cohort).where(~both | F.col("b").isNotNull())
-    gap = F.abs(F.col("a") - F.col("first_target_bps"))
-    distance = F.when(both, weights[0] * gap + weights[1] * F.abs(F.col("b") - F.col("second_target_bps"))).otherwise(gap)
+    both = F.col("__known") >= least
+    pairs = rows.join(F.broadcast(aims), cohort).where(~both | F.col("__bps_2").isNotNull())
+    gap = F.abs(F.col("__bps_1") - F.col("first_target_bps"))
+    distance = F.when(both, weights[0] * gap + weights[1] * F.abs(F.col("__bps_2") - F.col("second_target_bps"))).otherwise(gap)
     near = pairs.withColumn("near", F.struct(distance.alias("d"), F.abs(F.col(first) - F.col("first_target")).alias("v"), F.col(key).alias("k")))
     group = [cohort, "first_target", "second_target"]
     part = Window.partitionBy(*group, F.pmod(F.xxhash64(key), F.lit(64))).orderBy("near")
