@@ -23,6 +23,7 @@ ads-track ads-server adserver ad-click click-track track-pixel banner-ads pop-ad
 adult-cams xxx-videos hot-cams porn-hub sex-chat cheap-pills pharma-pills viagra-shop pills-online
 free-ringtones win-prize free-prize prize-winner lotto-win torrent-files warez-crack keygen-crack
 payday-loans fast-loans replica-watches get-rich-quick crypto-doubler phish-login verify-account malware-drop spam-mailer
+adult-zone adult-only adult-live adult-clips spam-links spam-network spam-pages bulk-spam link-farm content-farm
 """.split()
 ALLOWED = """
 thought theory then rather another weather mother there these those threnody anther
@@ -73,17 +74,13 @@ def rule_for(rules: Sequence[tuple[str, str]], host: Column, path: Column) -> tu
 def _grams(df: DataFrame) -> DataFrame:
     """df (host, path) with grams: every character n-gram of ^host$ and of the path, marked by where it is from."""
 
-    def of(text: Column, mark: str) -> list[Column]:
-        return [
-            F.when(
-                F.length(text) >= n,
-                F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i, n=n: F.concat(F.lit(mark), F.substring(text, i, F.lit(n)))),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in LENGTHS
-        ]
+    def of(text: Column, mark: str, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+        parts = F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(n))))
+        return F.when(F.length(text) >= n, parts).otherwise(F.array().cast("array<string>"))
 
     host = F.when(F.col("host") == "", F.lit("")).otherwise(F.concat(F.lit("^"), "host", F.lit("$")))
-    return df.withColumn("grams", F.concat(*of(host, "h"), *of(F.col("path"), "p")))
+    return df.withColumn("grams", F.concat(*[of(text, mark, n) for text, mark in ((host, "h"), (F.col("path"), "p")) for n in LENGTHS]))
 
 
 def _hashed(df: DataFrame) -> DataFrame:
