@@ -48,6 +48,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, rows: int = 300_000) -> DataFrame:
+    """A written table of a few numbers a row, for one side of a join: marked for broadcast if it has at most so many rows.
+
+    A larger one is joined by a shuffle.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def words_in(text: Column) -> Column:
     """Number of words of a whole text as a long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -84,24 +92,26 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[_BASE], _powers[-_BASE]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, from running sums over the bytes."""
-    power, inverse = _tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of values, from running sums: a span's hash doesn't depend on where it stands."""
+    power, inverse = _tables(len(values) + 1)
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * power[: len(values)], out=total[1:])
     return mixed((total[ends] - total[starts]) * inverse[starts])
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of UTF-8 data."""
+    return span_hashes(data, starts, ends)
+
+
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of k words, or of all words if there are fewer; empty for no words."""
     k = min(k, len(hashes))
     if not k:
         return hashes
-    n = len(hashes) - k + 1
-    out = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        out = out * np.uint64(0xD1342543DE82EF95) + hashes[j : j + n]
-    return mixed(out)
+    firsts = np.arange(len(hashes) - k + 1)
+    return span_hashes(hashes, firsts, firsts + k)
 
 
 def text_words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

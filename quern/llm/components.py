@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_side, written
 
 #: Members up to which all pairs of a cell are looked at; a larger cell is dealt into rooms of about this many.
 ROOM = 32
@@ -36,32 +36,80 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose sets (id, members: an array of distinct longs) have at least a Jaccard similarity."""
+    of = lambda k, x: sets.select(F.col("id").alias(k), F.col("members").alias(x))
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def rare_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) that hold every pair of similar sets of which one is minor and the components differ.
+
+    nodes: id, component, minor. Members are put in order, the rarest first. Of
+    n members, two similar sets share one of the first n - ceil(similarity * n)
+    + 1 of either; and from the first that they share, both have as many left as
+    the similarity asks them to share. A set with many members of its own meets
+    no other.
+    """
+    n = F.size("members")
+    members = written(nodes.join(sets, "id").select("id", "component", "minor", n.alias("n"), F.explode("members").alias("member")), "members")
+    often = members.groupBy("member").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("often", "member"))
+    rare = members.join(often, "member").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(similarity * F.col("n")) + 1)
+    rare = written(rare.where("often > 1").select("id", "component", "minor", "n", "member", "rank"), "rare")
+    l, r = rare.where("minor").alias("l"), rare.alias("r")
+    left = F.least(F.col("l.n") - F.col("l.rank"), F.col("r.n") - F.col("r.rank")) + 1
+    asked = F.ceil((F.col("l.n") + F.col("r.n")) * (similarity / (1 + similarity)) - 1e-6)
+    meet = (F.col("l.member") == F.col("r.member")) & (F.col("l.component") != F.col("r.component")) & (left >= asked)
+    return l.join(r, meet).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+
+
 def link_cells(
     nodes: DataFrame,
     cells: Column,
-    close: Callable[[str, str], Column],
-    verify: Callable[[DataFrame], DataFrame] | None = None,
+    close: Callable[[str, str], Column] | None = None,
+    sets_of: Callable[[DataFrame], DataFrame] | None = None,
+    similarity: float = 1.0,
+    carry: Sequence[str] = (),
     room: int = ROOM,
 ) -> DataFrame:
     """Components (id, component) of the links between nodes that share a cell.
 
-    nodes: id and what `close` needs; cells: an array of cell numbers of a node.
-    Two nodes that share a cell are linked if close('l', 'r') holds for the
-    aliases of the two, and verify (pairs a, b in; linked pairs out) agrees.
+    nodes: id, and columns to carry for `close`; an id may occur again. cells:
+    an array of cell numbers of a node. Two nodes that share a cell are linked
+    if close('l', 'r') holds for the aliases of the two (always, without it)
+    and, if sets_of is given, the Jaccard similarity of their sets is at least
+    `similarity`; sets_of takes a table of ids and returns id and members.
 
     All pairs are looked at only in cells of at most `room` members. Members of
-    a larger cell meet in random rooms of about that size and meet the cell's
-    first member. What this joins already needs no further look. In the cells
-    that still hold several components, each member outside the largest one is
-    then held against all members of other components, so no link that would
+    a larger cell meet in random rooms of about that size, and meet the one
+    member whose cells are the largest together: in a family of copies that is
+    the original, or close to it. What this joins already needs no further look. In the cells
+    that still hold several components, members outside the largest one are
+    then held against members of other components: those that share a rare
+    element where there are sets, else all of the cell. So no link that would
     join two components is lost.
     """
-    verify = verify or (lambda pairs: pairs)
-    dealt = nodes.withColumn("cell", F.explode(cells))
-    sizes = written(dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lead")).where("n > 1"), "cells")
+    close = close or (lambda a, b: F.lit(True))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        if sets_of is None:
+            return pairs
+        pairs = written(pairs, "pairs")
+        needed = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
+        return similar_pairs(pairs, sets_of(needed), similarity)
+
+    dealt = nodes.select("id", *carry, F.explode(cells).alias("cell"))
+    ends = written(dealt.groupBy("cell").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("cell"), "cells")
+    members = written(dealt.join(small_side(ends), "cell").distinct(), "members")
+    sized = members.join(members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell")
     rooms = F.when(F.col("n") > room, F.pmod(F.xxhash64("cell", "id"), F.ceil(F.col("n") / room))).otherwise(F.lit(0))
-    lead = F.when(F.col("n") > room, F.col("lead"))
-    crowded = written(dealt.join(sizes, "cell").withColumn("room", rooms).withColumn("lead", lead).drop("n"), "crowded")
+    sized = written(sized.withColumn("room", rooms), "sized")
+    weights = sized.where(F.col("n") > room).groupBy("id").agg(F.sum("n").alias("weight"))
+    leads = sized.where(F.col("n") > room).select("cell", "id").join(weights, "id").groupBy("cell").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("lead"))
+    crowded = written(sized.drop("n").join(leads, "cell", "left"), "crowded")
     left, right = crowded.alias("l"), crowded.alias("r")
     met = left.join(
         right,
@@ -69,10 +117,10 @@ def link_cells(
     ).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
     large = crowded.where("lead is not null")
     firsts = large.where("id = lead").alias("l")
-    starred = firsts.join(large.alias("r"), (F.col("l.cell") == F.col("r.cell")) & (F.col("l.id") < F.col("r.id")) & close("l", "r")).select(
-        F.col("l.id").alias("a"), F.col("r.id").alias("b")
+    starred = firsts.join(large.alias("r"), (F.col("l.cell") == F.col("r.cell")) & (F.col("l.id") != F.col("r.id")) & close("l", "r")).select(
+        F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")
     )
-    edges = written(verify(met.unionByName(starred).distinct()), "links")
+    edges = written(verified(met.unionByName(starred).distinct()), "links")
     found = connected_components(edges)
     if large.isEmpty():
         return found
@@ -81,16 +129,14 @@ def link_cells(
     shares = labelled.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("k"))
     mixed = shares.groupBy("cell").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     split = written(labelled.join(mixed, "cell").drop("parts"), "split")
-    rest = (
-        split.where("component <> main").alias("l")
-        .join(
-            split.alias("r"),
-            (F.col("l.cell") == F.col("r.cell"))
-            & (F.col("l.component") != F.col("r.component"))
-            & ((F.col("r.component") == F.col("r.main")) | (F.col("l.id") < F.col("r.id")))
-            & close("l", "r"),
-        )
-        .select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
-        .distinct()
-    )
-    return connected_components(edges.unionByName(written(verify(rest), "links")))
+    if sets_of is not None:
+        outside = split.groupBy("id", "component").agg(F.bool_or(F.col("component") != F.col("main")).alias("minor"))
+        outside = written(outside, "outside")
+        sets = written(sets_of(outside.select("id")), "sets")
+        rest = similar_pairs(rare_pairs(outside, sets, similarity), sets, similarity)
+    else:
+        apart = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("r.main")) | (F.col("l.id") < F.col("r.id")))
+        minor = split.where("component <> main").alias("l")
+        rest = minor.join(split.alias("r"), (F.col("l.cell") == F.col("r.cell")) & apart & close("l", "r"))
+        rest = rest.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+    return connected_components(edges.unionByName(written(rest, "links")))

@@ -23,10 +23,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import windows, word_hashes, word_spans, written
+from .common import small_side, windows, word_hashes, word_spans, written
 from .components import link_cells
 
-#: Similarity of near-duplicate documents, words in a shingle, and differing bits that candidates may have.
+#: Similarity of near-duplicate documents, words in a shingle, differing bits that candidates may have, and the share
+#: of pairs at that similarity that share a cell.
 SIMILARITY, SHINGLE, REACH = 0.8, 5, 12
 _LOW = 0x5555555555555555
 
@@ -74,9 +75,9 @@ def segment_counts(fp: str) -> Column:
 
 
 def _grid(masks: list[int]) -> Column:
-    """Cells of the column counts: its coordinates under each mask, with the mask's number."""
+    """Cells of the column fp: its segment counts under each mask, with the mask's number."""
     sets = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(_signed(m)).alias("m")) for k, m in enumerate(masks)])
-    return F.transform(sets, lambda s: F.xxhash64(s["k"], F.col("counts").bitwiseAND(s["m"])))
+    return F.transform(sets, lambda s: F.xxhash64(s["k"], segment_counts("fp").bitwiseAND(s["m"])))
 
 
 def block_masks(blocks: int, agree: int) -> list[int]:
@@ -95,7 +96,7 @@ def _within(reach: int) -> Callable[[str, str], Column]:
     """Manhattan distance of the counts as a lower bound, then the exact Hamming distance."""
 
     def close(a: str, b: str) -> Column:
-        bound = F.bit_count(F.col(f"{a}.counts").bitwiseXOR(F.col(f"{b}.counts"))) <= reach
+        bound = F.bit_count(segment_counts(f"{a}.fp").bitwiseXOR(segment_counts(f"{b}.fp"))) <= reach
         return bound & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= reach)
 
     return close
@@ -111,8 +112,8 @@ def fingerprint_classes(docs: DataFrame, shingle: int = 4, reach: int = 4, block
     """
     marked = written(fingerprints(docs, shingle), "fingerprints")
     nodes = marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"))
-    nodes = written(nodes.withColumn("counts", segment_counts("fp")), "nodes")
-    found = link_cells(nodes, _grid(block_masks(blocks, blocks - reach)), _within(reach))
+    nodes = written(nodes, "nodes")
+    found = link_cells(nodes, _grid(block_masks(blocks, blocks - reach)), _within(reach), carry=["fp"])
     of_fp = nodes.select("fp", "id").join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return marked.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
@@ -134,7 +135,7 @@ def _shingle_sets(shingle: int):
             for text in batch["text"]:
                 data = np.frombuffer((text or "").encode("utf-8", "replace").lower(), dtype=np.uint8)
                 found.append(np.unique(windows(word_hashes(data, *word_spans(data)), shingle)).view(np.int64))
-            yield pd.DataFrame({"id": batch["id"], "shingles": found})
+            yield pd.DataFrame({"id": batch["id"], "members": found})
 
     return sets
 
@@ -144,9 +145,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
 
     Texts with the same words (A-Z lower-cased) are copies. Candidates among
     distinct texts come from fingerprints over their distinct words, which edits
-    move little; pairs within `reach` bits that share a cell of 14 drawn
-    segments, in one of 24 draws, are held against each other exactly, and link
-    if the Jaccard similarity of their word shingles is at least `similarity`.
+    move little; pairs within `reach` bits that share a cell, the counts of some
+    drawn segments, are held against each other exactly, and link if the
+    Jaccard similarity of their word shingles is at least `similarity`.
     Of each component one row stays: that with the smallest doc_id, a null one
     last. Texts without words (null, empty) are copies of one another.
     """
@@ -155,20 +156,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     marked = written(plain.mapInPandas(_sketch, "doc_id long, text_hash long, digest string, fp long"), "sketches")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     nodes = marked.groupBy("digest").agg(F.min(row).alias("row"), F.first("fp").alias("fp"))
-    nodes = written(nodes.withColumn("counts", segment_counts("fp")).withColumn("id", F.monotonically_increasing_id()), "nodes")
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        needed = written(nodes.join(needed, "id").select("id", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash")), "needed")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        needed = written(nodes.join(ids, "id").select("id", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash")), "needed")
         same = F.col("p.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("p.text_hash") == F.col("n.text_hash"))
-        texts = plain.alias("p").join(needed.alias("n"), same).select("n.id", "p.text")
-        sets = written(texts.mapInPandas(_shingle_sets(shingle), "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+        texts = plain.alias("p").join(small_side(needed).alias("n"), same).select("n.id", "p.text")
+        return written(texts.mapInPandas(_shingle_sets(shingle), "id long, members array<long>").dropDuplicates(["id"]), "shingles")
 
-    found = link_cells(nodes.select("id", "fp", "counts"), _grid(drawn_masks(24, 14)), _within(reach), verify, room=12)
+    found = link_cells(nodes, _grid(drawn_masks(24, 14)), _within(reach), sets_of, similarity, carry=["fp"], room=12)
     classed = nodes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     winners = classed.groupBy("component").agg(F.min("row").alias("row")).select("row.doc_id", "row.text_hash", F.lit(True).alias("kept"))
     rows = marked.select("doc_id", "text_hash").distinct()

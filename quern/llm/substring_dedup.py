@@ -4,10 +4,12 @@ A paragraph is a line of a text. MinHash signatures over its five-word
 shingles are cut into bands; paragraphs that collide in a band are held
 against each other by exact Jaccard similarity, and the components of the
 verified pairs are the clusters. The first occurrence in a cluster stays, the
-others are removals. A passage that repeats inside otherwise different lines
-is found through pieces: a long line is also cut before words whose hash is
-the least around, so that equal passages are cut alike wherever they stand,
-and equal pieces form clusters of similarity 1.
+others are removals.
+
+A passage that repeats inside otherwise different lines is found through
+pieces: runs of PIECE words, of which the least hash in every REACH successive
+ones is taken, so any two texts that share PIECE + REACH - 1 words in a row
+have a piece in common, and equal pieces form clusters of similarity 1.
 """
 
 from __future__ import annotations
@@ -20,86 +22,113 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, text_words, windows, word_hashes, written
+from .common import mixed, small_side, span_hashes, text_words, windows, word_hashes, word_spans, written
 from .components import link_cells
 
-#: Least words of a paragraph and of a piece, words from which a paragraph is also cut, and how far a cut word is the least.
-MIN_WORDS, MIN_PIECE, CUT_FROM, AROUND = 20, 12, 40, 9
+#: Least words of a paragraph, words of a piece, and successive pieces of which one is taken (together 50 words).
+MIN_WORDS, PIECE, REACH = 30, 24, 27
 SIMILARITY, SHINGLE, RECALL = 0.8, 5, 0.997
 
 
-def tune_bands(similarity: float, recall: float, most: int = 96) -> tuple[int, int]:
-    """Bands and rows of each: the longest rows, and fewest bands, that catch `recall` of the pairs at `similarity`
-    with at most `most` hash functions."""
-    for rows in range(12, 0, -1):
+def tune_bands(similarity: float, recall: float, loose: float = 0.5) -> tuple[int, int]:
+    """Bands and rows of each: the fewest bands that catch `recall` of the pairs at `similarity`,
+    while at most `loose` of the pairs at half that similarity become candidates."""
+    for rows in range(1, 20):
         bands = math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
-        if bands * rows <= most:
-            return bands, rows
-    return most, 1
-
-
-def cut_points(hashes: np.ndarray, around: int = AROUND) -> np.ndarray:
-    """First words of the pieces of a line: word 0, and the words whose hash is the least within `around` words either side."""
-    n = len(hashes)
-    if n <= 2 * around:
-        return np.array([0])
-    view = np.lib.stride_tricks.sliding_window_view(hashes, 2 * around + 1)
-    least = np.flatnonzero(view.argmin(axis=1) == around) + around
-    return np.concatenate(([0], least))
-
-
-def _units(text: str | None, bands: int, rows: int, seeds: np.ndarray) -> Iterator[tuple]:
-    """(level, start, end, n_words, digest, band hashes) of the paragraphs and pieces of a text; offsets are code points."""
-    data, starts, ends = text_words(text)
+        if 1 - (1 - (similarity / 2) ** rows) ** bands <= loose:
+            break
+    return bands, rows
+
+
+def taken_pieces(hashes: np.ndarray, piece: int = PIECE, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the pieces that are taken from the words of a text."""
+    if len(hashes) < piece:
+        return np.zeros(0, dtype=np.int64), hashes[:0]
+    h = windows(hashes, piece)
+    if len(h) <= reach:
+        at = np.array([h.argmin()])
+    else:
+        view = np.lib.stride_tricks.sliding_window_view(h, reach)
+        at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
+    return at, h[at]
+
+
+class Signer:
+    """MinHash band hashes of the paragraphs of a text, all at once."""
+
+    def __init__(self, bands: int, rows: int) -> None:
+        draw = np.random.default_rng(5).integers(0, 1 << 63, (2, bands * rows), dtype=np.uint64)
+        self.bands, self.rows, self.factor, self.shift = bands, rows, draw[0] | np.uint64(1), draw[1]
+
+    def bands_of(self, shingles: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
+        """For each run of shingles [first, last]: one hash of each band of the least value under every hash function."""
+        cuts = np.stack([firsts, lasts + 1], axis=1).ravel()
+        padded = np.append(shingles, np.uint64(np.iinfo(np.uint64).max))
+        least = np.empty((len(self.factor), len(firsts)), dtype=np.uint64)
+        for k, (a, b) in enumerate(zip(self.factor, self.shift)):
+            least[k] = np.minimum.reduceat(padded * a + b, cuts)[::2]
+        out = np.repeat(np.arange(1, self.bands + 1, dtype=np.uint64)[:, None], len(firsts), axis=1)
+        grouped = least.reshape(self.bands, self.rows, len(firsts))
+        for r in range(self.rows):
+            out = mixed(out * np.uint64(0xD1342543DE82EF95) + grouped[:, r])
+        return np.ascontiguousarray(out.T).view(np.int64)
+
+
+def _units(texts: list[bytes], signer: Signer) -> tuple[np.ndarray, np.ndarray, list]:
+    """Paragraphs and pieces of some texts: rows (text number, level, start, end, n_words), digests, and band hashes of paragraphs.
+
+    Offsets are code points of the text. The texts stand one after another, a
+    line apart, so that short ones share the cost of a numpy call.
+    """
+    data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+    starts, ends = word_spans(data)
     if not len(starts):
-        return
+        return np.zeros((5, 0), dtype=np.int64), np.zeros(0, dtype=np.uint64), []
+    text_starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+    owner = np.searchsorted(text_starts, starts, side="right") - 1
     hashes = word_hashes(data, starts, ends)
     lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    breaks = np.flatnonzero(data == 10)
-    line_of = np.searchsorted(breaks, starts)
-    firsts = np.concatenate(([0], np.flatnonzero(np.diff(line_of)) + 1, [len(starts)]))
-    for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
-        if b - a >= MIN_WORDS:
-            own = hashes[a:b]
-            shingles = np.unique(windows(own, SHINGLE))
-            # signature[k] = least of the shingles under the k-th hash function
-            signature = np.full(len(seeds), np.iinfo(np.uint64).max, dtype=np.uint64)
-            for i in range(0, len(shingles), 512):
-                signature = np.minimum(signature, mixed(shingles[None, i : i + 512] ^ seeds[:, None]).min(axis=1))
-            band = windows_of_rows(signature.reshape(bands, rows))
-            yield 0, lead[starts[a]], lead[ends[b - 1]], b - a, windows(own, b - a)[0], band.view(np.int64)
-            if b - a >= CUT_FROM:
-                cuts = [*(cut_points(own) + a).tolist(), b]
-                for p, q in zip(cuts[:-1], cuts[1:]):
-                    if q - p >= MIN_PIECE:
-                        yield 1, lead[starts[p]], lead[ends[q - 1]], q - p, windows(hashes[p:q], q - p)[0], None
-
-
-def windows_of_rows(signature: np.ndarray) -> np.ndarray:
-    """One hash of each band of a signature (bands, rows), different for different bands."""
-    out = np.arange(1, len(signature) + 1, dtype=np.uint64)
-    for k in range(signature.shape[1]):
-        out = mixed(out * np.uint64(0xD1342543DE82EF95) + signature[:, k])
-    return out
+    line_of = np.searchsorted(np.flatnonzero(data == 10), starts)
+    firsts = np.concatenate(([0], np.flatnonzero(np.diff(line_of)) + 1))
+    lasts = np.append(firsts[1:], len(starts))
+    long = lasts - firsts >= MIN_WORDS
+    firsts, lasts = firsts[long], lasts[long]
+    bands = list(signer.bands_of(windows(hashes, SHINGLE), firsts, lasts - SHINGLE)) if len(firsts) else []
+    at, piece = taken_pieces(hashes)
+    within = owner[at] == owner[at + PIECE - 1] if len(at) else np.zeros(0, dtype=bool)
+    at, piece = at[within], piece[within]
+    a, b = np.concatenate((firsts, at)), np.concatenate((lasts, at + PIECE))
+    level = np.concatenate((np.zeros(len(firsts), dtype=np.int64), np.ones(len(at), dtype=np.int64)))
+    if not len(a):
+        return np.zeros((5, 0), dtype=np.int64), np.zeros(0, dtype=np.uint64), []
+    zero = lead[text_starts[owner[a]]]
+    rows = np.stack([owner[a], level, lead[starts[a]] - zero, lead[ends[b - 1]] - zero, b - a])
+    return rows, np.concatenate((span_hashes(hashes, firsts, lasts), piece)), bands + [None] * len(at)
+
+
+def _chunks(texts: list[bytes], size: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
+    first = total = 0
+    for i, t in enumerate(texts):
+        if i > first and total + len(t) > size:
+            yield first, texts[first:i]
+            first, total = i, 0
+        total += len(t)
+    if texts:
+        yield first, texts[first:]
 
 
 def _unit_rows(bands: int, rows: int):
-    seeds = np.random.default_rng(5).integers(0, 1 << 63, bands * rows, dtype=np.uint64)
-
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signer = Signer(bands, rows)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                for unit in _units(text, bands, rows, seeds):
-                    for column, value in zip(out, (doc_id, *unit)):
-                        column.append(value)
-            yield pd.DataFrame(
-                {
-                    "doc_id": pd.Series(out[0], dtype=batch["doc_id"].dtype), "level": np.array(out[1], dtype=np.int32), "start": np.array(out[2], dtype=np.int64),
-                    "end": np.array(out[3], dtype=np.int64), "n_words": np.array(out[4], dtype=np.int64),
-                    "digest": np.array(out[5], dtype=np.uint64).view(np.int64), "bands": pd.Series(out[6], dtype=object),
-                }
-            )
+            for first, part in _chunks([(t or "").encode("utf-8", "replace") for t in batch["text"]]):
+                at, digests, band = _units(part, signer)
+                yield pd.DataFrame(
+                    {
+                        "doc_id": batch["doc_id"].iloc[first + at[0]].reset_index(drop=True), "level": at[1].astype(np.int32), "start": at[2], "end": at[3],
+                        "n_words": at[4], "digest": digests.view(np.int64), "bands": pd.Series(band, dtype=object),
+                    }
+                )
 
     return marked
 
@@ -107,7 +136,7 @@ def _unit_rows(bands: int, rows: int):
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         shingles = [np.unique(windows(word_hashes(*text_words(t)), SHINGLE)).view(np.int64) for t in batch["part"]]
-        yield pd.DataFrame({"id": batch["id"], "shingles": shingles})
+        yield pd.DataFrame({"id": batch["id"], "members": shingles})
 
 
 def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -116,40 +145,38 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     Returns doc_id, level ('paragraph' or 'piece'), start and end (code points),
     n_words, cluster (the same for all occurrences), cluster_size and removed
     (false for the first occurrence by doc_id and start, null ids last). Pieces
-    are reported where their whole paragraph is not. Paragraphs of fewer than
-    MIN_WORDS words are left alone, and so are null and empty texts. Rows
+    are reported where they don't start in a repeated paragraph. Paragraphs of
+    fewer than MIN_WORDS words, and runs of fewer than PIECE, are left alone,
+    and so are null and empty texts. Rows
     repeated in docs count as occurrences; white space does not matter to
     equality; other columns are not read.
     """
     bands, rows = tune_bands(similarity, recall)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, level int, start long, end long, n_words long, digest long, bands array<long>"
+    schema = "doc_id long, level int, start int, end int, n_words int, digest long, bands array<long>"
     units = written(plain.mapInPandas(_unit_rows(bands, rows), schema), "units")
+    lines = units.where("level = 0").select(F.col("digest").alias("id"), "bands")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start", "end")
-    classes = units.groupBy("level", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
-    lines = classes.where("level = 0").select(F.col("digest").alias("id"), "bands")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        spots = classes.where("level = 0 and at.doc_id is not null").join(needed.withColumnRenamed("id", "digest"), "digest").select(F.col("digest").alias("id"), F.col("at.doc_id").alias("doc_id"), "at.start", "at.end")
-        of_doc = written(spots.groupBy("doc_id").agg(F.collect_list(F.struct("id", "start", "end")).alias("spots")), "spots")
-        parts = plain.join(of_doc, "doc_id").withColumn("spot", F.explode("spots")).select("spot.id", F.expr("substring(text, int(spot.start) + 1, int(spot.end - spot.start))").alias("part"))
-        sets = written(parts.mapInPandas(_sets, "id long, shingles array<long>").dropDuplicates(["id"]), "shingles")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-    near = link_cells(lines, F.col("bands"), lambda a, b: F.lit(True), verify, room=12)
-    known = classes.join(near.select(F.lit(0).alias("level"), F.col("id").alias("digest"), "component"), ["level", "digest"], "left")
-    known = known.select("level", "digest", "n", "at", F.coalesce("component", "digest").alias("cluster"))
-    sizes = known.groupBy("level", "cluster").agg(F.sum("n").alias("cluster_size"), F.min("at").alias("first")).where("cluster_size > 1")
-    repeated = written(known.join(sizes, ["level", "cluster"]).select("level", "digest", "cluster", "cluster_size", "first"), "repeated")
-    found = units.drop("bands").join(repeated, ["level", "digest"]).withColumn("removed", F.col("first") != place)
-    found = found.select("doc_id", "level", "start", "end", "n_words", "cluster", "cluster_size", "removed")
-    whole, pieces = found.where("level = 0"), found.where("level = 1")
-    # a piece starts inside exactly one paragraph of its document
-    inside = units.where("level = 0 and n_words >= %d" % CUT_FROM).join(repeated.where("level = 0").select("digest"), "digest", "left_semi").select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"))
-    pieces = pieces.join(inside, (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("start") >= F.col("s")) & (F.col("end") <= F.col("e")), "left_anti")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        spots = units.where("level = 0").join(small_side(ids.withColumnRenamed("id", "digest")), "digest").groupBy("digest").agg(F.min(place).alias("at"))
+        spots = spots.select(F.col("digest").alias("id"), "at.doc_id", "at.start", "at.end").groupBy("doc_id").agg(F.collect_list(F.struct("id", "start", "end")).alias("spots"))
+        same = F.col("p.doc_id").eqNullSafe(F.col("s.doc_id"))
+        parts = plain.alias("p").join(small_side(written(spots, "spots"), 100_000).alias("s"), same).withColumn("spot", F.explode("spots"))
+        parts = parts.select("spot.id", F.expr("substring(text, spot.start + 1, spot.end - spot.start)").alias("part"))
+        return written(parts.mapInPandas(_sets, "id long, members array<long>").dropDuplicates(["id"]), "shingles")
+
+    near = link_cells(lines, F.col("bands"), sets_of=sets_of, similarity=similarity, room=12)
+    counts = units.groupBy("level", "digest").agg(F.count(F.lit(1)).alias("n"))
+    clusters = counts.join(near.select(F.lit(0).alias("level"), F.col("id").alias("digest"), "component"), ["level", "digest"], "left")
+    clusters = clusters.where("n > 1 or component is not null").select("level", "digest", F.coalesce("component", "digest").alias("cluster"))
+    clusters = written(clusters, "clusters")
+    found = units.drop("bands").join(small_side(clusters), ["level", "digest"])
+    found = written(found.select("doc_id", "level", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("n_words").cast("long").alias("n_words"), "cluster"), "occurrences")
+    firsts = found.groupBy("level", "cluster").agg(F.count(F.lit(1)).alias("cluster_size"), F.min(place).alias("first"))
+    told = found.join(firsts, ["level", "cluster"]).withColumn("removed", F.col("first") != place)
+    told = told.select("doc_id", "level", "start", "end", "n_words", "cluster", "cluster_size", "removed")
+    whole, pieces = told.where("level = 0"), told.where("level = 1")
+    inside = found.where("level = 0").select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"))
+    pieces = pieces.join(inside, (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("start") >= F.col("s")) & (F.col("start") < F.col("e")), "left_anti")
     return whole.unionByName(pieces).withColumn("level", F.when(F.col("level") == 0, "paragraph").otherwise("piece"))
