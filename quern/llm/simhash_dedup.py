@@ -14,6 +14,7 @@ distance of two vectors is the number of differing bits of their codes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -28,7 +29,7 @@ from .components import link_cells
 
 #: Similarity of near-duplicate documents, words in a shingle, differing bits that candidates may have, and the share
 #: of pairs at that similarity that share a cell.
-SIMILARITY, SHINGLE, REACH = 0.8, 5, 12
+SIMILARITY, SHINGLE, REACH, RECALL = 0.8, 5, 12, 0.98
 _LOW = 0x5555555555555555
 
 
@@ -86,6 +87,23 @@ def block_masks(blocks: int, agree: int) -> list[int]:
     return [sum(((1 << width) - 1) << (width * b) for b in some) for some in combinations(range(blocks), agree)]
 
 
+def tune_draws(n: int, similarity: float, shingle: int, recall: float) -> tuple[int, int]:
+    """How many cells a text has, and the drawn segments of each, to catch `recall` of the pairs at `similarity` among n texts.
+
+    Segments are added until a text shares its cells with one other by chance at
+    most, so that candidates grow with the texts and not with their square. At
+    that similarity of shingles a share c of the words differs, which turns a
+    bit with probability acos(1 - c) / pi.
+    """
+    turned = math.acos(1 - (1 - similarity) / (shingle * (1 + similarity))) / math.pi
+    agree = (1 - turned) ** 2 + turned**2 / 2
+    for segments in range(4, 33):
+        draws = math.ceil(math.log(1 - recall) / math.log(1 - agree**segments))
+        if n * draws * 0.375**segments <= 1:
+            break
+    return draws, segments
+
+
 def drawn_masks(count: int, segments: int, seed: int = 11) -> list[int]:
     """Masks of so many randomly drawn two-bit segments each."""
     chance = np.random.default_rng(seed)
@@ -164,7 +182,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         texts = plain.alias("p").join(small_side(needed).alias("n"), same).select("n.id", "p.text")
         return written(texts.mapInPandas(_shingle_sets(shingle), "id long, members array<long>").dropDuplicates(["id"]), "shingles")
 
-    found = link_cells(nodes, _grid(drawn_masks(24, 14)), _within(reach), sets_of, similarity, carry=["fp"], room=12)
+    found = link_cells(nodes, _grid(drawn_masks(*tune_draws(nodes.count(), similarity, shingle, RECALL))), _within(reach), sets_of, similarity, carry=["fp"], room=12)
     classed = nodes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     winners = classed.groupBy("component").agg(F.min("row").alias("row")).select("row.doc_id", "row.text_hash", F.lit(True).alias("kept"))
     rows = marked.select("doc_id", "text_hash").distinct()

@@ -22,7 +22,7 @@ from .quality_rules import labelled_sample
 
 #: n-gram lengths; labelled rows of each class to learn from; kept n-grams; how clear of chance, in standard errors.
 LENGTHS, SAMPLE, KEPT, CLEAR = (3, 4, 5, 6), 3_000, 4_096, 4.5
-_SLOT_BITS, _CHUNK = 20, 1 << 19
+_SLOT_BITS, _CHUNK = 20, 1 << 17
 
 
 def _chunks(texts: Sequence[str | None]) -> Iterator[tuple[int, list[str]]]:
@@ -113,10 +113,12 @@ def train(texts: list[str], label: np.ndarray, odds: float, kept: int = KEPT, l2
     empty = Model(np.zeros(0, dtype=np.uint64), np.zeros(0), -50.0 if not n_pos else 50.0 if not n_neg else float(np.log(odds)))
     if not n_pos or not n_neg:
         return empty
-    counts = np.zeros((2, 1 << 22))
+    counts = np.zeros((2, 1 << 22), dtype=np.int32)
     for i, h in _presence(texts, None):
         counts[label[i], np.unique((h >> np.uint64(42)).astype(np.int64))] += 1
-    slots = _clear(counts[1], counts[0], n_pos, n_neg)[1] >= CLEAR
+    part = 1 << 18  # the sums of all slots at once would be large
+    slots = np.concatenate([_clear(counts[1][i : i + part], counts[0][i : i + part], n_pos, n_neg)[1] >= CLEAR for i in range(0, 1 << 22, part)])
+    del counts
     docs, hashes = [], []
     for i, h in _presence(texts, slots):
         docs.append(np.full(len(h), i))
@@ -156,7 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", each: int = SA
     sample = labelled_sample(labels, label, each)
     seen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").toPandas()
     seen = seen.drop_duplicates("doc_id").sort_values("doc_id")
-    return train([t or "" for t in seen["text"]], seen["label"].to_numpy(dtype=np.int64), totals.get(1, 0) / max(1, totals.get(0, 0)) or 1.0)
+    texts, label = [t or "" for t in seen["text"]], seen["label"].to_numpy(dtype=np.int64)
+    del seen
+    return train(texts, label, totals.get(1, 0) / max(1, totals.get(0, 0)) or 1.0)
 
 
 def score_of(model: Model, text: Column, spark: SparkSession) -> Column:
