@@ -74,6 +74,7 @@ def link_cells(
     similarity: float = 1.0,
     carry: Sequence[str] = (),
     room: int = ROOM,
+    one_room: bool = False,
 ) -> DataFrame:
     """Components (id, component) of the links between nodes that share a cell.
 
@@ -84,11 +85,13 @@ def link_cells(
     `similarity`; sets_of takes a table of ids and returns id and members.
 
     All pairs are looked at only in cells of at most `room` members. Members of
-    a larger cell meet in random rooms of about that size, and meet the one
-    member whose cells are the largest together: in a family of copies that is
-    the original, or close to it. What this joins already needs no further look. In the cells
-    that still hold several components, members outside the largest one are
-    then held against members of other components: those that share a rare
+    a larger cell meet in random rooms of about that size (with one_room, each
+    in its largest cell only: members that share most of their cells would meet
+    the same others again and again), and meet the one member whose cells are
+    the largest together: in a family of copies that is the original, or close
+    to it. What this joins already needs no further look. In the cells that
+    still hold several components, members outside the largest one are then
+    held against members of other components: those that share a rare
     element where there are sets, else all of the cell. So no link that would
     join two components is lost.
     """
@@ -109,8 +112,12 @@ def link_cells(
     sized = written(sized.withColumn("room", rooms), "sized")
     weights = sized.where(F.col("n") > room).groupBy("id").agg(F.sum("n").alias("weight"))
     leads = sized.where(F.col("n") > room).select("cell", "id").join(weights, "id").groupBy("cell").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("lead"))
+    if one_room:
+        own = sized.where(F.col("n") > room).groupBy("id").agg(F.max_by("cell", F.struct("n", "cell")).alias("own"))
+        sized = sized.join(own, "id", "left").withColumn("room", F.when((F.col("n") <= room) | (F.col("cell") == F.col("own")), F.col("room"))).drop("own")
     crowded = written(sized.drop("n").join(leads, "cell", "left"), "crowded")
-    left, right = crowded.alias("l"), crowded.alias("r")
+    seated = crowded.where("room is not null")
+    left, right = seated.alias("l"), seated.alias("r")
     met = left.join(
         right,
         (F.col("l.cell") == F.col("r.cell")) & (F.col("l.room") == F.col("r.room")) & (F.col("l.id") < F.col("r.id")) & close("l", "r"),

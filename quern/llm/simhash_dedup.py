@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         texts = plain.alias("p").join(small_side(needed).alias("n"), same).select("n.id", "p.text")
         return written(texts.mapInPandas(_shingle_sets(shingle), "id long, members array<long>").dropDuplicates(["id"]), "shingles")
 
-    found = link_cells(nodes, _grid(drawn_masks(*tune_draws(nodes.count(), similarity, shingle, RECALL))), _within(reach), sets_of, similarity, carry=["fp"], room=12)
+    found = link_cells(nodes, _grid(drawn_masks(*tune_draws(nodes.count(), similarity, shingle, RECALL))), _within(reach), sets_of, similarity, carry=["fp"], room=12, one_room=True)
     classed = nodes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     winners = classed.groupBy("component").agg(F.min("row").alias("row")).select("row.doc_id", "row.text_hash", F.lit(True).alias("kept"))
     rows = marked.select("doc_id", "text_hash").distinct()
