@@ -86,8 +86,9 @@ def link_cells(
 
     All pairs are looked at only in cells of at most `room` members. Members of
     a larger cell meet in random rooms of about that size (with one_room, each
-    in its largest cell only: members that share most of their cells would meet
-    the same others again and again), and meet the one member whose cells are
+    in its largest cell only, and of cells with the same members one is looked
+    at: members that share most of their cells would meet the same others again
+    and again), and meet the one member whose cells are
     the largest together: in a family of copies that is the original, or close
     to it. What this joins already needs no further look. In the cells that
     still hold several components, members outside the largest one are then
@@ -107,6 +108,10 @@ def link_cells(
     dealt = nodes.select("id", *carry, F.explode(cells).alias("cell"))
     ends = written(dealt.groupBy("cell").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("cell"), "cells")
     members = written(dealt.join(small_side(ends), "cell").distinct(), "members")
+    if one_room:
+        same = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+        ends = written(same.groupBy("n", "x", "y").agg(F.min("cell").alias("cell")).select("cell"), "cells")
+        members = written(members.join(small_side(ends), "cell"), "members")
     sized = members.join(members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell")
     rooms = F.when(F.col("n") > room, F.pmod(F.xxhash64("cell", "id"), F.ceil(F.col("n") / room))).otherwise(F.lit(0))
     sized = written(sized.withColumn("room", rooms), "sized")
@@ -123,8 +128,11 @@ def link_cells(
         (F.col("l.cell") == F.col("r.cell")) & (F.col("l.room") == F.col("r.room")) & (F.col("l.id") < F.col("r.id")) & close("l", "r"),
     ).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
     large = crowded.where("lead is not null")
-    firsts = large.where("id = lead").alias("l")
-    starred = firsts.join(large.alias("r"), (F.col("l.cell") == F.col("r.cell")) & (F.col("l.id") != F.col("r.id")) & close("l", "r")).select(
+    meets, at = large, "cell"
+    if one_room:
+        meets, at = large.select("id", *carry, "lead").distinct(), "lead"
+    firsts = meets.where("id = lead").alias("l")
+    starred = firsts.join(meets.alias("r"), (F.col(f"l.{at}") == F.col(f"r.{at}")) & (F.col("l.id") != F.col("r.id")) & close("l", "r")).select(
         F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")
     )
     edges = written(verified(met.unionByName(starred).distinct()), "links")

@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from .common import small_side, windows, word_hashes, word_spans, written
 from .components import link_cells
 
-#: Similarity of near-duplicate documents, words in a shingle, differing bits that candidates may have, and the share
-#: of pairs at that similarity that share a cell.
-SIMILARITY, SHINGLE, REACH, RECALL = 0.8, 5, 12, 0.98
+#: Similarity of near-duplicate documents, and words in a shingle.
+SIMILARITY, SHINGLE = 0.8, 5
+#: Texts of the sample that tells common shingles, texts of it that hold one, and most of them.
+SAMPLE, COMMON, MOST = 3000, 6, 50_000
 _LOW = 0x5555555555555555
 
 
@@ -87,29 +88,6 @@ def block_masks(blocks: int, agree: int) -> list[int]:
     return [sum(((1 << width) - 1) << (width * b) for b in some) for some in combinations(range(blocks), agree)]
 
 
-def tune_draws(n: int, similarity: float, shingle: int, recall: float) -> tuple[int, int]:
-    """How many cells a text has, and the drawn segments of each, to catch `recall` of the pairs at `similarity` among n texts.
-
-    Segments are added until a text shares its cells with one other by chance at
-    most, so that candidates grow with the texts and not with their square. At
-    that similarity of shingles a share c of the words differs, which turns a
-    bit with probability acos(1 - c) / pi.
-    """
-    turned = math.acos(1 - (1 - similarity) / (shingle * (1 + similarity))) / math.pi
-    agree = (1 - turned) ** 2 + turned**2 / 2
-    for segments in range(4, 33):
-        draws = math.ceil(math.log(1 - recall) / math.log(1 - agree**segments))
-        if n * draws * 0.375**segments <= 1:
-            break
-    return draws, segments
-
-
-def drawn_masks(count: int, segments: int, seed: int = 11) -> list[int]:
-    """Masks of so many randomly drawn two-bit segments each."""
-    chance = np.random.default_rng(seed)
-    return [sum(3 << (2 * int(s)) for s in chance.choice(32, segments, replace=False)) for _ in range(count)]
-
-
 def _within(reach: int) -> Callable[[str, str], Column]:
     """Manhattan distance of the counts as a lower bound, then the exact Hamming distance."""
 
@@ -136,45 +114,82 @@ def fingerprint_classes(docs: DataFrame, shingle: int = 4, reach: int = 4, block
     return marked.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        digests, fps = [], []
-        for text in batch["text"]:
-            words = (text or "").encode("utf-8", "replace").lower().split()
-            digests.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
-            fps.append(_majority([xxhash.xxh64_intdigest(w, 42) for w in set(words)]))
-        yield batch.drop(columns="text").assign(digest=digests, fp=fps)
+def _shingles(words: bytes, shingle: int) -> np.ndarray:
+    data = np.frombuffer(words, dtype=np.uint8)
+    return np.unique(windows(word_hashes(data, *word_spans(data)), shingle)).view(np.int64)
+
+
+def prefix(members: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """Those of a text's shingles of which any text of at least that similarity has one among its own such.
+
+    Shingles have one order everywhere: common ones (sorted) last, else by their hash. Of n shingles similar texts
+    share ceil(similarity * n) at least, so the first of these is among the first n - ceil(similarity * n) + 1 of both.
+    """
+    n = len(members)
+    last = np.isin(members, common)
+    return np.concatenate((members[~last], members[last]))[: n - math.ceil(similarity * n - 1e-9) + 1] if n else members
+
+
+def _sketch(shingle: int, similarity: float, common: np.ndarray):
+    def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            digests, sizes, cells = [], [], []
+            for text in batch["text"]:
+                words = b" ".join((text or "").encode("utf-8", "replace").lower().split())
+                members = _shingles(words, shingle)
+                digests.append(xxhash.xxh3_128_hexdigest(words))
+                sizes.append(len(members))
+                cells.append(prefix(members, similarity, common))
+            yield batch.drop(columns="text").assign(digest=digests, n_shingles=sizes, cells=cells)
+
+    return sketched
 
 
 def _shingle_sets(shingle: int):
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for text in batch["text"]:
-                data = np.frombuffer((text or "").encode("utf-8", "replace").lower(), dtype=np.uint8)
-                found.append(np.unique(windows(word_hashes(data, *word_spans(data)), shingle)).view(np.int64))
+            found = [_shingles((text or "").encode("utf-8", "replace").lower(), shingle) for text in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "members": found})
 
     return sets
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, reach: int = REACH) -> DataFrame:
+def common_shingles(plain: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted shingles that many texts of a sample hold: any list will do for whole results, a good one saves candidates."""
+    some = plain.sample(min(1.0, SAMPLE / max(1, plain.count())), seed=3).select(F.col("text_hash").alias("id"), "text")
+    held = some.mapInPandas(_shingle_sets(shingle), "id long, members array<long>").dropDuplicates(["id"]).select(F.explode("members").alias("member"))
+    often = held.groupBy("member").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "member").limit(MOST)
+    return np.array(sorted(r.member for r in often.collect()), dtype=np.int64)
+
+
+def _near_size(similarity: float) -> Callable[[str, str], Column]:
+    """Whether two sets of such sizes can be so similar at all."""
+
+    def close(a: str, b: str) -> Column:
+        x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+        return F.least(x, y) >= F.greatest(x, y) * similarity - 1e-6
+
+    return close
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text) and kept of each row of docs; repeated rows are told once.
 
-    Texts with the same words (A-Z lower-cased) are copies. Candidates among
-    distinct texts come from fingerprints over their distinct words, which edits
-    move little; pairs within `reach` bits that share a cell, the counts of some
-    drawn segments, are held against each other exactly, and link if the
-    Jaccard similarity of their word shingles is at least `similarity`.
+    Texts with the same words (A-Z lower-cased) are copies. Distinct texts link
+    if the Jaccard similarity of their word shingles is at least `similarity`.
+    The cells of a text are the shingles of its prefix, so every such pair
+    shares a cell, wherever its edits lie and however many texts there are;
+    pairs of a cell are held against each other exactly.
     Of each component one row stays: that with the smallest doc_id, a null one
     last. Texts without words (null, empty) are copies of one another.
     """
     text = F.col("text").cast("string")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    marked = written(plain.mapInPandas(_sketch, "doc_id long, text_hash long, digest string, fp long"), "sketches")
+    schema = "doc_id long, text_hash long, digest string, n_shingles int, cells array<long>"
+    marked = written(plain.mapInPandas(_sketch(shingle, similarity, common_shingles(plain, shingle)), schema), "sketches")
+    marked = marked.withColumn("id", F.xxhash64("digest"))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    nodes = marked.groupBy("digest").agg(F.min(row).alias("row"), F.first("fp").alias("fp"))
-    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    nodes = written(marked.groupBy("id").agg(F.min(row).alias("row")), "nodes")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         needed = written(nodes.join(ids, "id").select("id", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash")), "needed")
@@ -182,7 +197,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         texts = plain.alias("p").join(small_side(needed).alias("n"), same).select("n.id", "p.text")
         return written(texts.mapInPandas(_shingle_sets(shingle), "id long, members array<long>").dropDuplicates(["id"]), "shingles")
 
-    found = link_cells(nodes, _grid(drawn_masks(*tune_draws(nodes.count(), similarity, shingle, RECALL))), _within(reach), sets_of, similarity, carry=["fp"], room=12, one_room=True)
+    found = link_cells(marked, F.col("cells"), _near_size(similarity), sets_of, similarity, carry=["n_shingles"], room=12, one_room=True)
     classed = nodes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     winners = classed.groupBy("component").agg(F.min("row").alias("row")).select("row.doc_id", "row.text_hash", F.lit(True).alias("kept"))
     rows = marked.select("doc_id", "text_hash").distinct()

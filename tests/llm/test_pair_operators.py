@@ -136,6 +136,30 @@ def test_near_duplicates_against_brute_force(spark):
     assert len(kept - want) <= 0.03 * (len(texts) - len(want))
 
 
+def block_copies(n, seed):
+    """Pairs of texts of which the second has a replaced tail or an appended passage; similarity 0.8 or a little more."""
+    r = random.Random(seed)
+    fresh = lambda k: [f"w{r.randrange(10**6)}" for _ in range(k)]
+    texts = {}
+    for i in range(n):
+        words = r.randrange(60, 400)
+        base = fresh(words)
+        other = base[: -(words // 12)] + fresh(words // 12) if i % 2 else base + fresh(words // 5)
+        texts |= {2 * i: " ".join(base), 2 * i + 1: " ".join(other)}
+    return texts
+
+
+def kept_of(spark, texts):
+    return {r.doc_id for r in simhash_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).where("kept").collect()}
+
+
+def test_near_duplicates_with_edits_in_one_block(spark):
+    texts = block_copies(60, 12)
+    links = jaccard_links(texts)
+    assert len(links) >= 50
+    assert kept_of(spark, texts) == set(classes(links, texts).values())
+
+
 def test_near_duplicates_of_odd_rows(spark):
     odd = odd_rows(spark)
     judged = simhash_dedup.near_duplicates(odd)
