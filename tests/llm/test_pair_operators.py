@@ -160,6 +160,15 @@ def test_near_duplicates_with_edits_in_one_block(spark):
     assert kept_of(spark, texts) == set(classes(links, texts).values())
 
 
+def test_near_duplicates_are_alike_at_every_size(spark):
+    texts = block_copies(40, 13)
+    r = random.Random(14)
+    others = {10_000 + i: " ".join(f"z{r.randrange(10**7)}" for _ in range(30)) for i in range(4000)}
+    want = set(classes(jaccard_links(texts), texts).values())
+    assert kept_of(spark, texts) == want
+    assert kept_of(spark, texts | others) == want | set(others)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     odd = odd_rows(spark)
     judged = simhash_dedup.near_duplicates(odd)
