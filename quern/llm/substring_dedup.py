@@ -145,7 +145,8 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     Returns doc_id, level ('paragraph' or 'piece'), start and end (code points),
     n_words, cluster (the same for all occurrences), cluster_size and removed
     (false for the first occurrence by doc_id and start, null ids last). Pieces
-    are reported where they don't start in a repeated paragraph. Paragraphs of
+    that lie in a removed paragraph go with it: they are not reported, and don't
+    count as occurrences. Paragraphs of
     fewer than MIN_WORDS words, and runs of fewer than PIECE, are left alone,
     and so are null and empty texts. Rows
     repeated in docs count as occurrences; white space does not matter to
@@ -173,10 +174,14 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     clusters = written(clusters, "clusters")
     found = units.drop("bands").join(small_side(clusters), ["level", "digest"])
     found = written(found.select("doc_id", "level", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("n_words").cast("long").alias("n_words"), "cluster"), "occurrences")
-    firsts = found.groupBy("level", "cluster").agg(F.count(F.lit(1)).alias("cluster_size"), F.min(place).alias("first"))
-    told = found.join(firsts, ["level", "cluster"]).withColumn("removed", F.col("first") != place)
-    told = told.select("doc_id", "level", "start", "end", "n_words", "cluster", "cluster_size", "removed")
-    whole, pieces = told.where("level = 0"), told.where("level = 1")
-    inside = found.where("level = 0").select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"))
-    pieces = pieces.join(inside, (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("start") >= F.col("s")) & (F.col("start") < F.col("e")), "left_anti")
+
+    def told(rows: DataFrame) -> DataFrame:
+        firsts = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"), F.min(place).alias("first"))
+        rows = rows.join(firsts, "cluster").withColumn("removed", F.col("first") != place)
+        return rows.select("doc_id", "level", "start", "end", "n_words", "cluster", "cluster_size", "removed")
+
+    whole = written(told(found.where("level = 0")), "paragraphs")
+    gone = whole.where("removed").select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"))
+    inside = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") >= F.col("s")) & (F.col("end") <= F.col("e"))
+    pieces = told(written(found.where("level = 1").join(gone, inside, "left_anti"), "pieces")).where("cluster_size > 1")
     return whole.unionByName(pieces).withColumn("level", F.when(F.col("level") == 0, "paragraph").otherwise("piece"))

@@ -237,6 +237,18 @@ def test_paragraph_recall_against_brute_force(spark):
     assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in expected.values() if len(g) > 1)
 
 
+def test_a_passage_in_the_first_of_several_copies_is_still_linked(spark):
+    r = random.Random(15)
+    fresh = lambda n: " ".join(f"v{r.randrange(10**7)}" for _ in range(n))
+    passage = fresh(60)
+    copied = f"{fresh(50)} {passage} {fresh(40)}"
+    rows = [(1, f"{fresh(70)} {passage} {fresh(80)}"), (2, f"{fresh(30)}\n{copied}"), (3, f"{copied}\n{fresh(30)}")]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.removed) for x in found if x.level == "paragraph"} == {(2, False), (3, True)}
+    assert {(x.doc_id, x.removed) for x in found if x.level == "piece"} == {(1, False), (2, True)}
+    assert all(x.cluster_size == 2 for x in found)
+
+
 def test_passages_of_odd_rows(spark):
     odd = odd_rows(spark)
     found = substring_dedup.repeated_passages(odd).collect()
