@@ -1,6 +1,7 @@
 """Substring dedup: paragraph MinHash banding with exact verification.
 
-A paragraph is a line of a text. MinHash signatures over its five-word
+A paragraph is a line of a text, or all of some successive lines that are too
+short to be one each. MinHash signatures over its five-word
 shingles are cut into bands; paragraphs that collide in a band are held
 against each other by exact Jaccard similarity, and the components of the
 verified pairs are the clusters. The first occurrence in a cluster stays, the
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import mixed, small_side, span_hashes, text_words, windows, word_hashes, word_spans, written
 from .components import link_cells
 
-#: Least words of a paragraph, words of a piece, and successive pieces of which one is taken (together 50 words).
-MIN_WORDS, PIECE, REACH = 30, 24, 27
+#: Least words of a paragraph, words of a piece, and successive pieces of which one is taken (together 20 words).
+MIN_WORDS, PIECE, REACH = 20, 12, 9
 SIMILARITY, SHINGLE, RECALL = 0.8, 5, 0.997
 
 
@@ -90,6 +91,9 @@ def _units(texts: list[bytes], signer: Signer) -> tuple[np.ndarray, np.ndarray,
     lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     line_of = np.searchsorted(np.flatnonzero(data == 10), starts)
     firsts = np.concatenate(([0], np.flatnonzero(np.diff(line_of)) + 1))
+    short = np.diff(np.append(firsts, len(starts))) < MIN_WORDS
+    joined = short[1:] & short[:-1] & (owner[firsts[1:]] == owner[firsts[:-1]])
+    firsts = firsts[np.concatenate(([True], ~joined))]
     lasts = np.append(firsts[1:], len(starts))
     long = lasts - firsts >= MIN_WORDS
     firsts, lasts = firsts[long], lasts[long]

@@ -249,6 +249,17 @@ def test_a_passage_in_the_first_of_several_copies_is_still_linked(spark):
     assert all(x.cluster_size == 2 for x in found)
 
 
+def test_passages_of_twenty_words_are_found(spark):
+    r = random.Random(16)
+    fresh = lambda n: " ".join(f"v{r.randrange(10**7)}" for _ in range(n))
+    line, run, short, end = fresh(24), fresh(20), fresh(12), fresh(11)
+    rows = [(1, f"{fresh(40)}\n{line} a"), (2, f"{line} b\n{fresh(50)}"), (3, f"{fresh(60)} {run} {fresh(30)}"), (4, f"{fresh(33)} {run}\n{fresh(70)}")]
+    rows += [(5, f"{fresh(60)}\n{short}\n{end} a\n{fresh(40)}"), (6, f"{short}\n\n{end} b\n{fresh(30)}"), (7, fresh(300))]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id for x in found if x.level == "paragraph"} == {1, 2, 5, 6}
+    assert {x.doc_id for x in found if x.level == "piece"} == {3, 4}
+
+
 def test_passages_of_odd_rows(spark):
     odd = odd_rows(spark)
     found = substring_dedup.repeated_passages(odd).collect()
