@@ -28,11 +28,13 @@ _powers = Cache()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of this machine in local mode only."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     known = context._jsc.sc().getCheckpointDir()
     if known.isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
@@ -45,7 +47,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove written tables; only once all that was made of them is itself written."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_side(df: DataFrame, rows: int = 300_000) -> DataFrame:
@@ -56,6 +67,15 @@ def small_side(df: DataFrame, rows: int = 300_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_spread(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", salts: int = 32) -> DataFrame:
+    """Join rows with a written table of one row per key: broadcast if it is small, else each key of rows is dealt to `salts` tasks."""
+    near = small_side(table)
+    if near is not table:
+        return rows.join(near, key, how)
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("__salt", F.floor(F.rand(11) * salts).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
+
+
 def words_in(text: Column) -> Column:
     """Number of words of a whole text as a long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from .common import forget, small_side, written
 
 #: Members up to which all pairs of a cell are looked at; a larger cell is dealt into rooms of about this many.
 ROOM = 32
@@ -19,7 +19,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round points every id at the smallest id that it or its neighbours
     know, on tables written to the shared folder, until a round changes
     nothing. Loops and repeated edges do no harm; ids without an edge to
-    another id are not returned.
+    another id are not returned. Minima are taken of parts first, and the two
+    joins have one row per id on one side, so that the edges of an id with very
+    many can be split among tasks (adaptive execution does).
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
@@ -29,7 +31,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = e.join(low, "v").select("u", F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        turned = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        forget(e)
+        e = turned
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
@@ -59,6 +63,7 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     rank = F.row_number().over(Window.partitionBy("id").orderBy("often", "member"))
     rare = members.join(often, "member").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(similarity * F.col("n")) + 1)
     rare = written(rare.where("often > 1").select("id", "component", "minor", "n", "member", "rank"), "rare")
+    forget(members)
     l, r = rare.where("minor").alias("l"), rare.alias("r")
     left = F.least(F.col("l.n") - F.col("l.rank"), F.col("r.n") - F.col("r.rank")) + 1
     asked = F.ceil((F.col("l.n") + F.col("r.n")) * (similarity / (1 + similarity)) - 1e-6)
@@ -66,92 +71,117 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return l.join(r, meet).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
 
 
+def _ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
 def link_cells(
     nodes: DataFrame,
     cells: Column,
-    close: Callable[[str, str], Column] | None = None,
+    close: Callable[[Column, Column], Column] | None = None,
     sets_of: Callable[[DataFrame], DataFrame] | None = None,
     similarity: float = 1.0,
     carry: Sequence[str] = (),
     room: int = ROOM,
-    one_room: bool = False,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """Components (id, component) of the links between nodes that share a cell.
+    """Components (id, component), a written table, of the links between nodes that share a cell.
 
     nodes: id, and columns to carry for `close`; an id may occur again. cells:
     an array of cell numbers of a node. Two nodes that share a cell are linked
-    if close('l', 'r') holds for the aliases of the two (always, without it)
-    and, if sets_of is given, the Jaccard similarity of their sets is at least
-    `similarity`; sets_of takes a table of ids and returns id and members.
-
-    All pairs are looked at only in cells of at most `room` members. Members of
-    a larger cell meet in random rooms of about that size (with one_room, each
-    in its largest cell only, and of cells with the same members one is looked
-    at: members that share most of their cells would meet the same others again
-    and again), and meet the one member whose cells are
-    the largest together: in a family of copies that is the original, or close
-    to it. What this joins already needs no further look. In the cells that
-    still hold several components, members outside the largest one are then
-    held against members of other components: those that share a rare
-    element where there are sets, else all of the cell. So no link that would
-    join two components is lost.
+    if close(l, r) holds for the structs of the carried columns of the two
+    (always, without it) and, if sets_of is given, the Jaccard similarity of
+    their sets is at least `similarity`; sets_of takes a table of ids and
+    returns id and members. known: components found before, which stay joined.
+
+    Three steps, each on what the one before has left apart:
+
+    1. Every member of a cell meets the cell's lead, the member whose cells are
+       the largest together: in a family of copies that is the original, or
+       close to it. A member of cells larger than `room` meets only the
+       heaviest of their leads. A cell of two is done with that.
+    2. In cells that still hold several components, members of different ones
+       meet: all pairs in a cell of at most `room` members; else in random rooms
+       of that size, in the largest such cell of each member.
+    3. In the larger cells that still hold several components, members outside
+       the largest one are held against all members of other components: those
+       that share a rare element where there are sets, else all of the cell. So
+       no link that would join two components is lost.
     """
-    close = close or (lambda a, b: F.lit(True))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        if sets_of is None:
-            return pairs
-        pairs = written(pairs, "pairs")
-        needed = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")
-        return similar_pairs(pairs, sets_of(needed), similarity)
+    near = F.lit(True) if close is None else close(F.col("l"), F.col("r"))
+    carried = F.struct("id", *carry)
+    edges = [] if known is None else [known.select(F.col("id").alias("a"), F.col("component").alias("b"))]
+    scratch: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(written(df, name))
+        return scratch[-1]
+
+    def labelled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+        if found is None:
+            return rows.withColumn("component", F.col("id"))
+        return rows.join(small_side(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def joined(pairs: DataFrame, found: DataFrame | None) -> DataFrame | None:
+        """Components after the links among pairs (a, b) are added."""
+        links = kept(pairs, "pairs")
+        if links.isEmpty():
+            return found
+        if sets_of is not None:
+            sets = kept(sets_of(links.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
+            links = kept(similar_pairs(links, sets, similarity), "links")
+        edges.append(links)
+        every = edges[0]
+        for more in edges[1:]:
+            every = every.unionByName(more)
+        return kept(connected_components(every), "components")
+
+    def split(rows: DataFrame, found: DataFrame | None) -> DataFrame:
+        """Those rows, with components, whose cell holds several."""
+        rows = labelled(rows, found)
+        several = rows.groupBy("cell").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("cell")
+        return kept(rows.join(several, "cell", "left_semi"), "split")
 
     dealt = nodes.select("id", *carry, F.explode(cells).alias("cell"))
-    ends = written(dealt.groupBy("cell").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("cell"), "cells")
-    members = written(dealt.join(small_side(ends), "cell").distinct(), "members")
-    if one_room:
-        same = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-        ends = written(same.groupBy("n", "x", "y").agg(F.min("cell").alias("cell")).select("cell"), "cells")
-        members = written(members.join(small_side(ends), "cell"), "members")
-    sized = members.join(members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell")
-    rooms = F.when(F.col("n") > room, F.pmod(F.xxhash64("cell", "id"), F.ceil(F.col("n") / room))).otherwise(F.lit(0))
-    sized = written(sized.withColumn("room", rooms), "sized")
-    weights = sized.where(F.col("n") > room).groupBy("id").agg(F.sum("n").alias("weight"))
-    leads = sized.where(F.col("n") > room).select("cell", "id").join(weights, "id").groupBy("cell").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("lead"))
-    if one_room:
-        own = sized.where(F.col("n") > room).groupBy("id").agg(F.max_by("cell", F.struct("n", "cell")).alias("own"))
-        sized = sized.join(own, "id", "left").withColumn("room", F.when((F.col("n") <= room) | (F.col("cell") == F.col("own")), F.col("room"))).drop("own")
-    crowded = written(sized.drop("n").join(leads, "cell", "left"), "crowded")
-    seated = crowded.where("room is not null")
-    left, right = seated.alias("l"), seated.alias("r")
-    met = left.join(
-        right,
-        (F.col("l.cell") == F.col("r.cell")) & (F.col("l.room") == F.col("r.room")) & (F.col("l.id") < F.col("r.id")) & close("l", "r"),
-    ).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-    large = crowded.where("lead is not null")
-    meets, at = large, "cell"
-    if one_room:
-        meets, at = large.select("id", *carry, "lead").distinct(), "lead"
-    firsts = meets.where("id = lead").alias("l")
-    starred = firsts.join(meets.alias("r"), (F.col(f"l.{at}") == F.col(f"r.{at}")) & (F.col("l.id") != F.col("r.id")) & close("l", "r")).select(
-        F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")
-    )
-    edges = written(verified(met.unionByName(starred).distinct()), "links")
-    found = connected_components(edges)
-    if large.isEmpty():
-        return found
-    found = written(found, "components")
-    labelled = large.drop("lead", "room").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    shares = labelled.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("k"))
-    mixed = shares.groupBy("cell").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    split = written(labelled.join(mixed, "cell").drop("parts"), "split")
-    if sets_of is not None:
-        outside = split.groupBy("id", "component").agg(F.bool_or(F.col("component") != F.col("main")).alias("minor"))
-        outside = written(outside, "outside")
-        sets = written(sets_of(outside.select("id")), "sets")
-        rest = similar_pairs(rare_pairs(outside, sets, similarity), sets, similarity)
-    else:
-        apart = (F.col("l.component") != F.col("r.component")) & ((F.col("r.component") == F.col("r.main")) | (F.col("l.id") < F.col("r.id")))
-        minor = split.where("component <> main").alias("l")
-        rest = minor.join(split.alias("r"), (F.col("l.cell") == F.col("r.cell")) & apart & close("l", "r"))
-        rest = rest.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-    return connected_components(edges.unionByName(written(rest, "links")))
+    shared = kept(dealt.groupBy("cell").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("cell"), "cells")
+    members = kept(dealt.join(small_side(shared), "cell", "left_semi").distinct(), "members")
+    if known is not None:
+        members = split(members, known).drop("component")
+    sized = kept(members.join(members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell"), "sized")
+
+    weights = sized.groupBy("id").agg(F.sum("n").alias("weight"))
+    lead = F.max_by(F.struct(F.struct("weight", (-F.col("id")).alias("low")).alias("rank"), carried.alias("of")), F.struct("weight", -F.col("id")))
+    leads = sized.join(weights, "id").groupBy("cell").agg(lead.alias("lead"))
+    led = kept(sized.select("cell", "n", carried.alias("l")).join(leads, "cell"), "led").where("l.id <> lead.of.id")
+    small = led.where(F.col("n") <= room).select("l", F.col("lead.of").alias("r"))
+    large = led.where(F.col("n") > room).groupBy("l").agg(F.max_by("lead.of", "lead.rank").alias("r"))
+    starred = small.unionByName(large).where(near).select(*_ordered(F.col("l.id"), F.col("r.id"))).distinct()
+    found = joined(starred, known)
+
+    apart = split(sized.where("n > 2"), found)
+    own = apart.where(F.col("n") > room).groupBy("id").agg(F.max_by("cell", F.struct("n", "cell")).alias("own"))
+    seats = apart.join(own, "id", "left").where((F.col("n") <= room) | (F.col("cell") == F.col("own")))
+    rooms = F.when(F.col("n") > room, F.pmod(F.xxhash64("cell", "id"), F.ceil(F.col("n") / room))).otherwise(F.lit(0).cast("long"))
+    seats = kept(seats.select("cell", rooms.alias("room"), "component", carried.alias("l")), "seats")
+    others = seats.select("cell", "room", F.col("component").alias("other"), F.col("l").alias("r"))
+    met = seats.join(others, ["cell", "room"]).where((F.col("l.id") < F.col("r.id")) & (F.col("component") != F.col("other")) & near)
+    found = joined(met.select(*_ordered(F.col("l.id"), F.col("r.id"))).distinct(), found)
+
+    apart = split(apart.where(F.col("n") > room).drop("component"), found)
+    if not apart.isEmpty():
+        shares = apart.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("k"))
+        main = shares.groupBy("cell").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
+        told = kept(apart.join(main, "cell"), "told")
+        if sets_of is not None:
+            outside = kept(told.groupBy("id", "component").agg(F.bool_or(F.col("component") != F.col("main")).alias("minor")), "outside")
+            rest = rare_pairs(outside, kept(sets_of(outside.select("id")), "sets"), similarity)
+        else:
+            minor = told.where("component <> main").select("cell", "component", carried.alias("l"))
+            all_of = told.select("cell", "main", F.col("component").alias("other"), carried.alias("r"))
+            once = (F.col("other") == F.col("main")) | (F.col("l.id") < F.col("r.id"))
+            rest = minor.join(all_of, "cell").where((F.col("component") != F.col("other")) & once & near).select(*_ordered(F.col("l.id"), F.col("r.id"))).distinct()
+        found = joined(rest, found)
+    if found is None:
+        found = written(nodes.select("id", F.col("id").alias("component")).limit(0), "components")
+    forget(*[t for t in scratch if t is not found])
+    return found

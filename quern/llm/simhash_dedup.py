@@ -4,10 +4,15 @@ A 64-bit fingerprint maps to the number of set bits in each of 32 segments of
 two bits. The Manhattan distance of two such vectors is never above the
 Hamming distance of the fingerprints. The range join over the grid of these
 vectors takes as a cell the coordinates of some blocks of segments: within
-distance R, at most R of the 8 blocks differ, so with R = 4 two fingerprints
-in range agree on some 4 whole blocks, and share one of the 70 cells. Pairs in
+distance R, at most R of the blocks differ, so of B blocks two fingerprints in
+range agree on some B - R whole ones, and share one of the cells that take so
+many blocks each. Within Hamming distance R they agree on these blocks bit for
+bit, so a cell holds the bits of its blocks, too: few strangers meet. Pairs in
 a cell pass the Manhattan bound, then the exact Hamming distance.
 
+The number of blocks only sets how many strangers meet in a cell; whatever it
+is, every pair in range shares one.
+
 A count of 0, 1 or 2 is stored as the two bits 00, 01, 11, so the Manhattan
 distance of two vectors is the number of differing bits of their codes.
 """
@@ -24,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, windows, word_hashes, word_spans, written
+from .common import join_spread, small_side, windows, word_hashes, word_spans, written
 from .components import link_cells
 
 #: Similarity of near-duplicate documents, and words in a shingle.
@@ -38,11 +43,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _majority(hashes: list[int]) -> int:
+def _majority(hashes: list[int] | np.ndarray) -> int:
     """The 64-bit number whose bits are those set in over half the hashes, signed; 0 for none."""
-    if not hashes:
+    if not len(hashes):
         return 0
-    h = np.array(hashes, dtype="<u8")
+    h = hashes.view("<u8") if isinstance(hashes, np.ndarray) else np.array(hashes, dtype="<u8")
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
@@ -69,49 +74,59 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(marked, "doc_id long, fp long")
 
 
-def segment_counts(fp: str) -> Column:
-    """The popcount of each two-bit segment of the column fp, each count as two bits."""
-    x, shifted, low = F.col(fp), F.shiftright(fp, 1), F.lit(_LOW)
+def segment_counts(x: Column) -> Column:
+    """The popcount of each two-bit segment of x, each count as two bits."""
+    shifted, low = F.shiftright(x, 1), F.lit(_LOW)
     both = x.bitwiseAND(shifted).bitwiseAND(low)
     return F.shiftleft(both, 1).bitwiseOR(x.bitwiseOR(shifted).bitwiseAND(low))
 
 
-def _grid(masks: list[int]) -> Column:
-    """Cells of the column fp: its segment counts under each mask, with the mask's number."""
-    sets = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(_signed(m)).alias("m")) for k, m in enumerate(masks)])
-    return F.transform(sets, lambda s: F.xxhash64(s["k"], segment_counts("fp").bitwiseAND(s["m"])))
+def block_masks(blocks: int, agree: int) -> list[int]:
+    """Masks of every choice of `agree` among blocks of whole segments, as equal as may be, of the 64 bits."""
+    cuts = [2 * (32 * b // blocks) for b in range(blocks + 1)]
+    block = [(1 << hi) - (1 << lo) for lo, hi in zip(cuts, cuts[1:])]
+    return [sum(some) for some in combinations(block, agree)]
 
 
-def block_masks(blocks: int, agree: int) -> list[int]:
-    """Masks of every choice of `agree` among equal blocks of the 64 bits."""
-    width = 64 // blocks
-    return [sum(((1 << width) - 1) << (width * b) for b in some) for some in combinations(range(blocks), agree)]
+def blocks_for(nodes: int, reach: int) -> int:
+    """The fewest blocks, reach + 3 at least, of whose cells an average one holds under one of `nodes` random fingerprints."""
+    blocks = reach + 3
+    while blocks < 32 and nodes * 16 > 1 << 64 * (blocks - reach) // blocks:
+        blocks += 1
+    return blocks
+
+
+def _grid(masks: list[int]) -> Column:
+    """Cells of the column fp: its segment counts and its bits under each mask, with the mask's number."""
+    sets = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(_signed(m)).alias("m")) for k, m in enumerate(masks)])
+    return F.transform(sets, lambda s: F.xxhash64(s["k"], segment_counts(F.col("fp")).bitwiseAND(s["m"]), F.col("fp").bitwiseAND(s["m"])))
 
 
-def _within(reach: int) -> Callable[[str, str], Column]:
+def _within(reach: int) -> Callable[[Column, Column], Column]:
     """Manhattan distance of the counts as a lower bound, then the exact Hamming distance."""
 
-    def close(a: str, b: str) -> Column:
-        bound = F.bit_count(segment_counts(f"{a}.fp").bitwiseXOR(segment_counts(f"{b}.fp"))) <= reach
-        return bound & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= reach)
+    def close(a: Column, b: Column) -> Column:
+        bound = F.bit_count(segment_counts(a["fp"]).bitwiseXOR(segment_counts(b["fp"]))) <= reach
+        return bound & (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= reach)
 
     return close
 
 
-def fingerprint_classes(docs: DataFrame, shingle: int = 4, reach: int = 4, blocks: int = 8) -> DataFrame:
+def fingerprint_classes(docs: DataFrame, shingle: int = 4, reach: int = 4) -> DataFrame:
     """doc_id, fp and component_id: the smallest doc_id reachable over links of at most `reach` differing bits.
 
     One row per row of docs. Null and empty texts share the fingerprint 0, which
     links like any other. Documents with equal fingerprints are one node. A row
     with a null doc_id gets the component of its fingerprint, or null if no
-    document with an id has that fingerprint. Other columns are not read.
+    document with an id has that fingerprint. Texts of any length are read
+    whole; repeated rows get the same answer; other columns are not read.
     """
     marked = written(fingerprints(docs, shingle), "fingerprints")
-    nodes = marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"))
-    nodes = written(nodes, "nodes")
+    nodes = written(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
+    blocks = blocks_for(nodes.count(), reach)
     found = link_cells(nodes, _grid(block_masks(blocks, blocks - reach)), _within(reach), carry=["fp"])
-    of_fp = nodes.select("fp", "id").join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return marked.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
+    of_fp = written(nodes.join(small_side(found), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id")), "classes")
+    return join_spread(marked, of_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def _shingles(words: bytes, shingle: int) -> np.ndarray:
@@ -133,14 +148,15 @@ def prefix(members: np.ndarray, similarity: float, common: np.ndarray) -> np.nda
 def _sketch(shingle: int, similarity: float, common: np.ndarray):
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            digests, sizes, cells = [], [], []
+            digests, marks, sizes, cells = [], [], [], []
             for text in batch["text"]:
                 words = b" ".join((text or "").encode("utf-8", "replace").lower().split())
                 members = _shingles(words, shingle)
-                digests.append(xxhash.xxh3_128_hexdigest(words))
+                digests.append(xxhash.xxh3_64_intdigest(words) - (1 << 63))
+                marks.append(_majority(members))
                 sizes.append(len(members))
                 cells.append(prefix(members, similarity, common))
-            yield batch.drop(columns="text").assign(digest=digests, n_shingles=sizes, cells=cells)
+            yield batch.drop(columns="text").assign(id=digests, fp=marks, n_shingles=sizes, cells=cells)
 
     return sketched
 
@@ -162,43 +178,47 @@ def common_shingles(plain: DataFrame, shingle: int) -> np.ndarray:
     return np.array(sorted(r.member for r in often.collect()), dtype=np.int64)
 
 
-def _near_size(similarity: float) -> Callable[[str, str], Column]:
+def _near_size(similarity: float) -> Callable[[Column, Column], Column]:
     """Whether two sets of such sizes can be so similar at all."""
 
-    def close(a: str, b: str) -> Column:
-        x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    def close(a: Column, b: Column) -> Column:
+        x, y = a["n_shingles"], b["n_shingles"]
         return F.least(x, y) >= F.greatest(x, y) * similarity - 1e-6
 
     return close
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, reach: int = 4) -> DataFrame:
     """doc_id, text_hash (xxhash64 of the text) and kept of each row of docs; repeated rows are told once.
 
     Texts with the same words (A-Z lower-cased) are copies. Distinct texts link
     if the Jaccard similarity of their word shingles is at least `similarity`.
-    The cells of a text are the shingles of its prefix, so every such pair
-    shares a cell, wherever its edits lie and however many texts there are;
-    pairs of a cell are held against each other exactly.
-    Of each component one row stays: that with the smallest doc_id, a null one
-    last. Texts without words (null, empty) are copies of one another.
+    Candidates come from the grid of fingerprints of the shingles (Manhattan
+    bound, then `reach` differing bits). Similar texts can differ in more bits
+    than any grid reaches, so what the grid leaves apart meets by the shingles
+    of its prefixes, of which every such pair shares one, wherever its edits
+    lie and however many texts there are. All candidates are held against each
+    other exactly. Of each component one row stays: that with the smallest
+    doc_id, a null one last. Texts without words (null, empty) are copies of
+    one another; texts of any length are read whole.
     """
     text = F.col("text").cast("string")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    schema = "doc_id long, text_hash long, digest string, n_shingles int, cells array<long>"
+    schema = "doc_id long, text_hash long, id long, fp long, n_shingles int, cells array<long>"
     marked = written(plain.mapInPandas(_sketch(shingle, similarity, common_shingles(plain, shingle)), schema), "sketches")
-    marked = marked.withColumn("id", F.xxhash64("digest"))
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     nodes = written(marked.groupBy("id").agg(F.min(row).alias("row")), "nodes")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        needed = written(nodes.join(ids, "id").select("id", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash")), "needed")
+        needed = written(nodes.join(small_side(ids), "id").select("id", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash")), "needed")
         same = F.col("p.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("p.text_hash") == F.col("n.text_hash"))
         texts = plain.alias("p").join(small_side(needed).alias("n"), same).select("n.id", "p.text")
-        return written(texts.mapInPandas(_shingle_sets(shingle), "id long, members array<long>").dropDuplicates(["id"]), "shingles")
+        return texts.mapInPandas(_shingle_sets(shingle), "id long, members array<long>").dropDuplicates(["id"])
 
-    found = link_cells(marked, F.col("cells"), _near_size(similarity), sets_of, similarity, carry=["n_shingles"], room=12, one_room=True)
-    classed = nodes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    blocks = blocks_for(nodes.count(), reach)
+    by_print = link_cells(marked.select("id", "fp").distinct(), _grid(block_masks(blocks, blocks - reach)), _within(reach), sets_of, similarity, ["fp"], room=12)
+    found = link_cells(marked, F.col("cells"), _near_size(similarity), sets_of, similarity, ["n_shingles"], room=12, known=by_print)
+    classed = nodes.join(small_side(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
     winners = classed.groupBy("component").agg(F.min("row").alias("row")).select("row.doc_id", "row.text_hash", F.lit(True).alias("kept"))
     rows = marked.select("doc_id", "text_hash").distinct()
     same = F.col("m.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("m.text_hash") == F.col("w.text_hash"))

@@ -70,7 +70,7 @@ def test_crowded_cells_lose_no_component(spark, room):
     r = random.Random(room)
     values = [(i, r.randrange(2000), r.randrange(3)) for i in range(250)]
     df = spark.createDataFrame(values, "id long, v long, c long")
-    close = lambda a, b: F.abs(F.col(f"{a}.v") - F.col(f"{b}.v")) <= 6
+    close = lambda a, b: F.abs(a["v"] - b["v"]) <= 6
     got = {x.id: x.component for x in components.link_cells(df, F.array("c"), close, carry=["v"], room=room).collect()}
     want = classes([(a, b) for a, v, c in values for b, w, d in values if a < b and c == d and abs(v - w) <= 6], [i for i, _, _ in values])
     assert {i: got.get(i, i) for i in want} == want
@@ -98,11 +98,22 @@ def test_simhash_classes_equal_brute_force(spark):
     assert len(set(want.values())) < len(fps) - 50
 
 
+def test_block_masks_cover_every_pair_in_reach():
+    r = random.Random(8)
+    for nodes in (10, 10**6, 10**9, 10**12):
+        blocks = simhash_dedup.blocks_for(nodes, 4)
+        masks = simhash_dedup.block_masks(blocks, blocks - 4)
+        assert nodes <= 2 ** min(m.bit_count() for m in masks)
+        for _ in range(50):
+            x = sum({1 << r.randrange(64) for _ in range(4)})
+            assert any(not x & m for m in masks)
+
+
 def test_manhattan_distance_is_a_lower_bound(spark):
     r = random.Random(5)
     pairs = [(r.getrandbits(64), r.getrandbits(64)) for _ in range(200)]
     pairs = [(a - (1 << 63), (a ^ (b & b >> 1 & a)) - (1 << 63)) for a, b in pairs]
-    df = spark.createDataFrame(pairs, "a long, b long").select("a", "b", simhash_dedup.segment_counts("a").alias("x"), simhash_dedup.segment_counts("b").alias("y"))
+    df = spark.createDataFrame(pairs, "a long, b long").select("a", "b", simhash_dedup.segment_counts(F.col("a")).alias("x"), simhash_dedup.segment_counts(F.col("b")).alias("y"))
     for row in df.collect():
         counts = [[(v >> s & 1) + (v >> s + 1 & 1) for s in range(0, 64, 2)] for v in (row.a % 2**64, row.b % 2**64)]
         manhattan = sum(abs(p - q) for p, q in zip(*counts))
