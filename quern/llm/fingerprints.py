@@ -4,24 +4,33 @@ A text's paragraphs (lines, and long lines cut at a sentence end) are hashed.
 Each digest is added to one cell of each of three subtables; a cell holds the
 count, the xor of the digests and the xor of their checks. Subtracting the
 sketch of one version from that of another leaves the digests that differ.
-Peeling takes a cell that holds a single digest, removes it from its other
-cells, and so on. If cells remain, the pair is tried again with larger
-sketches until every pair is empty.
+Peeling takes the cells that hold a single digest, removes it from its other
+cells, and so on. The printed fingerprint is a small sketch: two versions that
+differ little peel from their fingerprints alone. If cells remain, both are
+sketched again in larger ones, many digests in groups of bounded size, until
+every group peels empty.
+
+All of this happens within the row of a pair, on arrays of bounded length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-
 #: A paragraph: up to 48 characters of a line and on to the end of the sentence, 96 characters more at most.
 PARAGRAPH = r"[^\n]{1,48}[^\n.]{0,96}\.?\n*|\n+"
-#: Cells of a subtable of the printed fingerprint.
-PRINTED = 8
-#: Cells of a sketch for each digest of the two versions: the first try, and what each further try multiplies.
-FIRST, GROWTH, ROUNDS = 0.8, 2.5, 15
+#: Cells of a subtable of the printed fingerprint, and digests of a group (about) in the larger sketches.
+PRINTED, GROUP = 8, 24
+#: Larger sketches tried for a group, each with twice the cells; the last has a cell for every 1/180 of a digest.
+TRIES = 8
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -34,108 +43,163 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(-1))
 
 
-def _places(digest: Column, size: Column, attempt: int) -> Column:
-    """The cell of a digest in each of the three subtables of `size` cells."""
-    return F.array(*[F.pmod(F.xxhash64(digest, F.lit(3 * attempt + j)), size) + j * size for j in range(3)])
+def _placed(digests: Column, size: Column, attempt: Column) -> Column:
+    """Each digest (d, n) with its check and its cell in each of the three subtables of `size` cells."""
+    place = lambda d, j: F.pmod(F.xxhash64(d, 3 * attempt + j), size).cast("int").alias(f"p{j}")
+    return F.transform(digests, lambda e: F.struct(e["d"].alias("d"), e["n"].alias("n"), _check(e["d"]).alias("c"), *[place(e["d"], j) for j in range(3)]))
 
 
-def sketch_cells(rows: DataFrame, keys: list[str], attempt: int) -> DataFrame:
-    """Sum up rows (keys, digest, sign, size) into cells: keys, cell, n, digests and checks (xors)."""
-    put = rows.select(*keys, "sign", "digest", F.explode(_places(F.col("digest"), F.col("size"), attempt)).alias("cell"))
-    return put.groupBy(*keys, "cell").agg(F.sum("sign").alias("n"), F.bit_xor("digest").alias("digests"), F.bit_xor(_check(F.col("digest"))).alias("checks"))
+def _signed(digests: Column, sign: int) -> Column:
+    return F.transform(digests, lambda d: F.struct(d.alias("d"), F.lit(sign).alias("n")))
 
 
-def printed_fingerprints(texts: DataFrame) -> DataFrame:
-    """key, fingerprint of rows (key, digests): the number of digests and the non-empty cells of their sketch, in hex."""
-    rows = texts.select("key", F.explode("digests").alias("digest"), F.lit(1).alias("sign"), F.lit(PRINTED).cast("long").alias("size"))
-    cells = sketch_cells(rows, ["key"], 0)
-    one = F.concat(F.lpad(F.hex("cell"), 2, "0"), F.hex("n"), F.lit("-"), F.lpad(F.hex("digests"), 16, "0"), F.lpad(F.hex("checks"), 16, "0"))
-    packed = cells.groupBy("key").agg(F.sum(F.when(F.col("cell") < PRINTED, F.col("n"))).alias("total"), F.sort_array(F.collect_list(F.struct("cell", one.alias("one")))).alias("all"))
-    return packed.select("key", F.concat(F.col("total").cast("string"), F.lit(":"), F.array_join(F.transform("all", lambda c: c["one"]), ".")).alias("fingerprint"))
+def _cell(n: Column, d: Column, c: Column) -> Column:
+    return F.struct(n.alias("n"), d.alias("d"), c.alias("c"))
 
 
-def _peeled(pairs: DataFrame, attempt: int, rounds: int) -> DataFrame:
-    """pair, left (whether cells remain) and differing (digests recovered) of pairs (pair, size, x, y)."""
-    signed = F.concat(
-        F.transform("x", lambda d: F.struct(d.alias("digest"), F.lit(1).alias("sign"))),
-        F.transform("y", lambda d: F.struct(d.alias("digest"), F.lit(-1).alias("sign"))),
-    )
-    rows = pairs.select("pair", "size", F.explode(signed).alias("s")).select("pair", "size", "s.digest", "s.sign")
-    cells = sketch_cells(rows, ["pair", "size"], attempt)
-    empty = (F.col("n") == 0) & (F.col("digests") == 0) & (F.col("checks") == 0)
-    for r in range(rounds):
-        # one subtable a round: a digest has one cell in it, so nothing is taken twice; cell -1 counts what was taken
-        own = F.floor(F.col("cell") / F.col("size")) == r % 3
-        pure = (F.col("cell") >= 0) & own & (F.abs("n") == 1) & (F.col("checks") == _check(F.col("digests")))
-        places = _places(F.col("digests"), F.col("size"), attempt)
-        taken = F.array(
-            F.struct(F.lit(-1).cast("long").alias("cell"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("digests"), F.lit(0).cast("long").alias("checks")),
-            *[F.struct(places[(r + k) % 3].alias("cell"), (-F.col("n")).alias("n"), F.col("digests").alias("digests"), F.col("checks").alias("checks")) for k in (1, 2)],
-        )
-        stays = F.array(F.struct("cell", "n", "digests", "checks"))
-        cells = (
-            cells.where((F.col("cell") < 0) | ~empty)
-            .select("pair", "size", F.explode(F.when(pure, taken).otherwise(stays)).alias("c"))
-            .groupBy("pair", "size", "c.cell")
-            .agg(F.sum("c.n").alias("n"), F.bit_xor("c.digests").alias("digests"), F.bit_xor("c.checks").alias("checks"))
-        )
-    cells = cells.where((F.col("cell") < 0) | ~empty)
-    return cells.groupBy("pair").agg((F.max("cell") >= 0).alias("left"), F.coalesce(F.sum(F.when(F.col("cell") < 0, F.col("n"))), F.lit(0)).alias("differing"))
-
-
-def sketch_likeness(pairs: DataFrame, first: float = FIRST, growth: float = GROWTH, rounds: int = ROUNDS) -> DataFrame:
-    """pair and likeness of pairs (pair, x, y) of digest arrays: the shared part of all digests of the two.
-
-    The number of differing digests comes from peeling the difference of the
-    two sketches; pairs that do not peel empty are tried again with sketches
-    `growth` times as large. Two empty arrays are alike (1).
+def _add(cell: Column, entry: Column, sign: int = 1) -> Column:
+    return _cell(cell["n"] + sign * entry["n"], cell["d"].bitwiseXOR(entry["d"]), cell["c"].bitwiseXOR(entry["c"]))
+
+
+def sketch(digests: Column, size: Column, attempt: Column) -> Column:
+    """Subtables t0, t1 and t2 of `size` cells (n, d, c) of an array of signed digests (d, n)."""
+    zero = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
+
+    def table(placed: Column, j: int) -> Column:
+        own = lambda i: F.filter(placed, lambda e: e[f"p{j}"] == i)
+        return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(own(i), zero, lambda cell, e: _add(cell, e))).alias(f"t{j}")
+
+    return _let(_placed(digests, size, attempt), lambda placed: F.struct(*[table(placed, j) for j in range(3)]))
+
+
+def minus(x: Column, y: Column) -> Column:
+    """The sketch x less the sketch y of the same size."""
+    return F.struct(*[F.zip_with(x[f"t{j}"], y[f"t{j}"], lambda a, b: _add(a, b, -1)).alias(f"t{j}") for j in range(3)])
+
+
+def peel(cells: Column, size: Column, attempt: Column) -> Column:
+    """found: the digests d and signs n taken out of a sketch, and left: whether cells remain."""
+    pure = lambda cell: (F.abs(cell["n"]) == 1) & (cell["c"] == _check(cell["d"]))
+    full = lambda cell: (cell["n"] != 0) | (cell["d"] != 0) | (cell["c"] != 0)
+    none = F.array().cast("array<struct<d:bigint,n:int>>")
+    begin = F.struct(*[cells[f"t{j}"].alias(f"t{j}") for j in range(3)], none.alias("found"), F.lit(True).alias("moves"))
+
+    def taken(state: Column, single: Column) -> Column:
+        def rest(placed: Column, j: int) -> Column:
+            hit = lambda i: F.filter(placed, lambda e: e[f"p{j}"] == i)
+            return F.transform(state[f"t{j}"], lambda cell, i: F.aggregate(hit(i), cell, lambda c, e: _add(c, e, -1))).alias(f"t{j}")
+
+        turned = _let(_placed(single, size, attempt), lambda placed: F.struct(*[rest(placed, j) for j in range(3)]))
+        return _let(turned, lambda t: F.struct(t["t0"].alias("t0"), t["t1"].alias("t1"), t["t2"].alias("t2"), F.concat(state["found"], single).alias("found"), F.lit(True).alias("moves")))
+
+    def step(state: Column) -> Column:
+        every = F.concat(state["t0"], state["t1"], state["t2"])
+        single = F.array_distinct(F.transform(F.filter(every, pure), lambda cell: F.struct(cell["d"].alias("d"), cell["n"].alias("n"))))
+        still = F.struct(state["t0"].alias("t0"), state["t1"].alias("t1"), state["t2"].alias("t2"), state["found"].alias("found"), F.lit(False).alias("moves"))
+        return _let(single, lambda s: F.when(F.size(s) > 0, taken(state, s)).otherwise(still))
+
+    # each step takes a digest at least, of which there are no more than cells
+    end = F.aggregate(F.sequence(F.lit(1), 3 * size), begin, lambda state, _: F.when(state["moves"], step(state)).otherwise(state))
+    return _let(end, lambda s: F.struct(s["found"].alias("found"), F.exists(F.concat(s["t0"], s["t1"], s["t2"]), full).alias("left")))
+
+
+def _grouped(digests: Column, groups: Column) -> Column:
+    """The digests dealt by a hash into an array of `groups` arrays."""
+    marks = F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.struct(g.alias("g"), F.lit(None).cast("long").alias("d")))
+    own = F.transform(digests, lambda d: F.struct(F.pmod(F.xxhash64(d, F.lit(-2)), groups).cast("int").alias("g"), d.alias("d")))
+
+    def cut(sorted_: Column) -> Column:
+        # a group's mark stands before its digests
+        start = lambda of, g: F.when(g < groups, F.array_position(of, g)).otherwise(F.size(of) + 1).cast("int")
+        part = lambda of, g: F.slice(sorted_, start(of, g) + 1, start(of, g + 1) - start(of, g) - 1)
+        return _let(F.transform(sorted_, lambda e: e["g"]), lambda of: F.transform(F.sequence(F.lit(0), groups - 1), lambda g: F.transform(part(of, g), lambda e: e["d"])))
+
+    return F.when(groups == 1, F.array(digests)).otherwise(_let(F.sort_array(F.concat(marks, own)), cut))
+
+
+def _larger(x: Column, y: Column) -> Column:
+    """The signed digests in which x and y differ, from sketches that grow until they peel.
+
+    Should even the last of them not peel, which digests of 64 bits do not
+    bring about, what it did not give up is left out.
+    """
+    size = lambda a: (F.ceil((F.size(x) + F.size(y)) / 2) + 2).cast("int") * F.call_function("shiftleft", F.lit(1), a - 1)
+    tried = lambda a: _let(size(a), lambda s: peel(minus(sketch(_signed(x, 1), s, a), sketch(_signed(y, 1), s, a)), s, a))
+    begin = F.struct(F.array().cast("array<struct<d:bigint,n:int>>").alias("found"), F.lit(True).alias("left"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), begin, lambda state, a: F.when(state["left"], tried(a)).otherwise(state))["found"]
+
+
+def sketch_difference(x: Column, y: Column, x_print: Column, y_print: Column) -> Column:
+    """Array of the digests d in which the arrays x and y differ, with n = 1 if x has it and -1 if y has.
+
+    x_print and y_print are their printed sketches, which give the answer where
+    their difference peels empty.
     """
-    both = (F.size("x") + F.size("y")).alias("both")
-    todo, factor, attempt, parts = pairs, first, 0, []
-    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    while True:
-        sized = todo.withColumn("size", F.ceil((F.size("x") + F.size("y")) * (factor / 3)) + 2).repartition(partitions, "pair")
-        peeled = sized.select("pair", both).join(_peeled(sized, attempt, rounds), "pair", "left")
-        done = written(peeled.select("pair", "both", F.coalesce("left", F.lit(False)).alias("left"), F.coalesce("differing", F.lit(0)).cast("long").alias("differing")), "peeled")
-        parts.append(done.where("not left"))
-        failed = done.where("left").select("pair")
-        if failed.isEmpty():
-            break
-        todo, factor, attempt = todo.join(failed, "pair", "left_semi"), factor * growth, attempt + 1
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    alike = F.when(F.col("both") == 0, F.lit(1.0)).otherwise((F.col("both") - F.col("differing")) / (F.col("both") + F.col("differing")))
-    return out.select("pair", alike.alias("likeness"))
+    most = F.greatest(F.size(x), F.size(y), F.lit(1))
+    groups = F.call_function("shiftleft", F.lit(1), F.greatest(F.ceil(F.log2(most / GROUP)), F.lit(0)).cast("int"))
+
+    def by_groups(n: Column) -> Column:
+        return _let(F.struct(_grouped(x, n).alias("x"), _grouped(y, n).alias("y")), lambda both: F.flatten(F.zip_with(both["x"], both["y"], _larger)))
+
+    small = peel(minus(x_print, y_print), F.lit(PRINTED), F.lit(0))
+    return _let(small, lambda s: F.when(~s["left"], s["found"]).otherwise(_let(groups, by_groups)))
+
+
+def likeness(x: Column, y: Column, differing: Column) -> Column:
+    """The shared part of all digests of x and y, of which `differing` differ; two empty arrays are alike (1)."""
+    both = F.size(x) + F.size(y)
+    return F.when(both == 0, F.lit(1.0)).otherwise((both - F.size(differing)) / (both + F.size(differing)))
+
+
+def printed_sketch(digests: Column) -> Column:
+    return sketch(_signed(digests, 1), F.lit(PRINTED), F.lit(0))
+
+
+def print_of(cells: Column, digests: Column) -> Column:
+    """The fingerprint: the number of digests and the non-empty cells of the printed sketch, in hex."""
+    one = lambda c, i: F.concat(F.lpad(F.hex(i), 2, "0"), F.hex(c["n"]), F.lit("-"), F.lpad(F.hex(c["d"]), 16, "0"), F.lpad(F.hex(c["c"]), 16, "0"))
+    every = F.transform(F.concat(cells["t0"], cells["t1"], cells["t2"]), lambda c, i: F.when(c["n"] != 0, one(c, i)))
+    return F.concat(F.size(digests).cast("string"), F.lit(":"), F.array_join(F.filter(every, lambda s: s.isNotNull()), "."))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and digests of every row, with next_text and next_digests: those of the next row by doc_id, the first's after the last.
 
-    Rows are dealt by ranges of doc_id and each range is put in order by
-    itself. A copy of the first row of each range goes to the end of the range
-    before it, and that of the first range to the end of the last. Null ids
-    come first; rows of one doc_id are in the order of a hash of their text.
+    Rows are dealt by ranges of doc_id, and each range is put in order by
+    itself; a doc_id, or null, that fills several ranges is dealt among them by
+    the hash of its texts. A copy of the first row of each range goes to the end
+    of the range before it, and that of the first range to the end of the last.
+    Null ids come first; rows of one doc_id are in the order of that hash. The
+    driver sees the bounds and first keys of ranges, a few for each partition.
     """
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
+    spark = docs.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    bounds = sorted(set(base.select(F.percentile_approx("doc_id", shares, 10_000)).first()[0] or []))
-    place = F.coalesce(F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    dealt = base.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(place)).withColumn("h", F.xxhash64("text"))
-    order = F.struct(F.col("doc_id").isNotNull(), "doc_id", "h")
-    heads = [(r["range"], r["head"]["doc_id"], r["head"]["h"]) for r in dealt.groupBy("range").agg(F.min(order).alias("head")).orderBy("range").collect()]
-    if not heads:
-        heads = [(0, None, 0)]
-    previous = {h[0]: heads[i - 1][0] for i, h in enumerate(heads)}
-    ids, hashes = [h[1] for h in heads if h[1] is not None], [h[2] for h in heads]
-    wanted = F.col("h").isin(hashes) & (F.col("doc_id").isin(ids) | F.col("doc_id").isNull())
-    is_head = F.lit(False)
-    for _, i, h in heads:
-        is_head = is_head | (F.col("doc_id").eqNullSafe(F.lit(i).cast("long")) & (F.col("h") == h))
-    before = F.create_map(*[F.lit(x) for pair in previous.items() for x in pair])
-    copies = dealt.where(wanted).where(is_head).dropDuplicates(["doc_id", "h"]).withColumn("range", F.element_at(before, F.col("range"))).withColumn("extra", F.lit(True))
-    rows = dealt.withColumn("extra", F.lit(False)).unionByName(copies).withColumn("digests", paragraph_digests(F.col("text")))
+    quantiles = F.percentile_approx("doc_id", F.lit([i / ranges for i in range(1, ranges)]), 10_000)
+    told = base.agg(quantiles.alias("q"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known")).first()
+    bounds = sorted(set(told.q or []))
+    parts = [told.q.count(b) for b in bounds]
+    first = [1 + sum(parts[:i]) for i in range(len(parts))]
+    empty = max(1, -(-ranges * (told.n - told.known) // max(1, told.n)))
+
+    h, share = F.xxhash64("text"), F.xxhash64("text") / F.lit(2.0**64) + 0.5
+    nth = lambda n: F.least(F.floor(share * n), n - 1).cast("int")
+    place = F.lit(0)
+    if bounds:
+        at = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b <= F.col("doc_id")))
+        of = lambda values, i: F.element_at(F.lit(values), i)
+        inside = lambda i: of(first, i) + F.when(of(bounds, i) == F.col("doc_id"), nth(of(parts, i))).otherwise(of(parts, i) - 1)
+        place = _let(at, lambda i: F.when(i == 0, F.lit(0)).otherwise(inside(F.greatest(i, F.lit(1)))))
+    place = F.when(F.col("doc_id").isNull(), nth(F.lit(empty)) - empty).otherwise(place)
+    dealt = base.select("doc_id", "text", h.alias("h"), place.cast("int").alias("range"))
+
+    key = F.struct(F.col("doc_id").isNotNull(), "doc_id", "h")
+    heads = sorted(((r["range"], r["head"]["doc_id"], r["head"]["h"]) for r in dealt.groupBy("range").agg(F.min(key).alias("head")).collect()), key=lambda x: x[0])
+    before = [(*x, heads[i - 1][0]) for i, x in enumerate(heads)]
+    table = spark.createDataFrame(before, "range int, head_id long, head_h long, before int")
+    at_head = (F.col("d.range") == F.col("t.range")) & F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h"))
+    copies = dealt.alias("d").join(F.broadcast(table).alias("t"), at_head).select("doc_id", "text", "h", F.col("before").alias("range")).dropDuplicates(["range"])
+    rows = dealt.withColumn("extra", F.lit(False)).unionByName(copies.withColumn("extra", F.lit(True))).withColumn("digests", paragraph_digests(F.col("text")))
     w = Window.partitionBy("range").orderBy("extra", F.col("doc_id").asc_nulls_first(), "h")
     return rows.withColumn("next_text", F.lead("text").over(w)).withColumn("next_digests", F.lead("digests").over(w)).where(~F.col("extra")).select("doc_id", "text", "digests", "next_text", "next_digests")
 
@@ -144,34 +208,28 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and their likeness to each other and to the next text.
 
     The edited text's last floor(n_chars / 2) code points are the first as many,
-    or all, of the next document's. Null counts as the empty text, whose
-    fingerprint is '0:'. One row per row of docs; repeated rows are each other's
-    next; a single row is its own next; other columns are not read.
+    or all, of the next document's. edited_differing and next_differing are the
+    recovered digests d, with n = 1 for those of the text alone and -1 for those
+    of the other version alone. Null counts as the empty text, whose fingerprint
+    is '0:'. One row per row of docs; repeated rows are each other's next; a
+    single row is its own next; texts of any length are read whole; other
+    columns are not read.
     """
     half = F.floor(F.col("n_chars") / 2).cast("int")
     text = F.coalesce("text", F.lit(""))
     edited = F.concat(F.substring(text, F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
     near = with_next(docs).withColumn("n_chars", F.length(text).cast("long")).withColumn("edited", edited)
-    rows = written(
-        near.select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-            "digests", paragraph_digests(F.col("edited")).alias("edited_digests"), F.coalesce("next_digests", F.array().cast("array<bigint>")).alias("next_digests"),
-        ),
-        "digests",
-    )
-    pairs = F.array(
-        F.struct((2 * F.col("row")).alias("pair"), F.col("digests").alias("x"), F.col("edited_digests").alias("y")),
-        F.struct((2 * F.col("row") + 1).alias("pair"), F.col("digests").alias("x"), F.col("next_digests").alias("y")),
+    rows = near.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("digests").alias("x"), paragraph_digests(F.col("edited")).alias("y"), F.coalesce("next_digests", F.array().cast("array<bigint>")).alias("z"),
     )
-    alike = sketch_likeness(rows.select(F.explode(pairs).alias("p")).select("p.*"))
-    texts = F.array(F.struct((2 * F.col("row")).alias("key"), F.col("digests")), F.struct((2 * F.col("row") + 1).alias("key"), F.col("edited_digests").alias("digests")))
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    prints = printed_fingerprints(rows.select(F.explode(texts).alias("t")).select("t.*").repartition(partitions, "key"))
-    found = alike.join(prints.withColumnRenamed("key", "pair"), "pair", "left").select(F.floor(F.col("pair") / 2).alias("row"), (F.col("pair") % 2).alias("kind"), "likeness", "fingerprint")
-    by_row = found.groupBy("row").agg(
-        *[F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}{k}") for k in (0, 1) for c in ("likeness", "fingerprint")]
+    prints = rows.select("*", *[printed_sketch(F.col(c)).alias(f"{c}_print") for c in "xyz"])
+    differing = lambda c: sketch_difference(F.col("x"), F.col(c), F.col("x_print"), F.col(f"{c}_print"))
+    found = prints.select(
+        "doc_id", "n_chars", "edited_sha256", print_of(F.col("x_print"), F.col("x")).alias("fingerprint"), print_of(F.col("y_print"), F.col("y")).alias("edited_fingerprint"),
+        "x", "y", "z", differing("y").alias("edited_differing"), differing("z").alias("next_differing"),
     )
-    return rows.select("row", "doc_id", "n_chars", "edited_sha256").join(by_row, "row", "left").select(
-        "doc_id", "n_chars", "edited_sha256", F.coalesce("fingerprint0", F.lit("0:")).alias("fingerprint"), F.coalesce("fingerprint1", F.lit("0:")).alias("edited_fingerprint"),
-        F.col("likeness0").alias("near_edited"), F.col("likeness1").alias("near_next"),
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness(F.col("x"), F.col("y"), F.col("edited_differing")).alias("near_edited"), likeness(F.col("x"), F.col("z"), F.col("next_differing")).alias("near_next"),
+        "edited_differing", "next_differing",
     )

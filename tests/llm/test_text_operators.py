@@ -177,11 +177,29 @@ def test_fingerprints_equal_brute_force(spark):
     assert len(set(prints.values())) == len(prints)
 
 
-def test_sketches_retry_until_they_peel(spark):
-    x, y = list(range(1, 400)), list(range(300, 900))
-    pairs = spark.createDataFrame([(0, x, y), (1, x, x), (2, [], []), (3, [], [5]), (4, x, [])], "pair long, x array<long>, y array<long>")
-    got = {r.pair: r.likeness for r in fingerprints.sketch_likeness(pairs, first=0.1, growth=3.0).collect()}
-    assert got == {0: pytest.approx(100 / 899), 1: 1.0, 2: 1.0, 3: 0.0, 4: 0.0}
+def test_sketches_give_up_the_digests_that_differ(spark):
+    r = random.Random(2)
+    draw = lambda n: [r.randrange(-(2**63), 2**63) for _ in range(n)]
+    common = draw(500)
+    pairs = [(0, common + draw(300), common + draw(200)), (1, common, common[::-1]), (2, [], []), (3, draw(40), []), (4, common[:30] + draw(3), common[:30] + draw(2)), (5, draw(20), draw(25)), (6, draw(1500), draw(3))]
+    table = spark.createDataFrame(pairs, "pair int, x array<long>, y array<long>").select("*", *[fingerprints.printed_sketch(F.col(c)).alias(f"{c}_print") for c in "xy"])
+    diff = fingerprints.sketch_difference(F.col("x"), F.col("y"), F.col("x_print"), F.col("y_print"))
+    found = table.select("pair", "x", "y", diff.alias("diff")).select("pair", "diff", fingerprints.likeness(F.col("x"), F.col("y"), F.col("diff")).alias("near"))
+    got = {row.pair: row for row in found.collect()}
+    for k, x, y in pairs:
+        assert sorted((e.d, e.n) for e in got[k].diff) == sorted([(d, 1) for d in set(x) - set(y)] + [(d, -1) for d in set(y) - set(x)])
+        assert got[k].near == pytest.approx(len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 1.0)
+
+
+def test_next_rows_where_one_id_and_null_fill_many_ranges(spark):
+    rows = [(7, f"seven {i}") for i in range(60)] + [(None, f"none {i}") for i in range(50)] + [(i, f"t{i}") for i in range(20) if i != 7] + [(3, "t3")]
+    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(rows, key=str)
+    assert sorted(r.next_text for r in got) == sorted(t for _, t in rows)
+    follows = {r.text: r.next_text for r in got}
+    assert [follows[f"t{i}"] for i in (0, 1, 8, 9)] == ["t1", "t2", "t9", "t10"] and follows["t6"].startswith("seven") and follows["t19"].startswith("none")
+    of = dict((t, d) for d, t in rows)
+    assert sum(of[t] != of[n] for t, n in follows.items()) == 21  # each id and null once
 
 
 def test_fingerprints_of_odd_rows(spark):
