@@ -15,39 +15,46 @@ from pyspark.sql import functions as F
 
 LENGTHS, FEATURES, STRENGTH = (3, 4, 5), 1 << 15, 1e-3
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Labelled URLs: fixed training values. Hosts are tried under several endings and paths.
+#: Labelled URLs: fixed training values. Each topic word is put together with general words into host names.
 BLOCKED = """
-casino-win mega-casino online-casino casino-royal lucky-slots free-slots slots-jackpot jackpot-wins
-free-bets bet-now sports-bets best-bets live-betting poker-room free-poker poker-bonus bingo-bonus
-ads-track ads-server adserver ad-click click-track track-pixel banner-ads pop-ads ads-network tracker-hub
-adult-cams xxx-videos hot-cams porn-hub sex-chat cheap-pills pharma-pills viagra-shop pills-online
-free-ringtones win-prize free-prize prize-winner lotto-win torrent-files warez-crack keygen-crack
-payday-loans fast-loans replica-watches get-rich-quick crypto-doubler phish-login verify-account malware-drop spam-mailer
-adult-zone adult-only adult-live adult-clips spam-links spam-network spam-pages bulk-spam link-farm content-farm
+casino slots jackpot poker roulette blackjack betting bets bingo lottery gambling
+porn xxx sexcam escort nude adult hookup webcam
+viagra cialis pharmacy pills steroids slimming potency
+ads adserver banner popunder clickads adtracker tracking pixel telemetry affiliate sponsored
+warez keygen crack torrent serials cheats
+payday loans replica crypto doubler giveaway prize ringtones survey
+phishing malware trojan botnet spam mailer clickbait
 """.split()
 ALLOWED = """
-thought theory then rather another weather mother there these those threnody anther
-library news weather-report museum university college school research science history wiki docs
-gardening cooking recipes travel maps city-hall council government health clinic hospital music books reader
-review journal daily-post tribune herald bulletin community forum support developer code open-data archive
-photo-club football tennis chess-club hiking astronomy physics chemistry biology mathematics language dictionary
-station harbour market bakery coffee design studio letters essays stories poetry theatre cinema
+library museum university college school research science history wiki docs dictionary language
+garden cooking recipes bakery coffee kitchen farmer fishing travel maps railway airport harbour hotel
+council government parliament health clinic hospital dentist nurse emergency weather climate ocean
+music concert theatre cinema gallery painting poetry essays letters books reader publisher journal
+news tribune herald gazette review magazine radio television podcast community forum support
+software developer code archive database network hardware robotics physics chemistry biology mathematics
+football tennis chess hiking cycling swimming astronomy photo camera design studio furniture carpenter
+insurance bank finance market shop grocery bicycle motor energy solar water forest animal bird
+children family parents wedding charity church volunteer village town region island mountain river
 """.split()
-_ENDINGS = ("example.com", "example.net", "example.org", "com", "net", "org", "info")
-_PATHS = ("/en/{n}/", "/{n}.html", "/de/{n}", "/fr/{n}?page=2&ref=x", "/en/{n}?utm_source=feed", "/", "/es/{n}#top")
-_FRONTS = ("", "www.", "m.", "blog.")
-
-
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled URL table: url and label (1: block)."""
-    rows = [F.struct(F.lit("").alias("url"), F.lit(0.0).alias("label"))]
-    for label, names in ((1.0, BLOCKED), (0.0, ALLOWED)):
-        for i, name in enumerate(names):
-            for j in range(4):
-                k = 3 * i + 5 * j
-                url = f"https://{_FRONTS[(i + j) % 4]}{name}.{_ENDINGS[(i + 2 * j) % 7]}{_PATHS[(i + j) % 7].format(n=100 + 37 * k)}"
-                rows.append(F.struct(F.lit(url).alias("url"), F.lit(label).alias("label")))
-    return spark.range(0, 1, 1, 1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+#: General words that go before or after a topic word, endings and paths: of either label alike.
+_WORDS = "my the new best top web go first city home live daily world planet center group house point line club".split()
+_ENDINGS = ("com", "net", "org", "info", "co.uk", "eu", "io")
+_PATHS = ("/", "/index.html", "/about", "/2021/05/item-{n}", "/articles/{n}", "/view.php?id={n}", "/category/list/{n}.html", "/contact#form")
+
+
+def labelled_urls(spark: SparkSession, blocked: Sequence[str] = BLOCKED, allowed: Sequence[str] = ALLOWED, each: int = 6) -> DataFrame:
+    """The small labelled URL table: url and label (1: block); `each` hosts of every topic word."""
+    rows = [("", 0.0)]
+    for label, topics in ((1.0, blocked), (0.0, allowed)):
+        for i, topic in enumerate(topics):
+            for j in range(each):
+                k = 7 * i + 11 * j
+                word = _WORDS[k % len(_WORDS)]
+                name = (topic, f"{word}-{topic}", f"{topic}-{word}", f"{word}{topic}", f"{topic}{word}", f"{topic}{k % 90 + 10}")[j % 6]
+                url = f"https://{('', 'www.')[k % 2]}{name}.{_ENDINGS[k % len(_ENDINGS)]}{_PATHS[(i + j) % len(_PATHS)].format(n=100 + 37 * k)}"
+                rows.append((url, label))
+    table = F.array(*[F.struct(F.lit(url).alias("url"), F.lit(label).alias("label")) for url, label in rows])
+    return spark.range(0, 1, 1, 1).select(F.explode(table).alias("r")).select("r.*")
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -99,8 +106,9 @@ def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]], model: Logi
 
     A rule's verdict comes first; else the model blocks from 0.5 up. A null URL,
     or one without '://', has an empty host and path, fits no rule, and is
-    judged by the model's intercept. Repeated rows are judged alike; a URL of
-    any length is judged whole; other columns are not read.
+    judged by the model's intercept. Repeated rows, and rows with a null
+    page_id, are judged like any other; a URL of any length is judged whole;
+    other columns are not read.
     """
     host, path = url_parts(F.col("url").cast("string"))
     parts = _hashed(pages.select("page_id", host.alias("host"), path.alias("path")))

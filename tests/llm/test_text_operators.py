@@ -301,10 +301,19 @@ def test_url_rules_and_parts(spark):
         assert got[i].verdict == verdict or verdict is None and got[i].verdict in ("allow", "block")
 
 
-def test_url_model_on_hosts(spark):
-    model = url_filters.train(url_filters.labelled_urls(spark))
-    hosts = {"casino-win.example.com": "block", "free-bets.example.net": "block", "lucky-casino.info": "block", "library.city.net": "allow", "science-news.com": "allow"}
-    pages = spark.createDataFrame([(i, f"https://{h}/en/5") for i, h in enumerate(hosts)], "page_id long, url string")
-    got = {r.host: r.verdict for r in url_filters.url_verdicts(pages, (), model).collect()}
-    assert got == hosts
+def test_url_model_on_unseen_names(spark):
+    """Topic words with words that the table does not hold, and topic words of good hosts that it does not hold."""
+    allowed, unseen = [w for i, w in enumerate(url_filters.ALLOWED) if i % 4], url_filters.ALLOWED[::4]
+    model = url_filters.train(url_filters.labelled_urls(spark, allowed=allowed))
+    others = "royal delta garage north velvet".split()
+    hosts = {f"{o}-{t}.site.example": 1 for i, t in enumerate(url_filters.BLOCKED) for o in (others[i % 5], others[(i + 2) % 5])} | {f"{others[i % 5]}-{t}.site.example": 0 for i, t in enumerate(unseen + allowed)}
+    pages = spark.createDataFrame([(None, f"https://{h}/page/5") for h in hosts] * 2, "page_id long, url string")
+    got = url_filters.url_verdicts(pages, (), model).collect()
+    assert len(got) == 2 * len(hosts)
+    right = [[(r.verdict == "block") == y for r in got if hosts[r.host] == y] for y in (0, 1)]
+    assert min(sum(x) / len(x) for x in right) >= 0.9
+    missed = [r for r in got if r.host.split("-")[1].split(".")[0] in unseen and r.verdict == "block"]
+    assert len(missed) <= 0.2 * 2 * len(unseen)
+    long = spark.createDataFrame([(1, "https://casino.example/" + "a" * 100_000)], "page_id long, url string")
+    assert url_filters.url_verdicts(long, (), model).first().path == "/" + "a" * 100_000
     assert url_filters.url_verdicts(pages.limit(0), queries.URL_RULES, model).count() == 0
