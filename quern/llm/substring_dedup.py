@@ -1,16 +1,19 @@
 """Substring dedup: paragraph MinHash banding with exact verification.
 
-A paragraph is a line of a text, or all of some successive lines that are too
-short to be one each. MinHash signatures over its five-word
-shingles are cut into bands; paragraphs that collide in a band are held
-against each other by exact Jaccard similarity, and the components of the
+Two kinds of paragraphs are looked at. A line of a text, or all of some
+successive lines that are too short to be one each; and, for passages that
+repeat inside otherwise different lines, windows of WINDOW words. A window
+starts where the hash of its words is the least of REACH successive ones, so
+any two texts that share WINDOW + REACH - 1 words in a row have a window in
+common.
+
+MinHash signatures over five-word shingles are cut into bands: as many as catch
+nearly every pair of lines at the similarity asked for, and a single one for a
+window, which is looked for unchanged. Paragraphs that collide in a band are
+held against each other by exact Jaccard similarity, and the components of the
 verified pairs are the clusters. The first occurrence in a cluster stays, the
-others are removals.
-
-A passage that repeats inside otherwise different lines is found through
-pieces: runs of PIECE words, of which the least hash in every REACH successive
-ones is taken, so any two texts that share PIECE + REACH - 1 words in a row
-have a piece in common, and equal pieces form clusters of similarity 1.
+others are removals; windows of a text that overlap and go, or stay, for the
+same text are told as one passage.
 """
 
 from __future__ import annotations
@@ -20,14 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, small_side, span_hashes, text_words, windows, word_hashes, word_spans, written
+from .common import join_spread, mixed, small_side, span_hashes, text_words, windows, word_hashes, word_spans, written
 from .components import link_cells
 
-#: Least words of a paragraph, words of a piece, and successive pieces of which one is taken (together 20 words).
-MIN_WORDS, PIECE, REACH = 20, 12, 9
+#: Least words of a line, words of a window, and successive windows of which one is taken (together 20 words).
+MIN_WORDS, WINDOW, REACH = 20, 12, 9
 SIMILARITY, SHINGLE, RECALL = 0.8, 5, 0.997
 
 
@@ -41,11 +44,11 @@ def tune_bands(similarity: float, recall: float, loose: float = 0.5) -> tuple[in
     return bands, rows
 
 
-def taken_pieces(hashes: np.ndarray, piece: int = PIECE, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
-    """First words and hashes of the pieces that are taken from the words of a text."""
-    if len(hashes) < piece:
+def window_starts(hashes: np.ndarray, window: int = WINDOW, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+    """First words and hashes of the windows that are taken from the words of a text."""
+    if len(hashes) < window:
         return np.zeros(0, dtype=np.int64), hashes[:0]
-    h = windows(hashes, piece)
+    h = windows(hashes, window)
     if len(h) <= reach:
         at = np.array([h.argmin()])
     else:
@@ -61,22 +64,24 @@ class Signer:
         draw = np.random.default_rng(5).integers(0, 1 << 63, (2, bands * rows), dtype=np.uint64)
         self.bands, self.rows, self.factor, self.shift = bands, rows, draw[0] | np.uint64(1), draw[1]
 
-    def bands_of(self, shingles: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
-        """For each run of shingles [first, last]: one hash of each band of the least value under every hash function."""
+    def bands_of(self, shingles: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, bands: int, salt: int = 0) -> np.ndarray:
+        """For each run of shingles [first, last]: one hash of each of the first bands of the least value under every hash function."""
+        if not len(firsts):
+            return np.zeros((0, bands), dtype=np.int64)
         cuts = np.stack([firsts, lasts + 1], axis=1).ravel()
         padded = np.append(shingles, np.uint64(np.iinfo(np.uint64).max))
-        least = np.empty((len(self.factor), len(firsts)), dtype=np.uint64)
-        for k, (a, b) in enumerate(zip(self.factor, self.shift)):
-            least[k] = np.minimum.reduceat(padded * a + b, cuts)[::2]
-        out = np.repeat(np.arange(1, self.bands + 1, dtype=np.uint64)[:, None], len(firsts), axis=1)
-        grouped = least.reshape(self.bands, self.rows, len(firsts))
+        least = np.empty((bands * self.rows, len(firsts)), dtype=np.uint64)
+        for k in range(len(least)):
+            least[k] = np.minimum.reduceat(padded * self.factor[k] + self.shift[k], cuts)[::2]
+        out = np.repeat(np.arange(salt + 1, salt + bands + 1, dtype=np.uint64)[:, None], len(firsts), axis=1)
+        grouped = least.reshape(bands, self.rows, len(firsts))
         for r in range(self.rows):
             out = mixed(out * np.uint64(0xD1342543DE82EF95) + grouped[:, r])
         return np.ascontiguousarray(out.T).view(np.int64)
 
 
 def _units(texts: list[bytes], signer: Signer) -> tuple[np.ndarray, np.ndarray, list]:
-    """Paragraphs and pieces of some texts: rows (text number, level, start, end, n_words), digests, and band hashes of paragraphs.
+    """Lines and windows of some texts: rows (text number, level, start, end, first word, n_words), digests, and band hashes.
 
     Offsets are code points of the text. The texts stand one after another, a
     line apart, so that short ones share the cost of a numpy call.
@@ -84,7 +89,7 @@ def _units(texts: list[bytes], signer: Signer) -> tuple[np.ndarray, np.ndarray,
     data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
     starts, ends = word_spans(data)
     if not len(starts):
-        return np.zeros((5, 0), dtype=np.int64), np.zeros(0, dtype=np.uint64), []
+        return np.zeros((6, 0), dtype=np.int64), np.zeros(0, dtype=np.uint64), []
     text_starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
     owner = np.searchsorted(text_starts, starts, side="right") - 1
     hashes = word_hashes(data, starts, ends)
@@ -97,17 +102,19 @@ def _units(texts: list[bytes], signer: Signer) -> tuple[np.ndarray, np.ndarray,
     lasts = np.append(firsts[1:], len(starts))
     long = lasts - firsts >= MIN_WORDS
     firsts, lasts = firsts[long], lasts[long]
-    bands = list(signer.bands_of(windows(hashes, SHINGLE), firsts, lasts - SHINGLE)) if len(firsts) else []
-    at, piece = taken_pieces(hashes)
-    within = owner[at] == owner[at + PIECE - 1] if len(at) else np.zeros(0, dtype=bool)
-    at, piece = at[within], piece[within]
-    a, b = np.concatenate((firsts, at)), np.concatenate((lasts, at + PIECE))
-    level = np.concatenate((np.zeros(len(firsts), dtype=np.int64), np.ones(len(at), dtype=np.int64)))
+    at, same = window_starts(hashes)
+    within = owner[at] == owner[at + WINDOW - 1] if len(at) else np.zeros(0, dtype=bool)
+    at, same = at[within], same[within]
+    a, b = np.concatenate((firsts, at)), np.concatenate((lasts, at + WINDOW))
     if not len(a):
-        return np.zeros((5, 0), dtype=np.int64), np.zeros(0, dtype=np.uint64), []
+        return np.zeros((6, 0), dtype=np.int64), np.zeros(0, dtype=np.uint64), []
+    shingles = windows(hashes, SHINGLE)
+    bands = [*signer.bands_of(shingles, firsts, lasts - SHINGLE, signer.bands), *signer.bands_of(shingles, at, at + WINDOW - SHINGLE, 1, signer.bands)]
+    level = np.concatenate((np.zeros(len(firsts), dtype=np.int64), np.ones(len(at), dtype=np.int64)))
+    first_word = np.searchsorted(owner, np.arange(len(texts)))
     zero = lead[text_starts[owner[a]]]
-    rows = np.stack([owner[a], level, lead[starts[a]] - zero, lead[ends[b - 1]] - zero, b - a])
-    return rows, np.concatenate((span_hashes(hashes, firsts, lasts), piece)), bands + [None] * len(at)
+    rows = np.stack([owner[a], level, lead[starts[a]] - zero, lead[ends[b - 1]] - zero, a - first_word[owner[a]], b - a])
+    return rows, np.concatenate((span_hashes(hashes, firsts, lasts), mixed(same))), bands
 
 
 def _chunks(texts: list[bytes], size: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
@@ -127,11 +134,10 @@ def _unit_rows(bands: int, rows: int):
         for batch in batches:
             for first, part in _chunks([(t or "").encode("utf-8", "replace") for t in batch["text"]]):
                 at, digests, band = _units(part, signer)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": batch["doc_id"].iloc[first + at[0]].reset_index(drop=True), "level": at[1].astype(np.int32), "start": at[2], "end": at[3],
-                        "n_words": at[4], "digest": digests.view(np.int64), "bands": pd.Series(band, dtype=object),
-                    }
+                own = batch[["doc_id", "text_hash"]].iloc[first + at[0]].reset_index(drop=True)
+                yield own.assign(
+                    level=at[1].astype(np.int32), start=at[2].astype(np.int32), end=at[3].astype(np.int32), word=at[4].astype(np.int32), n_words=at[5].astype(np.int32),
+                    id=digests.view(np.int64), bands=pd.Series(band, dtype=object),
                 )
 
     return marked
@@ -143,49 +149,70 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": batch["id"], "members": shingles})
 
 
+def _passages(found: DataFrame) -> DataFrame:
+    """Windows of a text that overlap, and go or stay for the same text, as one row."""
+    text = Window.partitionBy("doc_id", "text_hash", "copy").orderBy("word", "id")
+    last = F.lag(F.struct(F.col("word"), "removed", "kept_doc_id", "kept_hash")).over(text)
+    breaks = F.coalesce(
+        (F.col("word") - last["word"] > WINDOW) | (last["removed"] != F.col("removed")) | ~last["kept_doc_id"].eqNullSafe(F.col("kept_doc_id")) | (last["kept_hash"] != F.col("kept_hash")), F.lit(True)
+    )
+    merged = found.withColumn("breaks", breaks).withColumn("run", F.sum(F.col("breaks").cast("int")).over(text)).groupBy("doc_id", "text_hash", "copy", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") + WINDOW - F.min("word")).alias("n_words"), F.min_by("cluster", "word").alias("cluster"),
+        F.min("cluster_size").alias("cluster_size"), F.first("removed").alias("removed"), F.first("kept_doc_id").alias("kept_doc_id"),
+    )
+    return merged.withColumn("level", F.lit(1))
+
+
 def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """Every paragraph or piece that occurs twice or more, exactly or nearly.
-
-    Returns doc_id, level ('paragraph' or 'piece'), start and end (code points),
-    n_words, cluster (the same for all occurrences), cluster_size and removed
-    (false for the first occurrence by doc_id and start, null ids last). Pieces
-    that lie in a removed paragraph go with it: they are not reported, and don't
-    count as occurrences. Paragraphs of
-    fewer than MIN_WORDS words, and runs of fewer than PIECE, are left alone,
-    and so are null and empty texts. Rows
-    repeated in docs count as occurrences; white space does not matter to
-    equality; other columns are not read.
+    """Every line or passage that occurs twice or more, exactly or nearly.
+
+    Returns doc_id, level ('line' or 'passage'), start and end (code points),
+    n_words, cluster (the same for all occurrences of a line; for a passage,
+    that of its first window), cluster_size, removed (false for the first
+    occurrence by doc_id and start, null ids last) and kept_doc_id (the document
+    where that occurrence stays). Windows that lie in a removed line go with it:
+    they are not told, and don't count as occurrences. Lines of fewer than
+    MIN_WORDS words, and runs of fewer than WINDOW, are left alone, and so are
+    null and empty texts; runs of WINDOW + REACH - 1 words are always found,
+    shorter ones by chance. Rows repeated in docs are occurrences of their own,
+    of which the first stays; texts of any length are read whole; white space
+    does not matter to equality; other columns are not read.
     """
     bands, rows = tune_bands(similarity, recall)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, level int, start int, end int, n_words int, digest long, bands array<long>"
-    units = written(plain.mapInPandas(_unit_rows(bands, rows), schema), "units")
-    lines = units.where("level = 0").select(F.col("digest").alias("id"), "bands")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start", "end")
+    text = F.col("text").cast("string")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    schema = "doc_id long, text_hash long, level int, start int, end int, word int, n_words int, id long, bands array<long>"
+    units = written(plain.mapInPandas(_unit_rows(bands, rows), schema).withColumn("nth", F.monotonically_increasing_id()), "units")
+    again = units.select(F.explode("bands").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
+    again = small_side(written(again, "cells"), 2_000_000)
+    met = units.select("nth", F.explode("bands").alias("cell")).join(again, "cell", "left_semi").select("nth").distinct()
+    copy = F.row_number().over(Window.partitionBy("doc_id", "text_hash", "id", "start").orderBy(F.lit(1)))
+    some = written(units.join(met, "nth", "left_semi").drop("nth").withColumn("copy", copy), "repeated")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start", "end", "text_hash", "copy")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        spots = units.where("level = 0").join(small_side(ids.withColumnRenamed("id", "digest")), "digest").groupBy("digest").agg(F.min(place).alias("at"))
-        spots = spots.select(F.col("digest").alias("id"), "at.doc_id", "at.start", "at.end").groupBy("doc_id").agg(F.collect_list(F.struct("id", "start", "end")).alias("spots"))
-        same = F.col("p.doc_id").eqNullSafe(F.col("s.doc_id"))
+        spots = some.join(small_side(written(ids, "needed")), "id", "left_semi").groupBy("id").agg(F.min(place).alias("at"))
+        spots = spots.groupBy("at.doc_id", "at.text_hash").agg(F.collect_list(F.struct("id", F.col("at.start").alias("start"), F.col("at.end").alias("end"))).alias("spots"))
+        same = F.col("p.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("p.text_hash") == F.col("s.text_hash"))
         parts = plain.alias("p").join(small_side(written(spots, "spots"), 100_000).alias("s"), same).withColumn("spot", F.explode("spots"))
         parts = parts.select("spot.id", F.expr("substring(text, spot.start + 1, spot.end - spot.start)").alias("part"))
-        return written(parts.mapInPandas(_sets, "id long, members array<long>").dropDuplicates(["id"]), "shingles")
+        return parts.mapInPandas(_sets, "id long, members array<long>").dropDuplicates(["id"])
 
-    near = link_cells(lines, F.col("bands"), sets_of=sets_of, similarity=similarity, room=12)
-    counts = units.groupBy("level", "digest").agg(F.count(F.lit(1)).alias("n"))
-    clusters = counts.join(near.select(F.lit(0).alias("level"), F.col("id").alias("digest"), "component"), ["level", "digest"], "left")
-    clusters = clusters.where("n > 1 or component is not null").select("level", "digest", F.coalesce("component", "digest").alias("cluster"))
-    clusters = written(clusters, "clusters")
-    found = units.drop("bands").join(small_side(clusters), ["level", "digest"])
-    found = written(found.select("doc_id", "level", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("n_words").cast("long").alias("n_words"), "cluster"), "occurrences")
+    near = link_cells(some.where("copy = 1").select("id", "bands"), F.col("bands"), sets_of=sets_of, similarity=similarity, room=12)
+    counts = some.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(near, "id", "left")
+    clusters = written(counts.where("n > 1 or component is not null").select("id", F.coalesce("component", "id").alias("cluster")), "clusters")
+    found = written(join_spread(some.drop("bands"), clusters, "id"), "occurrences")
 
     def told(rows: DataFrame) -> DataFrame:
-        firsts = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"), F.min(place).alias("first"))
-        rows = rows.join(firsts, "cluster").withColumn("removed", F.col("first") != place)
-        return rows.select("doc_id", "level", "start", "end", "n_words", "cluster", "cluster_size", "removed")
-
-    whole = written(told(found.where("level = 0")), "paragraphs")
-    gone = whole.where("removed").select(F.col("doc_id").alias("d"), F.col("start").alias("s"), F.col("end").alias("e"))
-    inside = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") >= F.col("s")) & (F.col("end") <= F.col("e"))
-    pieces = told(written(found.where("level = 1").join(gone, inside, "left_anti"), "pieces")).where("cluster_size > 1")
-    return whole.unionByName(pieces).withColumn("level", F.when(F.col("level") == 0, "paragraph").otherwise("piece"))
+        firsts = written(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"), F.min(place).alias("first")).where("cluster_size > 1"), "firsts")
+        rows = join_spread(rows, firsts, "cluster").withColumn("removed", F.col("first") != place)
+        return rows.withColumn("kept_doc_id", F.col("first.doc_id")).withColumn("kept_hash", F.col("first.text_hash")).drop("first")
+
+    lines = written(told(found.where("level = 0")), "lines")
+    gone = lines.where("removed").select(*[F.col(c).alias(f"gone_{c}") for c in ("doc_id", "text_hash", "copy", "start", "end")])
+    inside = F.col("doc_id").eqNullSafe(F.col("gone_doc_id")) & (F.col("text_hash") == F.col("gone_text_hash")) & (F.col("copy") == F.col("gone_copy"))
+    inside = inside & (F.col("start") >= F.col("gone_start")) & (F.col("end") <= F.col("gone_end"))
+    left = written(found.where("level = 1").join(gone, inside, "left_anti"), "windows")
+    out = ["doc_id", "level", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("n_words").cast("long").alias("n_words"), "cluster", "cluster_size", "removed", "kept_doc_id"]
+    rows = lines.select(*out).unionByName(_passages(told(left)).select(*out))
+    return rows.withColumn("level", F.when(F.col("level") == 0, "line").otherwise("passage"))

@@ -198,12 +198,12 @@ def test_bands_reach_the_recall():
     assert 1 - (1 - 0.8**rows) ** bands >= 0.997 and 1 - (1 - 0.4**rows) ** bands <= 0.5
 
 
-def test_fifty_shared_words_always_share_a_piece():
+def test_twenty_shared_words_always_share_a_window():
     r = np.random.default_rng(9)
     for _ in range(50):
-        shared = r.integers(0, 1 << 63, 50, dtype=np.uint64)
+        shared = r.integers(0, 1 << 63, 20, dtype=np.uint64)
         texts = [np.concatenate([r.integers(0, 1 << 63, r.integers(0, 90), dtype=np.uint64), shared, r.integers(0, 1 << 63, r.integers(0, 90), dtype=np.uint64)]) for _ in range(2)]
-        a, b = (set(substring_dedup.taken_pieces(t)[1].tolist()) for t in texts)
+        a, b = (set(substring_dedup.window_starts(t)[1].tolist()) for t in texts)
         assert a & b
 
 
@@ -231,13 +231,33 @@ def test_repeated_passages_are_found_and_clean_texts_left(spark):
         assert len(members) == members[0].cluster_size and sum(not x.removed for x in members) == 1
     near = next(m for m in clusters.values() if {x.doc_id for x in m} >= {3, 4})
     assert next(x for x in near if not x.removed).doc_id == 3
-    assert all(texts[x.doc_id][x.start : x.end] in passage for x in found if x.doc_id in (1, 2))
+    shared = [x for x in found if x.doc_id in (1, 2)]
+    assert len(shared) == 2 and all(texts[x.doc_id][x.start : x.end] in passage and x.n_words >= 55 - 2 * 8 and x.kept_doc_id == 1 for x in shared)
+
+
+def test_passages_equal_brute_force_on_documents(spark):
+    """Every window that two texts of `documents` share, and that lies in no removed line, lies in a told passage."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = substring_dedup.repeated_passages(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    spans = defaultdict(list)
+    for x in found:
+        spans[x.doc_id].append((x.start, x.end))
+    runs, size = defaultdict(list), substring_dedup.WINDOW + substring_dedup.REACH - 1
+    for d, t in docs.items():
+        words = [m.span() for m in WORD.finditer(t)]
+        for i in range(len(words) - size + 1):
+            runs[tuple(t[a:b] for a, b in words[i : i + size])].append((d, words[i][0], words[i + size - 1][1]))
+    shared = [r for rs in runs.values() if len({d for d, _, _ in rs}) > 1 for r in rs]
+    assert len(shared) > 500
+    assert all(any(a < end and start < b for a, b in spans[d]) for d, start, end in shared)
+    copied = {d for d, _, _ in shared}
+    assert {x.doc_id for x in found if x.level == "passage"} <= copied | {d for d, t in docs.items() if len(set(t.split())) < len(t.split())}
 
 
 def test_paragraph_recall_against_brute_force(spark):
     lines = [t for s in range(6) for t in near_copies(8, 60, 1, 20 + s)]
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    got = [x for x in substring_dedup.repeated_passages(df).collect() if x.level == "paragraph"]
+    got = [x for x in substring_dedup.repeated_passages(df).collect() if x.level == "line"]
     want = classes(jaccard_links(dict(enumerate(lines))), range(len(lines)))
     groups = defaultdict(set)
     for x in got:
@@ -255,8 +275,8 @@ def test_a_passage_in_the_first_of_several_copies_is_still_linked(spark):
     copied = f"{fresh(50)} {passage} {fresh(40)}"
     rows = [(1, f"{fresh(70)} {passage} {fresh(80)}"), (2, f"{fresh(30)}\n{copied}"), (3, f"{copied}\n{fresh(30)}")]
     found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(x.doc_id, x.removed) for x in found if x.level == "paragraph"} == {(2, False), (3, True)}
-    assert {(x.doc_id, x.removed) for x in found if x.level == "piece"} == {(1, False), (2, True)}
+    assert {(x.doc_id, x.removed) for x in found if x.level == "line"} == {(2, False), (3, True)}
+    assert {(x.doc_id, x.removed) for x in found if x.level == "passage"} == {(1, False), (2, True)}
     assert all(x.cluster_size == 2 for x in found)
 
 
@@ -267,14 +287,14 @@ def test_passages_of_twenty_words_are_found(spark):
     rows = [(1, f"{fresh(40)}\n{line} a"), (2, f"{line} b\n{fresh(50)}"), (3, f"{fresh(60)} {run} {fresh(30)}"), (4, f"{fresh(33)} {run}\n{fresh(70)}")]
     rows += [(5, f"{fresh(60)}\n{short}\n{end} a\n{fresh(40)}"), (6, f"{short}\n\n{end} b\n{fresh(30)}"), (7, fresh(300))]
     found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {x.doc_id for x in found if x.level == "paragraph"} == {1, 2, 5, 6}
-    assert {x.doc_id for x in found if x.level == "piece"} == {3, 4}
+    assert {x.doc_id for x in found if x.level == "line"} == {1, 2, 5, 6}
+    assert {x.doc_id for x in found if x.level == "passage"} == {3, 4}
 
 
 def test_passages_of_odd_rows(spark):
     odd = odd_rows(spark)
     found = substring_dedup.repeated_passages(odd).collect()
-    assert sum(x.level == "paragraph" and (x.doc_id or 0) >= 1000 for x in found) == 40
+    assert sum(x.level == "line" and (x.doc_id or 0) >= 1000 for x in found) == 40
     assert {x.doc_id for x in found if x.doc_id is not None and x.doc_id < 1000} <= {6, 7}
     assert substring_dedup.repeated_passages(odd.limit(0)).count() == 0
 
