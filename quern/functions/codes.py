@@ -16,10 +16,19 @@ def code_has_prefix(codes: Column, prefixes: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def same_reference(a: Column, b: Column) -> Column:
-    """Whether two references agree, ends trimmed and case ignored; false for null and blank."""
-    left, right = F.lower(F.trim(a)), F.lower(F.trim(b))
-    return F.coalesce((left == right) & (left != ""), F.lit(False))
+def same_reference(code: Column, reference: Column, aliases: Column | None = None) -> Column:
+    """Whether a reference is a code or one of its aliases (an array), ends trimmed and case ignored; false for null and blank."""
+    plain = lambda c: F.lower(F.trim(c))
+    hit = F.coalesce(plain(code) == plain(reference), F.lit(False))
+    if aliases is not None:
+        hit = hit | F.coalesce(F.exists(aliases, lambda a: F.coalesce(plain(a) == plain(reference), F.lit(False))), F.lit(False))
+    return hit & F.coalesce(plain(reference) != "", F.lit(False))
+
+
+def reference_keys(code: Column, aliases: Column) -> Column:
+    """Distinct keys of a code and its aliases to look references up by: trimmed, lower case, none blank."""
+    every = F.transform(F.concat(F.array(code), F.coalesce(aliases, F.array().cast("array<string>"))), lambda c: F.lower(F.trim(c)))
+    return F.array_distinct(F.filter(every, lambda c: c.isNotNull() & (c != "")))
 
 
 def in_hierarchy(code: Column, others: Column) -> Column:
@@ -49,3 +58,12 @@ def plain_decimal(text: Column, scale: int = 2) -> Column:
 def calendar_date(text: Column) -> Column:
     """The date of an ISO date with an optional zone, which is ignored; null for anything else."""
     return F.try_to_date(F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})(?:Z|[+-]\d{2}:\d{2})?$", 1), "yyyy-MM-dd")
+
+
+def title_or_location(title: Column, geography: Column, *texts: Column) -> Column:
+    """Whether the place agrees, or one of the texts holds the whole title (ends trimmed, case ignored); a blank title is held by none."""
+    needle = F.lower(F.trim(title))
+    held = F.lit(False)
+    for text in texts:
+        held = held | F.coalesce(F.contains(F.lower(text), needle), F.lit(False))
+    return F.coalesce(geography, F.lit(False)) | (F.coalesce(needle != "", F.lit(False)) & held)

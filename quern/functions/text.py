@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A segment ends after each of these.
@@ -41,18 +41,38 @@ def has_phrase(text: Column, *phrases: str) -> Column:
     return F.coalesce(text.rlike(phrase_pattern(*phrases)), F.lit(False))
 
 
+#: Pieces of a text whose lengths are added up at once.
+BLOCK = 128
+
+
+def _with_offsets(pieces: Column) -> Column:
+    """Array of struct(piece, start), start being the length of all pieces before: added up inside blocks, then over blocks."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda b: F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK)))
+    row = "struct<total:bigint,rows:array<struct<piece:string,start:bigint>>>"
+    begin = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<piece:string,start:bigint>>").alias("rows")).cast(row)
+
+    def add(sums: Column, piece: Column) -> Column:
+        own = F.array(F.struct(piece.alias("piece"), sums["total"].alias("start")))
+        return F.struct((sums["total"] + F.length(piece)).alias("total"), F.concat(sums["rows"], own).alias("rows"))
+
+    def join(sums: Column, block: Column) -> Column:
+        moved = F.transform(block["rows"], lambda r: F.struct(r["piece"].alias("piece"), (r["start"] + sums["total"]).alias("start")))
+        return F.struct((sums["total"] + block["total"]).alias("total"), F.concat(sums["rows"], F.array(moved)).alias("rows"))
+
+    nested = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<array<struct<piece:string,start:bigint>>>").alias("rows"))
+    return F.flatten(F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, begin, add)), nested, join)["rows"])
+
+
 def segments(df: DataFrame, key: str, text: str, ends: str = SEGMENT_END) -> DataFrame:
     """key, segment_no, segment, start and end: the trimmed, non-blank segments of each text.
 
     A terminator stays with the segment before it; offsets are code points, the
-    end exclusive. One shuffle, by key, for the running offsets.
+    end exclusive. Offsets are worked out inside the row, so nothing is shuffled.
     """
     cut = f"(?<=[{re.escape(ends)}])" if "\n" not in ends else "(?<=[" + re.escape(ends.replace("\n", "")) + r"\n])"
-    pieces = df.select(key, F.posexplode(F.split(F.col(text), cut)).alias("segment_no", "piece"))
-    before = Window.partitionBy(key).orderBy("segment_no").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0))
+    pieces = df.select(key, F.posexplode(_with_offsets(F.split(F.col(text), cut))).alias("segment_no", "p")).select(key, "segment_no", "p.piece", F.col("p.start").alias("offset"))
     lead = F.length("piece") - F.length(F.regexp_replace("piece", r"(?U)^\s+", ""))
-    out = pieces.withColumn("offset", offset).withColumn("segment", trimmed(F.col("piece"))).where("segment <> ''")
+    out = pieces.withColumn("segment", trimmed(F.col("piece"))).where("segment <> ''")
     start = (F.col("offset") + lead).cast("long")
     return out.select(key, F.col("segment_no").cast("long").alias("segment_no"), "segment", start.alias("start"), (start + F.length("segment")).alias("end"))
 

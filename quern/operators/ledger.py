@@ -80,10 +80,15 @@ def package_state(complete: Column, invalidated_at: Column, fresh_until: Column,
     )
 
 
+def leads_backwards(signal: Column, outcome: Column) -> Column:
+    """Whether an outcome is before its signal; such a row is to be refused."""
+    return F.coalesce(F.datediff(outcome, signal) < 0, F.lit(False))
+
+
 def lead_days(signal: Column, outcome: Column) -> Column:
-    """Days from a signal to its outcome; null if the outcome is before it."""
-    days = F.datediff(outcome, signal)
-    return F.when(days >= 0, days.cast("long"))
+    """Days from a signal to its outcome. An outcome before its signal is an error that stops the query."""
+    stop = F.raise_error(F.lit("an outcome cannot be before its signal"))
+    return F.when(leads_backwards(signal, outcome), stop.cast("long")).otherwise(F.datediff(outcome, signal).cast("long"))
 
 
 def latest_wins(log: DataFrame, key: str, order: str, deleted: str) -> DataFrame:

@@ -8,31 +8,64 @@ from pyspark.sql import functions as F
 OPEN, CLOSED, PARTIAL, UNRESOLVED = "OPEN", "CLOSED", "PARTIAL", "UNRESOLVED"
 
 
-def tier(reference: Column, authority: Column, geography: Column, title: Column, code: Column, phrase: Column, semantic: Column, corroborating: Column) -> Column:
+def tier(reference: Column, authority: Column, geography: Column, title: Column, code: Column, overlap: Column, window: Column, corroborating: Column, semantic: Column) -> Column:
     """Strength of the evidence that a notice is about a component.
 
-    A: same reference, with a phrase or code of the component. B: same authority
-    and place, with phrase or code, and something that corroborates. C: place or
-    title, with phrase or code. D: semantic likeness only. NONE otherwise.
+    A, B and C all need an overlap of scope (a phrase of the component) and a
+    date inside the project's window. Then A: the same reference. B: same
+    authority, same place and a code of the component. C: title or location, a
+    code, and an amount or date that corroborates. D: semantic likeness only.
+    NONE otherwise. A null check does not hold.
     """
-    about = phrase | code
+    said = lambda c: F.coalesce(c, F.lit(False))
+    within = said(overlap) & said(window)
     return (
-        F.when(reference & about, "A")
-        .when(authority & geography & about & corroborating, "B")
-        .when((geography | title) & about, "C")
-        .when(semantic, "D")
+        F.when(within & said(reference), "A")
+        .when(within & said(authority) & said(geography) & said(code), "B")
+        .when(within & said(title) & said(code) & said(corroborating), "C")
+        .when(said(semantic), "D")
         .otherwise("NONE")
     )
 
 
-def disposition(tier_: Column, day: Column, cutoff: Column) -> Column:
-    """ACCEPT, REVIEW or REJECT of evidence with a tier and an effective date: nothing after the cutoff counts."""
-    return (
-        F.when(day.isNull() | (day > cutoff), "REJECT")
-        .when(tier_.isin("A", "B"), "ACCEPT")
-        .when(tier_.isin("C", "D"), "REVIEW")
-        .otherwise("REJECT")
-    )
+def plausible(reference: Column, code: Column, geography: Column, title: Column) -> Column:
+    """Whether a notice may be about a component, whatever its tier: it has the reference, or a code together with place, title or location."""
+    said = lambda c: F.coalesce(c, F.lit(False))
+    return said(reference) | (said(code) & (said(geography) | said(title)))
+
+
+def _judged(tier_: Column, may_be: Column, exact_span: Column, day: Column, cutoff: Column) -> list[tuple[Column, str, str]]:
+    strong = tier_.isin("A", "B")
+    return [
+        (day.isNull() | (day > cutoff), "REJECT", "after the cutoff"),
+        (strong & ~F.coalesce(exact_span, F.lit(False)), "REVIEW", "strong, but without an exact span"),
+        (strong, "ACCEPT", "strong, with an exact span"),
+        (tier_ == "C", "REVIEW", "corroborated, but not strong"),
+        (F.coalesce(may_be, F.lit(False)), "REVIEW", "plausible, so it may not be left out"),
+        (tier_ == "D", "REJECT", "alike in words only"),
+    ]
+
+
+def disposition(tier_: Column, may_be: Column, exact_span: Column, day: Column, cutoff: Column) -> Column:
+    """ACCEPT, REVIEW or REJECT of evidence with a tier, a plausibility and an effective date.
+
+    Nothing after the cutoff, or without a date, counts. A and B are accepted
+    with an exact source span and reviewed without one; C is reviewed, and so is
+    whatever else is plausible. Semantic likeness alone (D) and the rest are
+    rejected.
+    """
+    out = F.lit("REJECT")
+    for holds, says, _ in reversed(_judged(tier_, may_be, exact_span, day, cutoff)):
+        out = F.when(holds, says).otherwise(out)
+    return out
+
+
+def disposition_reason(tier_: Column, may_be: Column, exact_span: Column, day: Column, cutoff: Column) -> Column:
+    """Why `disposition` decides as it does."""
+    out = F.lit("no rule holds")
+    for holds, _, why in reversed(_judged(tier_, may_be, exact_span, day, cutoff)):
+        out = F.when(holds, why).otherwise(out)
+    return out
 
 
 def component_states(components: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
@@ -41,7 +74,8 @@ def component_states(components: DataFrame, evidence: DataFrame, key: str) -> Da
     In this order: an unclear boundary is UNRESOLVED; accepted evidence closes;
     evidence to review is UNRESOLVED; so is incomplete coverage; else OPEN. A
     component without evidence keeps its row. evidence_ids are those that the
-    state rests on, sorted.
+    state rests on, sorted; of an unclear boundary first the accepted ones, then
+    those to review.
     """
     ids = lambda d: F.array_sort(F.collect_list(F.when(F.col("disposition") == d, F.col("evidence_id"))))
     sums = evidence.where(F.col("disposition") != "REJECT").groupBy(key).agg(ids("ACCEPT").alias("accepted"), ids("REVIEW").alias("review"))
@@ -62,7 +96,8 @@ def component_states(components: DataFrame, evidence: DataFrame, key: str) -> Da
         .when(~F.col("coverage_complete"), "coverage")
         .otherwise("none found")
     )
-    used = F.when(reason == "accepted", F.col("accepted")).when(reason == "review", F.col("review")).otherwise(none)
+    both = F.concat(F.coalesce("accepted", none), F.coalesce("review", none))
+    used = F.when(reason == "boundary", both).when(reason == "accepted", F.col("accepted")).when(reason == "review", F.col("review")).otherwise(none)
     return joined.select(*components.columns, state.alias("state"), reason.alias("reason"), used.alias("evidence_ids"))
 
 

@@ -21,8 +21,10 @@ def relevance_score(in_domain: Column, has_code: Column, in_place: Column, large
     return score.cast("long")
 
 
-def relevance_label(score: Column) -> Column:
-    return F.when(score == 4, "HIGH").when(score == 3, "MEDIUM").when(score >= 1, "LOW").otherwise("NOT_RELEVANT")
+def relevance_label(score: Column, has_profile: Column | None = None) -> Column:
+    """All four checks: HIGH; three: MEDIUM; two: LOW; else NOT_RELEVANT. Without a profile to check against: LOW."""
+    label = F.when(score == 4, "HIGH").when(score == 3, "MEDIUM").when(score == 2, "LOW").otherwise("NOT_RELEVANT")
+    return label if has_profile is None else F.when(F.coalesce(has_profile, F.lit(False)), label).otherwise("LOW")
 
 
 def criterion(values: Column, wanted: Column) -> Column:
@@ -46,8 +48,13 @@ def searched(df: DataFrame, words: str | None, fields: list[str], **equal) -> Da
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
-    """Page `number` (from 1; clamped) of a total order; size falls back to the least permitted one."""
+    """Page `number` of a total order, from 1 and no further than the last one; size falls back to the least permitted one.
+
+    Rows are counted only if the page is not the first.
+    """
     size = size if size in PAGE_SIZES else PAGE_SIZES[0]
+    if number > 1:
+        number = min(number, max(1, -(-df.count() // size)))
     return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 

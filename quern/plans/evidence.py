@@ -46,25 +46,31 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = lines.select("l_orderkey", *[F.col(c).alias(f"b_{c[2:]}") for c in lines.columns if c != "l_orderkey"])
     pairs = a.join(b, "l_orderkey").where("a_linenumber <> b_linenumber")
     same = lambda c: F.col(f"a_{c}") == F.col(f"b_{c}")
-    found = matching.tier(
-        F.col("a_suppkey") % 7 == F.col("b_suppkey") % 7, same("linestatus"), same("tax"), same("discount"), F.col("a_partkey") % 10 == F.col("b_partkey") % 10,
-        same("returnflag"), F.abs(F.col("a_quantity") - F.col("b_quantity")) < 3, F.col("b_quantity") > 25,
-    )
-    day = dates.effective_date(F.to_date("b_shipdate"), F.when(F.col("b_returnflag") == "R", F.date_sub(F.to_date("b_shipdate"), 30)))
-    return pairs.withColumn("tier", found).withColumn("disposition", matching.disposition(F.col("tier"), day, F.to_date(F.lit(CUTOFF))))
-
-
-_PAIRS = f"""select a.l_orderkey, a.l_linenumber as a_linenumber, b.l_linenumber as b_linenumber, a.l_quantity as a_quantity, a.l_returnflag as a_returnflag, t.tier,
-case when d.day > date '{CUTOFF}' then 'REJECT' when t.tier in ('A', 'B') then 'ACCEPT' when t.tier in ('C', 'D') then 'REVIEW' else 'REJECT' end as disposition
-from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber <> b.l_linenumber,
-lateral (select (a.l_partkey % 10 = b.l_partkey % 10 or a.l_returnflag = b.l_returnflag) as about) x,
-lateral (select case when a.l_suppkey % 7 = b.l_suppkey % 7 and about then 'A' when a.l_linestatus = b.l_linestatus and a.l_tax = b.l_tax and about and b.l_quantity > 25 then 'B'
- when (a.l_tax = b.l_tax or a.l_discount = b.l_discount) and about then 'C' when abs(a.l_quantity - b.l_quantity) < 3 then 'D' else 'NONE' end as tier) t,
-lateral (select least(cast(b.l_shipdate as date), case when b.l_returnflag = 'R' then cast(b.l_shipdate as date) - 30 end) as day) d"""
+    ship = lambda p: F.to_date(f"{p}_shipdate")
+    reference, geography, code = F.col("a_suppkey") % 7 == F.col("b_suppkey") % 7, same("tax"), F.col("a_partkey") % 10 == F.col("b_partkey") % 10
+    title = same("discount") | geography
+    window = dates.in_window(ship("b"), F.when(F.col("a_linenumber") != 3, F.date_sub(ship("a"), 40)), F.when(F.col("a_linenumber") % 3 != 0, F.date_add(ship("a"), 40)))
+    found = matching.tier(reference, same("linestatus"), geography, title, code, same("returnflag"), window, F.col("b_quantity") > 25, F.abs(F.col("a_quantity") - F.col("b_quantity")) < 3)
+    day = dates.effective_date(ship("b"), F.when(F.col("b_returnflag") == "R", F.date_sub(ship("b"), 30)))
+    judged = [F.col("tier"), matching.plausible(reference, code, geography, title), F.col("b_quantity") % 4 != 0, day, F.to_date(F.lit(CUTOFF))]
+    return pairs.withColumn("tier", found).withColumn("disposition", matching.disposition(*judged)).withColumn("reason", matching.disposition_reason(*judged))
+
+
+_PAIRS = f"""select l_orderkey, a_linenumber, b_linenumber, a_quantity, a_returnflag, tier,
+case when late then 'REJECT' when tier in ('A', 'B') then if(exact_span, 'ACCEPT', 'REVIEW') when tier = 'C' or reference or (code and title) then 'REVIEW' else 'REJECT' end as disposition,
+case when late then 'after the cutoff' when tier in ('A', 'B') and not exact_span then 'strong, but without an exact span' when tier in ('A', 'B') then 'strong, with an exact span'
+ when tier = 'C' then 'corroborated, but not strong' when reference or (code and title) then 'plausible, so it may not be left out' when tier = 'D' then 'alike in words only' else 'no rule holds' end as reason
+from (select *, case when not (overlap and inside) then if(semantic, 'D', 'NONE') when reference then 'A' when authority and place and code then 'B' when title and code and corroborating then 'C' when semantic then 'D' else 'NONE' end as tier
+ from (select a.l_orderkey, a.l_linenumber as a_linenumber, b.l_linenumber as b_linenumber, a.l_quantity as a_quantity, a.l_returnflag as a_returnflag,
+  a.l_suppkey % 7 = b.l_suppkey % 7 as reference, a.l_linestatus = b.l_linestatus as authority, a.l_tax = b.l_tax as place, a.l_discount = b.l_discount or a.l_tax = b.l_tax as title,
+  a.l_partkey % 10 = b.l_partkey % 10 as code, a.l_returnflag = b.l_returnflag as overlap, b.l_quantity > 25 as corroborating, abs(a.l_quantity - b.l_quantity) < 3 as semantic, b.l_quantity % 4 <> 0 as exact_span,
+  case when a.l_linenumber = 3 then false when a.l_linenumber % 3 = 0 then cast(b.l_shipdate as date) >= cast(a.l_shipdate as date) - 40 else abs(cast(b.l_shipdate as date) - cast(a.l_shipdate as date)) <= 40 end as inside,
+  cast(b.l_shipdate as date) - if(b.l_returnflag = 'R', 30, 0) > date '{CUTOFF}' as late
+  from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber <> b.l_linenumber))"""
 
 
 def candidate_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("l_orderkey", "a_linenumber", "b_linenumber", "tier", "disposition")
+    return _pairs(spark, sf_dir).select("l_orderkey", "a_linenumber", "b_linenumber", "tier", "disposition", "reason")
 
 
 def component_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +88,7 @@ _CLASSIFIED = f"""with p as ({_PAIRS}), e as (select l_orderkey * 10 + a_linenum
 c as (select l_orderkey * 10 + l_linenumber as component, accepted, review, case when l_quantity >= 45 then 'boundary' when accepted is not null then 'accepted'
  when review is not null then 'review' when l_returnflag = 'R' then 'coverage' else 'none found' end as reason from lineitem left join e on e.component = l_orderkey * 10 + l_linenumber)
 select component, case reason when 'accepted' then 'CLOSED' when 'none found' then 'OPEN' else 'UNRESOLVED' end as state, reason,
-case reason when 'accepted' then accepted when 'review' then review else '' end as evidence_ids from c"""
+case reason when 'boundary' then concat_ws(',', accepted, review) when 'accepted' then accepted when 'review' then review else '' end as evidence_ids from c"""
 
 
 def existence_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,12 +138,27 @@ else cast(l_shipdate as date) >= cast(o_orderdate as date) end)::bigint as insid
 
 
 def exact_reference_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = table(spark, sf_dir, "lineitem").select(F.expr("case l_linenumber % 4 when 0 then ' o-' || l_orderkey || ' ' when 1 then 'O-' || l_orderkey when 2 then '' end").alias("ref"), "l_linenumber")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("O-"), F.col("o_orderkey").cast("string")).alias("code"))
-    return o.join(refs, codes.same_reference(F.col("code"), F.col("ref")) & (F.lower("code") == F.lower(F.trim("ref")))).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("hits"))
+    """References equal an order's code or its alias; the join is by key, of which an order has one for each."""
+    refs = table(spark, sf_dir, "lineitem").select(F.expr("case l_linenumber % 5 when 0 then ' o-' || l_orderkey || ' ' when 1 then 'O-' || l_orderkey when 2 then '' when 3 then 'alt/' || l_orderkey end").alias("ref"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("O-"), F.col("o_orderkey").cast("string")).alias("code"), F.when(F.col("o_orderkey") % 3 != 0, F.array(F.concat(F.lit("ALT/"), F.col("o_orderkey").cast("string")), F.lit(" "))).alias("aliases"))
+    keyed = o.select("o_orderkey", "code", "aliases", F.explode(codes.reference_keys(F.col("code"), F.col("aliases"))).alias("key"))
+    hits = keyed.join(refs, (F.col("key") == F.lower(F.trim("ref"))) & codes.same_reference(F.col("code"), F.col("ref"), F.col("aliases")))
+    return hits.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("hits"))
+
 
+_REFERENCE = """select l_orderkey as o_orderkey, count(*) as hits from lineitem join orders on l_orderkey = o_orderkey where l_linenumber % 5 in (0, 1) or l_linenumber % 5 = 3 and l_orderkey % 3 <> 0 group by 1"""
 
-_REFERENCE = """select l_orderkey as o_orderkey, count(*) as hits from lineitem join orders on l_orderkey = o_orderkey where l_linenumber % 4 in (0, 1) group by 1"""
+
+def title_or_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages (notices) whose text holds the site name in their own URL, or whose number agrees in place, next to a blank title."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    title = F.when(F.col("doc_id") % 10 == 0, F.lit("  ")).when(F.col("doc_id") % 10 != 1, F.concat(F.lit(" THE "), F.col("lang"), F.lit(" "))).otherwise(F.lit(None).cast("string"))
+    place = codes.in_hierarchy(F.when(F.col("doc_id") % 4 != 0, F.col("source")), F.concat(F.lit("src1|"), F.col("lang")))
+    return d.select("doc_id", codes.title_or_location(title, place, F.col("text"), F.col("source")).alias("hit"))
+
+
+_TITLE = """select doc_id, coalesce(doc_id % 4 <> 0 and (starts_with(source, 'src1') or starts_with('src1', source) or starts_with(source, lang) or starts_with(lang, source)), false)
+or (doc_id % 10 > 1 and coalesce(contains(lower(text), 'the ' || lang) or contains(lower(source), 'the ' || lang), false)) as hit from documents"""
 
 
 def relevance_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,14 +194,19 @@ from (select o_orderpriority, {_CENTS} as c from orders) group by 1"""
 
 def readiness_cohort_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", F.format_string("%s-%02d", "c_mktsegment", F.col("c_nationkey") * 2 + (F.col("c_custkey") % 2).cast("int")).alias("cohort"), F.abs(F.round("c_acctbal").cast("long")).alias("amount"))
-    return cohort.tiered_quantiles(c.where("c_custkey % 2 = 0 or c_custkey % 5 = 0"), "amount", "cohort")
+    c = c.where("c_custkey % 2 = 0 or c_custkey % 5 = 0")
+    proposed = c.groupBy("cohort").agg(F.when(~F.startswith("cohort", F.lit("M")), F.min("c_custkey") * 100).alias("proposed"))
+    return cohort.tiered_quantiles(c, "amount", "cohort", proposed)
 
 
-_TIERS = """with v as (select format('{}-{:02d}', c_mktsegment, c_nationkey * 2 + c_custkey % 2) as cohort, abs(cast(round(c_acctbal) as bigint)) as x from customer where c_custkey % 2 = 0 or c_custkey % 5 = 0),
-q as (select cohort, count(*) as n, quantile_disc(x, 0.25) as q1, quantile_disc(x, 0.75) as q3, quantile_disc(x, 0.9) as p90, min(x) as least, max(x) as most, list_sort(list(x)) as xs from v group by 1),
-m as (select *, xs[(n + 1) // 2] + xs[n // 2 + 1] as two from q), t as (select *, case when n >= 30 then 'FULL' when n >= 15 then 'DESCRIPTIVE' else 'REFERENCE' end as tier from m)
-select cohort, n, tier, case when n >= 15 then q1 end as q1, case when n >= 15 then (two // 2) || (case when two % 2 = 1 then '.5' else '' end) end as median,
-case when n >= 15 then q3 end as q3, case when n >= 30 then p90 end as p90, case when n >= 15 then least end as least, case when n >= 15 then most end as most from t"""
+_TIERS = """with v as (select format('{}-{:02d}', c_mktsegment, c_nationkey * 2 + c_custkey % 2) as cohort, c_custkey, abs(cast(round(c_acctbal) as bigint)) as x from customer where c_custkey % 2 = 0 or c_custkey % 5 = 0),
+p as (select cohort, case when cohort not like 'M%' then min(c_custkey) * 100 end as proposed from v group by 1),
+q as (select cohort, count(*) as n, quantile_disc(x, 0.25) as q1, quantile_disc(x, 0.75) as q3, quantile_disc(x, 0.9) as p90, min(x) as least, max(x) as most, list_sort(list(x)) as xs, count_if(x <= proposed) as below, any_value(proposed) as proposed
+ from v join p using (cohort) group by 1)
+select cohort, n, case when n >= 30 then 'FULL' when n >= 15 then 'DESCRIPTIVE' else 'REFERENCE' end as tier,
+case when n < 15 then null when n % 2 = 1 then xs[(n + 1) // 2]::varchar else ((xs[n // 2] + xs[n // 2 + 1]) // 2) || if((xs[n // 2] + xs[n // 2 + 1]) % 2 = 0, '', '.5') end as median,
+case when n >= 15 then least end as least, case when n >= 15 then most end as most, case when n >= 30 then q1 end as q1, case when n >= 30 then q3 end as q3, case when n >= 30 then p90 end as p90,
+case when n >= 30 and proposed is not null then cast(below as bigint) end as count_at_most, case when n >= 30 and proposed is not null then cast(below * 10000 // n as bigint) end as position_bps from q"""
 
 _TARGETS = (("1-URGENT", 15_000_000), ("3-MEDIUM", 9_000_000), ("5-LOW", 1))
 
@@ -197,6 +223,15 @@ r as (select o_orderpriority, cast(target as bigint) as target, row_number() ove
 select * from r where position <= 5"""
 
 
+def high_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = spark.createDataFrame([(p, x + 24_000_000) for p, x in _TARGETS], "o_orderpriority string, target long")
+    return cohort.at_or_above(_amounts(spark, sf_dir), "o_orderkey", "cents", "o_orderpriority", targets)
+
+
+_HIGH_END = f"""with t as (select o_orderpriority, cast(target + 24000000 as bigint) as target from (values {', '.join(f"('{p}', {x})" for p, x in _TARGETS)}) t(o_orderpriority, target))
+select o_orderpriority, target, row_number() over (partition by o_orderpriority order by {_CENTS}, o_orderkey) as position, o_orderkey, {_CENTS} as cents from orders join t using (o_orderpriority) where {_CENTS} >= target"""
+
+
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_date(F.max("l_shipdate")).alias("last"), F.to_date(F.min("l_shipdate")).alias("first"))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), "o_orderstatus").join(ends, "o_orderkey")
@@ -211,10 +246,12 @@ select o_orderkey, case when l >= d then (year(l) - year(d)) * 12 + month(l) - m
 
 
 def lead_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spans(spark, sf_dir).select("o_orderkey", ledger.lead_days(F.col("day"), F.col("first")).alias("lead"), ledger.lead_days(F.col("last"), F.col("day")).alias("negative"))
+    spans = _spans(spark, sf_dir)
+    late = ledger.leads_backwards(F.col("first"), F.date_sub("last", 30))
+    return spans.select("o_orderkey", ledger.lead_days(F.col("day"), F.col("first")).alias("lead"), late.alias("refused"))
 
 
-_LEAD = """select o_orderkey, case when f >= d then f - d end as lead, case when d >= l then d - l end as negative from
+_LEAD = """select o_orderkey, cast(f - d as bigint) as lead, l - 30 < f as refused from
 (select o_orderkey, cast(o_orderdate as date) as d, cast(max(l_shipdate) as date) as l, cast(min(l_shipdate) as date) as f from orders join lineitem on l_orderkey = o_orderkey group by 1, 2)"""
 
 
@@ -318,18 +355,27 @@ _SEARCH = f"""select o_orderkey, cast(coalesce(l_linenumber, 0) as bigint) as li
 where o_orderstatus = 'O' and contains(lower(concat_ws(' ', n_name, c_mktsegment, p_type)), 'build') order by cents desc, o_orderkey, l_linenumber nulls first limit 25 offset 50"""
 
 
+def last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page beyond the end is the last one."""
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    return relevance.page(suppliers, [F.desc("s_suppkey")], 10**6, 25)
+
+
+_LAST_PAGE = """select s_suppkey, s_name from (select *, row_number() over (order by s_suppkey desc) as r, count(*) over () as n from supplier) where r > (n - 1) // 25 * 25"""
+
+
 def relevance_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _opportunities(spark, sf_dir)
     score = relevance.relevance_score(
         relevance.criterion(F.array("c_mktsegment"), F.array(F.lit("BUILDING"), F.lit("MACHINERY"))), relevance.prefix_criterion(F.when(F.col("code").isNotNull(), F.array("code")), F.array(F.lit("1"), F.lit("24"))),
         F.col("n_regionkey").isin(1, 3), F.col("cents") >= 10_000_000,
     )
-    scored = rows.withColumn("score", score).withColumn("label", relevance.relevance_label(F.col("score")))
+    scored = rows.withColumn("score", score).withColumn("label", relevance.relevance_label(F.col("score"), F.col("o_orderkey") % 13 != 0))
     return scored.orderBy(F.desc("score"), "o_orderkey", F.asc_nulls_first("l_linenumber")).limit(200).select("o_orderkey", F.coalesce("l_linenumber", F.lit(0)).cast("long").alias("line"), "score", "label")
 
 
 _RANKING = f"""with s as (select o_orderkey, l_linenumber, cast(c_mktsegment in ('BUILDING', 'MACHINERY') as bigint) + cast(coalesce(regexp_matches(code, '^(1|24)'), false) as bigint) + cast(n_regionkey in (1, 3) as bigint) + cast(cents >= 10000000 as bigint) as score from ({_OPPORTUNITIES}))
-select o_orderkey, cast(coalesce(l_linenumber, 0) as bigint) as line, score, case when score = 4 then 'HIGH' when score = 3 then 'MEDIUM' when score >= 1 then 'LOW' else 'NOT_RELEVANT' end as label from s order by s.score desc, o_orderkey, l_linenumber nulls first limit 200"""
+select o_orderkey, cast(coalesce(l_linenumber, 0) as bigint) as line, score, case when o_orderkey % 13 = 0 or score = 2 then 'LOW' when score = 4 then 'HIGH' when score = 3 then 'MEDIUM' else 'NOT_RELEVANT' end as label from s order by s.score desc, o_orderkey, l_linenumber nulls first limit 200"""
 
 
 def market_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,12 +388,13 @@ _MARKET = f"""select o_orderpriority, count(*) as n, cast(sum({_CENTS}) filter (
 
 QUERIES = {
     "order_state_rollup": (order_state_rollup, _ROLLUP), "state_summary": (state_summary, _SUMMARY),
-    "candidate_tiers": (candidate_tiers, f"select l_orderkey, a_linenumber, b_linenumber, tier, disposition from ({_PAIRS})"),
+    "candidate_tiers": (candidate_tiers, f"select l_orderkey, a_linenumber, b_linenumber, tier, disposition, reason from ({_PAIRS})"),
     "component_classification": (component_classification, _CLASSIFIED), "existence_flags": (existence_flags, _FLAGS), "code_prefix_match": (code_prefix_match, _PREFIX),
     "geo_hierarchy_match": (geo_hierarchy_match, _GEO), "date_window_match": (date_window_match, _WINDOW), "exact_reference_join": (exact_reference_join, _REFERENCE),
     "relevance_prefilter": (relevance_prefilter, _PREFILTER), "funding_ecdf": (funding_ecdf, _ECDF), "funding_quantiles": (funding_quantiles, _QUANTILES),
     "readiness_cohort_tiers": (readiness_cohort_tiers, _TIERS), "closest_comparables": (closest_comparables, _NEAREST), "completed_months": (completed_months, _MONTHS),
     "lead_days": (lead_days, _LEAD), "boundary_matrix": (boundary_matrix, _BOUNDARY), "key_conflicts": (key_conflicts, _CONFLICTS), "unambiguous_link": (unambiguous_link, _UNAMBIGUOUS),
     "linkage_coverage": (linkage_coverage, _COVERAGE), "lifecycle_windows": (lifecycle_windows, _LIFECYCLE), "nested_counts": (nested_counts, _NESTED), "prefix_prevalence": (prefix_prevalence, _PREVALENCE),
+    "high_end": (high_end, _HIGH_END), "title_or_location": (title_or_location, _TITLE), "last_page": (last_page, _LAST_PAGE),
     "interval_overlap": (interval_overlap, _OVERLAP), "opportunity_search_page": (opportunity_search_page, _SEARCH), "relevance_ranking": (relevance_ranking, _RANKING), "market_summary": (market_summary, _MARKET),
 }

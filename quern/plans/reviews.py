@@ -77,7 +77,7 @@ def joint_comparables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(ends, "o_orderkey")
     months = F.when((F.col("c_mktsegment") != "MACHINERY") & (F.col("o_orderkey") % 3 != 0), dates.completed_months(F.to_date("o_orderdate"), F.col("last")))
     df = rows.select("o_orderkey", "c_mktsegment", F.expr("cast(round(o_totalprice * 100) as bigint)").alias("cents"), months.alias("months"))
-    targets = spark.createDataFrame(list(_AIMS), "c_mktsegment string, first_target long, second_target long")
+    targets = spark.createDataFrame([*_AIMS, ("HOUSEHOLD", 1, None)], "c_mktsegment string, first_target long, second_target long")
     return cohort.joint_comparables(df, "o_orderkey", "cents", "months", "c_mktsegment", targets, 4)
 
 
@@ -86,11 +86,11 @@ v as (select o_orderkey, c_mktsegment, cast(round(o_totalprice * 100) as bigint)
  from (select *, cast(o_orderdate as date) as d from orders) join customer on o_custkey = c_custkey join l on l_orderkey = o_orderkey),
 a as (select *, count(*) over (partition by c_mktsegment order by cents range between unbounded preceding and current row) * 10000 // count(*) over (partition by c_mktsegment) as pa, count(months) over (partition by c_mktsegment) as known from v),
 b as (select o_orderkey, count(*) over (partition by c_mktsegment order by months range between unbounded preceding and current row) * 10000 // count(*) over (partition by c_mktsegment) as pb from v where months is not null),
-r as (select a.*, pb from a left join b on b.o_orderkey = a.o_orderkey),
+r as (select a.*, pb from a join b on b.o_orderkey = a.o_orderkey where known >= 15),
 t as (select * from (values {', '.join(str(x) for x in _AIMS)}) t(c_mktsegment, first_target, second_target)),
-w as (select t.*, coalesce((select max(pa) from r where r.c_mktsegment = t.c_mktsegment and cents <= first_target), 0) as ta, coalesce((select max(pb) from r where r.c_mktsegment = t.c_mktsegment and months <= second_target), 0) as tb from t),
-d as (select c_mktsegment, cast(first_target as bigint) as first_target, cast(second_target as bigint) as second_target, o_orderkey, abs(cents - first_target) as v, case when known >= 15 then 7 * abs(pa - ta) + 3 * abs(pb - tb) else abs(pa - ta) end as distance from r join w using (c_mktsegment) where known < 15 or pb is not null)
-select c_mktsegment, first_target, second_target, position, o_orderkey, distance from (select *, row_number() over (partition by c_mktsegment order by distance, v, o_orderkey) as position from d) where position <= 4"""
+w as (select t.*, coalesce((select max(pa) from a where a.c_mktsegment = t.c_mktsegment and cents <= first_target), 0) as ta, coalesce((select max(pb) from r where r.c_mktsegment = t.c_mktsegment and months <= second_target), 0) as tb from t),
+d as (select c_mktsegment, cast(first_target as bigint) as first_target, cast(second_target as bigint) as second_target, o_orderkey, abs(cents - first_target) as v, abs(months - second_target) as u, 7 * abs(pa - ta) + 3 * abs(pb - tb) as distance from r join w using (c_mktsegment))
+select c_mktsegment, first_target, second_target, position, o_orderkey, distance from (select *, row_number() over (partition by c_mktsegment order by distance, v, u, o_orderkey) as position from d) where position <= 4"""
 
 
 def snapshot_members(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,18 +12,37 @@ from quern.sources import notices, operations, sinks
 from quern.streaming import ingest
 
 
+FACTS = ("reference", "authority", "geography", "title", "code", "overlap", "window", "corroborating", "semantic")
+
+
 def test_tiers_in_order(spark):
-    f = lambda *on: [F.lit(n in on) for n in ("reference", "authority", "geography", "title", "code", "phrase", "semantic", "corroborating")]
-    cases = [(("reference", "code"), "A"), (("reference",), "NONE"), (("authority", "geography", "phrase", "corroborating"), "B"), (("authority", "geography", "phrase"), "C"), (("title", "code"), "C"), (("semantic",), "D"), ((), "NONE")]
-    row = spark.range(1).select(*[matching.tier(*f(*on)).alias(str(i)) for i, (on, _) in enumerate(cases)]).first()
+    f = lambda on: [F.lit(n in on.split()) for n in FACTS]
+    cases = [
+        ("reference overlap window", "A"), ("reference overlap", "NONE"), ("reference window code", "NONE"), ("authority geography overlap code window", "B"), ("authority geography overlap window", "NONE"),
+        ("authority geography code window corroborating", "NONE"), ("title overlap code window corroborating", "C"), ("title overlap code window semantic", "D"), ("geography overlap code window corroborating", "NONE"), ("semantic", "D"), ("", "NONE"),
+    ]
+    row = spark.range(1).select(*[matching.tier(*f(on)).alias(str(i)) for i, (on, _) in enumerate(cases)]).first()
     assert [row[str(i)] for i in range(len(cases))] == [t for _, t in cases]
 
 
+def test_dispositions_guard_against_false_open(spark):
+    rows = [
+        ("A", True, True, "ACCEPT"), ("A", True, False, "REVIEW"), ("B", False, True, "ACCEPT"), ("B", False, None, "REVIEW"), ("C", False, True, "REVIEW"),
+        ("NONE", True, True, "REVIEW"), ("D", True, True, "REVIEW"), ("D", False, True, "REJECT"), ("NONE", False, True, "REJECT"), ("NONE", None, True, "REJECT"),
+    ]
+    df = spark.createDataFrame(rows, "t string, p boolean, e boolean, want string")
+    day = F.to_date(F.lit("2026-01-01"))
+    got = df.select("want", matching.disposition(F.col("t"), F.col("p"), F.col("e"), day, day).alias("x"), matching.disposition(F.col("t"), F.col("p"), F.col("e"), F.date_add(day, 1), day).alias("late")).collect()
+    assert all(r.x == r.want and r.late == "REJECT" for r in got)
+    facts = spark.createDataFrame([(True, False, False, False, True), (False, True, True, False, True), (False, True, False, True, True), (False, True, False, None, False), (False, False, True, True, False)], "r boolean, c boolean, g boolean, t boolean, want boolean")
+    assert all(r.x == r.want for r in facts.select("want", matching.plausible(F.col("r"), F.col("c"), F.col("g"), F.col("t")).alias("x")).collect())
+
+
 def test_component_state_order(spark):
     components = spark.createDataFrame([("b", True, True), ("a", False, False), ("r", False, True), ("c", False, False), ("o", False, True)], "k string, boundary_unclear boolean, coverage_complete boolean")
-    evidence = spark.createDataFrame([("b", "e1", "ACCEPT"), ("a", "e3", "ACCEPT"), ("a", "e2", "ACCEPT"), ("a", "e9", "REVIEW"), ("r", "e4", "REVIEW"), ("o", "e5", "REJECT")], "k string, evidence_id string, disposition string")
+    evidence = spark.createDataFrame([("b", "e1", "REVIEW"), ("b", "e7", "ACCEPT"), ("b", "e6", "REJECT"), ("a", "e3", "ACCEPT"), ("a", "e2", "ACCEPT"), ("a", "e9", "REVIEW"), ("r", "e4", "REVIEW"), ("o", "e5", "REJECT")], "k string, evidence_id string, disposition string")
     got = {r.k: (r.state, r.evidence_ids) for r in matching.component_states(components, evidence, "k").collect()}
-    assert got == {"b": ("UNRESOLVED", []), "a": ("CLOSED", ["e2", "e3"]), "r": ("UNRESOLVED", ["e4"]), "c": ("UNRESOLVED", []), "o": ("OPEN", [])}
+    assert got == {"b": ("UNRESOLVED", ["e7", "e1"]), "a": ("CLOSED", ["e2", "e3"]), "r": ("UNRESOLVED", ["e4"]), "c": ("UNRESOLVED", []), "o": ("OPEN", [])}
 
 
 def test_roll_up_is_fail_closed(spark):
@@ -34,18 +53,26 @@ def test_roll_up_is_fail_closed(spark):
 
 def test_late_evidence_is_rejected(spark):
     days = [date(2026, 1, 1), date(2026, 1, 2), None]
-    df = spark.createDataFrame([(d,) for d in days], "d date").select(matching.disposition(F.lit("A"), F.col("d"), F.to_date(F.lit("2026-01-01"))).alias("x"))
+    df = spark.createDataFrame([(d,) for d in days], "d date").select(matching.disposition(F.lit("A"), F.lit(True), F.lit(True), F.col("d"), F.to_date(F.lit("2026-01-01"))).alias("x"))
     assert [r.x for r in df.collect()] == ["ACCEPT", "REJECT", "REJECT"]
 
 
 @pytest.mark.parametrize(("n", "tier"), [(14, "REFERENCE"), (15, "DESCRIPTIVE"), (29, "DESCRIPTIVE"), (30, "FULL")])
 def test_disclosure_tiers(spark, n, tier):
     df = spark.createDataFrame([("c", i) for i in range(1, n + 1)], "cohort string, v long")
-    row = cohort.tiered_quantiles(df, "v", "cohort").first()
+    row = cohort.tiered_quantiles(df, "v", "cohort", spark.createDataFrame([("c", 3)], "cohort string, proposed long")).first()
     assert (row.tier, row.n) == (tier, n)
-    assert (row.q1 is None) == (n < 15) and (row.p90 is None) == (n < 30)
+    assert [row[c] is None for c in ("median", "least", "most")] == [n < 15] * 3 and [row[c] is None for c in ("q1", "q3", "p90", "count_at_most", "position_bps")] == [n < 30] * 5
     if n >= 15:
-        assert row.q1 == -(-n // 4) and row.median == (str((n + 1) // 2) if n % 2 else f"{n // 2}.5")
+        assert row.median == (str((n + 1) // 2) if n % 2 else f"{n // 2}.5")
+    if n >= 30:
+        assert (row.q1, row.count_at_most, row.position_bps) == (-(-n // 4), 3, 30_000 // n)
+
+
+def test_ecdf_by_ranges_equals_plain_counts(spark):
+    values = [(i % 3, (i * i) % 400) for i in range(900)] + [(0, 7)] * 500
+    rows = cohort.ecdf(spark.createDataFrame(values, "c int, v int"), "v", "c").collect()
+    assert {(r.c, r.v): (r.at_most, r.n) for r in rows} == {(c, v): (sum(a == c and b <= v for a, b in values), sum(a == c for a, _ in values)) for c, v in set(values)}
 
 
 def test_ecdf_is_right_continuous_with_ties(spark):
@@ -80,8 +107,12 @@ def test_append_rejects_known_versions(spark, tmp_path):
 
 
 def test_lead_days(spark):
-    df = spark.createDataFrame([(date(2026, 1, 1), date(2026, 6, 16), 166), (date(2026, 1, 2), date(2026, 1, 1), None)], "s date, o date, n long")
+    df = spark.createDataFrame([(date(2026, 1, 1), date(2026, 6, 16), 166), (date(2026, 1, 2), None, None)], "s date, o date, n long")
     assert all(r.x == r.n for r in df.select("n", ledger.lead_days(F.col("s"), F.col("o")).alias("x")).collect())
+    backwards = spark.createDataFrame([(date(2026, 1, 2), date(2026, 1, 1))], "s date, o date")
+    assert backwards.where(ledger.leads_backwards(F.col("s"), F.col("o"))).count() == 1
+    with pytest.raises(Exception, match="before its signal"):
+        backwards.select(ledger.lead_days(F.col("s"), F.col("o"))).collect()
 
 
 def test_scores_without_denominator_are_null(spark):
@@ -125,7 +156,9 @@ def test_empty_criteria_differ(spark):
         relevance.prefix_criterion(F.array(F.lit("45")), F.array().cast("array<string>")).alias("any"), relevance.prefix_criterion(F.lit(None).cast("array<string>"), F.array(F.lit("4"))).alias("none"),
         relevance.relevance_label(relevance.relevance_score(F.lit(None).cast("boolean"), F.lit(True), F.lit(False), F.lit(False))).alias("label"),
     ).first()
-    assert tuple(row) == (True, False, "LOW")
+    assert tuple(row) == (True, False, "NOT_RELEVANT")
+    labels = spark.range(5).select(relevance.relevance_label(F.col("id")).alias("x"), relevance.relevance_label(F.col("id"), F.lit(False)).alias("none")).collect()
+    assert [r.x for r in labels] == ["NOT_RELEVANT", "NOT_RELEVANT", "LOW", "MEDIUM", "HIGH"] and {r.none for r in labels} == {"LOW"}
 
 
 def _zipped(tmp_path, name, header, *rows):
@@ -232,8 +265,31 @@ def test_new_observations_are_told_once(spark):
     assert ledger.new_observations(seen, seen.where("run_id = 'r1'")).count() == 1
 
 
-def test_joint_comparables_fall_back_to_one_value(spark):
+def test_joint_comparables_need_enough_known_seconds(spark):
     df = spark.createDataFrame([(i, "few", 10 * i, i if i < 5 else None) for i in range(20)] + [(100 + i, "many", 10 * i, 20 - i) for i in range(20)], "k long, c string, a long, b long")
-    targets = spark.createDataFrame([("few", 50, 1), ("many", 50, 1)], "c string, first_target long, second_target long")
-    got = {(r.c, r.position): r.k for r in cohort.joint_comparables(df, "k", "a", "b", "c", targets, 2).collect()}
-    assert got[("few", 1)] == 5 and got[("many", 1)] in range(105, 113)
+    targets = spark.createDataFrame([("few", 50, 1), ("many", 50, 1), ("many", 60, None)], "c string, first_target long, second_target long")
+    got = {(r.c, r.first_target, r.position): r.k for r in cohort.joint_comparables(df, "k", "a", "b", "c", targets, 2).collect()}
+    assert set(got) == {("many", 50, 1), ("many", 50, 2)} and got[("many", 50, 1)] in range(105, 113)
+
+
+def test_joint_ties_go_to_first_then_second_then_key(spark):
+    df = spark.createDataFrame([(9, "c", 5, 5), (8, "c", 5, 5), (7, "c", 5, 4), (6, "c", 4, 5)] + [(20 + i, "c", 100, 100) for i in range(16)], "k long, c string, a long, b long")
+    got = cohort.joint_comparables(df, "k", "a", "b", "c", spark.createDataFrame([("c", 5, 5)], "c string, first_target long, second_target long"), 4).orderBy("position").collect()
+    assert [r.k for r in got][:2] == [8, 9]
+
+
+def test_references_and_titles(spark):
+    from quern.functions import codes
+
+    rows = [(" A-1 ", "a-1", None, True), ("A-1", "b", ["x", " B "], True), ("A-1", "b", ["x", None], False), ("", "", [""], False), (None, "b", ["B"], True), ("A", None, ["A"], False)]
+    df = spark.createDataFrame(rows, "code string, ref string, alias array<string>, want boolean")
+    assert all(r.x == r.want for r in df.select("want", codes.same_reference(F.col("code"), F.col("ref"), F.col("alias")).alias("x")).collect())
+    titles = spark.createDataFrame([("New Bridge ", False, "the NEW BRIDGE of x", None, True), ("  ", False, "  a", "b", False), (None, True, "x", "y", True), ("Bridge", None, None, "a bridge", True), ("Bridge", False, None, None, False)], "t string, g boolean, x string, y string, want boolean")
+    assert all(r.x == r.want for r in titles.select("want", codes.title_or_location(F.col("t"), F.col("g"), F.col("x"), F.col("y")).alias("x")).collect())
+
+
+def test_pages_stop_at_the_last(spark):
+    df = spark.range(57)
+    ids = lambda n: [r.id for r in relevance.page(df, [F.asc("id")], n, 25).collect()]
+    assert ids(3) == ids(99) == list(range(50, 57)) and ids(0) == list(range(25))
+    assert relevance.page(df.limit(0), [F.asc("id")], 5, 25).count() == 0
