@@ -246,13 +246,13 @@ select o_orderkey, case when l >= d then (year(l) - year(d)) * 12 + month(l) - m
 
 
 def lead_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = _spans(spark, sf_dir)
-    late = ledger.leads_backwards(F.col("first"), F.date_sub("last", 30))
-    return spans.select("o_orderkey", ledger.lead_days(F.col("day"), F.col("first")).alias("lead"), late.alias("refused"))
+    """Leads of the orders whose outcome is not before its signal; the others are refused."""
+    spans = _spans(spark, sf_dir).where(~ledger.leads_backwards(F.col("day"), F.col("first")))
+    return spans.select("o_orderkey", ledger.lead_days(F.col("day"), F.col("first")).alias("lead"))
 
 
-_LEAD = """select o_orderkey, cast(f - d as bigint) as lead, l - 30 < f as refused from
-(select o_orderkey, cast(o_orderdate as date) as d, cast(max(l_shipdate) as date) as l, cast(min(l_shipdate) as date) as f from orders join lineitem on l_orderkey = o_orderkey group by 1, 2)"""
+_LEAD = """select o_orderkey, cast(f - d as bigint) as lead from
+(select o_orderkey, cast(o_orderdate as date) as d, cast(max(l_shipdate) as date) as l, cast(min(l_shipdate) as date) as f from orders join lineitem on l_orderkey = o_orderkey group by 1, 2) where f >= d"""
 
 
 def boundary_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
