@@ -7,8 +7,9 @@ while holding the totals of words and of documents: in each flight step three
 undecided documents move along the null space of the two balance equations
 until one of them is decided. Flights run in bounded blocks; what a block
 cannot decide (two documents at most) flies again with the leftovers of the
-other blocks of its source, level by level, and the last two land on the side
-that leaves the word total closest to target.
+other blocks of its source, level by level. What the last block leaves, two documents
+at most, lands together with its shortest documents on the choice that leaves
+the word total closest to target.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 
 from .common import words_in, written
 
-#: Documents in a flight block.
-BLOCK = 4096
+#: Documents in a flight block, and decided ones that the landing may decide again.
+BLOCK, LANDING = 4096, 10
 _UNIT = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -34,6 +35,7 @@ _UNIT = T.StructType(
         T.StructField("target", T.DoubleType()),
         T.StructField("whole", T.LongType()),
         T.StructField("p", T.DoubleType()),
+        T.StructField("nth", T.LongType()),
     ]
 )
 
@@ -83,25 +85,30 @@ def _flight(x: list[float], p: list[float], chance: np.random.Generator) -> None
             held = [k for k in held if 0.0 < p[k] < 1.0]
 
 
-def _land(x: list[float], p: list[float]) -> None:
-    """Decide the last few fractions so that the word total stays closest to its expectation."""
+def _land(x: list[float], p: list[float], want: float) -> None:
+    """Decide the last fractions, and the LANDING shortest documents again, so that the word total comes closest to want.
+
+    Among equally close choices the one that changes the fewest decisions, then the first.
+    """
     rest = [i for i in range(len(p)) if 0.0 < p[i] < 1.0]
-    want = sum(p[i] * x[i] for i in rest)
-    best = min(
-        range(1 << len(rest)),
-        key=lambda m: (abs(sum(x[i] for j, i in enumerate(rest) if m >> j & 1) - want), m),
-    )
-    for j, i in enumerate(rest):
-        p[i] = float(best >> j & 1)
+    free = rest + sorted((i for i in range(len(p)) if i not in rest), key=lambda i: (x[i], i))[:LANDING]
+    held = sum(x[i] * p[i] for i in set(range(len(p))) - set(free))
+    choice = np.arange(1 << len(free))[:, None] >> np.arange(len(free)) & 1
+    off = np.abs(choice @ np.array([x[i] for i in free]) + held - want).round(6)
+    changed = (choice[:, len(rest) :] != np.array([p[i] for i in free[len(rest) :]])).sum(axis=1)
+    best = choice[np.lexsort((changed, off))[0]]
+    for i, taken in zip(free, best):
+        p[i] = float(taken)
 
 
 def _fly(seed: int, last: bool):
     def block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["turn", "doc_id", "size"], kind="stable")
+        rows = rows.sort_values([*(["size"] if last else []), "turn", "doc_id", "nth"], ascending=[*([False] if last else []), True, True, True], kind="stable")
         x, p = rows["size"].astype(float).tolist(), rows["p"].tolist()
+        want = sum(a * b for a, b in zip(x, p))
         _flight(x, p, np.random.default_rng([seed, len(x), int(rows["turn"].iloc[0]) & 0xFFFFFFFF]))
         if last:
-            _land(x, p)
+            _land(x, p, want)
         rows["p"] = p
         return rows.drop(columns=["turn", "block"])
 
@@ -121,12 +128,15 @@ def mix_sources(
     Returns doc_id, source, size, source_size, target, whole (outright repeats),
     times (all repeats) and taken = times * size, one row per row of docs.
     Documents without words (null or empty text) have size 0 and take no part
-    in the balance; repeated rows are separate documents; null is a source of
-    its own; other columns of docs are not read. The table of sources, one row
-    per source, is worked out on the driver.
+    in the balance; repeated rows are separate documents, told apart by a
+    number; null is a source of its own; texts of any length count whole; other
+    columns of docs are not read. The same rows give the same mix, however they
+    are stored. The table of sources, one row per source, is worked out on the
+    driver.
     """
     size = words_in(F.col("text")) if size is None else size
-    sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("same"))
+    sized = written(counted.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), "same")).alias("nth")), "sizes")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()
     sizes, counts = {r.source: int(r.s or 0) for r in by_source}, {r.source: r.n for r in by_source}
     targets = source_targets(sizes, weights, share, most)
@@ -137,14 +147,14 @@ def mix_sources(
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = sized.alias("d").join(F.broadcast(table).alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(
-        "doc_id", "d.source", "size", "source_size", "target", F.floor(rate).cast("long").alias("whole"), (rate - F.floor(rate)).alias("p"), "n"
+        "doc_id", "d.source", "size", "source_size", "target", F.floor(rate).cast("long").alias("whole"), (rate - F.floor(rate)).alias("p"), "nth", "n"
     )
     undecided = (F.col("p") > 0) & (F.col("size") > 0)
     done = [joined.where(~undecided).drop("n").withColumn("p", F.lit(0.0))]
     flying, most_left, level = joined.where(undecided), max(counts.values(), default=0), 0
     while True:
         # a level leaves two documents of each block at most
-        turn = F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "size")
+        turn = F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "size", "nth")
         last = most_left <= BLOCK
         blocks = F.lit(1) if last else F.ceil(F.col("n") / F.lit(BLOCK))
         moved = (

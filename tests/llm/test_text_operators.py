@@ -53,12 +53,36 @@ def test_mixture_meets_targets_and_repeats(spark):
     assert first == again and len(first) == docs.count()
     words = {r.doc_id: len(WORD.findall(r.text or "")) for r in docs.collect()}
     assert all(words[d] == size and taken in (0, size, 2 * size) for d, taken, _, _, size, _ in first)
-    taken, largest = Counter(), Counter()
+    taken, shortest = Counter(), {}
     for _, t, target, source, size, _ in first:
         taken[source] += t
-        largest[source] = max(largest[source], size)
+        shortest[source] = sorted([*shortest.get(source, []), *([size] if size else [])])[:2]
     for source, target in {(r[3], r[2]) for r in first}:
-        assert abs(taken[source] - target) <= 2 * largest[source]
+        assert abs(taken[source] - target) <= max(0.01 * target, sum(shortest[source]))
+    shuffled = sorted(map(tuple, mixing.mix_sources(docs.repartition(7, "text")).select("doc_id", "taken", "target", "source", "size", "source_size").collect()))
+    assert shuffled == first
+
+
+def test_targets_against_plain_water_filling():
+    r = random.Random(4)
+    for _ in range(50):
+        sizes = {f"s{i}": r.choice((0, r.randrange(1, 50), r.randrange(1, 5000))) for i in range(r.randrange(1, 9))}
+        names = sorted(sizes)
+        weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}
+        got = mixing.source_targets(sizes, (5.0, 2.0, 1.0), 1.5, 2.0)
+        low, high = 0.0, 10.0**9  # the level at which min(weight * level, 2 * size) adds up to the share
+        for _ in range(200):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(min(weight[s] * level, 2 * sizes[s]) for s in names) < 1.5 * sum(sizes.values()) else (low, level)
+        assert all(got[s] == pytest.approx(min(weight[s] * high, 2 * sizes[s]), rel=1e-6, abs=1e-6) for s in names)
+
+
+def test_mixing_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 100)
+    docs = spark.range(1500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit("a b c").alias("text"))
+    got = mixing.mix_sources(docs, share=0.5)
+    taken, target = got.agg(F.sum("taken"), F.max("target")).first()
+    assert got.count() == 1500 and abs(taken - target) <= 3
 
 
 def test_flight_holds_totals_over_levels(spark, monkeypatch):
@@ -97,10 +121,51 @@ def test_packing_places_every_word_once(spark):
         assert {r.bin_length for r in parts} == {next(c for c in (64, 256, 1024) if c >= used)}
 
 
+def plain_cost(groups, lengths):
+    return sum(packing.bin_cost(next(c for c in lengths if c >= sum(g))) for g in groups)
+
+
+def least_cost(sizes, lengths, groups=()):
+    """The least cost of any way to put sizes into bins."""
+    if not sizes:
+        return plain_cost(groups, lengths)
+    first, rest = sizes[0], sizes[1:]
+    ways = [groups[:i] + ((*g, first),) + groups[i + 1 :] for i, g in enumerate(groups) if sum(g) + first <= lengths[-1]] + [(*groups, (first,))]
+    return min(least_cost(rest, lengths, w) for w in ways)
+
+
+def packed_cost(sizes, lengths):
+    at, _, final = packing.pack(sorted(sizes, reverse=True), lengths)
+    used = Counter()
+    for k, size in zip(at, sorted(sizes, reverse=True)):
+        used[k] += size
+    assert all(used[k] <= c for k, c in zip(at, final))
+    return sum(map(packing.bin_cost, dict(zip(at, final)).values())), set(dict(zip(at, final)).values())
+
+
+def test_packing_is_near_the_least_cost():
+    r = random.Random(6)
+    for _ in range(40):
+        sizes = [r.choice((r.randrange(1, 300), r.randrange(1, 4097))) for _ in range(7)]
+        best = least_cost(tuple(sizes), (512, 1024, 2048, 4096))
+        assert best <= packed_cost(sizes, (512, 1024, 2048, 4096))[0] <= 1.25 * best
+
+
+def test_several_lengths_cost_less_than_one():
+    r = random.Random(7)
+    for draw in (lambda: min(8192, int(r.paretovariate(1.1) * 60)), lambda: r.randrange(600, 2000), lambda: r.randrange(5, 900), lambda: r.randrange(1, 8192)):
+        sizes = [draw() for _ in range(3000)]
+        cost, _ = packed_cost(sizes, packing.LENGTHS)
+        assert all(cost <= packed_cost(sizes, (c,))[0] for c in packing.LENGTHS if c >= max(sizes))
+    cost, used = packed_cost([min(8192, int(r.paretovariate(1.1) * 60)) for _ in range(3000)], packing.LENGTHS)
+    assert len(used) >= 3
+
+
 def test_best_fit_takes_the_tightest_bin():
-    at, offset, final = packing.pack([700, 500, 300, 220, 20], [512, 1024], 0)
+    sizes = [700, 500, 300, 220, 20]
+    at, offset, final = packing.pack(sizes, [512, 1024], 0, 1 << 40)
     assert at[2] == at[0] and final[0] == 1024  # 300 fits the 324 left beside 700, tighter than any other
-    assert max(o + s for o, s in zip(offset, [700, 500, 300, 220, 20])) <= 1024
+    assert max(o + s for o, s in zip(offset, sizes)) <= 1024
     assert packing.pack([], [8], 0) == ([], [], [])
 
 
