@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 PARAGRAPH = r"[^\n]{1,48}[^\n.]{0,96}\.?\n*|\n+"
 #: Cells of a subtable of the printed fingerprint, and digests of a group (about) in the larger sketches.
 PRINTED, GROUP = 8, 24
-#: Larger sketches tried for a group, each with twice the cells; the last has a cell for every 1/180 of a digest.
-TRIES = 8
+#: Rounds of peeling, and larger sketches tried for a group, each with twice the cells: what is not empty by then is tried again.
+ROUNDS, TRIES = 12, 8
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -43,64 +43,68 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(-1))
 
 
-def _placed(digests: Column, size: Column, attempt: Column) -> Column:
-    """Each digest (d, n) with its check and its cell in each of the three subtables of `size` cells."""
-    place = lambda d, j: F.pmod(F.xxhash64(d, 3 * attempt + j), size).cast("int").alias(f"p{j}")
-    return F.transform(digests, lambda e: F.struct(e["d"].alias("d"), e["n"].alias("n"), _check(e["d"]).alias("c"), *[place(e["d"], j) for j in range(3)]))
-
-
 def _signed(digests: Column, sign: int) -> Column:
     return F.transform(digests, lambda d: F.struct(d.alias("d"), F.lit(sign).alias("n")))
 
 
-def _cell(n: Column, d: Column, c: Column) -> Column:
-    return F.struct(n.alias("n"), d.alias("d"), c.alias("c"))
+def _entries(digests: Column, size: Column, attempt: Column) -> Column:
+    """What signed digests (d, n) add to cells: place p, count n, digest d and check c, one in each of three subtables of `size` cells."""
+    place = lambda d, j: (F.pmod(F.xxhash64(d, 3 * attempt + j), size) + j * size).cast("int").alias("p")
+    of = lambda e, c: F.array(*[F.struct(place(e["d"], j), e["n"].alias("n"), e["d"].alias("d"), c.alias("c")) for j in range(3)])
+    return F.flatten(F.transform(digests, lambda e: _let(_check(e["d"]), lambda c: of(e, c))))
 
 
-def _add(cell: Column, entry: Column, sign: int = 1) -> Column:
-    return _cell(cell["n"] + sign * entry["n"], cell["d"].bitwiseXOR(entry["d"]), cell["c"].bitwiseXOR(entry["c"]))
+def _summed(entries: Column) -> Column:
+    """The sketch that entries (p, n, d, c) add up to: its cells in order of place, empty ones left out.
 
+    Entries are sorted by place, cut where the place changes, and each cut is
+    added up by itself: Spark copies what a lambda returns, so none returns a
+    growing array.
+    """
+    full = lambda cell: (cell["n"] != 0) | (cell["d"] != 0) | (cell["c"] != 0)
+    begin = F.struct(F.lit(0).alias("p"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("c"))
+    both = lambda a, b: F.struct(b["p"].alias("p"), (a["n"] + b["n"]).alias("n"), a["d"].bitwiseXOR(b["d"]).alias("d"), a["c"].bitwiseXOR(b["c"]).alias("c"))
 
-def sketch(digests: Column, size: Column, attempt: Column) -> Column:
-    """Subtables t0, t1 and t2 of `size` cells (n, d, c) of an array of signed digests (d, n)."""
-    zero = _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
+    def cut(of: Column) -> Column:
+        end = lambda k: F.coalesce(F.array_position(of["places"], F.try_element_at(of["distinct"], k + 2)).cast("int"), F.size(of["own"]) + 1)
+        part = lambda start, k: F.slice(of["own"], start, end(k) - start)
+        return F.filter(F.transform(of["distinct"], lambda p, k: F.aggregate(part(F.array_position(of["places"], p).cast("int"), k), begin, both)), full)
+
+    def bound(every: Column) -> Column:
+        places = F.sort_array(F.transform(every, lambda e: e["p"]))
+        return _let(F.struct(F.sort_array(every).alias("own"), places.alias("places"), F.array_sort(F.array_distinct(F.transform(every, lambda e: e["p"]))).alias("distinct")), cut)
+
+    return _let(entries, bound)
 
-    def table(placed: Column, j: int) -> Column:
-        own = lambda i: F.filter(placed, lambda e: e[f"p{j}"] == i)
-        return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(own(i), zero, lambda cell, e: _add(cell, e))).alias(f"t{j}")
 
-    return _let(_placed(digests, size, attempt), lambda placed: F.struct(*[table(placed, j) for j in range(3)]))
+def _negated(cells: Column) -> Column:
+    return F.transform(cells, lambda e: F.struct(e["p"].alias("p"), (-e["n"]).alias("n"), e["d"].alias("d"), e["c"].alias("c")))
+
+
+def sketch(digests: Column, size: Column, attempt: Column) -> Column:
+    """Non-empty cells (p, n, d, c) of the sketch, with three subtables of `size` cells, of an array of signed digests (d, n)."""
+    return _summed(_entries(digests, size, attempt))
 
 
 def minus(x: Column, y: Column) -> Column:
     """The sketch x less the sketch y of the same size."""
-    return F.struct(*[F.zip_with(x[f"t{j}"], y[f"t{j}"], lambda a, b: _add(a, b, -1)).alias(f"t{j}") for j in range(3)])
+    return _summed(F.concat(x, _negated(y)))
 
 
 def peel(cells: Column, size: Column, attempt: Column) -> Column:
-    """found: the digests d and signs n taken out of a sketch, and left: whether cells remain."""
+    """found: the digests d and signs n taken out of a sketch, and left: whether cells remain after ROUNDS rounds."""
     pure = lambda cell: (F.abs(cell["n"]) == 1) & (cell["c"] == _check(cell["d"]))
-    full = lambda cell: (cell["n"] != 0) | (cell["d"] != 0) | (cell["c"] != 0)
     none = F.array().cast("array<struct<d:bigint,n:int>>")
-    begin = F.struct(*[cells[f"t{j}"].alias(f"t{j}") for j in range(3)], none.alias("found"), F.lit(True).alias("moves"))
-
-    def taken(state: Column, single: Column) -> Column:
-        def rest(placed: Column, j: int) -> Column:
-            hit = lambda i: F.filter(placed, lambda e: e[f"p{j}"] == i)
-            return F.transform(state[f"t{j}"], lambda cell, i: F.aggregate(hit(i), cell, lambda c, e: _add(c, e, -1))).alias(f"t{j}")
-
-        turned = _let(_placed(single, size, attempt), lambda placed: F.struct(*[rest(placed, j) for j in range(3)]))
-        return _let(turned, lambda t: F.struct(t["t0"].alias("t0"), t["t1"].alias("t1"), t["t2"].alias("t2"), F.concat(state["found"], single).alias("found"), F.lit(True).alias("moves")))
+    begin = F.struct(cells.alias("cells"), none.alias("found"), F.lit(True).alias("moves"))
 
     def step(state: Column) -> Column:
-        every = F.concat(state["t0"], state["t1"], state["t2"])
-        single = F.array_distinct(F.transform(F.filter(every, pure), lambda cell: F.struct(cell["d"].alias("d"), cell["n"].alias("n"))))
-        still = F.struct(state["t0"].alias("t0"), state["t1"].alias("t1"), state["t2"].alias("t2"), state["found"].alias("found"), F.lit(False).alias("moves"))
-        return _let(single, lambda s: F.when(F.size(s) > 0, taken(state, s)).otherwise(still))
+        single = F.array_distinct(F.transform(F.filter(state["cells"], pure), lambda cell: F.struct(cell["d"].alias("d"), cell["n"].alias("n"))))
+        rest = lambda s: _summed(F.concat(state["cells"], _negated(_entries(s, size, attempt))))
+        still = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(False).alias("moves"))
+        return _let(single, lambda s: F.when(F.size(s) > 0, F.struct(rest(s).alias("cells"), F.concat(state["found"], s).alias("found"), F.lit(True).alias("moves"))).otherwise(still))
 
-    # each step takes a digest at least, of which there are no more than cells
-    end = F.aggregate(F.sequence(F.lit(1), 3 * size), begin, lambda state, _: F.when(state["moves"], step(state)).otherwise(state))
-    return _let(end, lambda s: F.struct(s["found"].alias("found"), F.exists(F.concat(s["t0"], s["t1"], s["t2"]), full).alias("left")))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, lambda state, _: F.when(state["moves"], step(state)).otherwise(state))
+    return _let(end, lambda s: F.struct(s["found"].alias("found"), (F.size(s["cells"]) > 0).alias("left")))
 
 
 def _grouped(digests: Column, groups: Column) -> Column:
@@ -120,11 +124,12 @@ def _grouped(digests: Column, groups: Column) -> Column:
 def _larger(x: Column, y: Column) -> Column:
     """The signed digests in which x and y differ, from sketches that grow until they peel.
 
+    The difference of two sketches is the sketch of what x adds and y takes.
     Should even the last of them not peel, which digests of 64 bits do not
     bring about, what it did not give up is left out.
     """
-    size = lambda a: (F.ceil((F.size(x) + F.size(y)) / 2) + 2).cast("int") * F.call_function("shiftleft", F.lit(1), a - 1)
-    tried = lambda a: _let(size(a), lambda s: peel(minus(sketch(_signed(x, 1), s, a), sketch(_signed(y, 1), s, a)), s, a))
+    size = lambda a: (F.size(x) + F.size(y) + 2) * F.call_function("shiftleft", F.lit(1), a - 1)
+    tried = lambda a: _let(size(a), lambda s: peel(sketch(F.concat(_signed(x, 1), _signed(y, -1)), s, a), s, a))
     begin = F.struct(F.array().cast("array<struct<d:bigint,n:int>>").alias("found"), F.lit(True).alias("left"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), begin, lambda state, a: F.when(state["left"], tried(a)).otherwise(state))["found"]
 
@@ -157,9 +162,8 @@ def printed_sketch(digests: Column) -> Column:
 
 def print_of(cells: Column, digests: Column) -> Column:
     """The fingerprint: the number of digests and the non-empty cells of the printed sketch, in hex."""
-    one = lambda c, i: F.concat(F.lpad(F.hex(i), 2, "0"), F.hex(c["n"]), F.lit("-"), F.lpad(F.hex(c["d"]), 16, "0"), F.lpad(F.hex(c["c"]), 16, "0"))
-    every = F.transform(F.concat(cells["t0"], cells["t1"], cells["t2"]), lambda c, i: F.when(c["n"] != 0, one(c, i)))
-    return F.concat(F.size(digests).cast("string"), F.lit(":"), F.array_join(F.filter(every, lambda s: s.isNotNull()), "."))
+    one = lambda c: F.concat(F.lpad(F.hex(c["p"]), 2, "0"), F.hex(c["n"]), F.lit("-"), F.lpad(F.hex(c["d"]), 16, "0"), F.lpad(F.hex(c["c"]), 16, "0"))
+    return F.concat(F.size(digests).cast("string"), F.lit(":"), F.array_join(F.transform(cells, one), "."))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -199,7 +203,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     table = spark.createDataFrame(before, "range int, head_id long, head_h long, before int")
     at_head = (F.col("d.range") == F.col("t.range")) & F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("h") == F.col("head_h"))
     copies = dealt.alias("d").join(F.broadcast(table).alias("t"), at_head).select("doc_id", "text", "h", F.col("before").alias("range")).dropDuplicates(["range"])
-    rows = dealt.withColumn("extra", F.lit(False)).unionByName(copies.withColumn("extra", F.lit(True))).withColumn("digests", paragraph_digests(F.col("text")))
+    rows = dealt.withColumn("extra", F.lit(False)).unionByName(copies.withColumn("extra", F.lit(True)))
+    rows = rows.withColumn("digests", paragraph_digests(F.col("text")))
     w = Window.partitionBy("range").orderBy("extra", F.col("doc_id").asc_nulls_first(), "h")
     return rows.withColumn("next_text", F.lead("text").over(w)).withColumn("next_digests", F.lead("digests").over(w)).where(~F.col("extra")).select("doc_id", "text", "digests", "next_text", "next_digests")
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_spread, mixed, small_side, span_hashes, text_words, windows, word_hashes, word_spans, written
+from .common import forget, join_spread, mixed, small_side, span_hashes, text_words, windows, word_hashes, word_spans, words_in, written
 from .components import link_cells
 
 #: Least words of a line, words of a window, and successive windows of which one is taken (together 20 words).
@@ -151,12 +151,12 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _passages(found: DataFrame) -> DataFrame:
     """Windows of a text that overlap, and go or stay for the same text, as one row."""
-    text = Window.partitionBy("doc_id", "text_hash", "copy").orderBy("word", "id")
+    text = Window.partitionBy("doc_id", "text_hash").orderBy("word", "id")
     last = F.lag(F.struct(F.col("word"), "removed", "kept_doc_id", "kept_hash")).over(text)
     breaks = F.coalesce(
         (F.col("word") - last["word"] > WINDOW) | (last["removed"] != F.col("removed")) | ~last["kept_doc_id"].eqNullSafe(F.col("kept_doc_id")) | (last["kept_hash"] != F.col("kept_hash")), F.lit(True)
     )
-    merged = found.withColumn("breaks", breaks).withColumn("run", F.sum(F.col("breaks").cast("int")).over(text)).groupBy("doc_id", "text_hash", "copy", "run").agg(
+    merged = found.withColumn("breaks", breaks).withColumn("run", F.sum(F.col("breaks").cast("int")).over(text)).groupBy("doc_id", "text_hash", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") + WINDOW - F.min("word")).alias("n_words"), F.min_by("cluster", "word").alias("cluster"),
         F.min("cluster_size").alias("cluster_size"), F.first("removed").alias("removed"), F.first("kept_doc_id").alias("kept_doc_id"),
     )
@@ -166,12 +166,14 @@ def _passages(found: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """Every line or passage that occurs twice or more, exactly or nearly.
 
-    Returns doc_id, level ('line' or 'passage'), start and end (code points),
-    n_words, cluster (the same for all occurrences of a line; for a passage,
-    that of its first window), cluster_size, removed (false for the first
-    occurrence by doc_id and start, null ids last) and kept_doc_id (the document
-    where that occurrence stays). Windows that lie in a removed line go with it:
-    they are not told, and don't count as occurrences. Lines of fewer than
+    Returns doc_id, level ('text', 'line' or 'passage'), start and end (code
+    points), n_words, cluster (the same for all occurrences of a text or line;
+    for a passage, that of its first window), cluster_size, removed (false for
+    the first occurrence by doc_id and start, null ids last) and kept_doc_id
+    (the document where that occurrence stays). Whole texts of MIN_WORDS words
+    or more that are equal to the letter are told as such; of each, only the one
+    that stays is looked into. Windows that lie in a removed line go with it.
+    What goes with something larger is not told, and is no occurrence. Lines of fewer than
     MIN_WORDS words, and runs of fewer than WINDOW, are left alone, and so are
     null and empty texts; runs of WINDOW + REACH - 1 words are always found,
     shorter ones by chance. Rows repeated in docs are occurrences of their own,
@@ -180,25 +182,33 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     """
     bands, rows = tune_bands(similarity, recall)
     text = F.col("text").cast("string")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    keys = written(every.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"), F.max(words_in(F.col("text"))).alias("n_words"), F.max(F.length("text")).alias("length")), "keys")
+    texts = written(keys.groupBy("text_hash").agg(F.sum("n").alias("cluster_size"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("first")), "texts")
+    same = F.col("e.doc_id").eqNullSafe(F.col("t.first.doc_id")) & (F.col("e.text_hash") == F.col("t.text_hash"))
+    plain = every.alias("e").join(small_side(texts.select("text_hash", "first"), 2_000_000).alias("t"), same, "left_semi")
+
     schema = "doc_id long, text_hash long, level int, start int, end int, word int, n_words int, id long, bands array<long>"
-    units = written(plain.mapInPandas(_unit_rows(bands, rows), schema).withColumn("nth", F.monotonically_increasing_id()), "units")
+    units = plain.mapInPandas(_unit_rows(bands, rows), schema).withColumn("line_no", F.when(F.col("level") == 0, F.monotonically_increasing_id()))
+    units = written(units, "units")
     again = units.select(F.explode("bands").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
     again = small_side(written(again, "cells"), 2_000_000)
-    met = units.select("nth", F.explode("bands").alias("cell")).join(again, "cell", "left_semi").select("nth").distinct()
-    copy = F.row_number().over(Window.partitionBy("doc_id", "text_hash", "id", "start").orderBy(F.lit(1)))
-    some = written(units.join(met, "nth", "left_semi").drop("nth").withColumn("copy", copy), "repeated")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start", "end", "text_hash", "copy")
+    met = units.where("level = 0").select("line_no", F.explode("bands").alias("cell")).join(again, "cell", "left_semi").select("line_no").distinct()
+    some = units.where("level = 0").join(met, "line_no", "left_semi").select(units.columns)
+    some = some.unionByName(units.where("level = 1").withColumn("cell", F.col("bands")[0]).join(again, "cell", "left_semi").select(units.columns))
+    some = written(some.drop("line_no").dropDuplicates(["doc_id", "text_hash", "id", "start"]), "repeated")
+    forget(units)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start", "end", "text_hash")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         spots = some.join(small_side(written(ids, "needed")), "id", "left_semi").groupBy("id").agg(F.min(place).alias("at"))
         spots = spots.groupBy("at.doc_id", "at.text_hash").agg(F.collect_list(F.struct("id", F.col("at.start").alias("start"), F.col("at.end").alias("end"))).alias("spots"))
-        same = F.col("p.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("p.text_hash") == F.col("s.text_hash"))
-        parts = plain.alias("p").join(small_side(written(spots, "spots"), 100_000).alias("s"), same).withColumn("spot", F.explode("spots"))
+        here = F.col("p.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("p.text_hash") == F.col("s.text_hash"))
+        parts = every.alias("p").join(small_side(written(spots, "spots"), 100_000).alias("s"), here).withColumn("spot", F.explode("spots"))
         parts = parts.select("spot.id", F.expr("substring(text, spot.start + 1, spot.end - spot.start)").alias("part"))
         return parts.mapInPandas(_sets, "id long, members array<long>").dropDuplicates(["id"])
 
-    near = link_cells(some.where("copy = 1").select("id", "bands"), F.col("bands"), sets_of=sets_of, similarity=similarity, room=12)
+    near = link_cells(some.select("id", "bands"), F.col("bands"), sets_of=sets_of, similarity=similarity, room=12)
     counts = some.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(near, "id", "left")
     clusters = written(counts.where("n > 1 or component is not null").select("id", F.coalesce("component", "id").alias("cluster")), "clusters")
     found = written(join_spread(some.drop("bands"), clusters, "id"), "occurrences")
@@ -209,10 +219,13 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
         return rows.withColumn("kept_doc_id", F.col("first.doc_id")).withColumn("kept_hash", F.col("first.text_hash")).drop("first")
 
     lines = written(told(found.where("level = 0")), "lines")
-    gone = lines.where("removed").select(*[F.col(c).alias(f"gone_{c}") for c in ("doc_id", "text_hash", "copy", "start", "end")])
-    inside = F.col("doc_id").eqNullSafe(F.col("gone_doc_id")) & (F.col("text_hash") == F.col("gone_text_hash")) & (F.col("copy") == F.col("gone_copy"))
+    gone = lines.where("removed").select(*[F.col(c).alias(f"gone_{c}") for c in ("doc_id", "text_hash", "start", "end")])
+    inside = F.col("doc_id").eqNullSafe(F.col("gone_doc_id")) & (F.col("text_hash") == F.col("gone_text_hash"))
     inside = inside & (F.col("start") >= F.col("gone_start")) & (F.col("end") <= F.col("gone_end"))
     left = written(found.where("level = 1").join(gone, inside, "left_anti"), "windows")
     out = ["doc_id", "level", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("n_words").cast("long").alias("n_words"), "cluster", "cluster_size", "removed", "kept_doc_id"]
-    rows = lines.select(*out).unionByName(_passages(told(left)).select(*out))
-    return rows.withColumn("level", F.when(F.col("level") == 0, "line").otherwise("passage"))
+    copies = texts.where("cluster_size > 1").join(keys.where(F.col("n_words") >= MIN_WORDS), "text_hash").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("nth") == 1)
+    copies = copies.select("doc_id", F.lit(2).alias("level"), F.lit(0).alias("start"), F.col("length").alias("end"), "n_words", F.col("text_hash").alias("cluster"), "cluster_size", (~stays).alias("removed"), F.col("first.doc_id").alias("kept_doc_id"))
+    rows = lines.select(*out).unionByName(_passages(told(left)).select(*out)).unionByName(copies.select(*out))
+    return rows.withColumn("level", F.element_at(F.array(F.lit("line"), F.lit("passage"), F.lit("text")), F.col("level") + 1))

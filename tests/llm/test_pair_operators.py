@@ -247,6 +247,8 @@ def test_passages_equal_brute_force_on_documents(spark):
         words = [m.span() for m in WORD.finditer(t)]
         for i in range(len(words) - size + 1):
             runs[tuple(t[a:b] for a, b in words[i : i + size])].append((d, words[i][0], words[i + size - 1][1]))
+    gone = {x.doc_id for x in found if x.level == "text" and x.removed}
+    assert gone == {d for d, t in docs.items() if len(t.split()) >= substring_dedup.MIN_WORDS and any(e < d and u == t for e, u in docs.items())}
     shared = [r for rs in runs.values() if len({d for d, _, _ in rs}) > 1 for r in rs]
     assert len(shared) > 500
     assert all(any(a < end and start < b for a, b in spans[d]) for d, start, end in shared)
@@ -294,8 +296,11 @@ def test_passages_of_twenty_words_are_found(spark):
 def test_passages_of_odd_rows(spark):
     odd = odd_rows(spark)
     found = substring_dedup.repeated_passages(odd).collect()
-    assert sum(x.level == "line" and (x.doc_id or 0) >= 1000 for x in found) == 40
-    assert {x.doc_id for x in found if x.doc_id is not None and x.doc_id < 1000} <= {6, 7}
+    copies = [x for x in found if (x.doc_id or 0) >= 1000]
+    assert len([x for x in copies if x.level == "text"]) == 40 and [x.doc_id for x in copies if x.level == "text" and not x.removed] == [1000]
+    assert {x.doc_id for x in found if x.level != "text"} <= {6, 7, 1000}
+    twice = substring_dedup.repeated_passages(spark.createDataFrame([(1, "v " * 30 + "x")] * 2 + [(None, "v " * 30 + "x")], "doc_id long, text string")).where("level = 'text'").collect()
+    assert sorted(((x.doc_id, x.removed, x.cluster_size, x.kept_doc_id) for x in twice), key=str) == [(1, False, 3, 1), (1, True, 3, 1), (None, True, 3, 1)]
     assert substring_dedup.repeated_passages(odd.limit(0)).count() == 0
 
 
