@@ -43,27 +43,42 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those pairs (a, b) whose sets (id, members: an array of distinct longs) have at least a Jaccard similarity."""
     of = lambda k, x: sets.select(F.col("id").alias(k), F.col("members").alias(x))
-    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b")
+    both = small_side(pairs).join(of("a", "x"), "a").join(of("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+
+
+def possible_pairs(pairs: DataFrame, prefixes: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) that their prefixes (id, n: members of the whole set, members: its first ones in an order of all members) leave possible.
+
+    Members that both sets have, up to the end of the prefix that ends first, are
+    in both prefixes; the others are beyond that prefix in its set. So two sets
+    share no more than their prefixes do and the longer rest.
+    """
+    of = lambda k, n, x: prefixes.select(F.col("id").alias(k), F.col("n").alias(n), F.col("members").alias(x))
+    both = small_side(pairs).join(of("a", "m", "x"), "a").join(of("b", "n", "y"), "b")
+    most = F.size(F.array_intersect("x", "y")) + F.greatest(F.col("m") - F.size("x"), F.col("n") - F.size("y"))
+    return both.where(most >= F.ceil((F.col("m") + F.col("n")) * (similarity / (1 + similarity)) - 1e-6)).select("a", "b").distinct()
 
 
 def rare_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) that hold every pair of similar sets of which one is minor and the components differ.
 
-    nodes: id, component, minor. Members are put in order, the rarest first. Of
-    n members, two similar sets share one of the first n - ceil(similarity * n)
-    + 1 of either; and from the first that they share, both have as many left as
-    the similarity asks them to share. A set with many members of its own meets
-    no other.
+    nodes: id, component, minor. sets: id and members, repeated or not. Members
+    are put in order, the rarest first. Of n members, two similar sets share one
+    of the first n - ceil(similarity * n) + 1 of either; and from the first that
+    they share, both have as many left as the similarity asks them to share.
+    Members of a single set come first and need no look: only the others are
+    gathered again by set.
     """
-    n = F.size("members")
-    members = written(nodes.join(sets, "id").select("id", "component", "minor", n.alias("n"), F.explode("members").alias("member")), "members")
-    often = members.groupBy("member").agg(F.count(F.lit(1)).alias("often"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("often", "member"))
-    rare = members.join(often, "member").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(similarity * F.col("n")) + 1)
-    rare = written(rare.where("often > 1").select("id", "component", "minor", "n", "member", "rank"), "rare")
-    forget(members)
+    each = sets.select("id", F.size("members").alias("n"), F.explode("members").alias("member"))
+    often = written(each.groupBy("member").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
+    own = each.join(small_side(often, 2_000_000), "member").groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("often", "member"))).alias("own"))
+    single = F.col("n") - F.size("own")
+    first = F.slice("own", 1, F.greatest(F.col("n") - F.ceil(similarity * F.col("n")).cast("int") + 1 - single, F.lit(0)))
+    ranked = own.select("id", "n", single.alias("single"), F.posexplode(first).alias("at", "m")).select("id", "n", F.col("m.member").alias("member"), (F.col("single") + F.col("at") + 1).alias("rank"))
+    rare = written(ranked.join(nodes, "id"), "rare")
+    forget(often)
     l, r = rare.where("minor").alias("l"), rare.alias("r")
     left = F.least(F.col("l.n") - F.col("l.rank"), F.col("r.n") - F.col("r.rank")) + 1
     asked = F.ceil((F.col("l.n") + F.col("r.n")) * (similarity / (1 + similarity)) - 1e-6)
@@ -80,6 +95,7 @@ def link_cells(
     cells: Column,
     close: Callable[[Column, Column], Column] | None = None,
     sets_of: Callable[[DataFrame], DataFrame] | None = None,
+    possible: Callable[[DataFrame], DataFrame] | None = None,
     similarity: float = 1.0,
     carry: Sequence[str] = (),
     room: int = ROOM,
@@ -92,7 +108,9 @@ def link_cells(
     if close(l, r) holds for the structs of the carried columns of the two
     (always, without it) and, if sets_of is given, the Jaccard similarity of
     their sets is at least `similarity`; sets_of takes a table of ids and
-    returns id and members. known: components found before, which stay joined.
+    returns id and members, repeated or not. possible: drops pairs (a, b) that
+    cannot be so similar, before their sets are made. known: components found
+    before, which stay joined.
 
     Three steps, each on what the one before has left apart:
 
@@ -125,6 +143,8 @@ def link_cells(
     def joined(pairs: DataFrame, found: DataFrame | None) -> DataFrame | None:
         """Components after the links among pairs (a, b) are added."""
         links = kept(pairs, "pairs")
+        if possible is not None:
+            links = kept(possible(links), "possible")
         if links.isEmpty():
             return found
         if sets_of is not None:
@@ -143,11 +163,11 @@ def link_cells(
         return kept(rows.join(several, "cell", "left_semi"), "split")
 
     dealt = nodes.select("id", *carry, F.explode(cells).alias("cell"))
-    shared = kept(dealt.groupBy("cell").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("cell"), "cells")
-    members = kept(dealt.join(small_side(shared), "cell", "left_semi").distinct(), "members")
+    shared = kept(dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell"), "cells")
+    members = kept(dealt.join(small_side(shared, 2_000_000), "cell", "left_semi").distinct(), "members")
     if known is not None:
         members = split(members, known).drop("component")
-    sized = kept(members.join(members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell"), "sized")
+    sized = kept(members.join(members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cell"), "sized")
 
     weights = sized.groupBy("id").agg(F.sum("n").alias("weight"))
     lead = F.max_by(F.struct(F.struct("weight", (-F.col("id")).alias("low")).alias("rank"), carried.alias("of")), F.struct("weight", -F.col("id")))
@@ -174,7 +194,7 @@ def link_cells(
         told = kept(apart.join(main, "cell"), "told")
         if sets_of is not None:
             outside = kept(told.groupBy("id", "component").agg(F.bool_or(F.col("component") != F.col("main")).alias("minor")), "outside")
-            rest = rare_pairs(outside, kept(sets_of(outside.select("id")), "sets"), similarity)
+            rest = rare_pairs(outside, sets_of(outside.select("id")), similarity)
         else:
             minor = told.where("component <> main").select("cell", "component", carried.alias("l"))
             all_of = told.select("cell", "main", F.col("component").alias("other"), carried.alias("r"))

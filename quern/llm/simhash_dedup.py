@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_spread, small_side, windows, word_hashes, word_spans, written
-from .components import link_cells
+from .components import link_cells, possible_pairs
 
 #: Similarity of near-duplicate documents, and words in a shingle.
 SIMILARITY, SHINGLE = 0.8, 5
@@ -213,11 +213,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
         needed = written(nodes.join(small_side(ids), "id").select("id", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash")), "needed")
         same = F.col("p.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("p.text_hash") == F.col("n.text_hash"))
         texts = plain.alias("p").join(small_side(needed).alias("n"), same).select("n.id", "p.text")
-        return texts.mapInPandas(_shingle_sets(shingle), "id long, members array<long>").dropDuplicates(["id"])
+        return texts.mapInPandas(_shingle_sets(shingle), "id long, members array<long>")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        return possible_pairs(pairs, marked.select("id", F.col("n_shingles").alias("n"), F.col("cells").alias("members")), similarity)
 
     blocks = blocks_for(nodes.count(), reach)
-    by_print = link_cells(marked.select("id", "fp").distinct(), _grid(block_masks(blocks, blocks - reach)), _within(reach), sets_of, similarity, ["fp"], room=12)
-    found = link_cells(marked, F.col("cells"), _near_size(similarity), sets_of, similarity, ["n_shingles"], room=12, known=by_print)
+    by_print = link_cells(marked.select("id", "fp").distinct(), _grid(block_masks(blocks, blocks - reach)), _within(reach), sets_of, possible, similarity, ["fp"], room=12)
+    found = link_cells(marked, F.col("cells"), _near_size(similarity), sets_of, possible, similarity, ["n_shingles"], room=12, known=by_print)
     classed = nodes.join(small_side(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
     winners = classed.groupBy("component").agg(F.min("row").alias("row")).select("row.doc_id", "row.text_hash", F.lit(True).alias("kept"))
     rows = marked.select("doc_id", "text_hash").distinct()

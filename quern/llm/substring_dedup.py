@@ -206,7 +206,7 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
         here = F.col("p.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("p.text_hash") == F.col("s.text_hash"))
         parts = every.alias("p").join(small_side(written(spots, "spots"), 100_000).alias("s"), here).withColumn("spot", F.explode("spots"))
         parts = parts.select("spot.id", F.expr("substring(text, spot.start + 1, spot.end - spot.start)").alias("part"))
-        return parts.mapInPandas(_sets, "id long, members array<long>").dropDuplicates(["id"])
+        return parts.mapInPandas(_sets, "id long, members array<long>")
 
     near = link_cells(some.select("id", "bands"), F.col("bands"), sets_of=sets_of, similarity=similarity, room=12)
     counts = some.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(near, "id", "left")
