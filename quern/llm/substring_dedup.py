@@ -7,12 +7,12 @@ starts where the hash of its words is the least of REACH successive ones, so
 any two texts that share WINDOW + REACH - 1 words in a row have a window in
 common.
 
-MinHash signatures over five-word shingles are cut into bands: as many as catch
-nearly every pair of lines at the similarity asked for, and a single one for a
-window, which is looked for unchanged. Paragraphs that collide in a band are
-held against each other by exact Jaccard similarity, and the components of the
-verified pairs are the clusters. The first occurrence in a cluster stays, the
-others are removals; windows of a text that overlap and go, or stay, for the
+MinHash signatures of lines over five-word shingles are cut into bands, as many
+as catch nearly every pair at the similarity asked for. Lines that collide in a
+band are held against each other by exact Jaccard similarity, and the components
+of the verified pairs are the clusters. A window is looked for unchanged, so the
+digest of its words is its only cell, and equal windows are a cluster of
+similarity 1. The first occurrence in a cluster stays, the others are removals; windows of a text that overlap and go, or stay, for the
 same text are told as one passage.
 """
 
@@ -64,17 +64,17 @@ class Signer:
         draw = np.random.default_rng(5).integers(0, 1 << 63, (2, bands * rows), dtype=np.uint64)
         self.bands, self.rows, self.factor, self.shift = bands, rows, draw[0] | np.uint64(1), draw[1]
 
-    def bands_of(self, shingles: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, bands: int, salt: int = 0) -> np.ndarray:
-        """For each run of shingles [first, last]: one hash of each of the first bands of the least value under every hash function."""
+    def bands_of(self, shingles: np.ndarray, firsts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
+        """For each run of shingles [first, last]: one hash of each band of the least value under every hash function."""
         if not len(firsts):
-            return np.zeros((0, bands), dtype=np.int64)
+            return np.zeros((0, self.bands), dtype=np.int64)
         cuts = np.stack([firsts, lasts + 1], axis=1).ravel()
         padded = np.append(shingles, np.uint64(np.iinfo(np.uint64).max))
-        least = np.empty((bands * self.rows, len(firsts)), dtype=np.uint64)
+        least = np.empty((len(self.factor), len(firsts)), dtype=np.uint64)
         for k in range(len(least)):
             least[k] = np.minimum.reduceat(padded * self.factor[k] + self.shift[k], cuts)[::2]
-        out = np.repeat(np.arange(salt + 1, salt + bands + 1, dtype=np.uint64)[:, None], len(firsts), axis=1)
-        grouped = least.reshape(bands, self.rows, len(firsts))
+        out = np.repeat(np.arange(1, self.bands + 1, dtype=np.uint64)[:, None], len(firsts), axis=1)
+        grouped = least.reshape(self.bands, self.rows, len(firsts))
         for r in range(self.rows):
             out = mixed(out * np.uint64(0xD1342543DE82EF95) + grouped[:, r])
         return np.ascontiguousarray(out.T).view(np.int64)
@@ -108,8 +108,7 @@ def _units(texts: list[bytes], signer: Signer) -> tuple[np.ndarray, np.ndarray,
     a, b = np.concatenate((firsts, at)), np.concatenate((lasts, at + WINDOW))
     if not len(a):
         return np.zeros((6, 0), dtype=np.int64), np.zeros(0, dtype=np.uint64), []
-    shingles = windows(hashes, SHINGLE)
-    bands = [*signer.bands_of(shingles, firsts, lasts - SHINGLE, signer.bands), *signer.bands_of(shingles, at, at + WINDOW - SHINGLE, 1, signer.bands)]
+    bands = [*signer.bands_of(windows(hashes, SHINGLE), firsts, lasts - SHINGLE), *[None] * len(at)]
     level = np.concatenate((np.zeros(len(firsts), dtype=np.int64), np.ones(len(at), dtype=np.int64)))
     first_word = np.searchsorted(owner, np.arange(len(texts)))
     zero = lead[text_starts[owner[a]]]
@@ -191,11 +190,12 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     schema = "doc_id long, text_hash long, level int, start int, end int, word int, n_words int, id long, bands array<long>"
     units = plain.mapInPandas(_unit_rows(bands, rows), schema).withColumn("line_no", F.when(F.col("level") == 0, F.monotonically_increasing_id()))
     units = written(units, "units")
-    again = units.select(F.explode("bands").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
+    cells = F.coalesce("bands", F.array("id"))
+    again = units.select(F.explode(cells).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
     again = small_side(written(again, "cells"), 2_000_000)
     met = units.where("level = 0").select("line_no", F.explode("bands").alias("cell")).join(again, "cell", "left_semi").select("line_no").distinct()
     some = units.where("level = 0").join(met, "line_no", "left_semi").select(units.columns)
-    some = some.unionByName(units.where("level = 1").withColumn("cell", F.col("bands")[0]).join(again, "cell", "left_semi").select(units.columns))
+    some = some.unionByName(units.where("level = 1").withColumn("cell", F.col("id")).join(again, "cell", "left_semi").select(units.columns))
     some = written(some.drop("line_no").dropDuplicates(["doc_id", "text_hash", "id", "start"]), "repeated")
     forget(units)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start", "end", "text_hash")
@@ -208,7 +208,7 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
         parts = parts.select("spot.id", F.expr("substring(text, spot.start + 1, spot.end - spot.start)").alias("part"))
         return parts.mapInPandas(_sets, "id long, members array<long>")
 
-    near = link_cells(some.select("id", "bands"), F.col("bands"), sets_of=sets_of, similarity=similarity, room=12)
+    near = link_cells(some.where("level = 0").select("id", "bands"), F.col("bands"), sets_of=sets_of, similarity=similarity, room=12)
     counts = some.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(near, "id", "left")
     clusters = written(counts.where("n > 1 or component is not null").select("id", F.coalesce("component", "id").alias("cluster")), "clusters")
     found = written(join_spread(some.drop("bands"), clusters, "id"), "occurrences")
