@@ -8,6 +8,11 @@ and texts are packed into sequences. Every stage takes the columns of
 rows with null doc_id, text, lang or source pass through every stage (null
 and empty texts count as copies of one another, and have no words to mix or
 to pack); columns beyond those of `documents` are kept by all but the last.
+Texts of any length are taken whole. Rows repeated to the letter count as
+copies, of which one stays; among equally good choices the smallest doc_id, or
+a hash of the row, decides, so reruns agree.
+
+The module is part of the subpackage quern.llm and goes with it.
 """
 
 from __future__ import annotations

@@ -42,6 +42,6 @@ def set_digest(df: DataFrame, column: str) -> DataFrame:
     Row digests are summed as numbers of 4 x 16 hex digits, so nothing is gathered in one place.
     """
     h = df.select(F.sha2(F.col(column).cast("string"), 256).alias("h")).distinct()
-    parts = [F.sum(F.conv(F.substring("h", 16 * i + 1, 15), 16, 10).cast("decimal(38,0)")).alias(f"p{i}") for i in range(4)]
+    parts = [F.sum(F.conv(F.substring("h", 16 * i + 1, 16), 16, 10).cast("decimal(38,0)")).alias(f"p{i}") for i in range(4)]
     total = h.agg(F.count(F.lit(1)).alias("n"), *parts)
     return total.select("n", F.sha2(F.concat_ws("|", "n", *[F.col(f"p{i}").cast("string") for i in range(4)]), 256).alias("digest"))

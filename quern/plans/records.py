@@ -48,11 +48,13 @@ def ledger_append_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a report of a user's cheapest event type would append."""
     cheapest = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("logical_id")).agg(F.min_by("event_type", F.struct("value", "event_id")).alias("t"))
     incoming = cheapest.where("logical_id % 4 <> 0").unionByName(spark.createDataFrame([(-1, "view")], "logical_id long, t string")).withColumn("digest", F.sha2("t", 256))
-    return ledger.append_plan(_versions(spark, sf_dir), incoming, "user").select("logical_id", "digest", "supersedes", F.length("version_id").cast("long").alias("id_length"))
+    return ledger.append_plan(_versions(spark, sf_dir), incoming, "user").select("logical_id", "digest", "supersedes", "version_id")
 
 
-_APPEND = f"""with c as ({_CURRENT}), i as (select user_id as logical_id, sha256(first(event_type order by value, event_id)) as digest from events where user_id % 4 <> 0 group by 1 union all select -1, sha256('view'))
-select i.logical_id, i.digest, c.version_id as supersedes, cast(36 as bigint) as id_length from i left join c on c.logical_id = i.logical_id where sha256(c.event_type) is distinct from i.digest"""
+_APPEND = f"""with c as ({_CURRENT}), i as (select user_id as logical_id, sha256(first(event_type order by value, event_id)) as digest from events where user_id % 4 <> 0 group by 1 union all select -1, sha256('view')),
+a as (select i.logical_id, i.digest, c.version_id as supersedes from i left join c on c.logical_id = i.logical_id where sha256(c.event_type) is distinct from i.digest),
+h as (select *, sha1(from_hex('{ledger.NAMESPACE.replace("-", "")}') || encode(concat_ws(':', 'user', logical_id, digest, coalesce(supersedes, 'first')))) as h from a)
+select logical_id, digest, supersedes, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', cast('0x' || substr(h, 17, 1) as int) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as version_id from h"""
 
 
 def version_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +103,12 @@ def universe_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     counts = lines.agg(F.count(F.lit(1)).alias("raw"), F.count_distinct("l_orderkey").alias("logical"))
     digest = set_digest(lines.select(F.concat(F.lit("O-"), F.col("l_orderkey").cast("string")).alias("k")), "k")
-    return counts.join(F.broadcast(digest), F.col("logical") == F.col("n")).select("raw", "logical", (F.col("raw") - F.col("logical")).alias("collapsed"), F.length("digest").cast("long").alias("digits"))
+    return counts.join(F.broadcast(digest), F.col("logical") == F.col("n")).select("raw", "logical", (F.col("raw") - F.col("logical")).alias("collapsed"), "digest")
 
 
-_UNIVERSE = "select count(*) as raw, count(distinct l_orderkey) as logical, count(*) - count(distinct l_orderkey) as collapsed, cast(64 as bigint) as digits from lineitem"
+_PARTS = ", ".join(f"sum(cast('0x' || substr(h, {16 * i + 1}, 16) as ubigint)::hugeint) as p{i}" for i in range(4))
+_UNIVERSE = f"""with k as (select distinct sha256('O-' || l_orderkey) as h from lineitem), p as (select count(*) as n, {_PARTS} from k)
+select (select count(*) from lineitem) as raw, n as logical, (select count(*) from lineitem) - n as collapsed, sha256(concat_ws('|', n, p0, p1, p2, p3)) as digest from p"""
 
 
 def dedup_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +121,7 @@ _INGEST = "select cast(ts as date) as day, event_type, count(distinct user_id) a
 
 def segment_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").cast("long").alias("year"))
-    merged = notices.merged_segments([o.where(F.col("year") == y) for y in range(1995, 2002)], "o_orderkey")
+    merged = notices.disjoint(o, "o_orderkey", "year")
     return merged.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"))
 
 

@@ -128,12 +128,12 @@ select doc_id, len(ws) as n_tokens, len(list_filter(ws, lambda x: regexp_matches
 
 
 def identifier_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit("[A-Z0-9]+"), F.lit(0)))).alias("token")).where("token rlike '^[0-9]{1,5}$'")
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit("[A-Z0-9]+"), F.lit(0)))).alias("token")).where("token rlike '^[0-9]+$'")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("token"))
     return found.join(orders, "token").groupBy("doc_id").agg(F.count(F.lit(1)).alias("orders"))
 
 
-_TOKEN_JOIN = """select doc_id, count(*) as orders from (select distinct doc_id, unnest(regexp_extract_all(upper(text), '[A-Z0-9]+')) as token from documents) join orders on cast(o_orderkey as varchar) = token where regexp_matches(token, '^[0-9]{1,5}$') group by 1"""
+_TOKEN_JOIN = """select doc_id, count(*) as orders from (select distinct doc_id, unnest(regexp_extract_all(upper(text), '[A-Z0-9]+')) as token from documents) join orders on cast(o_orderkey as varchar) = token group by 1"""
 
 
 def ngram_top(spark: SparkSession, sf_dir: str) -> DataFrame:

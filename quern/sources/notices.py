@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checks import CheckFailed, repeated_keys, require_empty
+from ..checks import CheckFailed, require_empty
 from ..functions.codes import calendar_date, whole_euros
 from ..functions.text import not_blank
 
@@ -57,6 +57,13 @@ def completeness(pages: DataFrame) -> DataFrame:
     return ids.crossJoin(told).select("found", "total", reason.alias("stop_reason"))  # one row each
 
 
+def disjoint(df: DataFrame, key: str, segment: str) -> DataFrame:
+    """df, after a check in one pass that no key is null, in two segments, or twice in one."""
+    bad = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNull() | (F.col("n") > 1))
+    require_empty(bad, f"keys without identity, or in more than one {segment}")
+    return df
+
+
 def merged_segments(segments: list[DataFrame], key: str) -> DataFrame:
     """The union of disjoint segments; a key in two of them, or without a value, is an error."""
     if not segments:
@@ -64,6 +71,4 @@ def merged_segments(segments: list[DataFrame], key: str) -> DataFrame:
     union = segments[0]
     for s in segments[1:]:
         union = union.unionByName(s)
-    require_empty(union.where(F.col(key).isNull()).limit(5), "rows without identity")
-    require_empty(repeated_keys(union, key), "keys in more than one segment")
-    return union
+    return disjoint(union, key, "segment")
