@@ -21,11 +21,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A private key block; a quoted value; an unquoted run of token characters.
+#: A private key block; what is assigned to a name that speaks of a secret, of any characters; a quoted value; an unquoted run of token characters.
 CANDIDATE = re.compile(
     r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]*(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
-    r"|(?<=[\"'])[^\s\"']{8,200}(?=[\"'])"
-    r"|(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}"
+    r"|(?<![A-Za-z_.-])(?=[A-Za-z_.-]*?(?:token|secret|passw|pwd|key|auth|bearer|credential))[A-Za-z_.-]++[\"']?\s*+[=:]\s*+[\"']?(?P<value>[^\s\"',;]{6,})"
+    r"|(?<=[\"'])[^\s\"']{8,}(?=[\"'])"
+    r"|(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}",
+    re.I,
 )
 #: Fixed word lists: what stands next to secrets, what stands next to other long strings, and a small dictionary.
 SECRET_WORDS = "token secret password passwd pwd apikey api_key key auth bearer credential access_key private_key client_secret signature".split()
@@ -50,7 +52,7 @@ username value variable vector version video view visible warning water weather
 word work world write wrong yellow your""".split()
 FEATURES = (
     "length", "digit_share", "upper_share", "other_share", "distinct_share", "class_changes", "pair_surprise", "longest_letters",
-    "dictionary_share", "is_hex", "secret_near", "other_near", "assigned", "test_path",
+    "dictionary_share", "is_hex", "secret_near", "other_near", "secret_after", "other_after", "assigned", "test_path",
 )
 _LETTER_PAIRS = {a + b for w in DICTIONARY for a, b in zip(w, w[1:])}
 _BY_SIZE = sorted((w for w in DICTIONARY if len(w) >= 4), key=len, reverse=True)
@@ -59,14 +61,14 @@ _NEAR = re.compile(r"[A-Za-z][A-Za-z0-9_.-]*")
 _TEST = re.compile(r"test|example|sample|fixture|mock|docs?(?![a-z])", re.I)
 
 
-def features(value: str, before: str, path: str) -> list[float]:
-    """The features of a candidate, the text just before it, and its document's path."""
+def features(value: str, before: str, after: str, path: str) -> list[float]:
+    """The features of a candidate, the text just before and after it, and its document's path."""
     n = len(value)
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "o" for c in value]
     lower = value.lower()
     letters = [a + b for a, b in zip(lower, lower[1:]) if a.isalpha() and b.isalpha()]
-    near = [w.lower() for w in _NEAR.findall(before)][-4:]
-    parts = {p for w in near for p in (w, *re.split(r"[_.-]", w))}
+    words = lambda found: {p for w in found for p in (w.lower(), *re.split(r"[_.-]", w.lower()))}
+    parts, next_parts = words(_NEAR.findall(before)[-4:]), words(_NEAR.findall(after)[:3])
     return [
         float(n), kinds.count("d") / n, kinds.count("u") / n, kinds.count("o") / n, len(set(value)) / n,
         sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1),
@@ -74,13 +76,13 @@ def features(value: str, before: str, path: str) -> list[float]:
         max(map(len, re.findall(r"[A-Za-z]+", value)), default=0) / n,
         sum(map(len, _WORDS_OF.findall(lower))) / n,
         float(not set(lower) - set("0123456789abcdef-")),
-        float(bool(parts & set(SECRET_WORDS))), float(bool(parts & set(OTHER_WORDS))),
+        float(bool(parts & set(SECRET_WORDS))), float(bool(parts & set(OTHER_WORDS))), float(bool(next_parts & set(SECRET_WORDS))), float(bool(next_parts & set(OTHER_WORDS))),
         float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(bool(_TEST.search(path))),
     ]
 
 
-def labelled_findings(count: int = 2400, seed: int = 3) -> list[tuple[str, str, str, float]]:
-    """Labelled findings (value, text before it, path, 1.0 for a secret), made up by rule."""
+def labelled_findings(count: int = 2400, seed: int = 3) -> list[tuple[str, str, str, str, float]]:
+    """Labelled findings (value, text before it, text after it, path, 1.0 for a secret), made up by rule."""
     r = random.Random(seed)
     some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
     word = lambda: r.choice(DICTIONARY)
@@ -99,23 +101,24 @@ def labelled_findings(count: int = 2400, seed: int = 3) -> list[tuple[str, str,
     digests = [lambda: some("0123456789abcdef", r.choice((32, 40, 64))), lambda: "-".join(some("0123456789abcdef", k) for k in (8, 4, 4, 4, 12))]
     out = []
     for i in range(count):
-        path = r.choice(("src/main.py", "app/config.yml", "src3", "notes.txt", "web/index.html", "tests/fixtures/data.json", "docs/example.md"))
+        path = r.choice(("src/main.py", "app/config.yml", "lib/io.rs", "notes.txt", "web/index.html", "tests/fixtures/data.json", "docs/example.md"))
         lead, sign = " ".join(word() for _ in range(3)), r.choice((' = "', '="', ": ", '": "', " "))
+        tail = r.choice(('" ', '", ', " ", "\n", "; ")) + " ".join(word() for _ in range(3))
         if i % 2:
             name = r.choice(SECRET_WORDS) if r.random() < 0.85 else word()
             name = r.choice((name, name.upper(), "config." + name, "my_" + name))
-            out.append((r.choice(secrets)(), f"{lead} {name}{sign if name != lead else ' = '}", path, 1.0))
+            out.append((r.choice(secrets)(), f"{lead} {name}{sign}", tail if r.random() < 0.9 else f" {r.choice(SECRET_WORDS)} {tail}", path, 1.0))
         elif r.random() < 0.35:
-            out.append((r.choice(digests)(), f"{lead} {r.choice(OTHER_WORDS)}{sign}", path, 0.0))
+            out.append((r.choice(digests)(), f"{lead} {r.choice(OTHER_WORDS)}{sign}", tail if r.random() < 0.8 else f" {r.choice(OTHER_WORDS)} {tail}", path, 0.0))
         else:
             name = r.choice((*OTHER_WORDS, word(), word(), word(), *(SECRET_WORDS[:4] if r.random() < 0.3 else ())))
-            out.append((r.choice(others)(), f"{lead} {name}{sign}", path, 0.0))
+            out.append((r.choice(others)(), f"{lead} {name}{sign}", tail, path, 0.0))
     return out
 
 
-def train(spark: SparkSession, findings: list[tuple[str, str, str, float]] | None = None, trees: int = 40, depth: int = 8) -> PipelineModel:
+def train(spark: SparkSession, findings: list[tuple[str, str, str, str, float]] | None = None, trees: int = 40, depth: int = 8) -> PipelineModel:
     """Fit the forest on a small list of labelled findings; the same list gives the same forest."""
-    rows = [(*features(v, b, p), y) for v, b, p, y in (labelled_findings() if findings is None else findings)]
+    rows = [(*features(v, b, a, p), y) for v, b, a, p, y in (labelled_findings() if findings is None else findings)]
     table = spark.createDataFrame(pd.DataFrame(rows, columns=[*FEATURES, "label"])).coalesce(1)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, featuresCol="vector")
     return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="vector"), forest]).fit(table)
@@ -126,9 +129,11 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc_id, h, text, path in zip(batch["doc_id"], batch["text_hash"], batch["text"], batch["path"]):
             for m in CANDIDATE.finditer(text or ""):
-                value = m[0]
-                if value.startswith("-----BEGIN") or (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) or text[m.start() - 1 : m.start()] in ("'", '"'):
-                    rows.append((doc_id, h, m.start(), m.end(), value, *features(value, text[max(0, m.start() - 80) : m.start()], path or "")))
+                start, end = m.span("value" if m["value"] else 0)
+                value = text[start:end]
+                assigned, quoted = bool(m["value"]) or value.startswith("-----BEGIN"), text[start - 1 : start] in ("'", '"')
+                if assigned or quoted or (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+                    rows.append((doc_id, h, start, end, value, *features(value, text[max(0, start - 80) : start], text[end : end + 80], path or "")))
         out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "start", "end", "value", *FEATURES])
         yield out.astype({"doc_id": batch["doc_id"].dtype, "text_hash": "int64", "start": "int64", "end": "int64", **{c: "float64" for c in FEATURES}})
 
@@ -136,9 +141,14 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def secret_findings(docs: DataFrame, model: PipelineModel, path: Column | None = None) -> DataFrame:
     """Every candidate of every whole text: doc_id, text_hash, start and end (code points), value, score and is_secret.
 
-    One row per candidate; a document without any (null or empty texts among
-    them) has no row. Repeated rows give repeated findings. path defaults to the
-    column source where there is one; other columns are not read.
+    One row per candidate, whatever its length: what is assigned to a name that
+    speaks of a secret, a quoted run of 8 characters or more without blanks, and
+    any run of 16 or more token characters with a digit and a letter. Where two
+    begin together, the first kind of these is taken; candidates don't overlap.
+    A document without any (null or empty texts among them) has no row. Repeated
+    rows give repeated findings; texts of any length are read whole. path
+    defaults to the column source where there is one; other columns are not
+    read.
     """
     path = path if path is not None else F.col("source") if "source" in docs.columns else F.lit("")
     text = F.col("text").cast("string")

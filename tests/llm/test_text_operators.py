@@ -304,21 +304,34 @@ def test_toxicity_of_odd_rows(spark):
 
 def test_forest_separates_fresh_findings(spark):
     model = secret_scan.train(spark)
-    fresh = [(*secret_scan.features(v, b, p), y) for v, b, p, y in secret_scan.labelled_findings(600, seed=99)]
+    fresh = [(*secret_scan.features(v, b, a, p), y) for v, b, a, p, y in secret_scan.labelled_findings(600, seed=99)]
     out = model.transform(spark.createDataFrame([tuple(map(float, r)) for r in fresh], [*secret_scan.FEATURES, "label"]))
     right = out.where("label = prediction").count()
     assert right / len(fresh) > 0.93
 
 
+def test_secrets_of_documents_are_recalled(spark):
+    """Values that stand after token = in documents, looked up by a plain pattern."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {(r.doc_id, r.value) for r in secret_scan.secret_findings(docs, secret_scan.train(spark)).where("is_secret").collect()}
+    want = {(r.doc_id, v) for r in docs.collect() for v in re.findall(r'token = "([^"\s]+)"', r.text or "")}
+    assert want and len(want & found) >= 0.95 * len(want)
+
+
 def test_secrets_are_found_and_replaced(spark):
     text = 'é token = "3dc91a32781def2fd668aa2fd071eacee1a19444" and commit = "3dc91a32781def2fd668aa2fd071eacee1a19444" or name="please-enter-your-name"'
     docs = spark.createDataFrame([(1, text, "s", len(text)), (2, "nothing", "s", 7), (None, None, None, None)], "doc_id long, text string, source string, n_chars long")
     found = secret_scan.secret_findings(docs, secret_scan.train(spark))
-    rows = {text[r.start : r.end]: r for r in found.where("doc_id = 1").collect()}
-    assert rows["please-enter-your-name"].is_secret is False and "3dc91a32781def2fd668aa2fd071eacee1a19444" in rows
+    rows = sorted((r.start, text[r.start : r.end], r.is_secret) for r in found.where("doc_id = 1").collect())
+    value = "3dc91a32781def2fd668aa2fd071eacee1a19444"
+    assert [r[1:] for r in rows] == [(value, True), (value, False), ("please-enter-your-name", False)]
     clean = {r.doc_id: r for r in secret_scan.without_secrets(docs, found).collect()}
     assert 'token = "[secret]"' in clean[1].text and clean[1].n_chars == len(clean[1].text)
     assert (clean[2].text, clean[None].text) == ("nothing", None)
+    long = "aB3" * 400
+    shapes = spark.createDataFrame([(1, f'key = "{long}"'), (2, "password: hunterhunter"), (3, "key" * 20_000)], "doc_id long, text string")
+    candidates = {(r.doc_id, r.value) for r in secret_scan.secret_findings(shapes, secret_scan.train(spark)).collect()}
+    assert candidates == {(1, long), (2, "hunterhunter")}
     odd = odd_rows(spark)
     found = secret_scan.secret_findings(odd, secret_scan.train(spark))
     assert secret_scan.without_secrets(odd, found).count() == odd.count() and secret_scan.secret_findings(odd.limit(0), secret_scan.train(spark)).count() == 0
