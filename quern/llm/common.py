@@ -67,13 +67,19 @@ def small_side(df: DataFrame, rows: int = 300_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def join_spread(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", salts: int = 32) -> DataFrame:
-    """Join rows with a written table of one row per key: broadcast if it is small, else each key of rows is dealt to `salts` tasks."""
+def join_spread(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner", hot: int = 50_000) -> DataFrame:
+    """Join rows with a written table of one row per key, whose column `weight` counts the key's rows.
+
+    Broadcast if the table is small. Else keys of more than `hot` rows are
+    broadcast, of which there is one for so many rows at most, so their rows stay
+    where they are; the rest is joined by a shuffle.
+    """
     near = small_side(table)
     if near is not table:
         return rows.join(near, key, how)
-    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("__salt", F.floor(F.rand(11) * salts).cast("int")).join(salted, [key, "__salt"], how).drop("__salt")
+    heavy = table.where(F.col(weight) > hot)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(table.where(F.col(weight) <= hot), key, how)
+    return rows.join(F.broadcast(heavy), key).unionByName(rest)
 
 
 def words_in(text: Column) -> Column:

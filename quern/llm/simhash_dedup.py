@@ -122,11 +122,11 @@ def fingerprint_classes(docs: DataFrame, shingle: int = 4, reach: int = 4) -> Da
     whole; repeated rows get the same answer; other columns are not read.
     """
     marked = written(fingerprints(docs, shingle), "fingerprints")
-    nodes = written(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "nodes")
+    nodes = written(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
     blocks = blocks_for(nodes.count(), reach)
     found = link_cells(nodes, _grid(block_masks(blocks, blocks - reach)), _within(reach), carry=["fp"])
-    of_fp = written(nodes.join(small_side(found), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id")), "classes")
-    return join_spread(marked, of_fp, "fp", "left").select("doc_id", "fp", "component_id")
+    of_fp = written(nodes.join(small_side(found), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"), "n"), "classes")
+    return join_spread(marked, of_fp, "fp", "n", "left").select("doc_id", "fp", "component_id")
 
 
 def _shingles(words: bytes, shingle: int) -> np.ndarray:

@@ -210,12 +210,12 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
 
     near = link_cells(some.where("level = 0").select("id", "bands"), F.col("bands"), sets_of=sets_of, similarity=similarity, room=12)
     counts = some.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(near, "id", "left")
-    clusters = written(counts.where("n > 1 or component is not null").select("id", F.coalesce("component", "id").alias("cluster")), "clusters")
-    found = written(join_spread(some.drop("bands"), clusters, "id"), "occurrences")
+    clusters = written(counts.where("n > 1 or component is not null").select("id", F.coalesce("component", "id").alias("cluster"), "n"), "clusters")
+    found = written(join_spread(some.drop("bands"), clusters, "id", "n").drop("n"), "occurrences")
 
     def told(rows: DataFrame) -> DataFrame:
         firsts = written(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("cluster_size"), F.min(place).alias("first")).where("cluster_size > 1"), "firsts")
-        rows = join_spread(rows, firsts, "cluster").withColumn("removed", F.col("first") != place)
+        rows = join_spread(rows, firsts, "cluster", "cluster_size").withColumn("removed", F.col("first") != place)
         return rows.withColumn("kept_doc_id", F.col("first.doc_id")).withColumn("kept_hash", F.col("first.text_hash")).drop("first")
 
     lines = written(told(found.where("level = 0")), "lines")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import components, queries, simhash_dedup, substring_dedup
+from quern.llm import common, components, queries, simhash_dedup, substring_dedup
 from quern.llm.common import windows
 
 SF = "/root/testdata/sf0.001"
@@ -76,6 +76,15 @@ def test_crowded_cells_lose_no_component(spark, room):
     assert {i: got.get(i, i) for i in want} == want
 
 
+def test_hot_keys_are_joined_like_the_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "small_side", lambda df, rows=0: df)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 3), (3, 1)) for i in range(n)], "k long, i long")
+    table = spark.createDataFrame([(1, "a", 50), (2, "b", 3)], "k long, v string, n long")
+    for how in ("inner", "left"):
+        got = sorted(((r.k, r.i, r.v) for r in common.join_spread(rows, table, "k", "n", how, 10).collect()), key=repr)
+        assert got == sorted(((r.k, r.i, r.v) for r in rows.join(table, "k", how).collect()), key=repr)
+
+
 # SimHash
 
 
