@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codes import plain_decimal
+
 
 def basis_points(part: Column, whole: Column) -> Column:
     """part * 10000 div whole; null if whole is 0."""
@@ -81,3 +83,9 @@ def overlap_report(gold: DataFrame, predicted: DataFrame, case: str) -> DataFram
 def spread(df: DataFrame, by: str, value: str) -> DataFrame:
     """Per group: measured rows, twice the median (exact for whole numbers), and the largest value; nulls are not measured."""
     return df.groupBy(by).agg(F.count(value).alias("measured"), (2 * F.median(value)).cast("long").alias("median_x2"), F.max(value).alias("largest"))
+
+
+def parseable_sum(df: DataFrame, group: str, text: str, scale: int = 2) -> DataFrame:
+    """Per group: rows, how many amounts (text) are plain decimals, and their sum; others are left out, not taken for 0."""
+    amount = plain_decimal(F.col(text), scale)
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("rows"), F.count(amount).alias("parsed"), F.sum(amount).alias("total"))

@@ -386,6 +386,19 @@ def market_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MARKET = f"""select o_orderpriority, count(*) as n, cast(sum({_CENTS}) filter (o_orderkey % 9 <> 0) as bigint) as known, count(*) filter (o_orderkey % 9 <> 0) * 10000 // count(*) as coverage_bps from orders group by 1"""
 
+
+
+def parseable_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of amounts written with a comma, of which some are ambiguous, negative or missing."""
+    cents = F.expr(_CENTS)
+    whole, rest = F.floor(cents / 100).cast("long").cast("string"), F.lpad((cents % 100).cast("string"), 2, "0")
+    written = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("1.2."), rest)).when(F.col("o_orderkey") % 7 == 1, F.concat(F.lit("-"), whole)).when(F.col("o_orderkey") % 7 != 2, F.concat(F.lit(" "), whole, F.lit(","), rest))
+    sums = scoring.parseable_sum(table(spark, sf_dir, "orders").select("o_orderstatus", written.alias("amount")), "o_orderstatus", "amount")
+    return sums.select("o_orderstatus", "rows", "parsed", (F.col("total") * 100).cast("long").alias("cents"))
+
+
+_PARSEABLE = f"""select o_orderstatus, count(*) as "rows", count(*) filter (o_orderkey % 7 > 2) as parsed, cast(sum({_CENTS}) filter (o_orderkey % 7 > 2) as bigint) as cents from orders group by 1"""
+
 QUERIES = {
     "order_state_rollup": (order_state_rollup, _ROLLUP), "state_summary": (state_summary, _SUMMARY),
     "candidate_tiers": (candidate_tiers, f"select l_orderkey, a_linenumber, b_linenumber, tier, disposition, reason from ({_PAIRS})"),
@@ -395,6 +408,6 @@ QUERIES = {
     "readiness_cohort_tiers": (readiness_cohort_tiers, _TIERS), "closest_comparables": (closest_comparables, _NEAREST), "completed_months": (completed_months, _MONTHS),
     "lead_days": (lead_days, _LEAD), "boundary_matrix": (boundary_matrix, _BOUNDARY), "key_conflicts": (key_conflicts, _CONFLICTS), "unambiguous_link": (unambiguous_link, _UNAMBIGUOUS),
     "linkage_coverage": (linkage_coverage, _COVERAGE), "lifecycle_windows": (lifecycle_windows, _LIFECYCLE), "nested_counts": (nested_counts, _NESTED), "prefix_prevalence": (prefix_prevalence, _PREVALENCE),
-    "high_end": (high_end, _HIGH_END), "title_or_location": (title_or_location, _TITLE), "last_page": (last_page, _LAST_PAGE),
+    "high_end": (high_end, _HIGH_END), "title_or_location": (title_or_location, _TITLE), "last_page": (last_page, _LAST_PAGE), "parseable_sums": (parseable_sums, _PARSEABLE),
     "interval_overlap": (interval_overlap, _OVERLAP), "opportunity_search_page": (opportunity_search_page, _SEARCH), "relevance_ranking": (relevance_ranking, _RANKING), "market_summary": (market_summary, _MARKET),
 }

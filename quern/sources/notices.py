@@ -50,10 +50,25 @@ def deduplicated(notices: DataFrame, keys: tuple[str, ...] = ("notice_id", "publ
 
 
 def completeness(pages: DataFrame) -> DataFrame:
-    """One row: notices (distinct ids), the highest total told, whether any page timed out, and the stop reason."""
+    """One row for the pages of a run: notices (distinct ids), the highest total told, and why the run stopped.
+
+    timed_out: a page did. complete: the total was reached, or none was told,
+    and the last page is there. count_mismatch: an empty page came before the
+    total was reached. missing_iteration_token: the last page names no next one,
+    too early. max_pages: every page names a next one.
+    """
     ids = pages.select(F.explode("notices").alias("n")).agg(F.count_distinct("n.notice_id", "n.publication_date").alias("found"))
-    told = pages.agg(F.max("total").alias("total"), F.coalesce(F.bool_or("timed_out"), F.lit(False)).alias("timed_out"))
-    reason = F.when(F.col("timed_out"), "timed_out").when(F.col("total").isNull() | (F.col("found") == F.col("total")), "complete").otherwise("count_mismatch")
+    any_page = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    told = pages.agg(
+        F.max("total").alias("total"), any_page(F.col("timed_out")).alias("timed_out"), any_page(F.size("notices") == 0).alias("empty"), any_page(not_blank(F.col("next_token")).isNull()).alias("last")
+    )
+    enough = F.col("total").isNull() | (F.col("found") == F.col("total"))
+    reason = (
+        F.when(F.col("timed_out"), "timed_out")
+        .when(F.col("empty"), F.when(enough, "complete").otherwise("count_mismatch"))
+        .when(F.col("last"), F.when(enough, "complete").otherwise("missing_iteration_token"))
+        .otherwise("max_pages")
+    )
     return ids.crossJoin(told).select("found", "total", reason.alias("stop_reason"))  # one row each
 
 

@@ -199,8 +199,10 @@ def test_notice_pages(spark, tmp_path):
     assert [r.notice_id for r in got] == ["a", "b", "c"]
     assert (got[0].title, got[0].codes, got[0].value_eur, got[0].publication_date) == ("T", ["45"], None, date(2026, 1, 2))
     assert tuple(notices.completeness(pages).first()) == (3, 3, "complete")
-    (tmp_path / "p2.json").write_text(_page("a", total=9))
-    assert notices.completeness(notices.read_pages(spark, str(tmp_path / "p2.json"))).first().stop_reason == "count_mismatch"
+    runs = {"missing_iteration_token": [_page("a", total=9)], "count_mismatch": [_page("a", total=9, next_token="t"), _page(total=9)], "max_pages": [_page("a", total=9, next_token="t")], "timed_out": [_page("a", timed_out=True)]}
+    for reason, lines in runs.items():
+        (tmp_path / f"{reason}.json").write_text("\n".join(lines))
+        assert notices.completeness(notices.read_pages(spark, str(tmp_path / f"{reason}.json"))).first().stop_reason == reason
 
 
 def test_segments_must_be_disjoint(spark):
