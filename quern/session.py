@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 4, app: str = "quern", memory: str = "8g") -> SparkSession:
@@ -38,3 +40,16 @@ def shared_folder(spark: SparkSession) -> str:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder and read it back."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 300_000) -> tuple[DataFrame, bool]:
+    """A kept table of a few values a row, marked for broadcast if it has at most so many rows, and whether it is."""
+    small = df.limit(rows + 1).count() <= rows
+    return (F.broadcast(df) if small else df), small

@@ -9,7 +9,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import kept
 
 
 class GuardError(RuntimeError):
@@ -98,9 +98,7 @@ def numbered_rows(df: DataFrame, *order: str, number: str = "number") -> DataFra
     """
     spark = df.sparkSession
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    path = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
-    ranged.write.parquet(path)
-    rows = spark.read.schema(ranged.schema).parquet(path).withColumn("__part", F.shiftright("__id", 33))
+    rows = kept(ranged, "numbered").withColumn("__part", F.shiftright("__id", 33))
     sizes = sorted(map(tuple, rows.groupBy("__part").agg(F.count(F.lit(1))).collect()))
     firsts = [(part, before - n) for (part, n), before in zip(sizes, accumulate(n for _, n in sizes))]
     offsets = spark.createDataFrame(firsts, "__part long, __first long")
