@@ -16,6 +16,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Letters of a word: letters of any script and number signs that aren't decimal digits.
 LETTER = r"\p{L}\p{Nl}\p{No}"
@@ -55,7 +56,7 @@ def _tables() -> tuple[str, str, str]:
     return "".join(single), "".join(single.values()), "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold_all(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else fold(t))
 
@@ -64,7 +65,7 @@ def folded(text: Column) -> Column:
     """fold() of a column: as a JVM translation but for characters that fold to none or several."""
     source, target, several = _tables()
     needs = text.rlike(several)
-    return F.when(text.rlike(r"\A[\x00-\x7F]*\z"), F.lower(text)).when(needs, _fold_all(F.when(needs, text))).otherwise(F.translate(F.translate(text, source, target), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return F.when(text.rlike(r"\A[\x00-\x7F]*\z"), F.lower(text)).when(needs, _fold_all(F.when(needs, text))).otherwise(F.translate(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), source, target))
 
 
 def _without_suffix(word: Column, suffixes: str, stem: int) -> Column:
@@ -85,3 +86,8 @@ def family_of_folded(word: Column) -> Column:
 
 def family(word: Column) -> Column:
     return family_of_folded(folded(word))
+
+
+def folded_words(words: Column) -> Column:
+    """Each word of an array folded. The words are folded as one text, as an Arrow function can't stand inside a lambda."""
+    return F.when(F.size(words) > 0, F.split(folded(F.array_join(words, "\n")), "\n")).otherwise(words)

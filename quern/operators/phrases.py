@@ -23,11 +23,11 @@ def _normalised(words: Column, norm: Callable[[Column], Column]) -> Column:
     return F.transform(words, norm)
 
 
-def _placed(df: DataFrame, text: str, word: str, gap: str) -> DataFrame:
+def _placed(df: DataFrame, text: str, word: str, gap: str, fold: Callable[[Column], Column]) -> DataFrame:
     """df with __pieces (words and what lies between them, in turn), __first (the index of the first word) and __words."""
     found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     first = F.when(F.col(text).rlike(rf"\A(?:{word})"), 0).otherwise(1)
-    return df.withColumns({"__pieces": found(f"{word}|{gap}"), "__words": found(word), "__first": first})
+    return df.withColumns({"__pieces": found(f"{word}|{gap}"), "__words": fold(found(word)), "__first": first})
 
 
 def _length_of(pieces: Column) -> Column:
@@ -35,14 +35,14 @@ def _length_of(pieces: Column) -> Column:
 
 
 def phrase_hits(
-    df: DataFrame, key: str, text: str, phrases: DataFrame, keep: Sequence[str] = (), norm: Callable[[Column], Column] = F.lower,
+    df: DataFrame, key: str, text: str, phrases: DataFrame, keep: Sequence[str] = (), norm: Callable[[Column], Column] = F.lower, fold: Callable[[Column], Column] = lambda words: words,
     word: str = WORD, gap: str = GAP, literal: bool = True, near_rows: int = 300_000,
 ) -> DataFrame:
     """Every occurrence of every phrase: key, the columns to keep, phrase_id, start, end (code points, end exclusive) and span.
 
     phrases: phrase_id and phrase. A phrase occurs where the words of a text,
     normalised, are the phrase's; it stands between characters that are no part
-    of a word. If literal, what lies between and around its words has to be the
+    of a word. fold takes the array of all words, norm each word of it after. If literal, what lies between and around its words has to be the
     same too, in any case. Occurrences may overlap. Keys have to be unique and
     not null; a null text has no occurrences, and neither has a phrase without
     a word.
@@ -50,9 +50,9 @@ def phrase_hits(
     The index is broadcast if it was counted and found small; else words meet
     it by a shuffle, and the places found are brought back to their texts.
     """
-    cut = _placed(df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, *keep, text), text, word, gap)
-    split = phrases.select("phrase_id", "phrase", _normalised(F.regexp_extract_all("phrase", F.lit(word), F.lit(0)), norm).alias("words"), F.regexp_instr("phrase", F.lit(word)).alias("lead"))
-    split = kept(split.where((F.size("words") > 0) & F.col("phrase_id").isNotNull()), "phrases")
+    cut = _placed(df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, *[c for c in keep if c != text], text), text, word, gap, fold)
+    split = phrases.select("phrase_id", "phrase", fold(F.regexp_extract_all("phrase", F.lit(word), F.lit(0))).alias("words"), F.regexp_instr("phrase", F.lit(word)).alias("lead"))
+    split = kept(split.withColumn("words", _normalised(F.col("words"), norm)).where((F.size("words") > 0) & F.col("phrase_id").isNotNull()), "phrases")
     of_phrases = split.select("phrase_id", F.posexplode("words").alias("place", "word"))
     vocabulary, _ = broadcast_if_small(of_phrases.select("word").distinct(), near_rows)
     counts = cut.select(F.explode("__words").alias("w")).select(norm(F.col("w")).alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -61,7 +61,7 @@ def phrase_hits(
     index, small = broadcast_if_small(kept(index, "phrase-index"), near_rows)
 
     if small:
-        places = cut.select(key, *keep, text, "__pieces", "__first", "__words", F.posexplode("__words").alias("at", "w")).withColumn("word", norm(F.col("w")))
+        places = cut.select(*cut.columns[:-3], "__pieces", "__first", "__words", F.posexplode("__words").alias("at", "w")).withColumn("word", norm(F.col("w")))
         met = places.join(index, "word")
     else:
         places = cut.select(key, F.posexplode("__words").alias("at", "w")).select(key, "at", norm(F.col("w")).alias("word"))

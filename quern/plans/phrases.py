@@ -68,7 +68,7 @@ def morphology_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places in documents where words are, by family, those of a phrase; with a check that the span is what the text holds there."""
     listed = spark.createDataFrame([(p, p) for p in FAMILY_PHRASES], "phrase_id string, phrase string")
     docs = _documents(spark, sf_dir)
-    hits = phrases.phrase_hits(docs, "doc_id", "text", listed, keep=["text"], norm=morphology.family, word=morphology.WORD, gap=morphology.GAP, literal=False)
+    hits = phrases.phrase_hits(docs, "doc_id", "text", listed, keep=["text"], norm=morphology.family_of_folded, fold=morphology.folded_words, word=morphology.WORD, gap=morphology.GAP, literal=False)
     return hits.select("doc_id", "phrase_id", "start", "end", "span", is_verbatim(F.col("text"), F.col("start"), F.col("end"), F.col("span")).alias("verbatim"))
 
 
