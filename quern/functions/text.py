@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,9 +12,18 @@ from pyspark.sql import functions as F
 SEGMENT_END = ".;!?\n"
 
 
+#: White space of any script: what Unicode gives the property White_Space (fixed values).
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trimmed(c: Column) -> Column:
     """Without white space (of any script) at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(SPACE))
+
+
+def lead(c: Column) -> Column:
+    """Characters of white space at the start."""
+    return F.length(c) - F.length(F.ltrim(c, F.lit(SPACE)))
 
 
 def squeezed(c: Column) -> Column:
@@ -42,25 +52,27 @@ def has_phrase(text: Column, *phrases: str) -> Column:
 
 
 #: Pieces of a text whose lengths are added up at once.
-BLOCK = 128
+BLOCK = 32
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda s, x: s + x)
+
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
-def _with_offsets(pieces: Column) -> Column:
-    """Array of struct(piece, start), start being the length of all pieces before: added up inside blocks, then over blocks."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda b: F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK)))
-    row = "struct<total:bigint,rows:array<struct<piece:string,start:bigint>>>"
-    begin = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<struct<piece:string,start:bigint>>").alias("rows")).cast(row)
 
-    def add(sums: Column, piece: Column) -> Column:
-        own = F.array(F.struct(piece.alias("piece"), sums["total"].alias("start")))
-        return F.struct((sums["total"] + F.length(piece)).alias("total"), F.concat(sums["rows"], own).alias("rows"))
+def starts_of(lengths: Column) -> Column:
+    """For each of an array of lengths, the sum of those before it: those of the blocks before, and what is before it in its block."""
 
-    def join(sums: Column, block: Column) -> Column:
-        moved = F.transform(block["rows"], lambda r: F.struct(r["piece"].alias("piece"), (r["start"] + sums["total"]).alias("start")))
-        return F.struct((sums["total"] + block["total"]).alias("total"), F.concat(sums["rows"], F.array(moved)).alias("rows"))
+    def places(lengths: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: _sum(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
+        before = _let(blocks, lambda sums: F.transform(sums, lambda _, b: _sum(F.slice(sums, F.lit(1), b))))
+        return _let(before, lambda sums: F.transform(lengths, lambda _, i: F.get(sums, F.floor(i / BLOCK).cast("int")) + _sum(F.slice(lengths, i - i % BLOCK + 1, i % BLOCK))))
 
-    nested = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<array<struct<piece:string,start:bigint>>>").alias("rows"))
-    return F.flatten(F.aggregate(F.transform(blocks, lambda b: F.aggregate(b, begin, add)), nested, join)["rows"])
+    return _let(lengths, places)
 
 
 def segments(df: DataFrame, key: str, text: str, ends: str = SEGMENT_END) -> DataFrame:
@@ -70,11 +82,12 @@ def segments(df: DataFrame, key: str, text: str, ends: str = SEGMENT_END) -> Dat
     end exclusive. Offsets are worked out inside the row, so nothing is shuffled.
     """
     cut = f"(?<=[{re.escape(ends)}])" if "\n" not in ends else "(?<=[" + re.escape(ends.replace("\n", "")) + r"\n])"
-    pieces = df.select(key, F.posexplode(_with_offsets(F.split(F.col(text), cut))).alias("segment_no", "p")).select(key, "segment_no", "p.piece", F.col("p.start").alias("offset"))
-    lead = F.length("piece") - F.length(F.regexp_replace("piece", r"(?U)^\s+", ""))
-    out = pieces.withColumn("segment", trimmed(F.col("piece"))).where("segment <> ''")
-    start = (F.col("offset") + lead).cast("long")
-    return out.select(key, F.col("segment_no").cast("long").alias("segment_no"), "segment", start.alias("start"), (start + F.length("segment")).alias("end"))
+    split = df.select(key, F.split(F.col(text), cut).alias("pieces"))
+    placed = split.select(key, F.arrays_zip("pieces", starts_of(F.transform("pieces", F.length)).alias("starts")).alias("p"))
+    # the outer explode keeps the optimiser from evaluating the array once more in a filter below it
+    each = placed.select(key, F.posexplode_outer("p").alias("segment_no", "p"))
+    out = each.select(key, "segment_no", trimmed(F.col("p.pieces")).alias("segment"), (F.col("p.starts") + lead(F.col("p.pieces"))).alias("start")).where("segment <> ''")
+    return out.select(key, F.col("segment_no").cast("long").alias("segment_no"), "segment", "start", (F.col("start") + F.length("segment")).alias("end"))
 
 
 def is_verbatim(text: Column, start: Column, end: Column, span: Column) -> Column:

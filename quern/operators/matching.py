@@ -112,6 +112,12 @@ def rolled_up(states: DataFrame, key: str, state: str = "state") -> DataFrame:
     return flags.select(key, "components", verdict.alias("state"))
 
 
+def rolled_up_state(states: Column) -> Column:
+    """The same of an array of states in one row; a null array has no component."""
+    has = lambda s: F.coalesce(F.array_contains(states, s), F.lit(False))
+    return F.when(has(UNRESOLVED) | ~(has(OPEN) | has(CLOSED)), UNRESOLVED).when(has(OPEN) & has(CLOSED), PARTIAL).when(has(CLOSED), CLOSED).otherwise(OPEN)
+
+
 def state_summary(projects: DataFrame, amount: str, state: str = "state") -> DataFrame:
     """One row per state, also those without a project: count, sum of the known amounts, and how many are unknown."""
     spark = projects.sparkSession

@@ -55,17 +55,18 @@ def phrase_hits(
     split = kept(split.withColumn("words", _normalised(F.col("words"), norm)).where((F.size("words") > 0) & F.col("phrase_id").isNotNull()), "phrases")
     of_phrases = split.select("phrase_id", F.posexplode("words").alias("place", "word"))
     vocabulary, _ = broadcast_if_small(of_phrases.select("word").distinct(), near_rows)
-    counts = cut.select(F.explode("__words").alias("w")).select(norm(F.col("w")).alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut.select(F.explode_outer("__words").alias("w")).select(norm(F.col("w")).alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     rarest = of_phrases.join(counts, "word", "left").groupBy("phrase_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "word")).alias("r"))
     index = split.join(rarest.where("r.n > 0"), "phrase_id").select("phrase_id", "phrase", "words", "lead", F.col("r.place").alias("before"), F.col("r.word").alias("word"))
     index, small = broadcast_if_small(kept(index, "phrase-index"), near_rows)
 
     if small:
-        places = cut.select(*cut.columns[:-3], "__pieces", "__first", "__words", F.posexplode("__words").alias("at", "w")).withColumn("word", norm(F.col("w")))
+        places = cut.select(*cut.columns[:-3], "__pieces", "__first", "__words", F.posexplode_outer("__words").alias("at", "w")).withColumn("word", norm(F.col("w")))
         met = places.join(index, "word")
     else:
-        places = cut.select(key, F.posexplode("__words").alias("at", "w")).select(key, "at", norm(F.col("w")).alias("word"))
+        places = cut.select(key, F.posexplode_outer("__words").alias("at", "w")).select(key, "at", norm(F.col("w")).alias("word"))
         met = places.join(index, "word").drop("word").join(cut, key)
+    # outer explodes: else the optimiser finds the words once more in a filter below; words that are null meet nothing
     from_word = F.col("at") - F.col("before")
     same = (from_word >= 0) & (_normalised(F.slice("__words", F.greatest(from_word, F.lit(0)) + 1, F.size("words")), norm) == F.col("words"))
     found = met.where(same).withColumn("__from", F.greatest(2 * from_word + F.col("__first"), F.lit(0))).withColumn("start", _length_of(F.slice("__pieces", F.lit(1), F.col("__from"))))

@@ -7,6 +7,7 @@ however many rules there are; no row is multiplied before it has matched.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -29,17 +30,27 @@ class Rule:
         return f"{self.domain}:{self.category}"
 
 
+def _plain(text: Column) -> Column:
+    """One spelling for all that a pattern takes as equal in case."""
+    return F.lower(F.upper(text))
+
+
 def matched_rules(text: Column, rules: Sequence[Rule]) -> Column:
-    """Array of struct(category, phrases) of the rules with a phrase in the text, phrases sorted."""
-    found = [
-        F.struct(
-            F.lit(r.key).alias("category"),
-            F.array_sort(F.filter(F.array(*[F.when(text.rlike(phrase_pattern(p)), F.lit(p)) for p in r.phrases]), lambda p: p.isNotNull())).alias("phrases"),
-        )
-        for r in rules
-    ]
-    some = F.when(text.rlike(phrase_pattern(*[p for r in rules for p in r.phrases])), F.filter(F.array(*found), lambda m: F.size(m["phrases"]) > 0))
-    return F.coalesce(some, F.array().cast("array<struct<category:string,phrases:array<string>>>"))
+    """Array of struct(category, phrases) of the rules with a phrase in the text, phrases sorted.
+
+    Phrases of a single word can't overlap, so one pattern finds all of them;
+    others may hold one another and are looked for one by one.
+    """
+    phrases = sorted({p for r in rules for p in r.phrases})
+    single = [p for p in phrases if re.fullmatch(r"\w+", p)]
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(phrase_pattern(*single)), F.lit(0)), _plain)) if single else F.array().cast("array<string>")
+    longer = F.array_compact(F.array(*[F.when(text.rlike(phrase_pattern(p)), F.lit(p.upper().lower())) for p in phrases if p not in single]).cast("array<string>"))
+
+    def rows(words: Column) -> Column:
+        of = [F.struct(F.lit(r.key).alias("category"), F.filter(F.array(*[F.lit(p) for p in sorted(r.phrases)]), lambda p: F.array_contains(words, _plain(p))).alias("phrases")) for r in rules]
+        return F.filter(F.array(*of), lambda m: F.size(m["phrases"]) > 0)
+
+    return F.coalesce(F.element_at(F.transform(F.array(F.concat(found, longer)), rows), 1), F.array().cast("array<struct<category:string,phrases:array<string>>>"))
 
 
 def rule_segments(df: DataFrame, key: str, text: str, rules: Sequence[Rule]) -> DataFrame:
@@ -49,9 +60,8 @@ def rule_segments(df: DataFrame, key: str, text: str, rules: Sequence[Rule]) ->
 
 def extracted(found: DataFrame, key: str) -> DataFrame:
     """One row per key, category and supporting segment, from rule_segments."""
-    return found.select(key, "segment_no", "segment", "start", "end", F.explode("matches").alias("m")).select(
-        key, F.col("m.category").alias("category"), "segment_no", "start", "end", "segment", F.col("m.phrases").alias("phrases")
-    )
+    each = found.select(key, "segment_no", "segment", "start", "end", F.explode_outer("matches").alias("m")).where("m is not null")
+    return each.select(key, F.col("m.category").alias("category"), "segment_no", "start", "end", "segment", F.col("m.phrases").alias("phrases"))
 
 
 def extraction_summary(found: DataFrame, key: str) -> DataFrame:

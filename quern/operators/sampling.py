@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType
 
 from ..functions.hashing import hash_rank
 
@@ -42,32 +43,67 @@ def top_of_each(df: DataFrame, group: str, order: Sequence[Column], k: int, part
     return ranked.join(sizes, group).withColumn("truncated", F.col("group_size") > k).drop("part", "group_size")
 
 
-def stratified(df: DataFrame, key: str, strata: Sequence[str], least: int, total: int, seed: str) -> DataFrame:
-    """Greedy selection: `least` rows of every value of each stratum, in order and not counting twice, then by hash up to `total`.
+def _meets(column: Column, kind: DataType, value: str) -> Column:
+    """Whether a stratum's column, which may be an array of values, has a value."""
+    return F.coalesce(F.array_contains(column, value) if isinstance(kind, ArrayType) else column == value, F.lit(False))
 
-    Every value's first rows by hash are found in Spark; the greedy pass runs
-    over these few (values * least, and total more) on the driver.
+
+def missing_requirements(df: DataFrame, required: Sequence[tuple[str, str]], spread: Sequence[str]) -> DataFrame:
+    """stratum and value of what no selection of df can cover: required values that no row has, and columns of spread without two values (value null)."""
+    found = [F.struct(F.lit(c).alias("stratum"), F.lit(v).alias("value"), F.coalesce(F.bool_or(_meets(F.col(c), df.schema[c].dataType, v)), F.lit(False)).alias("ok")) for c, v in required]
+    found += [F.struct(F.lit(c).alias("stratum"), F.lit(None).cast("string").alias("value"), F.coalesce(F.min(c) < F.max(c), F.lit(False)).alias("ok")) for c in spread]
+    kind = "array<struct<stratum:string,value:string,ok:boolean>>"
+    return df.agg(F.array(*found).cast(kind).alias("f")).select(F.explode("f").alias("f")).where("not f.ok").select("f.stratum", "f.value")
+
+
+def greedy_selection(df: DataFrame, key: str, required: Sequence[tuple[str, str]], spread: Sequence[str], total: int, seed: str) -> DataFrame:
+    """Rows of df picked until every required stratum is covered, with hash and pick (from 1).
+
+    For each required (column, value) in order, unless a row picked so far has
+    it, the first row by hash that has it is picked; then for each column of
+    spread, until two of its values are picked, the first row with another
+    value; the rest up to `total` follows by hash. What no row can cover is
+    left out here and told by missing_requirements; null values cover nothing.
+    Keys have to be unique; rows without one are never picked. If covering takes
+    more rows than `total`, that is an error.
+
+    Which row covers a requirement first doesn't depend on what is picked
+    before, so one aggregation finds these rows: as many as there are
+    requirements, whatever the size of df. No more come to the driver.
     """
-    ranked = df.select(key, *strata).withColumn("hash", hash_rank(seed, F.col(key)))
-    firsts = [r for s in strata for r in top_of_each(ranked, s, [F.col("hash")], least).select(key, *strata, "hash").collect()]
-    fill = ranked.orderBy("hash").limit(total).collect()
-    chosen: dict = {}
-    for s in strata:
-        for value in sorted({r[s] for r in firsts if r[s] is not None}):
-            have = sum(1 for r in chosen.values() if r[s] == value)
-            for r in sorted((r for r in firsts if r[s] == value), key=lambda r: r["hash"]):
-                if have >= least:
-                    break
-                if r[key] not in chosen:
-                    chosen[r[key]] = r
-                    have += 1
-    for r in fill:
-        if len(chosen) >= total:
-            break
-        chosen.setdefault(r[key], r)
-    rows = [(r[key], r["hash"], i + 1) for i, r in enumerate(chosen.values())]
-    table = df.sparkSession.createDataFrame(rows, f"{key} {df.schema[key].dataType.simpleString()}, hash string, pick long")
-    return df.join(F.broadcast(table), key)
+    columns = list(dict.fromkeys([*[c for c, _ in required], *spread]))
+    ranked = df.where(F.col(key).isNotNull()).withColumn("hash", hash_rank(seed, F.col(key)))
+    order, row = F.struct("hash", key), F.struct(F.col(key).alias("key"), *[F.col(c).alias(f"of_{c}") for c in columns])
+
+    def firsts(conditions: Sequence[Column]) -> list:
+        found = ranked.agg(*[F.min_by(row, F.when(c, order)).alias(f"r{i}") for i, c in enumerate(conditions)]).first()
+        return [found[f"r{i}"] for i in range(len(conditions))]
+
+    def has(pick, column: str, value: str) -> bool:
+        own = pick[f"of_{column}"]
+        return value in own if isinstance(own, list) else own == value
+
+    picked = []
+    found = firsts([_meets(F.col(c), df.schema[c].dataType, v) for c, v in required]) if required else []
+    for (c, v), first in zip(required, found):
+        if first is not None and not any(has(p, c, v) for p in picked):
+            picked.append(first)
+    for c in spread:
+        while len(values := {p[f"of_{c}"] for p in picked} - {None}) < 2:
+            other = firsts([F.col(c).isNotNull() & ~F.col(c).isin(list(values)) if values else F.col(c).isNotNull()])[0]
+            if other is None:
+                break
+            picked.append(other)
+    if len(picked) > total:
+        raise ValueError(f"{total} rows cannot cover the required strata: it takes {len(picked)}")
+    numbers = {p["key"]: i + 1 for i, p in enumerate(picked)}
+    chosen = ranked.where(F.col(key).isin(list(numbers)))
+    number = F.lit(None).cast("long")
+    for k, n in numbers.items():
+        number = F.when(F.col(key) == k, F.lit(n).cast("long")).otherwise(number)
+    rest = ranked.where(~F.col(key).isin(list(numbers))).orderBy("hash", key).limit(total - len(picked))
+    rest = rest.withColumn("pick", F.row_number().over(Window.orderBy("hash", key)).cast("long") + len(picked))
+    return chosen.withColumn("pick", number).unionByName(rest)
 
 
 def missing_strata(df: DataFrame, stratum: str, required: Sequence[str]) -> DataFrame:

@@ -258,11 +258,6 @@ case when tp + fn < 30 then 'support' end], lambda x: x is not null) as xs from
 cast(floor((case when tp + fp > 0 then 1 - pow(0.05, 1.0 / (tp + fp)) else 1.0 end) * 10000) as bigint) as bound_bps from f"""
 
 
-def stratified_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang", "source", F.when(F.col("n_chars") < 800, "short").when(F.col("n_chars") < 3000, "middle").otherwise("long").alias("band"))
-    return sampling.stratified(docs, "doc_id", ["lang", "source", "band"], 2, 60, "strata")
-
-
 def morphology_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(F.explode(tx.tokens(F.col("text"), r"[a-zà-ÿ']+", least=4)).alias("w"))
     return linkage.most_common(words.select(tx.normalised_token(F.col("w")).alias("family")), ["family"], 300)
@@ -300,5 +295,5 @@ QUERIES = {
     "html_visible_text": (html_visible_text, _VISIBLE), "forbidden_lines": (forbidden_lines, _FORBIDDEN), "field_availability": (field_availability, _AVAILABLE), "blind_value_metrics": (blind_value_metrics, _BLIND),
     "set_ceiling": (set_ceiling, _CEILING), "text_length_profile": (text_length_profile, _LENGTHS), "hash_sample": (hash_sample, _SAMPLE), "hash_holdout": (hash_holdout, _HOLDOUT), "review_queue_topk": (review_queue_topk, _QUEUE),
     "prf_scores": (prf_scores, _CONFUSED + _PRF.format(by="", group="")), "prf_by_domain": (prf_by_domain, _CONFUSED + _PRF.format(by="lang,", group="group by lang")), "release_gate": (release_gate, _GATE),
-    "stratified_selection": (stratified_selection, None), "morphology_tokens": (morphology_tokens, _MORPHOLOGY), "structured_codes": (structured_codes, _CODES), "candidate_index_counts": (candidate_index_counts, _INDEX),
+    "morphology_tokens": (morphology_tokens, _MORPHOLOGY), "structured_codes": (structured_codes, _CODES), "candidate_index_counts": (candidate_index_counts, _INDEX),
 }

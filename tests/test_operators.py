@@ -136,14 +136,6 @@ def test_top_of_each_matches_plain_ranking(spark):
     assert got == want
 
 
-def test_stratified_selection_covers_strata(spark):
-    df = spark.createDataFrame([(i, "ab"[i % 2], f"s{i % 5}") for i in range(60)], "k long, x string, y string")
-    got = sampling.stratified(df, "k", ["x", "y"], 2, 15, "s")
-    assert got.count() == 15
-    assert got.groupBy("y").count().where("count < 2").count() == 0
-    assert sampling.missing_strata(got, "y", ["s1", "s9"]).first().y == "s9"
-
-
 def test_extraction_summary_and_grouped_segments(spark):
     rs = (rules.Rule("water", "pump", ("pump", "pumps")), rules.Rule("road", "bridge", ("bridge",)))
     df = spark.createDataFrame([(1, "New pumps. A bridge!"), (2, "pumps..."), (3, "nothing here")], "k int, t string")
