@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import small_side, written
 
-#: A term: ASCII letters and all characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between terms, which are runs of ASCII letters and all characters beyond ASCII.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GROUP = ["lang", "source"]
 #: Shares are whole parts of this; so many occurrences are added to each count.
@@ -35,11 +35,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
     document has to be told from another.
     """
     read = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in GROUP], F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("text"))
-    terms = read.select(*GROUP, F.sort_array(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))).alias("terms"))
-    before = F.concat(F.array(F.lit("")), F.slice("terms", 1, F.greatest(F.size("terms") - 1, F.lit(0))))
-    flagged = F.when(F.size("terms") > 0, F.zip_with("terms", before, lambda a, b: F.struct(a.alias("term"), (a != b).alias("first"))))
-    each = terms.select(*GROUP, F.explode(flagged).alias("e"))
-    return each.groupBy(*GROUP, "e.term").agg(F.count("*").alias("n"), F.sum(F.col("e.first").cast("long")).alias("docs"))
+    terms = read.select(*GROUP, F.sort_array(F.split("text", BETWEEN)).alias("terms"))
+    each = terms.select(*GROUP, "terms", F.posexplode("terms").alias("at", "term"))
+    first = (F.col("at") == 0) | (F.get("terms", F.col("at") - 1) != F.col("term"))
+    return each.where("term <> ''").groupBy(*GROUP, "term").agg(F.count("*").alias("n"), F.sum(first.cast("long")).alias("docs"))
 
 
 def kept_counts(docs: DataFrame, least_docs: int = 30) -> DataFrame:
