@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -84,33 +85,75 @@ def curve_places(ids: np.ndarray, ends: np.ndarray, size: int, seed: int) -> np.
     return hilbert_keys(np.minimum((spread * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
+def _encode_each(words: list[str]) -> list[np.ndarray]:
+    return [np.array(e.ids, dtype=np.int32) for e in _made["tokenizer"].encode_batch_fast(words, add_special_tokens=False)]
+
+
+def _encode_words(words: list[str], ends: np.ndarray) -> list[np.ndarray]:
+    """Ids of each of many words of letters, encoded as one text: where each is one token of it, its last id marks an end."""
+    ids = np.array(_made["tokenizer"].encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.int32)
+    cuts = np.flatnonzero(ends[ids]) + 1
+    if len(cuts) != len(words):
+        return _encode_each(words)
+    starts = np.concatenate(([0], cuts[:-1])).tolist()
+    return [ids[a:b] for a, b in zip(starts, cuts.tolist())]
+
+
+class _Known:
+    """Ids of the runs that a worker has seen: where each run's ids lie in one array."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, runs: list[str], ids: list[np.ndarray]) -> None:
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.flat = np.concatenate([self.flat, *ids])
+        self.number.update(zip(runs, range(len(self.number), len(self.number) + len(runs))))
+
+
+#: ASCII characters that never share a token with a letter beside them; an apostrophe may, and <|> stand in names of special tokens.
+#: Latin letters that are one letter in lower case and in any normal form.
+_APART, _LETTER = r"[!-&(-;=?@\[-`{}~]", r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{17F}]"
+
+
 def encoded(texts: list[str], spec: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and where each text's ids end.
 
-    No token of this kind of vocabulary spans a space or a line end, so each distinct run between them is encoded
-    once and its ids are laid out wherever it occurs.
+    No token of this kind of vocabulary spans a space or a line end, or holds both a Latin letter and one of the
+    characters above beside it, and case doesn't matter. So each distinct run between such places is encoded once, and its ids are
+    laid out wherever it occurs. Texts that may hold the names of special tokens, where case does matter, keep their case.
     """
     if "tokenizer" not in _made:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _made["tokenizer"], _made["words"] = Tokenizer.from_str(spec), {}
-    if len(_made["words"]) > REMEMBERED:
-        _made["words"] = {}
-    known = _made["words"]
-    split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        _made["tokenizer"] = Tokenizer.from_str(spec)
+        vocabulary = _made["tokenizer"].get_vocab()
+        _made["ends"] = np.zeros(1 + max(vocabulary.values()), dtype=bool)
+        _made["ends"][[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    if len(_made.get("known", _Known()).number) > REMEMBERED:
+        del _made["known"]
+    known = _made.setdefault("known", _Known())
+    plain = pa.array(texts, pa.large_string())
+    plain = pc.if_else(pc.match_substring(plain, "<|"), plain, pc.ascii_lower(plain))
+    for pattern in (f"({_LETTER})({_APART})", f"({_APART})({_LETTER})"):
+        plain = pc.replace_substring_regex(plain, pattern, r"\1 \2")
+    split = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
     runs = split.flatten().dictionary_encode()
-    distinct = runs.dictionary.to_pylist()
-    new = [w for w in distinct if w not in known]
-    for w, e in zip(new, _made["tokenizer"].encode_batch(new, add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, dtype=np.int32)
-    of_run = [known[w] for w in distinct]
-    sizes = np.fromiter(map(len, of_run), dtype=np.int64, count=len(of_run))
-    flat = np.concatenate([np.empty(0, np.int32), *of_run])
-    at = runs.indices.to_numpy().astype(np.int64)
-    first, n = (np.cumsum(sizes) - sizes)[at], sizes[at]
+    distinct = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
+    new = [w for w in distinct if w not in known.number]
+    words = [w for w in new if w.isalpha() and (w.isascii() or w.lower().isalpha() and unicodedata.is_normalized("NFC", w))]
+    if words:
+        known.add(words, _encode_words(words, _made["ends"]))
+    rest = [w for w in new if w not in known.number]
+    known.add(rest, _encode_each(rest))
+    at = np.fromiter(map(known.number.__getitem__, distinct), dtype=np.int64, count=len(distinct))[runs.indices.to_numpy()]
+    n = known.sizes[at]
     reached = np.concatenate(([0], np.cumsum(n)))
-    ids = flat[np.repeat(first - reached[:-1], n) + np.arange(reached[-1])]
+    ids = known.flat[np.repeat(known.starts[at] - reached[:-1], n) + np.arange(reached[-1])]
     bounds = split.offsets.to_numpy()
     return ids, reached[bounds[1:] - bounds[0]]
 

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from functools import cache
 
 import duckdb
 import numpy as np
@@ -94,10 +95,28 @@ def test_collocations_take_odd_rows(spark):
 def test_word_lists_split_shards_alike():
     words, sizes, positions = collocations.word_lists("a B,b \tÉ. a".encode())
     ends = np.cumsum(sizes)
-    lists = {w: positions[e - n : e].tolist() for w, e, n in zip(words.to_pylist(), ends, sizes)}
+    lists = {w.decode(): positions[e - n : e].tolist() for w, e, n in zip(words, ends, sizes)}
     assert lists == {"a": [0, 6], "b": [1, 3], "É": [4]}
 
 
+def test_ids_are_those_of_spark(spark):
+    rows = spark.createDataFrame([("en", "a"), ("", "Zürich"), ("und", "x" * 100)], "lang string, word string").selectExpr("lang", "word", "xxhash64(lang, word) as h").collect()
+    assert all(collocations.word_ids(r.lang, [r.word.encode()]).tolist() == [r.h] for r in rows)
+    pairs = np.array([[1, -5], [2**62, 3], [-(2**63), 0]])
+    want = [r.h for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pairs.tolist())], "i int, a long, b long").selectExpr("i", "xxhash64(a, b) as h").orderBy("i").collect()]
+    assert collocations.phrase_ids(pairs[:, 0].copy(), pairs[:, 1].copy()).tolist() == want
+
+
+@pytest.mark.parametrize("bits", [1 << 16, 1 << 18])
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch, bits):
+    r = random.Random(8)
+    docs = [(i, " ".join(f"w{int(r.paretovariate(0.6)) % 700}" for _ in range(300)), "en") for i in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    monkeypatch.setattr(collocations, "FILTER", bits)
+    monkeypatch.setattr(collocations, "_bitmap", (lambda f: lambda t: b"\xff" * (bits // 8) if bits == 1 << 16 else f(t))(collocations._bitmap))
+    assert rows_of(collocations.collocations(df, 3)) == brute_collocations([d[1:] for d in docs], 3, 5, 2000)
+
+
 # source divergence
 
 
@@ -153,10 +172,15 @@ def test_divergence_takes_odd_rows(spark):
 # packing along a curve
 
 
-def plain_ids(text):
+@cache
+def plain_tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def plain_ids(text):
+    return plain_tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 def check_pieces(docs, pieces, length):
@@ -212,7 +236,7 @@ def test_runs_encode_as_whole_texts():
     r = random.Random(9)
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         spec = f.read()
-    pieces = ["It's", "don't", " ", "  ", "\n", "\t", " ", "\x1c", "\x85", "é", "é", "́", "ΟΔΟΣ", "İ", "1234", "!!!", "😀", "<|endoftext|>", "한국", "x" * 300, "'", "s"]
+    pieces = ["It's", "don't", " ", "  ", "\n", "\t", " ", "\x1c", "\x85", "é", "é", "́", "ΟΔΟΣ", "İ", "1234", "!!!", "😀", "<|endoftext|>", "한국", "x" * 300, "'", "s", ".", ",", "a.'s", "B", "<|ENDOFTEXT|>", "ß", "\u0958", "=\u0338", "#", "_", "A\u030a", "e\u0301", "\u1e9e"]
     texts = ["".join(r.choice(pieces) for _ in range(r.randrange(0, 25))) for _ in range(400)] + [t or "" for t in TEXTS]
     ids, ends = curve_packing.encoded(texts, spec)
     for t, a, b in zip(texts, np.concatenate(([0], ends[:-1])), ends):
