@@ -68,6 +68,20 @@ def unmatched(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return both.where("l is null or r is null").select(on, F.when(F.col("l").isNull(), "right").otherwise("left").alias("side"))
 
 
+def not_in(part: DataFrame, whole: DataFrame, *keys: str) -> DataFrame:
+    """Distinct keys of part that whole lacks: none if part is a subset, and null is a key like any other."""
+    return part.select(*keys).subtract(whole.select(*keys))
+
+
+def labelled_rows(rows: DataFrame, labels: DataFrame, key: str, wanted: Column, required: str) -> DataFrame:
+    """Rows whose key has a wanted label, by a semi-join. A wanted key without a row, or whose required text is blank, is an error."""
+    chosen = labels.where(wanted).select(key).distinct()
+    require_empty(chosen.join(rows.select(key), key, "left_anti"), f"labelled, but without a row: {key}")
+    found = rows.join(chosen, key, "left_semi")
+    require_empty(found.where(~F.coalesce(F.trim(required) != "", F.lit(False))).select(key), f"{required} is blank")
+    return found
+
+
 def broken_rules(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
     """(key, rule) for every row and rule (name: condition that must hold) that is false or null."""
     failed = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]), lambda r: r.isNotNull())

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checks import require_empty
+from ..functions.canonical import canonical_value
 from ..functions.hashing import uuid5
 
 #: Namespace of version ids, a fixed value of this library.
@@ -115,6 +116,22 @@ def snapshot(memberships: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return joined.select("snapshot_id", key, F.col("place").cast("long").alias("place"), status.alias("status"))
 
 
+def snapshot_digests(members: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """snapshot_id, members and digest: what a snapshot holds, told by its members' canonical JSON in the order of its list.
+
+    members: of snapshot(), whose status has to be `member` throughout; others
+    have no digest, and `faults` counts them. A snapshot is one list, which is
+    gathered; the digest of each row is made before.
+    """
+    shown = [c for c in rows.columns]
+    of_row = rows.select(key, F.sha2(canonical_value(F.struct(*[F.col(c) for c in shown]), rows.schema), 256).alias("__digest"))
+    listed = members.join(of_row, key, "left").groupBy("snapshot_id").agg(
+        F.count(F.lit(1)).alias("members"), F.count_if(F.col("status") != "member").alias("faults"), F.array_sort(F.collect_list(F.struct("place", "__digest"))).alias("d")
+    )
+    text = F.array_join(F.transform("d", lambda d: d["__digest"]), ",")
+    return listed.select("snapshot_id", "members", "faults", F.when(F.col("faults") == 0, F.sha2(text, 256)).alias("digest"))
+
+
 def source_gate(contracts: DataFrame, as_of: Column) -> DataFrame:
     """Contracts (source_id, status, gates: an array of booleans, review_due) with open: live, all gates passed, and not past review."""
     passed = F.forall("gates", lambda g: F.coalesce(g, F.lit(False)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +31,13 @@ def unzipped(content: bytes) -> str:
         return z.read(names[0]).decode("utf-8-sig")
 
 
-def read_operation_lists(spark: SparkSession, path: str, header: Sequence[str] = HEADER) -> DataFrame:
-    """Rows of all zipped lists at a path, parsed where they lie; a different header or a malformed row rejects all.
+def read_operation_lists(spark: SparkSession, path: str, header: Sequence[str] = HEADER, names: Mapping[str, str] | None = None) -> DataFrame:
+    """Rows of all zipped lists at a path, parsed where they lie; a different header, a malformed row or a list without rows rejects all.
 
-    Returns the columns of the list but DROPPED, as text, and source_file.
+    Returns the columns of the list but DROPPED, as text, under the names of
+    this library (names: which one each column of the header has), and source_file.
     """
+    own = [(names or {}).get(h, h) for h in header]
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def rows(batches):
@@ -47,14 +49,16 @@ def read_operation_lists(spark: SparkSession, path: str, header: Sequence[str] =
             for name, content in zip(batch["path"], batch["content"]):
                 lines = csv.reader(io.StringIO(unzipped(content)), delimiter=";", strict=True)
                 found = next(lines, None)
-                if found != list(header):
+                if [h.strip() for h in found or []] != list(header):
                     raise CheckFailed(f"unexpected header in {name}: {found}")
                 table = list(lines)
                 if any(len(r) != len(header) for r in table):
                     raise CheckFailed(f"a row of {name} has another number of fields")
-                yield pd.DataFrame(table, columns=list(header), dtype=str).drop(columns=[c for c in DROPPED if c in header]).assign(source_file=name)
+                if not table:
+                    raise CheckFailed(f"{name} has no rows")
+                yield pd.DataFrame(table, columns=own, dtype=str).drop(columns=[c for c in DROPPED if c in own]).assign(source_file=name)
 
-    columns = [c for c in header if c not in DROPPED]
+    columns = [c for c in own if c not in DROPPED]
     return files.mapInPandas(rows, ", ".join(f"`{c}` string" for c in [*columns, "source_file"]))
 
 
@@ -70,7 +74,7 @@ def operations(lists: DataFrame) -> DataFrame:
             ("updated_on", day("updated_on")), ("start", day("start")), ("end", day("end")), ("total_cost", plain_decimal(F.col("total_cost"))),
             ("eligible_cost", plain_decimal(F.col("eligible_cost"))), ("eu_rate", plain_decimal(F.col("eu_rate"), 10)))]).alias("bad"),
     ).withColumn("bad", F.filter("bad", lambda c: c.isNotNull()))
-    require_empty(typed.where("size(bad) > 0 or scope is null or updated_on is null").select("local_id", "bad"), "rows can't be read")
+    require_empty(typed.where(F.expr("size(bad) > 0 or scope is null or updated_on is null") | not_blank(F.col("local_id")).isNull()).select("local_id", "bad"), "rows can't be read")
     require_empty(typed.select("updated_on").distinct().agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "more than one update date")
     return typed.drop("bad")
 
