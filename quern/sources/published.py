@@ -65,7 +65,7 @@ def by_language(value: Column, languages: tuple[str, ...] = LANGUAGES) -> Column
 
 def read_search_pages(spark: SparkSession, path: str) -> DataFrame:
     """One row for each page, a JSON object in a file of its own: page (a map of its fields, nested values as JSON text) and file."""
-    text = spark.read.option("wholetext", True).text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
+    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
     return parsed_pages(text, "value")
 
 
