@@ -9,7 +9,8 @@ until one of them is decided. Flights run in bounded blocks; what a block
 cannot decide (two documents at most) flies again with the leftovers of the
 other blocks of its source, level by level. What the last block leaves, two documents
 at most, lands together with its shortest documents on the choice that leaves
-the word total closest to target.
+the word total closest to target; then documents of any size change places as
+long as that brings the total closer.
 """
 
 from __future__ import annotations
@@ -101,6 +102,28 @@ def _land(x: list[float], p: list[float], want: float) -> None:
         p[i] = float(taken)
 
 
+def _exchange(x: list[float], p: list[float], want: float) -> None:
+    """Swap a taken document for one that isn't, of any sizes, as long as that brings the word total closer to want.
+
+    The number of documents stays; among equally close swaps the first by size and place is made.
+    """
+    size, taken = np.array(x), np.array(p) > 0.5
+    while True:
+        off = float(size[taken].sum() - want)
+        ins, outs = np.flatnonzero(~taken), np.flatnonzero(taken)
+        if abs(off) < 0.5 or not len(ins) or not len(outs):
+            break
+        ins, outs = ins[np.lexsort((ins, size[ins]))], outs[np.lexsort((outs, size[outs]))]
+        at = np.searchsorted(size[ins], size[outs] - off)
+        near = np.stack([np.clip(at - 1, 0, len(ins) - 1), np.clip(at, 0, len(ins) - 1)])
+        left = np.abs(off - size[outs] + size[ins][near])
+        k, o = np.unravel_index(np.argmin(left), left.shape)
+        if left[k, o] >= abs(off) - 1e-6:
+            break
+        taken[outs[o]], taken[ins[near[k, o]]] = False, True
+    p[:] = taken.astype(float).tolist()
+
+
 def _fly(seed: int, last: bool):
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([*(["size"] if last else []), "turn", "doc_id", "nth"], ascending=[*([False] if last else []), True, True, True], kind="stable")
@@ -109,6 +132,7 @@ def _fly(seed: int, last: bool):
         _flight(x, p, np.random.default_rng([seed, len(x), int(rows["turn"].iloc[0]) & 0xFFFFFFFF]))
         if last:
             _land(x, p, want)
+            _exchange(x, p, want)
         rows["p"] = p
         return rows.drop(columns=["turn", "block"])
 

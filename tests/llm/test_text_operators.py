@@ -63,6 +63,27 @@ def test_mixture_meets_targets_and_repeats(spark):
     assert shuffled == first
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_every_source_comes_near_its_target(spark, sf):
+    mix = mixing.mix_sources(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"))
+    sums = mix.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.min("size").alias("least"), F.max(F.col("taken") - 2 * F.col("size")).alias("over"))
+    for r in sums.collect():
+        assert abs(r.taken - r.target) <= max(0.01 * r.target, r.least) and r.over <= 0, r
+
+
+def test_exchange_holds_the_number_of_documents():
+    r = random.Random(6)
+    for _ in range(300):
+        n = r.randrange(1, 40)
+        x, p = [float(r.choice((1, 5, 50, 700, 5000)) + r.randrange(9)) for _ in range(n)], [float(r.random() < 0.5) for _ in range(n)]
+        want, moved = sum(x) * r.random(), list(p)
+        mixing._exchange(x, moved, want)
+        off = lambda q: abs(sum(a * b for a, b in zip(x, q)) - want)
+        assert sum(moved) == sum(p) and set(moved) <= {0.0, 1.0} and off(moved) <= off(p)
+        swaps = [off([*(0.0 if k == i else 1.0 if k == j else q for k, q in enumerate(moved))]) for i in range(n) for j in range(n) if moved[i] and not moved[j]]
+        assert off(moved) < 0.5 or not swaps or min(swaps) >= off(moved) - 1e-6
+
+
 def test_targets_against_plain_water_filling():
     r = random.Random(4)
     for _ in range(50):
