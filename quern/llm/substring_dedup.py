@@ -169,7 +169,7 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     points), n_words, cluster (the same for all occurrences of a text or line;
     for a passage, that of its first window), cluster_size, removed (false for
     the first occurrence by doc_id and start, null ids last) and kept_doc_id
-    (the document where that occurrence stays). Whole texts of MIN_WORDS words
+    (the document where that occurrence stays). Whole texts of WINDOW words
     or more that are equal to the letter are told as such; of each, only the one
     that stays is looked into. Windows that lie in a removed line go with it.
     What goes with something larger is not told, and is no occurrence. Lines of fewer than
@@ -224,7 +224,7 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     inside = inside & (F.col("start") >= F.col("gone_start")) & (F.col("end") <= F.col("gone_end"))
     left = written(found.where("level = 1").join(gone, inside, "left_anti"), "windows")
     out = ["doc_id", "level", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("n_words").cast("long").alias("n_words"), "cluster", "cluster_size", "removed", "kept_doc_id"]
-    copies = texts.where("cluster_size > 1").join(keys.where(F.col("n_words") >= MIN_WORDS), "text_hash").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    copies = texts.where("cluster_size > 1").join(keys.where(F.col("n_words") >= WINDOW), "text_hash").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("nth") == 1)
     copies = copies.select("doc_id", F.lit(2).alias("level"), F.lit(0).alias("start"), F.col("length").alias("end"), "n_words", F.col("text_hash").alias("cluster"), "cluster_size", (~stays).alias("removed"), F.col("first.doc_id").alias("kept_doc_id"))
     rows = lines.select(*out).unionByName(_passages(told(left)).select(*out)).unionByName(copies.select(*out))

@@ -302,6 +302,15 @@ def test_passages_of_twenty_words_are_found(spark):
     assert {x.doc_id for x in found if x.level == "passage"} == {3, 4}
 
 
+def test_equal_short_texts_are_told(spark):
+    """Equal whole texts of 12 to 19 words are told as copies, also where another text holds one of them."""
+    words = [f"w{i}" for i in range(40)]
+    for n in (12, 15, 19):
+        rows = [(i, " ".join(words[:n])) for i in range(1, 6)] + [(9, "before " + " ".join(words[:n]) + " after " + " ".join(words[20:39])), (10, " ".join(words[: n - 1] + ["else"])), (11, " ".join(words[:11])), (12, " ".join(words[:11]))]
+        got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("level = 'text'").collect()
+        assert sorted((r.doc_id, r.removed, r.kept_doc_id, r.cluster_size, r.n_words) for r in got) == [(i, i > 1, 1, 5, n) for i in range(1, 6)]
+
+
 def test_passages_of_odd_rows(spark):
     odd = odd_rows(spark)
     found = substring_dedup.repeated_passages(odd).collect()
