@@ -126,12 +126,14 @@ def _larger(x: Column, y: Column) -> Column:
 
     The difference of two sketches is the sketch of what x adds and y takes.
     Should even the last of them not peel, which digests of 64 bits do not
-    bring about, what it did not give up is left out.
+    bring about, that is an error: nothing is left out in silence.
     """
     size = lambda a: (F.size(x) + F.size(y) + 2) * F.call_function("shiftleft", F.lit(1), a - 1)
     tried = lambda a: _let(size(a), lambda s: peel(sketch(F.concat(_signed(x, 1), _signed(y, -1)), s, a), s, a))
     begin = F.struct(F.array().cast("array<struct<d:bigint,n:int>>").alias("found"), F.lit(True).alias("left"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), begin, lambda state, a: F.when(state["left"], tried(a)).otherwise(state))["found"]
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), begin, lambda state, a: F.when(state["left"], tried(a)).otherwise(state))
+    stop = F.raise_error(F.lit(f"a difference did not peel from {TRIES} sketches")).cast("array<struct<d:bigint,n:int>>")
+    return _let(end, lambda s: F.when(s["left"], stop).otherwise(s["found"]))
 
 
 def sketch_difference(x: Column, y: Column, x_print: Column, y_print: Column) -> Column:
