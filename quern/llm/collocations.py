@@ -1,14 +1,19 @@
 """Phrase collocations from vertical positional inverted lists.
 
 The corpus is held as shards of bounded size, each of one language, and a
-shard as inverted lists: for every frequent word or phrase the positions where
-it begins. A list's length is the frequency in the shard, and the sum over
-shards the exact frequency. A phrase grows by merging its list with the
-postings of the adjacent word: positions p of the phrase that are followed, at
-p + 1, by the phrase that drops its first word and ends in the new one. For
-two words that is the word's own posting; for more it is the posting thinned
-to the places where that shorter phrase is frequent, which no frequent phrase
-can do without.
+shard as inverted lists: for every word, then every frequent phrase, the
+positions where it begins. A list's length is the frequency in the shard, and
+the sum over shards the exact frequency. A phrase grows by merging its list
+with the postings of the adjacent word: positions p of the phrase that are
+followed, at p + 1, by the phrase that drops its first word and ends in the
+new one. For two words that is the word's own posting; for more it is the
+posting thinned to the places where that shorter phrase is frequent, which no
+frequent phrase can do without.
+
+Lists never leave their shard. What is frequent in all shards together comes
+back to them as a bitmap of fixed size with a bit for each frequent phrase: it
+may let a rare one through, whose exact count drops it, but keeps every
+frequent one.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,14 +31,20 @@ from pyspark.sql import functions as F
 from .common import forget, small_side, written
 
 #: Bytes of text of a shard (one longer text is a shard of its own), and of all languages together before a task ends its shards.
-SHARD, HELD = 4 << 20, 24 << 20
+SHARD, HELD = 2 << 20, 8 << 20
+#: Pairs that a task holds before it sends their counts, and words of the corpus for each bucket that pairs are dealt into.
+HELD_PAIRS, BUCKET = 1 << 21, 1 << 20
+#: Bits of the bitmap of frequent phrases (8 MB): beyond some 60 million phrases of a length it hardly thins any more.
+FILTER = 1 << 26
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STOPS = b".,;:!?\n\x0b\x0c\r"
 _SPACED = bytes.maketrans(_STOPS + b"\t", b" " * 11)
 _KIND = np.zeros(256, dtype=np.int8)  # 0 in a word, 1 between words, 2 between pieces
 _KIND[list(b" \t")], _KIND[list(_STOPS)] = 1, 2
 
-LISTS = "shard long, ids array<long>, sizes array<int>, positions array<int>"
+#: Rows of megabytes: a codec that works through a page piece by piece, not one with buffers of a whole page outside the heap.
+PACKED = {"compression": "zstd"}
+LISTS = "shard long, ids array<long>, sizes array<int>, gaps array<int>"
 
 
 def _grouped(codes: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,25 +55,68 @@ def _grouped(codes: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.n
     return codes[firsts], np.diff(np.append(firsts, len(codes))), positions
 
 
-def word_lists(text: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def word_lists(text: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words of a shard's text, the number of places of each, and the places word by word. A place is skipped between pieces."""
     text = text.translate(_LOWER)
     words = text.translate(_SPACED).split()
-    kind = np.concatenate(([2], _KIND[np.frombuffer(text, dtype=np.uint8)]))
+    kind = np.concatenate((np.full(1, 2, dtype=np.int8), _KIND[np.frombuffer(text, dtype=np.uint8)]))
     starts = np.flatnonzero((kind[1:] == 0) & (kind[:-1] != 0)) + 1
-    piece = np.cumsum(kind == 2)[starts]
+    piece = np.searchsorted(np.flatnonzero(kind == 2), starts)
     gaps = np.cumsum(np.diff(piece, prepend=piece[:1]) > 0)
     coded = pa.array(words, pa.binary()).dictionary_encode()
     codes, sizes, positions = _grouped(coded.indices.to_numpy(zero_copy_only=False), np.arange(len(words)) + gaps)
-    return coded.dictionary.take(pa.array(codes)).cast(pa.string()), sizes, positions
+    return coded.dictionary.take(pa.array(codes)).to_pylist(), sizes, positions
 
 
-def _rows(columns: list[tuple[object, pa.DataType]], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in columns], names=names)
+def word_ids(lang: str, words: list[bytes]) -> np.ndarray:
+    """Spark's xxhash64(lang, word) of each word."""
+    seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "replace"), 42)
+    return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words)).view(np.int64)
+
+
+_P = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def phrase_ids(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64(first, second) of pairs of longs: XXH64 of 8 bytes, the first hash seeding the second."""
+    h = np.full(len(first), 42, dtype=np.uint64)
+    for x in (first.view(np.uint64), second.view(np.uint64)):
+        h = (h + _P[4] + np.uint64(8)) ^ (_turned(x * _P[1], 31) * _P[0])
+        h = _turned(h, 27) * _P[0] + _P[3]
+        h = (h ^ (h >> np.uint64(33))) * _P[1]
+        h = (h ^ (h >> np.uint64(29))) * _P[2]
+        h = h ^ (h >> np.uint64(32))
+    return h.view(np.int64)
+
+
+def _row(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in columns.values()], names=list(columns))
+
+
+def gaps_of(sizes: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """Each list's positions as its first one and the gaps from one to the next, which are small and pack well."""
+    gaps = np.diff(positions, prepend=0)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    gaps[starts] = positions[starts]
+    return gaps
+
+
+def positions_of(sizes: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    sums = np.cumsum(gaps, dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    return sums - np.repeat(np.concatenate(([0], sums))[starts], sizes)
+
+
+def _list_row(shard: int, ids: np.ndarray, sizes: np.ndarray, positions: np.ndarray, **more: tuple[object, pa.DataType]) -> pa.RecordBatch:
+    return _row({"shard": (shard, pa.int64()), **more, "ids": (ids, pa.list_(pa.int64())), "sizes": (sizes, pa.list_(pa.int32())), "gaps": (gaps_of(sizes, positions), pa.list_(pa.int32()))})
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each shard: its language and its words' lists."""
+    """One row for each shard: its language, its words and their lists."""
     texts: dict[str, list[bytes]] = defaultdict(list)
     held: dict[str, int] = defaultdict(int)
     number = TaskContext.get().partitionId() << 40
@@ -71,14 +126,12 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number += 1
         words, sizes, positions = word_lists(b"\n".join(texts.pop(lang)))
         held.pop(lang)
-        return _rows(
-            [(number, pa.int64()), (lang, pa.string()), (words, pa.list_(pa.string())), (sizes, pa.list_(pa.int32())), (positions, pa.list_(pa.int32()))],
-            ["shard", "lang", "words", "sizes", "positions"],
-        )
+        told = [w.decode("utf-8", "replace") for w in words]
+        return _list_row(number, word_ids(lang, words), sizes, positions, lang=(lang, pa.string()), words=(told, pa.list_(pa.string())))
 
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            data = text.encode("utf-8", "replace")
+        for lang, text in zip(batch.column("lang"), batch.column("text")):
+            lang, data = lang.as_py(), text.as_py().encode("utf-8", "replace")
             if held[lang] and held[lang] + len(data) > SHARD:
                 yield ended(lang)
             texts[lang].append(data)
@@ -90,9 +143,17 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield ended(each)
 
 
-def _merged(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of list ids whose lists meet at adjacent positions of the shard, the number of such positions, and the positions pair by pair."""
-    ids, sizes, positions = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("ids", "sizes", "positions"))
+def _marked(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    slot = ids.view(np.uint64) >> np.uint64(64 - (FILTER.bit_length() - 1))
+    return (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _merged(batch: pa.RecordBatch, row: int, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of marked lists that meet at adjacent positions of the shard, the number of such positions, and the positions pair by pair."""
+    ids, sizes, gaps = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("ids", "sizes", "gaps"))
+    marked = _marked(bitmap, ids)
+    positions = positions_of(sizes, gaps)[np.repeat(marked, sizes)]
+    ids, sizes = ids[marked], sizes[marked]
     at = np.repeat(np.arange(len(ids)), sizes)
     order = np.argsort(positions, kind="stable")
     positions, at = positions[order], at[order]
@@ -101,36 +162,67 @@ def _merged(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np
     return ids[codes // max(1, len(ids))], ids[codes % max(1, len(ids))], n, places
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dealt(parts: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
+    """Pairs and their counts, summed up and dealt into buckets: one row a bucket, in which equal first ids stand together.
+
+    A first id goes to one bucket of 64, and to more the more buckets there are, by its second ids.
+    """
+    first, second, n = (np.concatenate(c) for c in zip(*parts))
+    slot = ((first.view(np.uint64) ^ (second.view(np.uint64) % np.uint64(-(-buckets // 64)))) * _P[0] >> np.uint64(33)) % np.uint64(buckets)
+    order = np.lexsort((second, first, slot))
+    slot, first, second, n = slot[order], first[order], second[order], n[order]
+    firsts = np.flatnonzero(np.concatenate((np.ones(min(1, len(n)), dtype=bool), (first[1:] != first[:-1]) | (second[1:] != second[:-1]))))
+    n = np.add.reduceat(n, firsts) if len(n) else n
+    slot, first, second = slot[firsts], first[firsts], second[firsts]
+    ends = np.flatnonzero(np.diff(slot, append=np.uint64(buckets)))
+    offsets = pa.array(np.concatenate(([0], ends + 1)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v, t)) for v, t in ((first, pa.int64()), (second, pa.int64()), (n, pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array(slot[ends].astype(np.int64), pa.int64()), *lists], names=["bucket", "first", "second", "n"])
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch], bitmap: bytes, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the pairs of a task's shards, dealt into buckets whenever HELD_PAIRS are held."""
+    bits, parts = np.frombuffer(bitmap, dtype=np.uint8), []
     for batch in batches:
         for row in range(len(batch)):
-            first, second, n, _ = _merged(batch, row)
-            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(n, pa.int64())], names=["first", "second", "n"])
-
-
-def _pair_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts.append(_merged(batch, row, bits)[:3])
+            if sum(len(p[0]) for p in parts) > HELD_PAIRS:
+                yield _dealt(parts, buckets)
+                parts = []
+    if parts:
+        yield _dealt(parts, buckets)
+
+
+def _frequent(rows: pa.Table, least: int) -> pa.Table:
+    """The pairs of a bucket that occur often enough in all shards together."""
+    first, second, n = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("first", "second", "n"))
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    firsts = np.flatnonzero(np.concatenate((np.ones(min(1, len(first)), dtype=bool), (first[1:] != first[:-1]) | (second[1:] != second[:-1]))))
+    total = np.add.reduceat(n[order], firsts) if len(firsts) else n
+    keep = total >= least
+    return pa.table({"first": first[firsts][keep], "second": second[firsts][keep], "a": total[keep]}, schema=pa.schema([("first", pa.int64()), ("second", pa.int64()), ("a", pa.int64())]))
+
+
+def _longer_lists(batches: Iterator[pa.RecordBatch], bitmap: bytes, longer: bytes) -> Iterator[pa.RecordBatch]:
+    """The lists of phrases of one word more that are marked in `longer`, one row for each shard."""
+    bits, wanted = np.frombuffer(bitmap, dtype=np.uint8), np.frombuffer(longer, dtype=np.uint8)
     for batch in batches:
         for row in range(len(batch)):
-            first, second, n, places = _merged(batch, row)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(places, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), batch.column("shard")[row].as_py()), pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists], names=["shard", "first", "second", "positions"])
-
-
-def _packed(rows: pa.Table) -> pa.Table:
-    """The lists of a shard in one row."""
-    lists = rows.column("positions").combine_chunks()
-    sizes = lists.value_lengths()
-    return pa.table({"shard": rows.column("shard")[:1], "ids": pa.array([rows.column("id").to_pylist()], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int32())), "positions": pa.array([lists.flatten()], pa.list_(pa.int32()))})
+            first, second, n, places = _merged(batch, row, bits)
+            ids = phrase_ids(first, second)
+            marked = _marked(wanted, ids)
+            yield _list_row(batch.column("shard")[row].as_py(), ids[marked], n[marked], places[np.repeat(marked, n)])
 
 
-def _kept(rows: DataFrame, frequent: DataFrame, on: list[str], name: str) -> DataFrame:
-    """Lists (shard, on, positions) of what is frequent, packed and written by shard."""
-    met = rows.join(small_side(frequent.select("id", *on)), on).select("shard", "id", "positions")
-    return written(met.groupBy("shard").applyInArrow(_packed, LISTS), name)
-
-
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    return written(df.withColumn("id", F.monotonically_increasing_id()), name)
+def _bitmap(table: DataFrame) -> bytes:
+    """A bit for each id, by its leading bits: FILTER bits however many ids there are."""
+    slot = F.shiftrightunsigned("id", 64 - (FILTER.bit_length() - 1))
+    blocks = table.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("bits"))
+    out = bytearray(FILTER // 8)
+    for block, bits in blocks.collect():
+        out[block * 4096 : (block + 1) * 4096] = bits
+    return bytes(out)
 
 
 def phrase_tables(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[DataFrame, list[DataFrame]]:
@@ -138,42 +230,39 @@ def phrase_tables(docs: DataFrame, least: int = 100, longest: int = 5) -> tuple[
 
     A phrase has id, lang, phrase, a (its frequency), heads (of its first 1, 2, ... words) and tails (of all but its
     first 1, 2, ... words), and from two words on first and second, the ids of the phrases without its last and its
-    first word.
+    first word. A phrase is told by the pair of these; ids of words are hashes, and that no two words share one is
+    checked.
     """
+    spark = docs.sparkSession
     read = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = written(read.mapInArrow(_shards, "shard long, lang string, words array<string>, sizes array<int>, positions array<int>"), "shards")
-    counts = shards.select("lang", F.explode(F.arrays_zip("words", "sizes")).alias("e")).groupBy("lang", F.col("e.words").alias("phrase")).agg(F.sum("e.sizes").alias("a"))
-    totals = written(shards.groupBy("lang").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")), "words")
+    lists = written(read.mapInArrow(_shards, "shard long, lang string, words array<string>, ids array<long>, sizes array<int>, gaps array<int>"), "shards", **PACKED)
+    counts = lists.select("lang", F.explode(F.arrays_zip("words", "sizes")).alias("e")).groupBy("lang", F.col("e.words").alias("phrase")).agg(F.sum("e.sizes").alias("a"))
+    words = written(counts.withColumn("id", F.xxhash64("lang", "phrase")), "words")
+    if words.groupBy("id").count().where("count > 1").limit(1).count():
+        raise ArithmeticError("two words share a hash")
+    totals = written(words.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
     none = F.array().cast("array<long>")
-    table = _numbered(counts.where(F.col("a") >= least).select("lang", "phrase", "a", none.alias("heads"), none.alias("tails")), "phrases")
-    lists = _kept(shards.mapInArrow(_word_rows, "shard long, lang string, phrase string, positions array<int>"), table, ["lang", "phrase"], "lists")
-    forget(shards)
-    tables = [table]
-    for words in range(2, longest + 1):
-        pairs = lists.mapInArrow(_pair_counts, "first long, second long, n long").groupBy("first", "second").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-        p = small_side(table.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("begin"), F.array_append("heads", F.col("a")).alias("heads")))
-        q = small_side(table.select(F.col("id").alias("second"), F.substring_index("phrase", " ", -1).alias("word"), F.array_prepend("tails", F.col("a")).alias("tails")))
-        grown = pairs.join(p, "first").join(q, "second").select("lang", F.concat_ws(" ", "begin", "word").alias("phrase"), "a", "heads", "tails", "first", "second")
-        table = _numbered(grown, f"phrases{words}")
-        tables.append(table)
-        if words < longest:
-            longer = _kept(lists.mapInArrow(_pair_lists, "shard long, first long, second long, positions array<int>"), table, ["first", "second"], f"lists{words}")
+    tables = [written(words.where(F.col("a") >= least).select("id", "lang", "phrase", "a", none.alias("heads"), none.alias("tails")), "phrases1")]
+    forget(words)
+    buckets = max(64, -(-(totals.agg(F.sum("n")).first()[0] or 0) // BUCKET))
+    marks = spark.sparkContext.broadcast(_bitmap(tables[0]))
+    for n in range(2, longest + 1):
+        shorter, own, rows = tables[-1], marks, lists.select("shard", "ids", "sizes", "gaps")
+        dealt = rows.mapInArrow(lambda b, x=own: _pair_counts(b, x.value, buckets), "bucket long, first array<long>, second array<long>, n array<long>")
+        pairs = dealt.groupBy("bucket").applyInArrow(lambda rows: _frequent(rows, least), "first long, second long, a long")
+        p = small_side(shorter.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("begin"), F.array_append("heads", F.col("a")).alias("heads")))
+        q = small_side(shorter.select(F.col("id").alias("second"), F.substring_index("phrase", " ", -1).alias("word"), F.array_prepend("tails", F.col("a")).alias("tails")))
+        grown = pairs.join(p, "first").join(q, "second")
+        tables.append(written(grown.select(F.xxhash64("first", "second").alias("id"), "lang", F.concat_ws(" ", "begin", "word").alias("phrase"), "a", "heads", "tails", "first", "second"), f"phrases{n}"))
+        if n < longest:
+            marks = spark.sparkContext.broadcast(_bitmap(tables[-1]))
+            longer = written(rows.mapInArrow(lambda b, x=own, y=marks: _longer_lists(b, x.value, y.value), LISTS), f"lists{n}", **PACKED)
             forget(lists)
             lists = longer
     forget(lists)
     return totals, tables
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lists of a shard's words, one a row."""
-    for batch in batches:
-        for row in range(len(batch)):
-            words, sizes = batch.column("words")[row].values, batch.column("sizes")[row].values.to_numpy(zero_copy_only=False)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), batch.column("positions")[row].values)
-            same = [pa.array([batch.column(c)[row].as_py()] * len(words), t) for c, t in (("shard", pa.int64()), ("lang", pa.string()))]
-            yield pa.RecordBatch.from_arrays([*same, words, lists], names=["shard", "lang", "phrase", "positions"])
-
-
 def _least_cut(a: Column, n: Column, heads: Column, tails: Column) -> Column:
     """The cut of the lowest floor(1000 * a * n / (l * r)), then the shortest first part: its score, k, l and r."""
     wide = lambda c: c.cast("decimal(18,0)")

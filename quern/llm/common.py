@@ -42,11 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
     return known.get().rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder, with the writer's options, and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_at = path
     return table

@@ -97,6 +97,10 @@ def test_word_lists_split_shards_alike():
     ends = np.cumsum(sizes)
     lists = {w.decode(): positions[e - n : e].tolist() for w, e, n in zip(words, ends, sizes)}
     assert lists == {"a": [0, 6], "b": [1, 3], "É": [4]}
+    sizes = np.array([2, 0, 3, 1])
+    gaps = collocations.gaps_of(sizes, np.array([4, 9, 0, 5, 6, 2]))
+    assert gaps.tolist() == [4, 5, 0, 5, 1, 2] and collocations.positions_of(sizes, gaps).tolist() == [4, 9, 0, 5, 6, 2]
+    assert collocations.positions_of(sizes[:0], collocations.gaps_of(sizes[:0], gaps[:0])).tolist() == []
 
 
 def test_ids_are_those_of_spark(spark):
