@@ -50,11 +50,14 @@ def searched(df: DataFrame, words: str | None, fields: list[str], **equal) -> Da
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """Page `number` of a total order, from 1 and no further than the last one; size falls back to the least permitted one.
 
-    Rows are counted only if the page is not the first.
+    For a page that is not the first, rows are counted up to its first one: as
+    many as that, and the page is there; fewer, and they are all.
     """
     size = size if size in PAGE_SIZES else PAGE_SIZES[0]
     if number > 1:
-        number = min(number, max(1, -(-df.count() // size)))
+        before = (number - 1) * size
+        found = df.limit(before + 1).count()
+        number = number if found > before else max(1, -(-found // size))
     return df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
 
 

@@ -87,9 +87,9 @@ def candidate_rules(text: Column, codes: Column, rules: Sequence[Rule]) -> Colum
     return F.filter(F.array(*hits), lambda c: c.isNotNull())
 
 
-def suggested_codes(df: DataFrame, key: str, codes: DataFrame, mapping: DataFrame) -> DataFrame:
+def suggested_codes(codes: DataFrame, key: str, mapping: DataFrame) -> DataFrame:
     """Distinct (key, code, category) of the rows of codes (key, code) that a mapping (code, category) knows."""
-    return df.select(key).join(codes, key).join(mapping, "code").select(key, "code", "category").distinct()
+    return codes.join(mapping, "code").select(key, "code", "category").distinct()
 
 
 def supporting_segment(found: DataFrame, key: str) -> DataFrame:

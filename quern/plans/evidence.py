@@ -118,7 +118,7 @@ def geo_hierarchy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select(
         "c_custkey", "n_regionkey", F.when(F.col("c_custkey") % 2 == 0, F.format_string("r%d", "n_regionkey")).otherwise(F.col("code")).alias("own"))
     s = table(spark, sf_dir, "supplier").join(F.broadcast(places), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", F.concat("code", F.lit(" | x")).alias("listed")).agg(F.count(F.lit(1)).alias("k"))
-    hits = c.join(F.broadcast(s), "n_regionkey").where(codes.in_hierarchy(F.col("own"), F.col("listed")))
+    hits = c.join(s, "n_regionkey").where(codes.in_hierarchy(F.col("own"), F.col("listed")))
     return hits.groupBy("c_custkey").agg(F.sum("k").alias("suppliers"))
 
 

@@ -271,7 +271,7 @@ select case when length(s) >= 6 then regexp_replace(s, '[aeio]$', '') else s end
 def structured_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"/(?:en|de|fr|es)/(\d+)", 1).alias("raw")).where("raw <> ''").select("page_id", F.lpad(F.substring("raw", 1, 3), 3, "0").alias("code"))
     mapping = spark.createDataFrame([(f"{i:03d}", "low" if i < 300 else "middle" if i < 600 else "high") for i in range(100, 1000, 3)], "code string, category string")
-    return rules.suggested_codes(table(spark, sf_dir, "pages"), "page_id", codes, F.broadcast(mapping))
+    return rules.suggested_codes(codes, "page_id", F.broadcast(mapping))
 
 
 _CODES = r"""select distinct page_id, code, case when cast(code as int) < 300 then 'low' when cast(code as int) < 600 then 'middle' else 'high' end as category from (select page_id, lpad(substr(regexp_extract(url, '/(?:en|de|fr|es)/(\d+)', 1), 1, 3), 3, '0') as code from pages
