@@ -70,9 +70,10 @@ def lifecycle(df: DataFrame, key: str, planned: str, actual: str, active: Column
 
 
 def linked_types(df: DataFrame, key: str, kind: str, early: Sequence[str], late: Sequence[str]) -> DataFrame:
-    """One row: keys, those with an early type, with a late type, and with both."""
+    """One row: keys, those with an early type, with a late type, and with both, each also in basis points of all keys (floor; 0 of none)."""
     per = df.groupBy(key).agg(F.bool_or(F.col(kind).isin(*early)).alias("e"), F.bool_or(F.col(kind).isin(*late)).alias("l"))
-    return per.agg(F.count(F.lit(1)).alias("keys"), F.count_if("e").alias("early"), F.count_if("l").alias("late"), F.count_if(F.col("e") & F.col("l")).alias("linked"))
+    sums = per.agg(F.count(F.lit(1)).alias("keys"), F.count_if("e").alias("early"), F.count_if("l").alias("late"), F.count_if(F.col("e") & F.col("l")).alias("linked"))
+    return sums.select("*", *[F.when(F.col("keys") > 0, F.expr(f"{c} * 10000 div keys")).otherwise(0).cast("long").alias(f"{c}_bps") for c in ("early", "late", "linked")])
 
 
 def prefix_prevalence(df: DataFrame, code: Column, families: dict[str, Sequence[str]]) -> DataFrame:

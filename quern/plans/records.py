@@ -132,7 +132,7 @@ def type_lifecycle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.linked_types(table(spark, sf_dir, "events"), "user_id", "event_type", _EARLY, _LATE)
 
 
-_LINKED = f"""select count(*) as keys, cast(count_if(e) as bigint) as early, cast(count_if(l) as bigint) as late, cast(count_if(e and l) as bigint) as linked from (select user_id, bool_or(event_type in {_EARLY}) as e, bool_or(event_type in {_LATE}) as l from events group by 1)"""
+_LINKED = f"""select *, early * 10000 // keys as early_bps, late * 10000 // keys as late_bps, linked * 10000 // keys as linked_bps from (select count(*) as keys, cast(count_if(e) as bigint) as early, cast(count_if(l) as bigint) as late, cast(count_if(e and l) as bigint) as linked from (select user_id, bool_or(event_type in {_EARLY}) as e, bool_or(event_type in {_LATE}) as l from events group by 1))"""
 
 
 def repeated_mechanisms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -84,13 +84,14 @@ def evidence_sentences_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     score, hits = tx.keyword_score(F.col("segment"), WEIGHTS)
     scored = seg.withColumns({"score": score.cast("long"), "hits": hits.cast("long")}).where("score >= 5").drop("segment")
     best = sampling.top_of_each(scored, "doc_id", [F.desc("score"), F.desc("hits"), F.asc("start"), F.asc("end")], 3, parts=1)
-    return best.select("doc_id", "position", "score", "hits", "start", "end")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("start", "end")).cast("long")
+    return best.select("doc_id", "position", "score", "hits", "start", "end", place.alias("place"))
 
 
 _SCORE = " + ".join(f"{w} * cast(contains(lower(segment), '{k}') as bigint)" for k, w in WEIGHTS.items())
 _HITS = " + ".join(f"cast(contains(lower(segment), '{k}') as bigint)" for k in WEIGHTS)
 _TOP3 = f"""with {_PIECES.replace('.;!?', '.!?')}, v as (select doc_id, "start", "end", {_SCORE} as score, {_HITS} as hits from seg),
-r as (select *, row_number() over (partition by doc_id order by score desc, hits desc, "start", "end") as position from v where score >= 5) select doc_id, position, score, hits, "start", "end" from r where position <= 3"""
+r as (select *, row_number() over (partition by doc_id order by score desc, hits desc, "start", "end") as position from v where score >= 5) select doc_id, position, score, hits, "start", "end", row_number() over (partition by doc_id order by "start", "end") as place from r where position <= 3"""
 
 _ORDERED = ("worthless", "loser", "idiot", "moron", "scum")
 
