@@ -33,6 +33,40 @@ def confusion(gold: DataFrame, predicted: DataFrame, keys: Sequence[str], by: Se
     return counts.withColumns({"precision_bps": basis_points(tp, tp + fp), "recall_bps": basis_points(tp, tp + fn), "f1_bps": basis_points(2 * tp, 2 * tp + fp + fn)})
 
 
+def case_scores(cases: DataFrame, gold: DataFrame, predicted: DataFrame, case: str, exact: Sequence[str], semantic: Sequence[str]) -> DataFrame:
+    """One row that scores predictions over all cases (case, failed), by exact and by semantic keys.
+
+    For each kind of keys: tp, fp, fn, precision_bps, recall_bps, f1_bps, and
+    matched, the cases that didn't fail and are predicted as they should. A case
+    without gold asks for abstention: abstained counts those without a
+    prediction, false_alarms those with one, failed_abstentions those that
+    failed. Rows of gold and predicted outside the cases are no part of it: see
+    stray_cases. Repeats count once.
+    """
+    out = None
+    for name, keys in (("exact", exact), ("semantic", semantic)):
+        on = [case, *keys]
+        g, p = gold.select(*on).distinct().withColumn("__g", F.lit(True)), predicted.select(*on).distinct().withColumn("__p", F.lit(True))
+        per = g.join(p, on, "full_outer").groupBy(case).agg(F.count_if(F.col("__g") & F.col("__p")).alias("tp"), F.count_if(F.col("__g").isNull()).alias("fp"), F.count_if(F.col("__p").isNull()).alias("fn"))
+        each = cases.join(per, case, "left").na.fill(0, ["tp", "fp", "fn"])
+        sound = ~F.col("failed")
+        silent = F.col("tp") + F.col("fn") == 0
+        sums = each.agg(
+            F.count(F.lit(1)).alias("cases"), F.count_if("failed").alias("failed_cases"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")], F.count_if(sound & (F.col("fp") + F.col("fn") == 0)).alias("matched"),
+            F.count_if(silent).alias("abstentions"), F.count_if(silent & sound & (F.col("fp") == 0)).alias("abstained"), F.count_if(silent & sound & (F.col("fp") > 0)).alias("false_alarms"), F.count_if(silent & F.col("failed")).alias("failed_abstentions"),
+        )
+        tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+        rated = sums.withColumns({"precision_bps": basis_points(tp, tp + fp), "recall_bps": basis_points(tp, tp + fn), "f1_bps": basis_points(2 * tp, 2 * tp + fp + fn)})
+        counted = rated.select(*[F.col(c).alias(f"{name}_{c}") for c in ("tp", "fp", "fn", "matched", "precision_bps", "recall_bps", "f1_bps")], *([] if out is None else ["cases", "failed_cases", "abstentions", "abstained", "false_alarms", "failed_abstentions"]))
+        out = counted if out is None else out.join(counted, how="cross")  # one row each
+    return out
+
+
+def stray_cases(cases: DataFrame, rows: DataFrame, case: str) -> DataFrame:
+    """Cases of rows that are not among the cases."""
+    return rows.select(case).distinct().join(cases.select(case), case, "left_anti")
+
+
 def overlaps(a: DataFrame, b: DataFrame, case: str) -> DataFrame:
     """Pairs of intervals (start, end; end exclusive) of a case that share a point, with the length shared."""
     l, r = a.alias("l"), b.alias("r")

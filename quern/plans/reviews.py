@@ -11,6 +11,25 @@ from ..session import table
 from .texts import RULES
 
 
+def case_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as cases, of which every tenth failed: good ones should be told by language and source."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    cases = rows.select("doc_id", (F.col("doc_id") % 10 == 0).alias("failed"))
+    gold = rows.where("quality = 1").select("doc_id", "lang", "source")
+    predicted = rows.where("n_chars % 3 <> 0").select("doc_id", "lang", F.when(F.col("n_chars") % 2 == 0, F.col("source")).otherwise("src0").alias("source"))
+    return scoring.case_scores(cases, gold, predicted, "doc_id", ["lang", "source"], ["lang"])
+
+
+def _case_sql(name: str, tp: str) -> str:
+    return f"""count_if({tp}) as {name}_tp, count_if(p and not ({tp})) as {name}_fp, count_if(g and not ({tp})) as {name}_fn, count_if(not failed and case when g then {tp} else not p end) as {name}_matched"""
+
+
+_CASES = f"""with c as (select doc_id % 10 = 0 as failed, quality = 1 as g, n_chars % 3 <> 0 as p, n_chars % 2 = 0 or source = 'src0' as same from documents join labels using (doc_id)),
+s as (select {_case_sql('exact', 'g and p and same')}, {_case_sql('semantic', 'g and p')}, count(*) as cases, count_if(failed) as failed_cases, count_if(not g) as abstentions, count_if(not g and not failed and not p) as abstained,
+count_if(not g and not failed and p) as false_alarms, count_if(not g and failed) as failed_abstentions from c), t as (select columns(*)::bigint from s)
+select *, """ + ", ".join(f"case when {n}_tp + {n}_fp > 0 then {n}_tp * 10000 // ({n}_tp + {n}_fp) end as {n}_precision_bps, case when {n}_tp + {n}_fn > 0 then {n}_tp * 10000 // ({n}_tp + {n}_fn) end as {n}_recall_bps, case when 2 * {n}_tp + {n}_fp + {n}_fn > 0 then 2 * {n}_tp * 10000 // (2 * {n}_tp + {n}_fp + {n}_fn) end as {n}_f1_bps" for n in ("exact", "semantic")) + " from t"
+
+
 def scope_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", rules.boundary_unclear(F.col("text"), r"@(mail\d)", r"(\d+)@mail").alias("unclear"))
@@ -125,6 +144,7 @@ def first_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIRST = """select user_id, event_type, event_id, cast(json_extract_string(props, '$.k') as bigint) as k from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as r from events) where r = 1"""
 
 QUERIES = {
+    "case_scores": (case_scores, _CASES),
     "scope_boundary": (scope_boundary, _BOUNDARY), "normalised_phrases": (normalised_phrases, _NORMALISED), "gated_phrases": (gated_phrases, _GATED_SQL), "overlap_report": (overlap_report, _REPORT), "lead_spread": (lead_spread, _SPREAD),
     "joint_comparables": (joint_comparables, _JOINT), "snapshot_members": (snapshot_members, _SNAPSHOT), "source_gates": (source_gates, _GATES), "first_occurrences": (first_occurrences, _FIRST),
 }

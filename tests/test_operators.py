@@ -136,6 +136,18 @@ def test_top_of_each_matches_plain_ranking(spark):
     assert got == want
 
 
+def test_case_scores_tell_abstention_and_failure(spark):
+    cases = spark.createDataFrame([(1, False), (2, False), (3, True), (4, False), (5, True)], "k int, failed boolean")
+    gold = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (2, "a", "x"), (5, "b", "z")], "k int, s string, e string")
+    told = spark.createDataFrame([(1, "a", "y"), (2, "a", "x"), (4, "c", "q"), (5, "b", "z")], "k int, s string, e string")
+    got = scoring.case_scores(cases, gold, told, "k", ["s", "e"], ["s"]).first().asDict()
+    assert (got["exact_tp"], got["exact_fp"], got["exact_fn"], got["exact_matched"]) == (2, 2, 1, 1) and (got["semantic_tp"], got["semantic_fp"], got["semantic_fn"], got["semantic_matched"]) == (3, 1, 0, 2)
+    assert (got["cases"], got["failed_cases"], got["abstentions"], got["abstained"], got["false_alarms"], got["failed_abstentions"]) == (5, 2, 2, 0, 1, 1) and got["semantic_recall_bps"] == 10000
+    assert scoring.stray_cases(cases, spark.createDataFrame([(1,), (9,)], "k int"), "k").first().k == 9
+    empty = scoring.case_scores(cases.limit(0), gold.limit(0), told.limit(0), "k", ["s", "e"], ["s"]).first()
+    assert empty.cases == empty.exact_tp == 0 and empty.exact_f1_bps is None
+
+
 def test_extraction_summary_and_grouped_segments(spark):
     rs = (rules.Rule("water", "pump", ("pump", "pumps")), rules.Rule("road", "bridge", ("bridge",)))
     df = spark.createDataFrame([(1, "New pumps. A bridge!"), (2, "pumps..."), (3, "nothing here")], "k int, t string")
