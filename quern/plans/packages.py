@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dossier, gold, projection, sampling
+from ..operators import dossier, gold, projection, sampling, sourcing
 from ..session import shared_folder, table
 
 _CUTOFF = "1998-06-01"
@@ -126,6 +126,31 @@ select key, case when t = s then 'Project title' else 'Project description' end
 case when components is null or u or not (o or c) then 'UNRESOLVED' when o and c then 'PARTIAL' when c then 'CLOSED' else 'OPEN' end as state, coalesce(components, 0) as components, cast(coalesce(matches, 0) as bigint) as matches,
 array_to_string(list_sort(list_concat(case when s = '' then ['no_wording'] else [] end, coalesce(xs, []))), ',') as violations from w"""
 
+
+
+def source_package_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents of a customer's package, their lines as requirements, with faults of every kind at given keys."""
+    k, n, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    o = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    documents = orders.where(o % 43 != 0).select(
+        F.col("o_custkey").alias("package_id"), o.cast("string").alias("document_id"), F.when(o % 11 == 0, "FACT_EXTRACTION_ONLY").when(o % 47 == 0, "BLOCKED").otherwise("FULL_TEXT").alias("reuse_mode"),
+        F.lit("https://x").alias("reuse_url"), F.when(o % 53 != 0, F.col("o_orderpriority")).otherwise(" ").alias("reuse_note"), F.when(o % 59 != 0, F.sha2(o.cast("string"), 256)).otherwise("none").alias("sha256"),
+    )
+    lines = table(spark, sf_dir, "lineitem").join(orders.select(o.alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    kind = F.when(n == 1, "MINIMUM_EUR").when(n == 2, "MAXIMUM_MONTHS").otherwise("DECLARATION")
+    requirements = lines.select(
+        F.col("o_custkey").alias("package_id"), F.concat_ws("-", k.cast("string"), n.cast("string"), p.cast("string"), F.col("l_suppkey").cast("string"), F.col("l_extendedprice").cast("decimal(20,2)").cast("string")).alias("requirement_id"), k.cast("string").alias("document_id"), kind.alias("kind"),
+        F.when((n <= 2) & (p % 13 != 0), p).when((n == 4) & (p % 17 == 0), -p).alias("boundary"), F.when(n == 1, "proposed_funding_eur").when((n == 2) & (p % 19 != 0), "proposed_duration_months").when(n == 2, "proposed_funding_eur").alias("input"), F.when(p % 3 == 0, "text").otherwise("").alias("source_text"),
+    )
+    return sourcing.package_violations(documents, requirements).groupBy("package_id", "violation").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SOURCING = """with d as (select * from orders where o_orderkey % 43 <> 0), r as (select o_custkey as c, l_orderkey as k, l_linenumber as n, l_partkey as p from lineitem join orders on o_orderkey = l_orderkey),
+v as (select o_custkey as c, 'digest' as violation from d where o_orderkey % 59 = 0 union all select o_custkey, 'reuse_basis' from d where o_orderkey % 53 = 0 union all select o_custkey, 'blocked' from d where o_orderkey % 47 = 0 and o_orderkey % 11 <> 0
+union all select c, 'no_document' from r where k % 43 = 0 union all select c, 'boundary' from r where (n <= 2 and p % 13 = 0) or (n = 4 and p % 17 = 0) union all select c, 'input' from r where n = 2 and p % 19 = 0
+union all select c, 'text_not_reusable' from r where k % 43 <> 0 and k % 11 = 0 and p % 3 = 0) select c as package_id, violation, count(*) as n from v group by 1, 2"""
+
 _REQUIRED = [("lang", "en"), ("lang", "de"), ("lang", "fr"), ("lang", "es"), ("band", "short"), ("band", "long"), ("toxic", "1"), ("quality", "0"), ("quality", "1"), ("source", "src7"), ("toxic", "0")]
 _SPREAD = ["source", "tenth"]
 
@@ -154,5 +179,5 @@ cast(doc_id % 10 as varchar) as tenth, sha256('strata' || chr(0) || doc_id) as h
 
 QUERIES = {
     "gold_violations": (gold_violations, _GOLD), "gold_changed_cases": (gold_changed_cases, _CHANGED_CASES), "dossier_digests": (dossier_digests, _DOSSIERS),
-    "public_projects": (public_projects, _PUBLIC), "stratified_selection": (stratified_selection, _selection_sql()),
+    "public_projects": (public_projects, _PUBLIC), "source_package_violations": (source_package_violations, _SOURCING), "stratified_selection": (stratified_selection, _selection_sql()),
 }

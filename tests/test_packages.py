@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions.canonical import canonical_value
-from quern.operators import dossier, gold, projection, sampling
+from quern.operators import dossier, gold, projection, sampling, sourcing
 
 NESTED = "b long, a struct<z:string,y:array<int>,x:map<string,struct<k:boolean>>>, c string, d decimal(20,0), e array<array<string>>"
 
@@ -228,3 +228,22 @@ def test_selection_equals_the_plain_loop(spark, seed):
 def test_values_that_no_row_has(spark):
     df = spark.createDataFrame([(i, f"s{i % 5}") for i in range(9)], "k long, y string")
     assert sampling.missing_strata(df, "y", ["s1", "s9"]).first().y == "s9"
+
+
+# source packages
+
+
+@pytest.mark.parametrize("doc, requirement, want", [
+    ({}, {}, []), ({"sha256": "x"}, {}, [("d", "digest")]), ({"reuse_note": " "}, {}, [("d", "reuse_basis")]), ({"reuse_url": None}, {}, [("d", "reuse_basis")]), ({"reuse_mode": "BLOCKED"}, {}, [("d", "blocked")]),
+    ({}, {"document_id": "other"}, [("r", "no_document")]), ({}, {"document_id": None}, [("r", "no_document")]), ({}, {"boundary": None}, [("r", "boundary")]), ({}, {"boundary": -1}, [("r", "boundary")]), ({}, {"kind": "DECLARATION"}, [("r", "boundary"), ("r", "input")]),
+    ({}, {"kind": "DECLARATION", "boundary": None, "input": None}, []), ({}, {"input": "proposed_duration_months"}, [("r", "input")]), ({}, {"kind": "MINIMUM_MONTHS"}, [("r", "input")]), ({}, {"kind": "MAXIMUM_MONTHS", "input": "proposed_duration_months"}, []), ({}, {"input": None}, [("r", "input")]),
+    ({"reuse_mode": "FACT_EXTRACTION_ONLY"}, {}, [("r", "text_not_reusable")]), ({"reuse_mode": "FACT_EXTRACTION_ONLY"}, {"source_text": " "}, []), ({"reuse_mode": None}, {}, []),
+])
+def test_source_package_violations(spark, doc, requirement, want):
+    d = {"package_id": 1, "document_id": "d", "reuse_mode": "FULL", "reuse_url": "https://x", "reuse_note": "law", "sha256": "a" * 64} | doc
+    r = {"package_id": 1, "requirement_id": "r", "document_id": "d", "kind": "MINIMUM_EUR", "boundary": 5, "input": "proposed_funding_eur", "source_text": "text"} | requirement
+    docs = spark.createDataFrame([tuple(d.values())], "package_id long, document_id string, reuse_mode string, reuse_url string, reuse_note string, sha256 string")
+    reqs = spark.createDataFrame([tuple(r.values())], "package_id long, requirement_id string, document_id string, kind string, boundary long, input string, source_text string")
+    assert rows_of(sourcing.package_violations(docs, reqs)) == [(1, *w) for w in want]
+    twice = rows_of(sourcing.package_violations(docs.unionByName(docs), reqs.unionByName(reqs)))
+    assert (1, "d", "repeated") in twice and (1, "r", "repeated") in twice
