@@ -36,7 +36,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """
     read = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in GROUP], F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("text"))
     terms = read.select(*GROUP, F.sort_array(F.split("text", BETWEEN)).alias("terms"))
-    each = terms.select(*GROUP, "terms", F.posexplode("terms").alias("at", "term"))
+    each = terms.select(*GROUP, "terms", F.posexplode_outer("terms").alias("at", "term"))  # an inner one has the text split twice
     first = (F.col("at") == 0) | (F.get("terms", F.col("at") - 1) != F.col("term"))
     return each.where("term <> ''").groupBy(*GROUP, "term").agg(F.count("*").alias("n"), F.sum(first.cast("long")).alias("docs"))
 

@@ -359,4 +359,4 @@ def test_pipeline_takes_odd_rows(spark):
 
 
 def test_queries_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES if q != "pipeline"} and "pipeline" in queries.QUERIES
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES if q != "pipeline"} and "pipeline" in queries.QUERIES
