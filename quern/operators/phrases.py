@@ -3,7 +3,8 @@
 The words of all phrases are counted in the texts once. A phrase is then
 looked for only where its rarest word stands, so the work follows the
 occurrences of rare words and not the number of phrases. A place is verified
-inside the row of its text.
+inside the row of its stretch of the text: a few dozen words, and as many words
+more at either end as the longest phrase has.
 """
 
 from __future__ import annotations
@@ -13,25 +14,44 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import starts_of
 from ..session import broadcast_if_small, kept
 
 #: A word and what lies between words.
 WORD, GAP = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
 
+#: Words of a text that are looked up together.
+STRETCH = 64
+
 
 def _normalised(words: Column, norm: Callable[[Column], Column]) -> Column:
     return F.transform(words, norm)
 
 
-def _placed(df: DataFrame, text: str, word: str, gap: str, fold: Callable[[Column], Column]) -> DataFrame:
-    """df with __pieces (words and what lies between them, in turn), __first (the index of the first word) and __words."""
-    found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _stretches(df: DataFrame, key: str, text: str, word: str, gap: str, normalised: Callable[[Column], Column], reach: int) -> DataFrame:
+    """Texts in stretches of words, each with `reach` words more at either end: key, __no, __base (code points before it),
+    __pieces (words and what lies between them, in turn), __lead (the index of the first word), __skip (words before the stretch's own) and __words.
+
+    A row of one word then never carries the whole text.
+    """
+    own = max(STRETCH, 2 * reach)
     first = F.when(F.col(text).rlike(rf"\A(?:{word})"), 0).otherwise(1)
-    return df.withColumns({"__pieces": found(f"{word}|{gap}"), "__words": fold(found(word)), "__first": first})
+    cut = df.select(key, F.regexp_extract_all(text, F.lit(f"{word}|{gap}"), F.lit(0)).alias("__pieces"), first.alias("__first"))
+    n = F.floor((F.size("__pieces") - F.col("__first") + 1) / 2)
+    at = lambda c: F.when(c * own <= reach, 0).otherwise(2 * (c * own - reach) + F.col("__first")).cast("int")
+    joined = lambda c: F.length(F.array_join(F.slice("__pieces", at(c) + 1, at(c + 1) - at(c)), ""))
+    starts = F.when(n > 0, starts_of(F.transform(F.sequence(F.lit(0), F.floor((n - 1) / own).cast("int")), joined)))
+    one = lambda s, c: F.struct(
+        c.alias("__no"), s.alias("__base"), F.slice("__pieces", at(c) + 1, F.lit(2 * (own + 2 * reach) + 2)).alias("__pieces"),
+        F.when(at(c) == 0, F.col("__first")).otherwise(0).alias("__lead"), F.least(c * own, F.lit(reach)).alias("__skip"),
+    )
+    each = cut.select(key, "__first", F.explode_outer(F.transform(starts, one)).alias("s")).select(key, "s.*")
+    words = F.filter("__pieces", lambda p, i: i % 2 == F.col("__lead"))
+    return each.withColumn("__words", normalised(words)).withColumn("__own", F.slice("__words", F.col("__skip") + 1, F.lit(own)))
 
 
 def _length_of(pieces: Column) -> Column:
-    return F.aggregate(pieces, F.lit(0), lambda s, p: s + F.length(p))
+    return F.length(F.array_join(pieces, ""))
 
 
 def phrase_hits(
@@ -42,44 +62,49 @@ def phrase_hits(
 
     phrases: phrase_id and phrase. A phrase occurs where the words of a text,
     normalised, are the phrase's; it stands between characters that are no part
-    of a word. fold takes the array of all words, norm each word of it after. If literal, what lies between and around its words has to be the
+    of a word. fold takes an array of words, norm each word of it after. If literal, what lies between and around its words has to be the
     same too, in any case. Occurrences may overlap. Keys have to be unique and
     not null; a null text has no occurrences, and neither has a phrase without
     a word.
 
     The index is broadcast if it was counted and found small; else words meet
-    it by a shuffle, and the places found are brought back to their texts.
+    it by a shuffle, and the places found are brought back to their stretch of the text.
+    Columns to keep are joined to the occurrences by the key.
     """
-    cut = _placed(df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, *[c for c in keep if c != text], text), text, word, gap, fold)
+    texts = df.where(F.col(key).isNotNull() & F.col(text).isNotNull())
     split = phrases.select("phrase_id", "phrase", fold(F.regexp_extract_all("phrase", F.lit(word), F.lit(0))).alias("words"), F.regexp_instr("phrase", F.lit(word)).alias("lead"))
     split = kept(split.withColumn("words", _normalised(F.col("words"), norm)).where((F.size("words") > 0) & F.col("phrase_id").isNotNull()), "phrases")
+    reach = split.agg(F.max(F.size("words"))).first()[0] or 1
     of_phrases = split.select("phrase_id", F.posexplode("words").alias("place", "word"))
     vocabulary, _ = broadcast_if_small(of_phrases.select("word").distinct(), near_rows)
-    counts = cut.select(F.explode_outer("__words").alias("w")).select(norm(F.col("w")).alias("word")).join(vocabulary, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    seen = texts.select(F.explode_outer(fold(F.regexp_extract_all(text, F.lit(word), F.lit(0)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counts = seen.select(norm(F.col("w")).alias("word"), "n").join(vocabulary, "word").groupBy("word").agg(F.sum("n").alias("n"))
     rarest = of_phrases.join(counts, "word", "left").groupBy("phrase_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "word")).alias("r"))
     index = split.join(rarest.where("r.n > 0"), "phrase_id").select("phrase_id", "phrase", "words", "lead", F.col("r.place").alias("before"), F.col("r.word").alias("word"))
     index, small = broadcast_if_small(kept(index, "phrase-index"), near_rows)
 
+    cut = _stretches(texts, key, text, word, gap, lambda words: _normalised(fold(words), norm), reach)
+    # outer explodes: else the optimiser finds the words once more in a filter below; words that are null meet nothing
     if small:
-        places = cut.select(*cut.columns[:-3], "__pieces", "__first", "__words", F.posexplode_outer("__words").alias("at", "w")).withColumn("word", norm(F.col("w")))
-        met = places.join(index, "word")
+        met = cut.select(*cut.columns[:-1], F.posexplode_outer("__own").alias("at", "word")).join(index, "word")
     else:
-        places = cut.select(key, F.posexplode_outer("__words").alias("at", "w")).select(key, "at", norm(F.col("w")).alias("word"))
-        met = places.join(index, "word").drop("word").join(cut, key)
-    # outer explodes: else the optimiser finds the words once more in a filter below; words that are null meet nothing
-    from_word = F.col("at") - F.col("before")
-    same = (from_word >= 0) & (_normalised(F.slice("__words", F.greatest(from_word, F.lit(0)) + 1, F.size("words")), norm) == F.col("words"))
-    found = met.where(same).withColumn("__from", F.greatest(2 * from_word + F.col("__first"), F.lit(0))).withColumn("start", _length_of(F.slice("__pieces", F.lit(1), F.col("__from"))))
-    inner = _length_of(F.slice("__pieces", F.col("__from") + 1, 2 * F.size("words") - 1))
-    found = found.withColumn("end", F.col("start") + inner)
-    if literal:
-        begin = F.col("start") - (F.col("lead") - 1)
-        found = found.withColumn("start", begin).withColumn("end", begin + F.length("phrase")).where("start >= 0")
-    found = found.withColumn("span", F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")))
+        met = cut.select(key, "__no", F.posexplode_outer("__own").alias("at", "word")).join(index, "word").join(cut.drop("__own"), [key, "__no"])
+    n, from_word = F.size("words"), F.col("__skip") + F.col("at") - F.col("before")
+    first, near = 2 * from_word + F.col("__lead"), F.array_join("__pieces", "")
+    start = _length_of(F.slice("__pieces", F.lit(1), first))
+    end = start + _length_of(F.slice("__pieces", first + 1, 2 * n - 1))
+    # one filter, the cheapest first: most places differ in the phrase's first or last word
+    edge = lambda i: F.get("__words", from_word + i) == F.get("words", i)
+    same = (from_word >= 0) & edge(F.lit(0)) & edge(n - 1) & (F.slice("__words", from_word + 1, n) == F.col("words"))
     if literal:
-        apart = ~F.substring(F.col(text), F.col("end") + 1, F.lit(1)).rlike(word) & ~((F.col("start") > 0) & F.substring(F.col(text), F.greatest("start", F.lit(1)), F.lit(1)).rlike(word))
-        found = found.where((F.lower("span") == F.lower("phrase")) & apart)
-    return found.select(key, *keep, "phrase_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "span")
+        start = start - (F.col("lead") - 1)
+        end = start + F.length("phrase")
+        apart = ~F.substring(near, end + 1, F.lit(1)).rlike(word) & ~((start > 0) & F.substring(near, F.greatest(start, F.lit(1)), F.lit(1)).rlike(word))
+        same = same & (start >= 0) & (F.lower(F.substring(near, start + 1, end - start)) == F.lower("phrase")) & apart
+    found = met.where(same).select(key, "phrase_id", "__base", start.alias("start"), end.alias("end"), F.substring(near, start + 1, end - start).alias("span"))
+    place = lambda c: (F.col("__base") + F.col(c)).cast("long").alias(c)
+    hits = found.select(key, "phrase_id", place("start"), place("end"), "span")
+    return hits.join(texts.select(key, *keep), key).select(key, *keep, "phrase_id", "start", "end", "span") if keep else hits
 
 
 def without_overlaps(hits: DataFrame, key: str) -> DataFrame:

@@ -68,8 +68,11 @@ def morphology_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places in documents where words are, by family, those of a phrase; with a check that the span is what the text holds there."""
     listed = spark.createDataFrame([(p, p) for p in FAMILY_PHRASES], "phrase_id string, phrase string")
     docs = _documents(spark, sf_dir)
-    hits = phrases.phrase_hits(docs, "doc_id", "text", listed, keep=["text"], norm=morphology.family_of_folded, fold=morphology.folded_words, word=morphology.WORD, gap=morphology.GAP, literal=False)
-    return hits.select("doc_id", "phrase_id", "start", "end", "span", is_verbatim(F.col("text"), F.col("start"), F.col("end"), F.col("span")).alias("verbatim"))
+    hits = phrases.phrase_hits(docs, "doc_id", "text", listed, norm=morphology.family_of_folded, fold=morphology.folded_words, word=morphology.WORD, gap=morphology.GAP, literal=False)
+    # a text meets all of its places in one row
+    of_text = hits.groupBy("doc_id").agg(F.collect_list(F.struct("phrase_id", "start", "end", "span")).alias("hits")).join(docs.select("doc_id", "text"), "doc_id")
+    checked = F.transform("hits", lambda h: h.withField("verbatim", is_verbatim(F.col("text"), h["start"], h["end"], h["span"])))
+    return of_text.select("doc_id", F.explode_outer(checked).alias("h")).select("doc_id", "h.*")
 
 
 _LISTED = " union all ".join(f"select '{p}' as phrase_id, {_family_sql(repr(p.split()[0]))} as a, " + (_family_sql(repr(p.split()[1])) if " " in p else "null") + " as b" for p in FAMILY_PHRASES)

@@ -50,6 +50,28 @@ def test_hits_from_the_left(spark):
     assert rows_of(got) == sorted(want, key=repr) and (1, "a a", 2, 5) not in want
 
 
+def test_long_text_of_frequent_words(spark):
+    """Rows of one word don't carry the whole text: 40,000 of them would fill the memory."""
+    text = "the of " * 20_000 + "the"
+    df = spark.createDataFrame([(1, text, ["d"])], "doc_id long, text string, gate array<string>")
+    rules = spark.createDataFrame([("t", "the", "d"), ("tot", "the of the", "d")], "phrase_id string, phrase string, domain string")
+    got = ph.phrase_hits(df, "doc_id", "text", rules)
+    assert [r[1:] for r in rows_of(got.groupBy("phrase_id").agg(F.count("*"), F.min("start"), F.max("end")))] == [(20_001, 0, len(text)), (20_000, 0, len(text))]
+    assert got.where("span <> phrase_id").where("not (span = 'the' and start % 7 = 0 and end = start + 3 or span = 'the of the' and start % 7 = 0 and end = start + 10)").count() == 0
+
+
+@pytest.mark.parametrize("near", [300_000, 0])
+def test_hits_across_stretches(spark, near):
+    """Phrases longer than a stretch, at every place of its edges, and columns that are kept."""
+    words = [f"w{i % 7}" for i in range(400)]
+    text = "".join(w + (" " if i % 5 else ", ") for i, w in enumerate(words))
+    listed = [("short", "w1 w2"), ("edge", "w0"), ("long", " ".join(words[101:105])), ("longer", "".join(w + (" " if i % 5 else ", ") for i, w in enumerate(words) if 61 <= i < 190).strip(" ,"))]
+    df = spark.createDataFrame([(1, text, "x"), (2, None, "y"), (3, "..", "z"), (4, "w0", "v")], "doc_id long, text string, other string")
+    want = [(i, o, n, s, e, t[s:e]) for i, t, o in ((1, text, "x"), (4, "w0", "v")) for n, p in listed for s, e in plain_hits(t, p)]
+    got = ph.phrase_hits(df, "doc_id", "text", spark.createDataFrame(listed, "phrase_id string, phrase string"), keep=["other"], near_rows=near)
+    assert {w[2] for w in want} == {"short", "edge", "long", "longer"} and rows_of(got) == sorted(want, key=repr)
+
+
 def test_gate_opens_domains(spark):
     df = spark.createDataFrame([(1, "heat pump and solar roof", ["heating"]), (2, "heat pump and solar roof", ["heating", "power"]), (3, "heat pump", []), (4, "heat pump", None)], "doc_id long, text string, gate array<string>")
     rules = spark.createDataFrame([("h", "heat pump", "heating"), ("s", "solar roof", "power")], "phrase_id string, phrase string, domain string")
