@@ -135,6 +135,10 @@ def folded(c: Column) -> Column:
     return F.translate(F.lower(c), ACCENTED, PLAIN)
 
 
+#: A stem of four letters or more and a suffix of three or more.
+_SUFFIX = r"^(.{4,}?)(?:azioni|azione|amento|amenti|izione|izioni|are|ere|ire|ing|tion|ment)$"
+
+
 def normalised_token(token: Column) -> Column:
     """A word family key: folded, what precedes an apostrophe dropped, a verb or noun suffix and then a final vowel dropped.
 
@@ -142,5 +146,12 @@ def normalised_token(token: Column) -> Column:
     first; a final vowel only from a word of six letters or more.
     """
     bare = F.regexp_replace(folded(token), r"^[^'’]*['’]", "")
-    stem = F.regexp_replace(bare, r"^(.{4,}?)(?:azioni|azione|amento|amenti|izione|izioni|are|ere|ire|ing|tion|ment)$", "$1")
+    stem = F.regexp_replace(bare, _SUFFIX, "$1")
     return F.when(F.length(stem) >= 6, F.regexp_replace(stem, r"[aeio]$", "")).otherwise(stem)
+
+
+def normalised_tokens(tokens: Column) -> Column:
+    """normalised_token of each of an array of words: every step once a word, a pattern only where a word is long enough or has an apostrophe."""
+    bare = F.transform(F.transform(tokens, folded), lambda w: F.when(F.contains(w, F.lit("'")) | F.contains(w, F.lit("’")), F.regexp_replace(w, r"^[^'’]*['’]", "")).otherwise(w))
+    stems = F.transform(bare, lambda w: F.when(F.length(w) >= 7, F.regexp_replace(w, _SUFFIX, "$1")).otherwise(w))
+    return F.transform(stems, lambda w: F.when(F.length(w) >= 6, F.regexp_replace(w, r"[aeio]$", "")).otherwise(w))

@@ -41,7 +41,7 @@ _PHRASES = ("that the", "of the", "les")
 
 
 def normalised_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", F.transform(tx.tokens(F.col("text"), r"[a-zà-ÿ']+"), lambda w: tx.normalised_token(w)).alias("words"))
+    words = table(spark, sf_dir, "documents").select("doc_id", tx.normalised_tokens(tx.tokens(F.col("text"), r"[a-zà-ÿ']+")).alias("words"))
     return words.select("doc_id", rules.normalised_hits(F.col("words"), _PHRASES).alias("hits")).where("hits > 0")
 
 

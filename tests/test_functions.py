@@ -84,3 +84,12 @@ def test_set_digest_ignores_order_and_repeats(spark):
 def test_canonical_json_keeps_nulls_and_orders_keys(spark):
     assert one(spark, hashing.canonical_json("b", "a"), b=None, a=1) == '{"a":1,"b":null}'
     assert one(spark, hashing.hash_rank("s", F.col("k")), k="7") == hashlib.sha256(b"s\x007").hexdigest()
+
+
+def test_normalised_tokens_are_each_the_normalised_token(spark):
+    from quern.functions import text as tx
+
+    words = ["", "'", "a", "Lavorare", "lavare", "abcdare", "abcare", "dell'azione", "dell’Energia", "l'", "''ab'cdefgh", "città", "sviluppamento", "formazioni", "tion", "nation", "relation", "sixxxo", "fivea", "İstanbul", "abcdıng", "😀😀😀😀are", "x\nare", "abcdare\n", None]
+    df = spark.createDataFrame([(words,), ([],), (None,)], "words array<string>")
+    got = df.select(tx.normalised_tokens(F.col("words")).alias("a"), F.transform("words", tx.normalised_token).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and got[0].a[3] == "lavor"
