@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,13 @@ def join_spread(rows: DataFrame, table: DataFrame, key: str, weight: str, how: s
     return rows.join(F.broadcast(heavy), key).unionByName(rest)
 
 
+def sliced(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of at most so many, so that what a worker makes of them goes out before it makes more."""
+    for batch in batches:
+        for first in range(0, len(batch), rows):
+            yield batch.iloc[first : first + rows]
+
+
 def words_in(text: Column) -> Column:
     """Number of words of a whole text as a long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

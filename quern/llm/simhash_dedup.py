@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_spread, small_side, windows, word_hashes, word_spans, written
+from .common import join_spread, sliced, small_side, windows, word_hashes, word_spans, written
 from .components import link_cells, possible_pairs
 
 #: Similarity of near-duplicate documents, and words in a shingle.
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of each whole text; a null or empty text has 0."""
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": [shingle_fingerprint(t, shingle) for t in batch["text"]]})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(marked, "doc_id long, fp long")
@@ -147,7 +147,7 @@ def prefix(members: np.ndarray, similarity: float, common: np.ndarray) -> np.nda
 
 def _sketch(shingle: int, similarity: float, common: np.ndarray):
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches):
             digests, marks, sizes, cells = [], [], [], []
             for text in batch["text"]:
                 words = b" ".join((text or "").encode("utf-8", "replace").lower().split())
@@ -163,7 +163,7 @@ def _sketch(shingle: int, similarity: float, common: np.ndarray):
 
 def _shingle_sets(shingle: int):
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [_shingles((text or "").encode("utf-8", "replace").lower(), shingle) for text in batch["text"]]
             yield pd.DataFrame({"id": batch["id"], "members": found})
 

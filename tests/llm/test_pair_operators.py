@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -199,6 +200,15 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash_dedup.without_near_duplicates(odd.limit(0), simhash_dedup.near_duplicates(odd.limit(0))).count() == 0
 
 
+def test_workers_hand_out_small_frames():
+    batch = pd.DataFrame({"id": range(1000), "doc_id": range(1000), "text": [f"a b c d e {i}" for i in range(1000)]})
+    for worker in (simhash_dedup._shingle_sets(5), simhash_dedup._sketch(5, 0.8, np.zeros(0, dtype=np.int64))):
+        frames = list(worker(iter([batch, batch[:0]])))
+        assert max(map(len, frames)) <= 256
+        assert pd.concat(frames)["doc_id" if "doc_id" in frames[0] else "id"].tolist() == list(range(1000))
+    assert [len(s) for s in pd.concat(simhash_dedup._shingle_sets(5)(iter([batch])))["members"]] == [2] * 1000
+
+
 # substring dedup
 
 
