@@ -68,20 +68,31 @@ def disposition_reason(tier_: Column, may_be: Column, exact_span: Column, day: C
     return out
 
 
-def component_states(components: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+def component_states(components: DataFrame, evidence: DataFrame, key: str, names: dict | None = None) -> DataFrame:
     """State of each component (key, boundary_unclear, coverage_complete) from its evidence (key, evidence_id, disposition).
 
     In this order: an unclear boundary is UNRESOLVED; accepted evidence closes;
     evidence to review is UNRESOLVED; so is incomplete coverage; else OPEN. A
     component without evidence keeps its row. evidence_ids are those that the
     state rests on, sorted; of an unclear boundary first the accepted ones, then
-    those to review.
+    those to review. names: every evidence_id that occurs, in their order, with
+    the string to give out for it, where these are few: they are then counted
+    in place of gathered. Rejected evidence is not filtered out: a filter moves
+    into the join that made the evidence, with all the rules of its disposition
+    written out in the condition.
     """
-    ids = lambda d: F.array_sort(F.collect_list(F.when(F.col("disposition") == d, F.col("evidence_id"))))
-    sums = evidence.where(F.col("disposition") != "REJECT").groupBy(key).agg(ids("ACCEPT").alias("accepted"), ids("REVIEW").alias("review"))
+    if names is None:
+        ids = lambda d: F.array_sort(F.collect_list(F.when(F.col("disposition") == d, F.col("evidence_id"))))
+        sums = evidence.groupBy(key).agg(ids("ACCEPT").alias("accepted"), ids("REVIEW").alias("review"))
+        kind = evidence.schema["evidence_id"].dataType.simpleString()
+    else:
+        times = lambda d: [F.count_if((F.col("disposition") == d) & (F.col("evidence_id") == i)).alias(f"{d}_{k}") for k, i in enumerate(names)]
+        listed = lambda d: F.flatten(F.array(*[F.array_repeat(F.lit(name), F.col(f"{d}_{k}").cast("int")) for k, name in enumerate(names.values())]).cast("array<array<string>>"))
+        sums = evidence.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *times("ACCEPT"), *times("REVIEW")).select(key, listed("ACCEPT").alias("accepted"), listed("REVIEW").alias("review"))
+        kind = "string"
     joined = components.join(sums, key, "left")
     some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
-    none = F.array().cast(evidence.schema["evidence_id"].dataType.simpleString().join(("array<", ">")))
+    none = F.array().cast(f"array<{kind}>")
     state = (
         F.when(F.col("boundary_unclear"), UNRESOLVED)
         .when(some("accepted"), CLOSED)

@@ -10,6 +10,8 @@ from ..operators import cohort, ledger, linkage, matching, relevance, scoring
 from ..session import table
 
 CUTOFF = "1998-06-01"
+#: Most line numbers of which each is counted by itself; evidence with more of them is gathered in lists.
+FEW = 16
 #: How a line's state follows from its data, for both engines.
 _LINE_STATE = f"case when l_shipdate <= timestamp '{CUTOFF}' and l_linestatus = 'F' then 'CLOSED' when l_shipdate <= timestamp '{CUTOFF}' and l_linestatus = 'O' then 'OPEN' else 'UNRESOLVED' end"
 _CENTS = "cast(round(o_totalprice * 100) as bigint)"
@@ -77,9 +79,13 @@ def component_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     key = lambda p: (F.col("l_orderkey") * 10 + F.col(f"{p}linenumber")).alias("component")
     components = lines.select(key("l_"), (F.col("l_quantity") >= 45).alias("boundary_unclear"), (F.col("l_returnflag") != "R").alias("coverage_complete"))
-    evidence = _pairs(spark, sf_dir).select(key("a_"), F.format_string("E%02d", "b_linenumber").alias("evidence_id"), "disposition")
-    out = matching.component_states(components, evidence, "component")
-    return out.select("component", "state", "reason", F.array_join("evidence_ids", ",").alias("evidence_ids"))
+    evidence = _pairs(spark, sf_dir).select(key("a_"), F.col("b_linenumber").alias("evidence_id"), "disposition")
+    numbers = sorted(r[0] for r in lines.select("l_linenumber").where("l_linenumber is not null").distinct().limit(FEW + 1).collect())
+    if len(numbers) <= FEW:
+        out, named = matching.component_states(components, evidence, "component", {n: f"E{n:02d}" for n in numbers}), F.col("evidence_ids")
+    else:
+        out, named = matching.component_states(components, evidence, "component"), F.transform("evidence_ids", lambda n: F.format_string("E%02d", n))
+    return out.select("component", "state", "reason", F.array_join(named, ",").alias("evidence_ids"))
 
 
 _CLASSIFIED = f"""with p as ({_PAIRS}), e as (select l_orderkey * 10 + a_linenumber as component,

@@ -45,6 +45,16 @@ def test_component_state_order(spark):
     assert got == {"b": ("UNRESOLVED", ["e7", "e1"]), "a": ("CLOSED", ["e2", "e3"]), "r": ("UNRESOLVED", ["e4"]), "c": ("UNRESOLVED", []), "o": ("OPEN", [])}
 
 
+def test_few_ids_are_counted_as_lists_would_gather_them(spark):
+    components = spark.createDataFrame([(k, k == 3, k != 4) for k in (1, 2, 3, 4, 5, 5)], "k long, boundary_unclear boolean, coverage_complete boolean")
+    rows = [(1, 2, "ACCEPT"), (1, 1, "ACCEPT"), (1, 2, "ACCEPT"), (1, 3, "REVIEW"), (2, 3, "REVIEW"), (2, 1, "REJECT"), (3, 3, "ACCEPT"), (3, 1, "REVIEW"), (4, 1, "REJECT"), (5, 2, "REVIEW"), (9, 1, "ACCEPT"), (None, 1, "ACCEPT")]
+    evidence = spark.createDataFrame(rows, "k long, evidence_id int, disposition string")
+    told = lambda df, name: sorted((r.k, r.state, r.reason, [name(i) for i in r.evidence_ids]) for r in df.collect())
+    gathered = told(matching.component_states(components, evidence, "k"), "E{}".format)
+    assert told(matching.component_states(components, evidence, "k", {1: "E1", 2: "E2", 3: "E3"}), str) == gathered
+    assert gathered[0] == (1, "CLOSED", "accepted", ["E1", "E2", "E2"]) and gathered[2] == (3, "UNRESOLVED", "boundary", ["E3", "E1"])
+
+
 def test_roll_up_is_fail_closed(spark):
     cases = {"none": [None], "u": ["OPEN", "UNRESOLVED"], "c": ["CLOSED", "CLOSED"], "o": ["OPEN"], "p": ["OPEN", "CLOSED"]}
     df = spark.createDataFrame([(k, s) for k, ss in cases.items() for s in ss], "k string, state string")
