@@ -100,6 +100,7 @@ def link_cells(
     carry: Sequence[str] = (),
     room: int = ROOM,
     known: DataFrame | None = None,
+    deeper: Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame] | None = None,
 ) -> DataFrame:
     """Components (id, component), a written table, of the links between nodes that share a cell.
 
@@ -135,6 +136,11 @@ def link_cells(
         scratch.append(written(df, name))
         return scratch[-1]
 
+    def done(*tables: DataFrame) -> None:
+        """Removes tables before the end: what was made of them is written."""
+        scratch[:] = [t for t in scratch if not any(t is x for x in tables)]
+        forget(*tables)
+
     def labelled(rows: DataFrame, found: DataFrame | None) -> DataFrame:
         if found is None:
             return rows.withColumn("component", F.col("id"))
@@ -150,6 +156,7 @@ def link_cells(
         if sets_of is not None:
             sets = kept(sets_of(links.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
             links = kept(similar_pairs(links, sets, similarity), "links")
+            done(sets)
         edges.append(links)
         every = edges[0]
         for more in edges[1:]:
@@ -165,20 +172,27 @@ def link_cells(
     dealt = nodes.select("id", *carry, F.explode(cells).alias("cell"))
     shared = kept(dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell"), "cells")
     members = kept(dealt.join(small_side(shared, 2_000_000), "cell", "left_semi").distinct(), "members")
+    done(shared)
     if known is not None:
-        members = split(members, known).drop("component")
-    sized = kept(members.join(members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cell"), "sized")
+        every, members = members, split(members, known)
+        done(every)
+    of_cell = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = kept(members.select("id", *carry, "cell").join(of_cell, "cell"), "sized")
+    done(members)
 
     weights = sized.groupBy("id").agg(F.sum("n").alias("weight"))
     lead = F.max_by(F.struct(F.struct("weight", (-F.col("id")).alias("low")).alias("rank"), carried.alias("of")), F.struct("weight", -F.col("id")))
     leads = sized.join(weights, "id").groupBy("cell").agg(lead.alias("lead"))
-    led = kept(sized.select("cell", "n", carried.alias("l")).join(leads, "cell"), "led").where("l.id <> lead.of.id")
+    every = kept(sized.select("cell", "n", carried.alias("l")).join(leads, "cell"), "led")
+    led = every.where("l.id <> lead.of.id")
     small = led.where(F.col("n") <= room).select("l", F.col("lead.of").alias("r"))
     large = led.where(F.col("n") > room).groupBy("l").agg(F.max_by("lead.of", "lead.rank").alias("r"))
     starred = small.unionByName(large).where(near).select(*_ordered(F.col("l.id"), F.col("r.id"))).distinct()
     found = joined(starred, known)
+    done(every)
 
     apart = split(sized.where("n > 2"), found)
+    done(sized)
     own = apart.where(F.col("n") > room).groupBy("id").agg(F.max_by("cell", F.struct("n", "cell")).alias("own"))
     seats = apart.join(own, "id", "left").where((F.col("n") <= room) | (F.col("cell") == F.col("own")))
     rooms = F.when(F.col("n") > room, F.pmod(F.xxhash64("cell", "id"), F.ceil(F.col("n") / room))).otherwise(F.lit(0).cast("long"))
@@ -186,13 +200,17 @@ def link_cells(
     others = seats.select("cell", "room", F.col("component").alias("other"), F.col("l").alias("r"))
     met = seats.join(others, ["cell", "room"]).where((F.col("l.id") < F.col("r.id")) & (F.col("component") != F.col("other")) & near)
     found = joined(met.select(*_ordered(F.col("l.id"), F.col("r.id"))).distinct(), found)
+    done(seats)
 
-    apart = split(apart.where(F.col("n") > room).drop("component"), found)
+    before, apart = apart, split(apart.where(F.col("n") > room).drop("component"), found)
+    done(before)
     if not apart.isEmpty():
         shares = apart.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("k"))
         main = shares.groupBy("cell").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-        told = kept(apart.join(main, "cell"), "told")
-        if sets_of is not None:
+        told = kept(apart.join(main, "cell"), "told") if deeper is None else apart
+        if deeper is not None:
+            found, rest = deeper(kept(apart.select("cell").distinct(), "crowded"), kept(apart.select("id").distinct(), "outside"), found), None
+        elif sets_of is not None:
             outside = kept(told.groupBy("id", "component").agg(F.bool_or(F.col("component") != F.col("main")).alias("minor")), "outside")
             rest = rare_pairs(outside, sets_of(outside.select("id")), similarity)
         else:
@@ -200,7 +218,7 @@ def link_cells(
             all_of = told.select("cell", "main", F.col("component").alias("other"), carried.alias("r"))
             once = (F.col("other") == F.col("main")) | (F.col("l.id") < F.col("r.id"))
             rest = minor.join(all_of, "cell").where((F.col("component") != F.col("other")) & once & near).select(*_ordered(F.col("l.id"), F.col("r.id"))).distinct()
-        found = joined(rest, found)
+        found = found if rest is None else joined(rest, found)
     if found is None:
         found = written(nodes.select("id", F.col("id").alias("component")).limit(0), "components")
     forget(*[t for t in scratch if t is not found])

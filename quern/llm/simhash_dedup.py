@@ -29,13 +29,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_spread, sliced, small_side, windows, word_hashes, word_spans, written
+from .collocations import _bitmap, _marked
+from .common import forget, join_spread, sliced, small_side, windows, word_hashes, word_spans, written
 from .components import link_cells, possible_pairs
 
 #: Similarity of near-duplicate documents, and words in a shingle.
 SIMILARITY, SHINGLE = 0.8, 5
 #: Texts of the sample that tells common shingles, texts of it that hold one, and most of them.
 SAMPLE, COMMON, MOST = 3000, 6, 50_000
+#: Times that what crowded cells leave apart gets new prefixes, before its whole sets are compared.
+ROUNDS = 1
 _LOW = 0x5555555555555555
 
 
@@ -134,18 +137,22 @@ def _shingles(words: bytes, shingle: int) -> np.ndarray:
     return np.unique(windows(word_hashes(data, *word_spans(data)), shingle)).view(np.int64)
 
 
-def prefix(members: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+def prefix(members: np.ndarray, similarity: float, common: np.ndarray, crowded: bytes | None = None) -> np.ndarray:
     """Those of a text's shingles of which any text of at least that similarity has one among its own such.
 
-    Shingles have one order everywhere: common ones (sorted) last, else by their hash. Of n shingles similar texts
-    share ceil(similarity * n) at least, so the first of these is among the first n - ceil(similarity * n) + 1 of both.
+    Shingles have one order everywhere: common ones (sorted) and those of a bitmap last, else by their hash. Of n shingles similar
+    texts share ceil(similarity * n) at least, so the first of these is among the first n - ceil(similarity * n) + 1 of both.
     """
     n = len(members)
     last = np.isin(members, common)
+    if crowded is not None and n:
+        last |= _marked(np.frombuffer(crowded, dtype=np.uint8), members)
     return np.concatenate((members[~last], members[last]))[: n - math.ceil(similarity * n - 1e-9) + 1] if n else members
 
 
-def _sketch(shingle: int, similarity: float, common: np.ndarray):
+def _sketch(shingle: int, similarity: float, common: np.ndarray, crowded=None):
+    """crowded: a broadcast bitmap of shingles that come last, besides the common ones."""
+
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in sliced(batches):
             digests, marks, sizes, cells = [], [], [], []
@@ -155,7 +162,7 @@ def _sketch(shingle: int, similarity: float, common: np.ndarray):
                 digests.append(xxhash.xxh3_64_intdigest(words) - (1 << 63))
                 marks.append(_majority(members))
                 sizes.append(len(members))
-                cells.append(prefix(members, similarity, common))
+                cells.append(prefix(members, similarity, common, crowded and crowded.value))
             yield batch.drop(columns="text").assign(id=digests, fp=marks, n_shingles=sizes, cells=cells)
 
     return sketched
@@ -197,7 +204,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     bound, then `reach` differing bits). Similar texts can differ in more bits
     than any grid reaches, so what the grid leaves apart meets by the shingles
     of its prefixes, of which every such pair shares one, wherever its edits
-    lie and however many texts there are. All candidates are held against each
+    lie and however many texts there are. Two texts that share only shingles of
+    crowded cells get new prefixes, in which these shingles come last, as they
+    share one of those, too; only what is in crowded cells after ROUNDS of this
+    meets by its whole sets. All candidates are held against each
     other exactly. Of each component one row stays: that with the smallest
     doc_id, a null one last. Texts without words (null, empty) are copies of
     one another; texts of any length are read whole.
@@ -205,22 +215,39 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     text = F.col("text").cast("string")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     schema = "doc_id long, text_hash long, id long, fp long, n_shingles int, cells array<long>"
-    marked = written(plain.mapInPandas(_sketch(shingle, similarity, common_shingles(plain, shingle)), schema), "sketches")
+    common = common_shingles(plain, shingle)
+    marked = written(plain.mapInPandas(_sketch(shingle, similarity, common), schema), "sketches")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     nodes = written(marked.groupBy("id").agg(F.min(row).alias("row")), "nodes")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
+    def texts_of(ids: DataFrame) -> DataFrame:
         needed = written(nodes.join(small_side(ids), "id").select("id", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash")), "needed")
         same = F.col("p.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("p.text_hash") == F.col("n.text_hash"))
-        texts = plain.alias("p").join(small_side(needed).alias("n"), same).select("n.id", "p.text")
-        return texts.mapInPandas(_shingle_sets(shingle), "id long, members array<long>")
+        return plain.alias("p").join(small_side(needed).alias("n"), same).select("n.id", "p.text")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return texts_of(ids).mapInPandas(_shingle_sets(shingle), "id long, members array<long>")
+
+    def possible_in(sketches: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        prefixes = sketches.select("id", F.col("n_shingles").alias("n"), F.col("cells").alias("members"))
+        return lambda pairs: possible_pairs(pairs, prefixes, similarity)
+
+    def linked(sketches: DataFrame, known: DataFrame, bits: bytes | None = None, rounds: int = 0) -> DataFrame:
+        def deeper(cells: DataFrame, ids: DataFrame, found: DataFrame) -> DataFrame:
+            now = _bitmap(cells.select(F.col("cell").alias("id")))
+            now = now if bits is None else (np.frombuffer(now, dtype=np.uint8) | np.frombuffer(bits, dtype=np.uint8)).tobytes()
+            crowded = docs.sparkSession.sparkContext.broadcast(now)
+            again = written(texts_of(ids).mapInPandas(_sketch(shingle, similarity, common, crowded), "id long, fp long, n_shingles int, cells array<long>"), "sketches")
+            crowded.unpersist()
+            got = linked(again, found, now, rounds + 1)
+            forget(again)
+            return got
 
-    def possible(pairs: DataFrame) -> DataFrame:
-        return possible_pairs(pairs, marked.select("id", F.col("n_shingles").alias("n"), F.col("cells").alias("members")), similarity)
+        return link_cells(sketches, F.col("cells"), _near_size(similarity), sets_of, possible_in(sketches), similarity, ["n_shingles"], room=12, known=known, deeper=deeper if rounds < ROUNDS else None)
 
     blocks = blocks_for(nodes.count(), reach)
-    by_print = link_cells(marked.select("id", "fp").distinct(), _grid(block_masks(blocks, blocks - reach)), _within(reach), sets_of, possible, similarity, ["fp"], room=12)
-    found = link_cells(marked, F.col("cells"), _near_size(similarity), sets_of, possible, similarity, ["n_shingles"], room=12, known=by_print)
+    by_print = link_cells(marked.select("id", "fp").distinct(), _grid(block_masks(blocks, blocks - reach)), _within(reach), sets_of, possible_in(marked), similarity, ["fp"], room=12)
+    found = linked(marked, by_print)
     classed = nodes.join(small_side(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
     winners = classed.groupBy("component").agg(F.min("row").alias("row")).select("row.doc_id", "row.text_hash", F.lit(True).alias("kept"))
     rows = marked.select("doc_id", "text_hash").distinct()
