@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII white-space characters.
@@ -44,13 +44,18 @@ def shared_dir(spark: SparkSession) -> str:
     return known.get().rstrip("/")
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder, with the writer's options, and read it back."""
-    spark = df.sparkSession
+def written(df: DataFrame, name: str, digest: Column | None = None, **options: str) -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder, with the writer's options, and read it back.
+
+    Its rows are counted while it is written (table.seen["rows"]), and so is an
+    aggregate `digest` of them, so that no job has to ask for either.
+    """
+    spark, seen = df.sparkSession, Observation()
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    asked = [F.count(F.lit(1)).alias("rows"), *([] if digest is None else [digest.alias("digest")])]
+    df.observe(seen, *asked).write.options(**options).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
-    table.written_at = path
+    table.written_at, table.seen = path, seen.get
     return table
 
 
@@ -66,7 +71,8 @@ def small_side(df: DataFrame, rows: int = 300_000) -> DataFrame:
 
     A larger one is joined by a shuffle.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    seen = vars(df).get("seen")
+    return F.broadcast(df) if (df.limit(rows + 1).count() if seen is None else seen["rows"]) <= rows else df
 
 
 def join_spread(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner", hot: int = 50_000) -> DataFrame:

@@ -14,7 +14,7 @@ ROOM = 32
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """id and component (its smallest id) of every id in edges (a, b), by alternating large and small stars.
+    """id and component (its smallest id) of every id in edges (a, b), a written table, by alternating large and small stars.
 
     Each round points every id at the smallest id that it or its neighbours
     know, on tables written to the shared folder, until a round changes
@@ -23,21 +23,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     joins have one row per id on one side, so that the edges of an id with very
     many can be split among tasks (adaptive execution does).
     """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", digest)
     while True:
         known = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = known.groupBy(F.col("u").alias("v")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = e.join(low, "v").select("u", F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        turned = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        forget(e)
-        e = turned
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        before = now
+        before = e
+        e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges", digest)
+        forget(before)
+        if e.seen == before.seen:
+            found = e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+            found = written(found, "components")
+            forget(e)
+            return found
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -73,7 +74,7 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     """
     each = sets.select("id", F.size("members").alias("n"), F.explode("members").alias("member"))
     often = written(each.groupBy("member").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
-    own = each.join(small_side(often, 2_000_000), "member").groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("often", "member"))).alias("own"))
+    own = each.join(small_side(often), "member").groupBy("id", "n").agg(F.sort_array(F.collect_set(F.struct("often", "member"))).alias("own"))
     single = F.col("n") - F.size("own")
     first = F.slice("own", 1, F.greatest(F.col("n") - F.ceil(similarity * F.col("n")).cast("int") + 1 - single, F.lit(0)))
     ranked = own.select("id", "n", single.alias("single"), F.posexplode(first).alias("at", "m")).select("id", "n", F.col("m.member").alias("member"), (F.col("single") + F.col("at") + 1).alias("rank"))
@@ -129,7 +130,6 @@ def link_cells(
     """
     near = F.lit(True) if close is None else close(F.col("l"), F.col("r"))
     carried = F.struct("id", *carry)
-    edges = [] if known is None else [known.select(F.col("id").alias("a"), F.col("component").alias("b"))]
     scratch: list[DataFrame] = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
@@ -149,19 +149,19 @@ def link_cells(
     def joined(pairs: DataFrame, found: DataFrame | None) -> DataFrame | None:
         """Components after the links among pairs (a, b) are added."""
         links = kept(pairs, "pairs")
-        if possible is not None:
+        if possible is not None and links.seen["rows"]:
             links = kept(possible(links), "possible")
-        if links.isEmpty():
+        if not links.seen["rows"]:
             return found
         if sets_of is not None:
             sets = kept(sets_of(links.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
             links = kept(similar_pairs(links, sets, similarity), "links")
             done(sets)
-        edges.append(links)
-        every = edges[0]
-        for more in edges[1:]:
-            every = every.unionByName(more)
-        return kept(connected_components(every), "components")
+            if not links.seen["rows"]:
+                return found
+        every = links if found is None else links.unionByName(found.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        scratch.append(connected_components(every))
+        return scratch[-1]
 
     def split(rows: DataFrame, found: DataFrame | None) -> DataFrame:
         """Those rows, with components, whose cell holds several."""
@@ -171,7 +171,7 @@ def link_cells(
 
     dealt = nodes.select("id", *carry, F.explode(cells).alias("cell"))
     shared = kept(dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell"), "cells")
-    members = kept(dealt.join(small_side(shared, 2_000_000), "cell", "left_semi").distinct(), "members")
+    members = kept(dealt.join(small_side(shared), "cell", "left_semi").distinct(), "members")
     done(shared)
     if known is not None:
         every, members = members, split(members, known)
@@ -193,18 +193,19 @@ def link_cells(
 
     apart = split(sized.where("n > 2"), found)
     done(sized)
-    own = apart.where(F.col("n") > room).groupBy("id").agg(F.max_by("cell", F.struct("n", "cell")).alias("own"))
-    seats = apart.join(own, "id", "left").where((F.col("n") <= room) | (F.col("cell") == F.col("own")))
-    rooms = F.when(F.col("n") > room, F.pmod(F.xxhash64("cell", "id"), F.ceil(F.col("n") / room))).otherwise(F.lit(0).cast("long"))
-    seats = kept(seats.select("cell", rooms.alias("room"), "component", carried.alias("l")), "seats")
-    others = seats.select("cell", "room", F.col("component").alias("other"), F.col("l").alias("r"))
-    met = seats.join(others, ["cell", "room"]).where((F.col("l.id") < F.col("r.id")) & (F.col("component") != F.col("other")) & near)
-    found = joined(met.select(*_ordered(F.col("l.id"), F.col("r.id"))).distinct(), found)
-    done(seats)
-
-    before, apart = apart, split(apart.where(F.col("n") > room).drop("component"), found)
-    done(before)
-    if not apart.isEmpty():
+    if apart.seen["rows"]:
+        own = apart.where(F.col("n") > room).groupBy("id").agg(F.max_by("cell", F.struct("n", "cell")).alias("own"))
+        seats = apart.join(own, "id", "left").where((F.col("n") <= room) | (F.col("cell") == F.col("own")))
+        rooms = F.when(F.col("n") > room, F.pmod(F.xxhash64("cell", "id"), F.ceil(F.col("n") / room))).otherwise(F.lit(0).cast("long"))
+        seats = kept(seats.select("cell", rooms.alias("room"), "component", carried.alias("l")), "seats")
+        others = seats.select("cell", "room", F.col("component").alias("other"), F.col("l").alias("r"))
+        met = seats.join(others, ["cell", "room"]).where((F.col("l.id") < F.col("r.id")) & (F.col("component") != F.col("other")) & near)
+        found = joined(met.select(*_ordered(F.col("l.id"), F.col("r.id"))).distinct(), found)
+        done(seats)
+
+        before, apart = apart, split(apart.where(F.col("n") > room).drop("component"), found)
+        done(before)
+    if apart.seen["rows"]:
         shares = apart.groupBy("cell", "component").agg(F.count(F.lit(1)).alias("k"))
         main = shares.groupBy("cell").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
         told = kept(apart.join(main, "cell"), "told") if deeper is None else apart

@@ -126,7 +126,7 @@ def fingerprint_classes(docs: DataFrame, shingle: int = 4, reach: int = 4) -> Da
     """
     marked = written(fingerprints(docs, shingle), "fingerprints")
     nodes = written(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
-    blocks = blocks_for(nodes.count(), reach)
+    blocks = blocks_for(nodes.seen["rows"], reach)
     found = link_cells(nodes, _grid(block_masks(blocks, blocks - reach)), _within(reach), carry=["fp"])
     of_fp = written(nodes.join(small_side(found), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"), "n"), "classes")
     return join_spread(marked, of_fp, "fp", "n", "left").select("doc_id", "fp", "component_id")
@@ -238,14 +238,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
             now = now if bits is None else (np.frombuffer(now, dtype=np.uint8) | np.frombuffer(bits, dtype=np.uint8)).tobytes()
             crowded = docs.sparkSession.sparkContext.broadcast(now)
             again = written(texts_of(ids).mapInPandas(_sketch(shingle, similarity, common, crowded), "id long, fp long, n_shingles int, cells array<long>"), "sketches")
-            crowded.unpersist()
+            crowded.destroy()
             got = linked(again, found, now, rounds + 1)
             forget(again)
             return got
 
         return link_cells(sketches, F.col("cells"), _near_size(similarity), sets_of, possible_in(sketches), similarity, ["n_shingles"], room=12, known=known, deeper=deeper if rounds < ROUNDS else None)
 
-    blocks = blocks_for(nodes.count(), reach)
+    blocks = blocks_for(nodes.seen["rows"], reach)
     by_print = link_cells(marked.select("id", "fp").distinct(), _grid(block_masks(blocks, blocks - reach)), _within(reach), sets_of, possible_in(marked), similarity, ["fp"], room=12)
     found = linked(marked, by_print)
     classed = nodes.join(small_side(found), "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -86,6 +86,40 @@ def test_hot_keys_are_joined_like_the_others(spark, monkeypatch):
         assert got == sorted(((r.k, r.i, r.v) for r in rows.join(table, "k", how).collect()), key=repr)
 
 
+def jobs_of(spark, work):
+    """Number of Spark's jobs in work(), and what it returns."""
+    group = f"counted-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    got = work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), got
+
+
+@pytest.mark.parametrize("rows", [0, 7])
+def test_rows_of_a_written_table_are_known_without_a_job(spark, rows):
+    table = common.written(spark.range(100).where(F.col("id") < rows), "counted")
+    jobs, near = jobs_of(spark, lambda: (common.small_side(table, 7), common.small_side(table, 6)))
+    assert jobs == 0
+    assert (near[0] is not table, near[1] is not table) == (True, rows <= 6)
+    assert near[0].count() == rows
+
+
+def test_stars_are_told_from_one_round(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df, name, *more, f=components.written: tables.append(name) or f(df, name, *more))
+    found = components.connected_components(spark.createDataFrame([(1, 2), (3, 1), (9, 8)], "a long, b long"))
+    assert {(r.id, r.component) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)}
+    assert tables.count("edges") == 2  # the first and what one round makes of it
+
+
+def test_tables_of_cells_do_not_pass_whole_through_the_driver(spark, monkeypatch):
+    limits = []
+    monkeypatch.setattr(components, "small_side", lambda df, rows=300_000, f=common.small_side: limits.append(rows) or f(df, rows))
+    texts = block_copies(20, 16)
+    assert kept_of(spark, texts) == set(classes(jaccard_links(texts), texts).values())
+    assert limits and max(limits) <= 300_000
+
+
 # SimHash
 
 
