@@ -44,18 +44,25 @@ def shared_dir(spark: SparkSession) -> str:
     return known.get().rstrip("/")
 
 
-def written(df: DataFrame, name: str, digest: Column | None = None, **options: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder, with the writer's options, and read it back.
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder, with the writer's options, and read it back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
 
-    Its rows are counted while it is written (table.seen["rows"]), and so is an
-    aggregate `digest` of them, so that no job has to ask for either.
+def counted(df: DataFrame, name: str, digest: Column | None = None) -> DataFrame:
+    """Like written; its rows are counted while it is written (table.seen["rows"]), and so is an aggregate `digest` of them.
+
+    So no job has to ask for either. Not for rows that go through a model of Spark ML: its functions do not go out with an observed plan.
     """
-    spark, seen = df.sparkSession, Observation()
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    seen = Observation()
     asked = [F.count(F.lit(1)).alias("rows"), *([] if digest is None else [digest.alias("digest")])]
-    df.observe(seen, *asked).write.options(**options).parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.written_at, table.seen = path, seen.get
+    table = written(df.observe(seen, *asked), name)
+    table.seen = seen.get
     return table
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, small_side, written
+from .common import counted, forget, small_side, written
 
 #: Members up to which all pairs of a cell are looked at; a larger cell is dealt into rooms of about this many.
 ROOM = 32
@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     many can be split among tasks (adaptive execution does).
     """
     digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", digest)
+    e = counted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", digest)
     while True:
         known = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = known.groupBy(F.col("u").alias("v")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -32,11 +32,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before = e
-        e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges", digest)
+        e = counted(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges", digest)
         forget(before)
         if e.seen == before.seen:
             found = e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-            found = written(found, "components")
+            found = counted(found, "components")
             forget(e)
             return found
 
@@ -132,8 +132,8 @@ def link_cells(
     carried = F.struct("id", *carry)
     scratch: list[DataFrame] = []
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        scratch.append(written(df, name))
+    def kept(df: DataFrame, name: str, write: Callable[[DataFrame, str], DataFrame] = counted) -> DataFrame:
+        scratch.append(write(df, name))
         return scratch[-1]
 
     def done(*tables: DataFrame) -> None:
@@ -154,7 +154,7 @@ def link_cells(
         if not links.seen["rows"]:
             return found
         if sets_of is not None:
-            sets = kept(sets_of(links.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
+            sets = kept(sets_of(links.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets", written)
             links = kept(similar_pairs(links, sets, similarity), "links")
             done(sets)
             if not links.seen["rows"]:
@@ -170,8 +170,8 @@ def link_cells(
         return kept(rows.join(several, "cell", "left_semi"), "split")
 
     dealt = nodes.select("id", *carry, F.explode(cells).alias("cell"))
-    shared = kept(dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell"), "cells")
-    members = kept(dealt.join(small_side(shared), "cell", "left_semi").distinct(), "members")
+    shared = kept(dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell"), "cells", written)
+    members = kept(dealt.join(small_side(shared), "cell", "left_semi").distinct(), "members", written)
     done(shared)
     if known is not None:
         every, members = members, split(members, known)

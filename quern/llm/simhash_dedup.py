@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .collocations import _bitmap, _marked
-from .common import forget, join_spread, sliced, small_side, windows, word_hashes, word_spans, written
+from .common import counted, forget, join_spread, sliced, small_side, windows, word_hashes, word_spans, written
 from .components import link_cells, possible_pairs
 
 #: Similarity of near-duplicate documents, and words in a shingle.
@@ -125,7 +125,7 @@ def fingerprint_classes(docs: DataFrame, shingle: int = 4, reach: int = 4) -> Da
     whole; repeated rows get the same answer; other columns are not read.
     """
     marked = written(fingerprints(docs, shingle), "fingerprints")
-    nodes = written(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
+    nodes = counted(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
     blocks = blocks_for(nodes.seen["rows"], reach)
     found = link_cells(nodes, _grid(block_masks(blocks, blocks - reach)), _within(reach), carry=["fp"])
     of_fp = written(nodes.join(small_side(found), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"), "n"), "classes")
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     common = common_shingles(plain, shingle)
     marked = written(plain.mapInPandas(_sketch(shingle, similarity, common), schema), "sketches")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    nodes = written(marked.groupBy("id").agg(F.min(row).alias("row")), "nodes")
+    nodes = counted(marked.groupBy("id").agg(F.min(row).alias("row")), "nodes")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         needed = written(nodes.join(small_side(ids), "id").select("id", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash")), "needed")

@@ -96,8 +96,8 @@ def jobs_of(spark, work):
 
 
 @pytest.mark.parametrize("rows", [0, 7])
-def test_rows_of_a_written_table_are_known_without_a_job(spark, rows):
-    table = common.written(spark.range(100).where(F.col("id") < rows), "counted")
+def test_rows_of_a_counted_table_are_known_without_a_job(spark, rows):
+    table = common.counted(spark.range(100).where(F.col("id") < rows), "counted")
     jobs, near = jobs_of(spark, lambda: (common.small_side(table, 7), common.small_side(table, 6)))
     assert jobs == 0
     assert (near[0] is not table, near[1] is not table) == (True, rows <= 6)
@@ -106,7 +106,7 @@ def test_rows_of_a_written_table_are_known_without_a_job(spark, rows):
 
 def test_stars_are_told_from_one_round(spark, monkeypatch):
     tables = []
-    monkeypatch.setattr(components, "written", lambda df, name, *more, f=components.written: tables.append(name) or f(df, name, *more))
+    monkeypatch.setattr(components, "counted", lambda df, name, *more, f=common.counted: tables.append(name) or f(df, name, *more))
     found = components.connected_components(spark.createDataFrame([(1, 2), (3, 1), (9, 8)], "a long, b long"))
     assert {(r.id, r.component) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)}
     assert tables.count("edges") == 2  # the first and what one round makes of it
