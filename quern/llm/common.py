@@ -57,7 +57,7 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
 def counted(df: DataFrame, name: str, digest: Column | None = None) -> DataFrame:
     """Like written; its rows are counted while it is written (table.seen["rows"]), and so is an aggregate `digest` of them.
 
-    So no job has to ask for either. Not for rows that go through a model of Spark ML: its functions do not go out with an observed plan.
+    So no job has to ask for either.
     """
     seen = Observation()
     asked = [F.count(F.lit(1)).alias("rows"), *([] if digest is None else [digest.alias("digest")])]
@@ -73,6 +73,16 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def without_summary(model, spark: SparkSession):
+    """A fitted model of Spark ML, written and read back: the summary of its training stays behind.
+
+    The summary holds the session, which can't be sent to executors once a table was observed in it.
+    """
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    return type(model).load(path)
+
+
 def small_side(df: DataFrame, rows: int = 300_000) -> DataFrame:
     """A written table of a few numbers a row, for one side of a join: marked for broadcast if it has at most so many rows.
 

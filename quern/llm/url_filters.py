@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import without_summary
+
 LENGTHS, FEATURES, STRENGTH = (3, 4, 5), 1 << 15, 1e-3
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Labelled URLs: fixed training values. Each topic word is put together with general words into host names.
@@ -98,7 +100,7 @@ def train(labelled: DataFrame, strength: float = STRENGTH) -> LogisticRegression
     """Fit on a small table (url, label: 1.0 for block)."""
     host, path = url_parts(F.col("url"))
     table = _hashed(labelled.select(host.alias("host"), path.alias("path"), "label"))
-    return LogisticRegression(regParam=strength, maxIter=60, standardization=False).fit(table)
+    return without_summary(LogisticRegression(regParam=strength, maxIter=60, standardization=False).fit(table), labelled.sparkSession)
 
 
 def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str]], model: LogisticRegressionModel) -> DataFrame:
