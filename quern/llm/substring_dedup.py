@@ -192,7 +192,7 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, recall: f
     units = written(units, "units")
     cells = F.coalesce("bands", F.array("id"))
     again = units.select(F.explode(cells).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
-    again = small_side(written(again, "cells"), 2_000_000)
+    again = small_side(written(again, "cells"))
     met = units.where("level = 0").select("line_no", F.explode("bands").alias("cell")).join(again, "cell", "left_semi").select("line_no").distinct()
     some = units.where("level = 0").join(met, "line_no", "left_semi").select(units.columns)
     some = some.unionByName(units.where("level = 1").withColumn("cell", F.col("id")).join(again, "cell", "left_semi").select(units.columns))

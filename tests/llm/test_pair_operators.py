@@ -418,3 +418,12 @@ def test_pipeline_takes_odd_rows(spark):
 
 def test_queries_are_registered():
     assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES if q != "pipeline"} and "pipeline" in queries.QUERIES
+
+
+def test_repeated_cells_are_shuffled_above_300_000(spark, monkeypatch):
+    limits = []
+    monkeypatch.setattr(substring_dedup, "small_side", lambda df, rows=300_000, f=common.small_side: limits.append((tuple(df.columns), rows)) or f(df, rows))
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"{text} a"), (2, f"b {text}")], "doc_id long, text string")
+    assert substring_dedup.repeated_passages(docs).where("removed").count() >= 1
+    assert dict(limits)[("cell",)] <= 300_000
