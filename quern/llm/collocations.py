@@ -42,8 +42,9 @@ _SPACED = bytes.maketrans(_STOPS + b"\t", b" " * 11)
 _KIND = np.zeros(256, dtype=np.int8)  # 0 in a word, 1 between words, 2 between pieces
 _KIND[list(b" \t")], _KIND[list(_STOPS)] = 1, 2
 
-#: Rows of megabytes: a codec that works through a page piece by piece, not one with buffers of a whole page outside the heap.
-PACKED = {"compression": "zstd"}
+#: Rows of megabytes: a codec that works through a page piece by piece, not one with buffers of a whole page outside the heap;
+#: and row groups of a few rows, looked at after every row, not after a hundred, as a reader unpacks a row group at once.
+PACKED = {"compression": "zstd", "parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
 LISTS = "shard long, ids array<long>, sizes array<int>, gaps array<int>"
 
 

@@ -10,7 +10,9 @@ from functools import cache
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import collocations, curve_packing, divergence, queries
 
@@ -121,6 +123,20 @@ def test_a_full_bitmap_changes_nothing(spark, monkeypatch, bits):
     assert rows_of(collocations.collocations(df, 3)) == brute_collocations([d[1:] for d in docs], 3, 5, 2000)
 
 
+def test_a_reader_of_lists_unpacks_a_few_shards_at_once(spark, monkeypatch):
+    """A row group is unpacked whole: one of a hundred shards takes more than a gigabyte of the JVM for each core."""
+    monkeypatch.setattr(collocations, "SHARD", 1 << 20)
+    monkeypatch.setattr(collocations, "forget", lambda *tables: None)
+    tables, put = [], collocations.written
+    monkeypatch.setattr(collocations, "written", lambda df, name, **options: tables.append((name, put(df, name, **options))) or tables[-1][1])
+    words = F.transform(F.sequence(F.lit(1), F.lit(130_000)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64(i, "doc_id"), F.lit(2500))))
+    docs = spark.range(0, 36, 1, 1).withColumnRenamed("id", "doc_id").select("doc_id", F.lit("en").alias("lang"), F.array_join(words, " ").alias("text"))
+    collocations.phrase_tables(docs, 10_000, 2)
+    metas = [pq.ParquetFile(file.removeprefix("file://")).metadata for name, table in tables if name == "shards" for file in table.inputFiles()]
+    groups = [meta.row_group(i).total_byte_size for meta in metas for i in range(meta.num_row_groups)]
+    assert sum(groups) > 8 << 20 > max(groups)
+
+
 # source divergence
 
 
