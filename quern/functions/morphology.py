@@ -64,7 +64,7 @@ def _fold_all(texts: pd.Series) -> pd.Series:
 def folded(text: Column) -> Column:
     """fold() of a column: as a JVM translation but for characters that fold to none or several."""
     source, target, several = _tables()
-    needs = text.rlike(several)
+    needs = text.rlike(rf"(?![\x00-\x7F]){several}")  # hundreds of ranges, tried one after another
     return F.when(text.rlike(r"\A[\x00-\x7F]*\z"), F.lower(text)).when(needs, _fold_all(F.when(needs, text))).otherwise(F.translate(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), source, target))
 
 

@@ -1,10 +1,11 @@
 """Many phrases in many texts: an index of phrases by their rarest word.
 
-The words of all phrases are counted in the texts once. A phrase is then
-looked for only where its rarest word stands, so the work follows the
-occurrences of rare words and not the number of phrases. A place is verified
-inside the row of its stretch of the text: a few dozen words, and as many words
-more at either end as the longest phrase has.
+The words of the texts are counted once, as they are written, and each of them
+is normalised once. A phrase is then looked for only where a form of its rarest
+word stands, so the work follows the occurrences of rare words and not the
+number of phrases, and only the words of such places are normalised again. A
+place is verified inside the row of its stretch of the text: a few dozen words,
+and as many words more at either end as the longest phrase has.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ def _normalised(words: Column, norm: Callable[[Column], Column]) -> Column:
     return F.transform(words, norm)
 
 
-def _stretches(df: DataFrame, key: str, text: str, word: str, gap: str, normalised: Callable[[Column], Column], reach: int) -> DataFrame:
+def _stretches(df: DataFrame, key: str, text: str, word: str, gap: str, reach: int) -> tuple[DataFrame, Column]:
     """Texts in stretches of words, each with `reach` words more at either end: key, __no, __base (code points before it),
-    __pieces (words and what lies between them, in turn), __lead (the index of the first word), __skip (words before the stretch's own) and __words.
+    __pieces (words and what lies between them, in turn), __lead (the index of the first word) and __skip (words before the stretch's own);
+    and a stretch's own words.
 
     A row of one word then never carries the whole text.
     """
@@ -46,8 +48,12 @@ def _stretches(df: DataFrame, key: str, text: str, word: str, gap: str, normalis
         F.when(at(c) == 0, F.col("__first")).otherwise(0).alias("__lead"), F.least(c * own, F.lit(reach)).alias("__skip"),
     )
     each = cut.select(key, "__first", F.explode_outer(F.transform(starts, one)).alias("s")).select(key, "s.*")
-    words = F.filter("__pieces", lambda p, i: i % 2 == F.col("__lead"))
-    return each.withColumn("__words", normalised(words)).withColumn("__own", F.slice("__words", F.col("__skip") + 1, F.lit(own)))
+    return each, _every_second(F.slice("__pieces", F.col("__lead") + 2 * F.col("__skip") + 1, F.lit(2 * own - 1)))
+
+
+def _every_second(pieces: Column) -> Column:
+    """The words of pieces that begin with one."""
+    return F.filter(pieces, lambda _, i: i % 2 == 0)
 
 
 def _length_of(pieces: Column) -> Column:
@@ -77,32 +83,37 @@ def phrase_hits(
     reach = split.agg(F.max(F.size("words"))).first()[0] or 1
     of_phrases = split.select("phrase_id", F.posexplode("words").alias("place", "word"))
     vocabulary, _ = broadcast_if_small(of_phrases.select("word").distinct(), near_rows)
-    seen = texts.select(F.explode_outer(fold(F.regexp_extract_all(text, F.lit(word), F.lit(0)))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    counts = seen.select(norm(F.col("w")).alias("word"), "n").join(vocabulary, "word").groupBy("word").agg(F.sum("n").alias("n"))
+    seen = texts.select(F.explode_outer(F.regexp_extract_all(text, F.lit(word), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("w is not null")
+    forms = kept(seen.select("w", "n", F.explode_outer(_normalised(fold(F.array("w")), norm)).alias("word")).join(vocabulary, "word"), "forms")
+    counts = forms.groupBy("word").agg(F.sum("n").alias("n"))
     rarest = of_phrases.join(counts, "word", "left").groupBy("phrase_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "word")).alias("r"))
     index = split.join(rarest.where("r.n > 0"), "phrase_id").select("phrase_id", "phrase", "words", "lead", F.col("r.place").alias("before"), F.col("r.word").alias("word"))
-    index, small = broadcast_if_small(kept(index, "phrase-index"), near_rows)
+    index, small = broadcast_if_small(kept(index.join(forms.select("w", "word"), "word").drop("word"), "phrase-index"), near_rows)
 
-    cut = _stretches(texts, key, text, word, gap, lambda words: _normalised(fold(words), norm), reach)
+    cut, own = _stretches(texts, key, text, word, gap, reach)
     # outer explodes: else the optimiser finds the words once more in a filter below; words that are null meet nothing
     if small:
-        met = cut.select(*cut.columns[:-1], F.posexplode_outer("__own").alias("at", "word")).join(index, "word")
+        met = cut.select("*", F.posexplode_outer(own).alias("at", "w")).join(index, "w")
     else:
-        met = cut.select(key, "__no", F.posexplode_outer("__own").alias("at", "word")).join(index, "word").join(cut.drop("__own"), [key, "__no"])
+        met = cut.select(key, "__no", F.posexplode_outer(own).alias("at", "w")).join(index, "w").join(cut, [key, "__no"])
+    # what decides stands between the word before the place and the word after it
     n, from_word = F.size("words"), F.col("__skip") + F.col("at") - F.col("before")
-    first, near = 2 * from_word + F.col("__lead"), F.array_join("__pieces", "")
-    start = _length_of(F.slice("__pieces", F.lit(1), first))
-    end = start + _length_of(F.slice("__pieces", first + 1, 2 * n - 1))
-    # one filter, the cheapest first: most places differ in the phrase's first or last word
-    edge = lambda i: F.get("__words", from_word + i) == F.get("words", i)
-    same = (from_word >= 0) & edge(F.lit(0)) & edge(n - 1) & (F.slice("__words", from_word + 1, n) == F.col("words"))
+    first = 2 * F.greatest(from_word, F.lit(0)) + F.col("__lead")
+    low = F.greatest(first - 2, F.lit(0))
+    near, before = F.array_join(F.slice("__pieces", low + 1, first - low + 2 * n + 1), ""), _length_of(F.slice("__pieces", F.lit(1), low))
+    there = F.slice("__pieces", first + 1, 2 * n - 1)
+    start = _length_of(F.slice("__pieces", low + 1, first - low))
+    end = start + _length_of(there)
+    # one filter, the cheapest first
+    same = from_word >= 0
     if literal:
         start = start - (F.col("lead") - 1)
         end = start + F.length("phrase")
         apart = ~F.substring(near, end + 1, F.lit(1)).rlike(word) & ~((start > 0) & F.substring(near, F.greatest(start, F.lit(1)), F.lit(1)).rlike(word))
         same = same & (start >= 0) & (F.lower(F.substring(near, start + 1, end - start)) == F.lower("phrase")) & apart
-    found = met.where(same).select(key, "phrase_id", "__base", start.alias("start"), end.alias("end"), F.substring(near, start + 1, end - start).alias("span"))
-    place = lambda c: (F.col("__base") + F.col(c)).cast("long").alias(c)
+    same = same & ((n == 1) | (_normalised(fold(_every_second(there)), norm) == F.col("words")))  # a phrase of one word has met it
+    found = met.where(same).select(key, "phrase_id", (F.col("__base") + before).alias("base"), start.alias("start"), end.alias("end"), F.substring(near, start + 1, end - start).alias("span"))
+    place = lambda c: (F.col("base") + F.col(c)).cast("long").alias(c)
     hits = found.select(key, "phrase_id", place("start"), place("end"), "span")
     return hits.join(texts.select(key, *keep), key).select(key, *keep, "phrase_id", "start", "end", "span") if keep else hits
 

@@ -72,6 +72,25 @@ def test_hits_across_stretches(spark, near):
     assert {w[2] for w in want} == {"short", "edge", "long", "longer"} and rows_of(got) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("near", [300_000, 0])
+def test_words_are_folded_once_and_where_a_phrase_may_stand(spark, near):
+    """20,000 words, 43 of them different: folding every word of every text took most of the time."""
+    folded = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<string>")
+    def fold(words):
+        folded.add(sum(map(len, words)))
+        return words.map(lambda row: [w.casefold() for w in row])
+
+    r = random.Random(5)
+    texts = [" ".join(["Rare THING" if i % 10 == 0 and k == 70 else f"W{r.randrange(40)}" for k in range(400)]) for i in range(50)] + ["rare things", "THING"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    table = spark.createDataFrame([("rare thing", "RARE thing"), ("thing", "Thing")], "phrase_id string, phrase string")
+    got = rows_of(ph.phrase_hits(df, "doc_id", "text", table, norm=lambda w: w, fold=fold, literal=False, near_rows=near))
+    want = [(i, p, *m.span(), m[0]) for i, t in enumerate(texts) for p in ("rare thing", "thing") for m in re.finditer(rf"\b{p}\b", t, re.IGNORECASE)]
+    assert got == sorted(want, key=repr) and len(got) == 11 and 0 < folded.value < 500
+
+
 def test_gate_opens_domains(spark):
     df = spark.createDataFrame([(1, "heat pump and solar roof", ["heating"]), (2, "heat pump and solar roof", ["heating", "power"]), (3, "heat pump", []), (4, "heat pump", None)], "doc_id long, text string, gate array<string>")
     rules = spark.createDataFrame([("h", "heat pump", "heating"), ("s", "solar roof", "power")], "phrase_id string, phrase string, domain string")
